@@ -1,0 +1,6 @@
+"""The query catalogue."""
+
+from . import relational, textual
+
+QUERIES = relational.QUERIES | textual.QUERIES
+SQL = relational.SQL | textual.SQL
