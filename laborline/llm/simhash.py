@@ -86,7 +86,8 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x, y = (a >> shift) & _FOURS, (b >> shift) & _FOURS
         d = (x | np.uint64(0x8888888888888888)) - y  # 8 + difference in each four bits, 6 to 10
         up = (d >> np.uint64(3)) & np.uint64(0x1111111111111111)  # 1 where the difference isn't negative
-        size = (d & (up * np.uint64(7))) + (np.uint64(0x8888888888888888) - d & (up ^ np.uint64(0x1111111111111111)) * np.uint64(7))
+        down = up ^ np.uint64(0x1111111111111111)
+        size = (d & (up * np.uint64(7))) + ((~d & (down * np.uint64(7))) + down)
         size = (size & _BYTES) + ((size >> np.uint64(4)) & _BYTES)
         total = total + (size * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
     return total
