@@ -62,6 +62,8 @@ def with_buckets(df: DataFrame, key: str, n: int, out: str = "bucket_no") -> Dat
     wide = df.withColumn("_key_d", F.col(key).cast("double"))
     probs = [i / n for i in range(1, n)]
     cuts = sorted(set(wide.select("_key_d").approxQuantile("_key_d", probs, 0.2 / n))) if n > 1 else []
+    if not cuts:
+        return df.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)))
     splits = [float("-inf"), *cuts, float("inf")]
     put = Bucketizer(splits=splits, inputCol="_key_d", outputCol="_b", handleInvalid="keep").transform(wide)
     return put.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col("_b").cast("int"))).drop("_b", "_key_d")

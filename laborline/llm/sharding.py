@@ -53,15 +53,10 @@ def rebalance(old: list[int], sums: dict[int, tuple[int, int]], n_shards: int, s
         if old[s] < n_shards:
             by_shard.setdefault(old[s], []).append(s)
     for shard, slots in by_shard.items():
-        while slots and loads[shard] > mean * (1 + slack) and loads[shard] - weight[slots[-1]] >= mean * (1 - slack):
-            s = slots.pop()
-            loads[shard] -= weight[s]
-            homeless.append(s)
-        slots_left = [s for s in slots if weight[s]]
-        while slots_left and loads[shard] > mean * (1 + slack):
-            s = slots_left.pop(0)
-            loads[shard] -= weight[s]
-            homeless.append(s)
+        for s in reversed(slots):  # heavy slots first, as long as that leaves the shard its mean
+            if loads[shard] > mean and loads[shard] - weight[s] >= mean * (1 - slack):
+                loads[shard] -= weight[s]
+                homeless.append(s)
     heap = [(load, shard) for shard, load in enumerate(loads)]
     heapq.heapify(heap)
     for s in sorted(homeless, key=lambda s: (-weight[s], s)):
