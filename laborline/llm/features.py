@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -40,13 +41,14 @@ def words_of(text: str) -> list[str]:
     return [w for w in (x.strip(_EDGE) for x in text.lower().split()) if w]
 
 
-def terms_of(words: list[str]) -> set[str]:
-    """Different whole words, and word beginnings (with a trailing ``*``)."""
-    out = set(words)
-    for w in list(out):
+def terms_of(words: list[str]) -> Counter:
+    """How often whole words, and word beginnings (with a trailing ``*``), occur."""
+    whole = Counter(words)
+    out = Counter(whole)
+    for w, k in whole.items():
         for n in PREFIXES:
             if len(w) >= n:
-                out.add(w[:n] + "*")
+                out[w[:n] + "*"] += k
     return out
 
 

@@ -1,11 +1,13 @@
 """Token id files in Simple-8b words.
 
 A word holds a selector in its top four bits and as many ids of one width as fit in the other 60. Values of more than
-60 bits leave an escape word, whose 60 bits number a side table of the block. Blocks have known word and id offsets, so
-each is decoded on its own, selector by selector in numpy.
+60 bits leave an escape word, whose 60 bits number a side table. Ids are coded in blocks of BLOCK, each of which starts a
+new word; the number of words of every block is kept, so that any block can be found by its offset. A group of blocks is
+coded at once, and decoded at once, selector by selector in numpy.
 
-File: magic; blocks (escapes as u64, words as u64); footer (doc_id i64 with a validity byte each, ids per document u64; per
-block: first word's byte, words, escapes, ids, all u64); footer's byte, documents and blocks (u64); magic.
+File: magic; groups (escapes as u64, words as u64); footer (doc_id i64; a validity byte for each; ids per document u64;
+per group: first word's byte, words, escapes, ids, blocks, all u64; words per block u32); footer's byte, documents and
+groups (u64); magic.
 
 Defined results: a null text counts as empty, and has the end id only; null doc_ids come first; repeated rows are
 documents of their own; an empty table makes no file.
@@ -29,69 +31,94 @@ from .common import file_system, partitions, text_bytes, with_buckets
 from .tokens import END_ID
 
 MAGIC = b"S8BIDS01"
-BLOCK = 1 << 16
+#: Ids of a block, and blocks of a group.
+BLOCK, GROUP = 1 << 10, 1 << 8
 #: ids per word and bits per id of selectors 1 to 15; selector 0 is an escape.
 SELECTORS = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _U = np.uint64
+_LIMITS = np.array([1 << b for _, b in SELECTORS], dtype=np.uint64)
 
 
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escapes) of an array of unsigned integers."""
-    v = np.asarray(values, dtype=np.uint64)
-    n = len(v)
+_END, _ESCAPE = 255, 254
+_WIDTHS = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
+def _widths(v: np.ndarray) -> np.ndarray:
+    """How many selectors are too narrow for each value: those that come before the first that fits."""
+    if v.max() < len(_WIDTHS):
+        return _WIDTHS[v]
+    return np.searchsorted(_LIMITS, v.astype(np.uint64), side="right").astype(np.uint8)
+
+
+def _all_of(ok: np.ndarray, count: int) -> np.ndarray:
+    """Where ``count`` entries in a row are true, by doubling."""
+    have = 1
+    while have * 2 <= count:
+        ok, have = ok[:-have] & ok[have:], have * 2
+    return ok if have == count else ok[: len(ok) - (count - have)] & ok[count - have :]
+
+
+def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, escapes, words of each block) of an array of unsigned integers. Words never hold less than their count."""
+    n, lanes = len(values), -(-len(values) // BLOCK)
     if n == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    escape = v >= _U(1 << 60)
-    take, chosen = np.ones(n, np.int32), np.where(escape, 0, 15).astype(np.uint8)
-    where = np.arange(n, dtype=np.int32)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32)
+    # One row for each block, with a mark after its last id.
+    v = np.zeros(lanes * BLOCK, np.uint64)
+    v[:n] = values
+    widths = _widths(v)
+    widths[v >= _U(1 << 60)] = _ESCAPE
+    widths[n:] = _END
+    width = np.full((lanes, BLOCK + 1), _END, np.uint8)
+    width[:, :BLOCK] = widths.reshape(-1, BLOCK)
+    width = width.ravel()
+    take, chosen = np.ones(len(width), np.uint8), np.full(len(width), len(SELECTORS), np.uint8)
+    chosen[width == _ESCAPE] = 0
+    there = np.bincount(widths, minlength=len(SELECTORS)).cumsum()
     for k in range(len(SELECTORS) - 2, -1, -1):  # from wide to narrow: a narrower one that fits takes more ids
-        count, bits = SELECTORS[k]
-        bad = np.flatnonzero(v >= _U(1 << bits)) if bits else np.flatnonzero(v)
-        edges = np.concatenate((bad, [n]))
-        runs = np.diff(np.concatenate(([-1], edges))) - 1
-        if not len(bad) or runs.max() >= count or runs[-1] > 0:
-            room = np.repeat(edges, runs + 1)[:n].astype(np.int32) - where
-            fits = (room >= count) | ((room > 0) & (room + where == n))
-            np.putmask(take, fits, np.minimum(count, n - where))
-            np.putmask(chosen, fits, k + 1)
-    step, starts, i = (where + take).tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i = step[i]
-    at = np.array(starts)
-    sel = chosen[at]
+        count = SELECTORS[k][0]
+        if there[k] >= count:
+            fits = _all_of(width <= k, count)
+            np.putmask(take[: len(fits)], fits, count)
+            np.putmask(chosen[: len(fits)], fits, k + 1)
+    at, steps = np.arange(lanes) * (BLOCK + 1), []
+    while len(at):  # one word of every block that isn't done yet
+        steps.append(at)
+        at = at + take[at]
+        at = at[width[at] != _END]
+    start = np.sort(np.concatenate(steps))
+    sel, lane = chosen[start], start // (BLOCK + 1)
+    first = start - lane  # in v, which has no marks
     words = sel.astype(np.uint64) << _U(60)
-    padded = np.concatenate((v, np.zeros(120, np.uint64)))
-    number = np.cumsum(sel == 0) - 1
-    words[sel == 0] |= number[sel == 0].astype(np.uint64)
+    out = np.flatnonzero(sel == 0)
+    words[out] |= np.arange(len(out), dtype=np.uint64)
     for k, (count, bits) in enumerate(SELECTORS, 1):
-        m = sel == k
-        if bits and m.any():
-            take_here = np.minimum(count, n - at[m])
+        m = np.flatnonzero(sel == k)
+        if bits and len(m):
+            begin, packed = first[m], words[m]
             for j in range(count):
-                ids = padded[at[m] + j]
-                ids[take_here <= j] = 0
-                words[m] |= ids << _U(j * bits)
-    return words, v[escape]
+                packed |= v[begin + j] << _U(j * bits)
+            words[m] = packed
+    return words, v[first[out]], np.bincount(lane, minlength=lanes).astype(np.uint32)
 
 
 def decode(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` values of a block."""
+    """The ``n`` values of whole blocks."""
     counts = np.array([1, *(c for c, _ in SELECTORS)], dtype=np.int64)
-    sel = (words >> _U(60)).astype(np.int64)
+    sel = (words >> _U(60)).astype(np.uint8)
     ends = np.cumsum(counts[sel])
     at = ends - counts[sel]
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    m = sel == 0
-    if m.any():
+    out = np.zeros(n, np.uint64)
+    m = np.flatnonzero(sel == 0)
+    if len(m):
         out[at[m]] = escapes[(words[m] & _U((1 << 60) - 1)).astype(np.int64)]
     for k, (count, bits) in enumerate(SELECTORS, 1):
-        m = sel == k
-        if bits and m.any():
+        m = np.flatnonzero(sel == k)
+        if bits and len(m):
             w, a, mask = words[m], at[m], _U((1 << bits) - 1)
             for j in range(count):
                 out[a + j] = (w >> _U(j * bits)) & mask
-    return out[:n]
+    return out
 
 
 class IdFileWriter:
@@ -103,24 +130,25 @@ class IdFileWriter:
         self.out = self.fs.open_output_stream(self.path + ".part")
         self.out.write(MAGIC)
         self.at, self.waiting, self.n_waiting = len(MAGIC), [], 0
-        self.docs, self.counts, self.blocks = [], [], []
+        self.docs, self.counts, self.groups, self.block_words = [], [], [], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.counts.append(len(ids))
         self.waiting.append(ids)
         self.n_waiting += len(ids)
-        if self.n_waiting >= 8 * BLOCK:
+        if self.n_waiting >= GROUP * BLOCK:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.uint32)
         end = len(ids) if last else len(ids) // BLOCK * BLOCK
-        for lo in range(0, end, BLOCK):
-            part = ids[lo : min(lo + BLOCK, end)]
-            words, escapes = encode(part)
+        for lo in range(0, end, GROUP * BLOCK):
+            part = ids[lo : min(lo + GROUP * BLOCK, end)]
+            words, escapes, block_words = encode(part)
             self.out.write(escapes.astype("<u8").tobytes() + words.astype("<u8").tobytes())
-            self.blocks.append((self.at + 8 * len(escapes), len(words), len(escapes), len(part)))
+            self.groups.append((self.at + 8 * len(escapes), len(words), len(escapes), len(part), len(block_words)))
+            self.block_words.append(block_words)
             self.at += 8 * (len(words) + len(escapes))
         self.waiting, self.n_waiting = [ids[end:]], len(ids) - end
 
@@ -128,15 +156,16 @@ class IdFileWriter:
         self._flush(last=True)
         known = np.array([d is not None for d in self.docs], np.uint8)
         names = np.array([d or 0 for d in self.docs], "<i8")
-        foot = names.tobytes() + known.tobytes() + np.array(self.counts, "<u8").tobytes() + np.array(self.blocks, "<u8").reshape(-1, 4).tobytes()
-        self.out.write(foot + struct.pack("<QQQ", self.at, len(self.docs), len(self.blocks)) + MAGIC)
+        foot = names.tobytes() + known.tobytes() + np.array(self.counts, "<u8").tobytes() + np.array(self.groups, "<u8").tobytes()
+        foot += b"".join(w.astype("<u4").tobytes() for w in self.block_words)
+        self.out.write(foot + struct.pack("<QQQ", self.at, len(self.docs), len(self.groups)) + MAGIC)
         self.out.close()
         self.fs.move(self.path + ".part", self.path)
         return self.path, len(self.docs), sum(self.counts), self.at
 
 
 def read_id_file(path: str) -> Iterator[tuple[int | None, int, int]]:
-    """(doc_id, number of ids, crc32 of its ids as little-endian 32-bit integers) in the file's order, a block at a time."""
+    """(doc_id, number of ids, crc32 of its ids as little-endian 32-bit integers) in the file's order, a group at a time."""
     for doc, parts in read_documents(path):
         n, crc = 0, 0
         for ids in parts:
@@ -150,21 +179,21 @@ def read_documents(path: str) -> Iterator[tuple[int | None, Iterator[np.ndarray]
     size = fs.get_file_info(plain).size
     with fs.open_input_file(plain) as source:
         tail = source.read_at(32, size - 32)
-        foot_at, n_docs, n_blocks = struct.unpack("<QQQ", tail[:24])
+        foot_at, n_docs, n_groups = struct.unpack("<QQQ", tail[:24])
         if tail[24:] != MAGIC:
             raise ValueError(f"{path}: not an id file")
         foot = source.read_at(size - 32 - foot_at, foot_at)
         names, known = np.frombuffer(foot, "<i8", n_docs), np.frombuffer(foot, np.uint8, n_docs, 8 * n_docs)
         counts = np.frombuffer(foot, "<u8", n_docs, 9 * n_docs).tolist()
-        blocks = np.frombuffer(foot, "<u8", 4 * n_blocks, 17 * n_docs).reshape(-1, 4).tolist()
-        block = iter(blocks)
+        groups = np.frombuffer(foot, "<u8", 5 * n_groups, 17 * n_docs).reshape(-1, 5).tolist()
+        group = iter(groups)
         have, used = np.empty(0, np.uint64), 0
 
         def parts(n: int) -> Iterator[np.ndarray]:
             nonlocal have, used
             while n:
                 if used == len(have):
-                    at, n_words, n_escapes, n_ids = next(block)
+                    at, n_words, n_escapes, n_ids, _ = next(group)
                     data = np.frombuffer(source.read_at(8 * (n_words + n_escapes), at - 8 * n_escapes), "<u8")
                     have, used = decode(data[n_escapes:], data[:n_escapes], n_ids), 0
                 piece = have[used : used + n]

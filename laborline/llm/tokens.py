@@ -18,10 +18,15 @@ from itertools import filterfalse
 
 import numpy as np
 
-MEMO = 700_000
+#: Chunks that a worker remembers.
+MEMO = 1_300_000
 END_ID = {"word": 1, "byte": 0}
 
 
+#: Marks that are a piece of their own after a letter.
+_MARKS = (b",", b".", b";", b":", b"!", b"?")
+
+
 def _quiet() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -98,16 +103,19 @@ class _Memo:
         """Ids of one piece already in the model's alphabet."""
         got = self.pieces.get(text)
         if got is None:
-            got = self.pieces[text] = _pack([t.id for t in self.model.tokenize(text)])
+            got = self.pieces[text] = self.fresh(text)
         return got
 
+    def fresh(self, text: str) -> bytes:
+        return _pack([t.id for t in self.model.tokenize(text)])
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def room(self) -> None:
         if len(self.chunks) > MEMO:
             self.chunks.clear()
-        if len(self.pieces) > MEMO // 2:
+        if len(self.pieces) > MEMO // 4:
             self.pieces.clear()
 
 
@@ -141,7 +149,9 @@ class WordEncoder:
         for raw in missing:
             chunk = raw.decode("utf-8", "replace")
             if raw.isalpha() and raw.isascii():
-                memo.chunks[raw] = memo.piece(chunk.lower())
+                memo.chunks[raw] = memo.fresh(chunk.lower())
+            elif raw[-1:] in _MARKS and raw[:-1].isalpha() and raw.isascii():
+                memo.chunks[raw] = (memo.chunks.get(raw[:-1]) or memo.fresh(chunk[:-1].lower())) + memo.piece(chunk[-1])
             elif max(chunk) <= self.LATIN and "\u0130" not in chunk:  # no character here composes with another, or lower-cases by context
                 memo.chunks[raw] = b"".join([memo.piece(p.encode().decode("latin-1").translate(to)) for p in find(chunk.lower())])
             else:
@@ -149,6 +159,13 @@ class WordEncoder:
         memo.chunks.update(zip([r for r, _ in odd], memo.whole([c for _, c in odd]), strict=True))
 
 
+def _single_spaces(t: str) -> bool:
+    """Whether the only white space is single spaces and line ends between other characters."""
+    if not t or "  " in t or "\n " in t or " \n" in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n":
+        return False
+    return t.replace("\n", "").isprintable()
+
+
 class ByteEncoder:
     """For byte-level vocabularies whose pattern gives a word the one space before it.
 
@@ -163,7 +180,6 @@ class ByteEncoder:
 
         self.memo = _Memo(tokenizer)
         self.pattern = regex.compile(pattern)
-        self.run = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
         self.safe = re.compile(r"(?<=\S)(?=[ \n]\S)")
         self.alphabet = "".join(byte_chars()[b] for b in range(256))
 
@@ -175,7 +191,7 @@ class ByteEncoder:
         cut = []
         missing: set[str] = set()
         for t in texts:
-            if "\x00" not in t and self.run.search(t) is None:
+            if _single_spaces(t):
                 words = t.replace("\n", " \n").split(" ")
                 words[0] = "\x00" + words[0]
             else:
@@ -189,6 +205,12 @@ class ByteEncoder:
     def _learn(self, missing: set[str]) -> None:
         memo, odd, names, to = self.memo, [], [], self.alphabet
         for name in missing:
+            if name.isalpha() and name.isascii():
+                memo.chunks[name] = memo.fresh("\u0120" + name)
+                continue
+            if name[-1:] in ",.;:!?" and name[:-1].isalpha() and name.isascii():
+                memo.chunks[name] = (memo.chunks.get(name[:-1]) or memo.fresh("\u0120" + name[:-1])) + memo.piece(name[-1])
+                continue
             chunk = name[1:] if name[:1] == "\x00" else name if name[:1] == "\n" else " " + name
             if not chunk:
                 memo.chunks[name] = b""

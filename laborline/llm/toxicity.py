@@ -1,7 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is learned from the labelled sample: words and word beginnings whose presence says most about the label.
-Trees are fitted on three quarters of the sample; the rest calibrates their scores. Sample and lexicon have fixed
+Trees are fitted on three quarters of the sample, with
+features by lexicons that were learned without the text; the rest calibrates their scores. Sample and lexicon have fixed
 bounds (SAMPLE, LEXICON), which are parameters.
 
 Defined results: null and empty texts have the features of an empty text; labels of null value are left out, of several
@@ -28,8 +29,9 @@ from .features import TOXIC_FEATURES, terms_of, toxic_features, words_of
 
 SAMPLE = 12_000
 LEXICON = 256
-#: Least support of a lexicon term: the likelihood ratio of its counts under the two labels.
-LEAST_G2 = 18.0
+#: Least support of a lexicon term: the likelihood ratio of its counts under the two labels; a lower one does for terms
+#: that only toxic texts have, and these again and again (OFTEN times a text on average).
+LEAST_G2, LEAST_G2_OFTEN, OFTEN = 18.0, 9.0, 2.0
 THRESHOLD = 0.5
 TREES, DEPTH, STEP_SIZE, SEED = 20, 3, 0.25, 7
 
@@ -43,33 +45,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
     return found.select("doc_id", "body", "label")
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON, least: float = LEAST_G2) -> frozenset[str]:
+def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> frozenset[str]:
     """The terms with the largest likelihood ratio among those that are commoner under label 1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        texts: tuple[Counter, Counter] = (Counter(), Counter())
+        uses: Counter = Counter()
         for batch in batches:
             for v, y in zip(views(batch.column("body")), batch.column("label").to_pylist(), strict=True):
-                seen[int(y > 0)].update(terms_of(words_of(bytes(v).decode("utf-8", "replace"))))
-        rows = [(t, n, seen[0].get(t, 0)) for t, n in seen[1].items()]
-        names = list({t for t, _, _ in rows})
-        if rows:
-            yield pa.RecordBatch.from_pydict({"term": [r[0] for r in rows], "ones": [r[1] for r in rows], "zeros": [r[2] for r in rows]})
-        other = [(t, n) for t, n in seen[0].items() if t not in seen[1]]
-        for lo in range(0, len(other), 100_000):
-            part = other[lo : lo + 100_000]
-            yield pa.RecordBatch.from_pydict({"term": [t for t, _ in part], "ones": [0] * len(part), "zeros": [n for _, n in part]})
-
-    totals = sample.groupBy(F.col("label") > 0).count().collect()
-    n1 = sum(r[1] for r in totals if r[0])
-    n0 = sum(r[1] for r in totals if not r[0])
+                terms = terms_of(words_of(bytes(v).decode("utf-8", "replace")))
+                texts[int(y > 0)].update(terms.keys())
+                if y > 0:
+                    uses.update(terms)
+        terms = list(texts[0] | texts[1])
+        for lo in range(0, len(terms), 100_000):
+            part = terms[lo : lo + 100_000]
+            yield pa.RecordBatch.from_pydict({"term": part, "ones": [texts[1][t] for t in part], "zeros": [texts[0][t] for t in part], "uses": [uses[t] for t in part]})
+
+    totals = sample.groupBy((F.col("label") > 0).alias("y")).count().collect()
+    n1, n0 = (sum(r["count"] for r in totals if r["y"] is kind) for kind in (True, False))
     if not n1 or not n0:
         return frozenset()
-    terms = sample.select("body", "label").mapInArrow(count, "term string, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
+    counted = sample.select("body", "label").mapInArrow(count, "term string, ones long, zeros long, uses long")
+    terms = counted.groupBy("term").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"), F.sum("uses").alias("u"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     share = n1 / (n1 + n0)
     g2 = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
-    best = terms.filter((a >= 3) & (a / (a + b) >= math.sqrt(share))).withColumn("g2", g2).filter(F.col("g2") >= least)
+    best = terms.filter((a >= 2) & (a / (a + b) >= math.sqrt(share))).withColumn("g2", g2)
+    best = best.filter(((F.col("a") >= 3) & (F.col("g2") >= LEAST_G2)) | ((F.col("g2") >= LEAST_G2_OFTEN) & (F.col("b") == 0) & (F.col("u") >= OFTEN * F.col("a"))))
     return frozenset(r[0] for r in best.orderBy(F.desc("g2"), "term").limit(size).select("term").collect())
 
 
@@ -123,8 +126,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, lexicon_size: i
         return ToxicityModel(frozenset(), None, None, ones / n if n else 0.0)
     part = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(4))
     lexicon = learn_lexicon(sample, lexicon_size)
-    rows = assembled(sample.withColumn("_features", feature_udf(lexicon)("body")), TOXIC_FEATURES).select("doc_id", (F.col("label") > 0).cast("double").alias("label"), "_vector")
-    rows = cut(rows)
+    # A training text's features come from a lexicon that hasn't seen it, so that chance terms look as weak as they are.
+    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2))
+    halves = [(sample.filter(half == k), learn_lexicon(sample.filter(half != k), lexicon_size) or lexicon) for k in (0, 1)]
+    featured = [rows.withColumn("_features", feature_udf(words)("body")) for rows, words in halves]
+    label = (F.col("label") > 0).cast("double").alias("label")
+    rows = cut(assembled(featured[0].unionByName(featured[1]), TOXIC_FEATURES).select("doc_id", label, "_vector"))
     first, rest = rows.filter(part != 0), rows.filter(part == 0)
     if first.select("label").distinct().count() < 2:
         first = rows
