@@ -236,27 +236,33 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: The wide fingerprint: words of 64 bits, bits of a band, and the share of differing bits up to which texts count as alike.
-#: Sets of shingles with a Jaccard similarity of .8 have a cosine of .889, so a share of acos(.889) / pi = .152 differs;
-#: the bound leaves one standard deviation of the estimate above that.
-WIDE_WORDS, BAND_BITS, WIDE_SHARE = 8, 16, 0.166
-WIDE_SHINGLE = 5
+#: The wide fingerprint: words of 64 bits, bits of a band, and shares of differing bits. Sets of shingles with a Jaccard
+#: similarity of .8 have a cosine of .889, so a share of acos(.889) / pi = .152 differs; pairs up to LOOSE_SHARE, three
+#: standard deviations of the estimate above that, are candidates. Up to TIGHT_SHARE texts stand for one another.
+WIDE_WORDS, BAND_BITS, TIGHT_SHARE, LOOSE_SHARE = 8, 16, 0.1, 0.2
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Cells up to so many members are compared together, by shifts of the sorted rows.
+SMALL_CELL = 64
 
 
-def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
-    """``words`` independent 64-bit SimHashes of the set of shingles; zeros for a text without words."""
+def shingle_hashes(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Ascending different XXH64 values of a text's shingles; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     joined = memoryview(b" ".join(tokens))
     lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lens + 1) - 1
     n = max(1, len(tokens) - shingle + 1)
     first, last = (ends - lens)[:n].tolist(), ends[min(shingle, len(tokens)) - 1 :].tolist()
-    base = np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64))
-    out = []
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64))
+
+
+def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
+    """``words`` independent 64-bit SimHashes of the set of shingles; zeros for a text without words."""
+    base, out = shingle_hashes(text, shingle), []
     for k in range(words):
         set_bits = np.zeros(64, np.int64)
         for lo in range(0, len(base), STEP):
@@ -274,79 +280,165 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _wide_cells(radius: int):
-    """A mapInArrow function: rows (grid, cell, id, fp) sorted by grid and cell, to links of a spanning forest of each cell."""
+def _close(prints: np.ndarray, weight: np.ndarray, i, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``j`` (and ``i``, if that is an array) of pairs at most ``radius`` bits apart, and their distances.
+
+    The Manhattan distance of the segments' bit counts is the lower bound that comes first.
+    """
+    at = np.flatnonzero(np.abs(weight[j] - weight[i]).sum(axis=1) <= radius)
+    left = i[at] if isinstance(i, np.ndarray) else i
+    apart = np.bitwise_count(prints[j[at]] ^ prints[left]).sum(axis=1, dtype=np.int64)
+    near = np.flatnonzero(apart <= radius)
+    return at[near], apart[near]
+
+
+def _pick(pairs: list[tuple[int, int, int]], tight: int) -> list[tuple[int, int]]:
+    """Of the pairs (i, j, distance) of one cell: a spanning forest of the tight ones, and each member's nearest in every other tree."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root.setdefault(root[x], root[x])
+        return x
+
+    out = []
+    for i, j, d in pairs:
+        if d <= tight and (a := find(i)) != (b := find(j)):
+            root[b] = a
+            out.append((i, j))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j, d in pairs:
+        if find(i) != (r := find(j)):
+            best[i, r] = min(best.get((i, r), (d, j)), (d, j))
+    return out + [(i, j) for (i, _), (_, j) in best.items()]
+
+
+def small_cells(starts: np.ndarray, ends: np.ndarray, prints: np.ndarray, weight: np.ndarray, tight: int, loose: int) -> list[tuple[int, int]]:
+    """``_pick`` for many small cells, given as slices of the rows: all members are compared with the d-th after them, for each d."""
+    member = np.concatenate([np.arange(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]) if len(starts) else np.empty(0, np.int64)
+    until = np.repeat(ends, ends - starts)
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for d in range(1, SMALL_CELL):
+        ok = member + d < until
+        member, until = member[ok], until[ok]
+        if not len(member):
+            break
+        at, apart = _close(prints, weight, member, member + d, loose)
+        for i, end, x in zip(member[at].tolist(), until[at].tolist(), apart.tolist(), strict=True):
+            found.setdefault(end, []).append((i, i + d, x))
+    return [pair for pairs in found.values() for pair in _pick(sorted(pairs), tight)]
+
+
+def large_cell(prints: np.ndarray, weight: np.ndarray, tight: int, loose: int) -> list[tuple[int, int]]:
+    """``_pick`` for one cell of any size, a member at a time, so that pairs are never kept."""
+    n = len(prints)
+    root, out = np.arange(n), []
+    for i in range(n - 1):
+        at, _ = _close(prints, weight, i, np.arange(i + 1, n), tight)
+        for j in (at + i + 1).tolist():
+            a, b = _find(root, i), _find(root, j)
+            if a != b:
+                root[b] = a
+                out.append((i, j))
+    tree = np.array([_find(root, i) for i in range(n)])
+    for i in range(n - 1):
+        others = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
+        if len(others):
+            at, apart = _close(prints, weight, i, others, loose)
+            order = np.argsort(apart, kind="stable")
+            _, nearest = np.unique(tree[others[at[order]]], return_index=True)
+            out += [(i, int(j)) for j in others[at[order[nearest]]]]
+    return out
 
-    def forest(ids: np.ndarray, prints: np.ndarray, links: list) -> None:
-        weight = np.bitwise_count(prints).astype(np.int16)  # of each 64-bit segment
-        root = np.arange(len(ids))
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero(np.abs(weight[i + 1 :] - weight[i]).sum(axis=1) <= radius) + i + 1  # the Manhattan bound
-            near = near[np.bitwise_count(prints[near, :2] ^ prints[i, :2]).sum(axis=1) <= radius]
-            near = near[np.bitwise_count(prints[near] ^ prints[i]).sum(axis=1, dtype=np.int64) <= radius]
-            for j in near.tolist():
-                a, b = _find(root, i), _find(root, j)
-                if a != b:
-                    root[b] = a
-                    links.append((int(ids[i]), int(ids[j])))
+
+def _wide_cells(tight: int, loose: int):
+    """A mapInArrow function: rows (grid, cell, id, fp) sorted by grid and cell, to candidate pairs of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, links = None, [], []
+        at, held = None, []
 
-        def close() -> None:
-            if held and sum(len(x[0]) for x in held) > 1:
-                forest(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), links)
-            held.clear()
+        def close() -> list[tuple[int, int]]:
+            if not held or sum(len(x[0]) for x in held) < 2:
+                return []
+            ids, prints = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            pairs = large_cell(prints, np.bitwise_count(prints).astype(np.int16), tight, loose)
+            return [(int(ids[i]), int(ids[j])) for i, j in pairs]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             grid, cell, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grid", "cell", "id"))
-            prints = np.frombuffer(b"".join(bytes(v) for v in views(batch.column("fp"))), dtype=">u8").reshape(batch.num_rows, -1).astype(np.uint64)
+            prints = np.frombuffer(b"".join(views(batch.column("fp"))), dtype=">u8").reshape(batch.num_rows, -1).astype(np.uint64)
             edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(grid) != 0)) + 1
             starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [batch.num_rows]))
-            several = np.flatnonzero(ends - starts > 1)
-            for k in sorted({0, len(starts) - 1, *several.tolist()}):
-                name = (int(grid[starts[k]]), int(cell[starts[k]]))
-                if name != at:
-                    close()
-                    at = name
+            # The first cell may go on from the batch before, the last one in the next.
+            found = []
+            for k in sorted({0, len(starts) - 1}):
+                if (name := (int(grid[starts[k]]), int(cell[starts[k]]))) != at:
+                    found += close()
+                    at, held = name, []
                 held.append((ids[starts[k] : ends[k]], prints[starts[k] : ends[k]]))
-            if len(links) > 50_000:
-                yield _signed(links)
-                links = []
-        close()
-        if links:
-            yield _signed(links)
+            inner, size = slice(1, len(starts) - 1), (ends - starts)[1:-1]
+            starts, ends = starts[inner], ends[inner]
+            weight = np.bitwise_count(prints).astype(np.int16)  # of each 64-bit segment
+            small = (size > 1) & (size <= SMALL_CELL)
+            found += [(int(ids[i]), int(ids[j])) for i, j in small_cells(starts[small], ends[small], prints, weight, tight, loose)]
+            for lo, hi in zip(starts[size > SMALL_CELL].tolist(), ends[size > SMALL_CELL].tolist(), strict=True):
+                found += [(int(ids[lo + i]), int(ids[lo + j])) for i, j in large_cell(prints[lo:hi], weight[lo:hi], tight, loose)]
+            if found:
+                yield _signed(found)
+        if found := close():
+            yield _signed(found)
 
     return run
 
 
 def _signed(links: list[tuple[int, int]]) -> pa.RecordBatch:
     both = np.array(links, dtype=np.int64)
-    return pa.RecordBatch.from_pydict({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+    return pa.RecordBatch.from_pydict({"a": both.min(axis=1), "b": both.max(axis=1)})
 
 
-def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, band_bits: int = BAND_BITS, share: float = WIDE_SHARE) -> DataFrame:
-    """doc_id and component_id of documents that are alike by wide fingerprints: about .8 of their shingles in common, or more.
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' sets of shingles have at least that Jaccard similarity."""
 
-    ``links`` holds for four bits of 64; here a sixth of the bits may differ, which no grid over whole fingerprints can
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(bytes(v), shingle).view(np.int64) for v in views(batch.column("body"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).join(ids, "doc_id", "left_semi")
+    sets = cut(rows.mapInArrow(run, "id long, shingles array<long>"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b").distinct()
+
+
+def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, band_bits: int = BAND_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of documents that share at least ``similarity`` of their shingles, or are linked by others that do.
+
+    ``links`` holds for four bits of 64; here a fifth of the bits may differ, which no grid over whole fingerprints can
     find without near all pairs. So a cell is a band of ``band_bits`` bits: of pairs at .8 nine in ten share one of 32 bands,
-    of pairs at .9 nearly all. Every pair in a cell is held against the Manhattan bound of the segments' bit counts, then
-    against all bits. Equal fingerprints are one node; a cell gives at most as many links as it has members.
+    of pairs at .9 nearly all. Pairs in a cell are held against the Manhattan bound of the segments' bit counts, then against
+    all bits, and candidates against the sets of shingles themselves. Texts that are nearly equal make one tree of a cell,
+    and only the nearest pairs between trees are candidates, so a large group of near copies gives links in proportion to it.
+
+    Equal fingerprints are one node. Rows without an id get no row; rows that share an id are one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([wide_fingerprint(bytes(v), shingle, words) for v in views(batch.column("body"))], pa.binary())], names=["doc_id", "fp"])
 
+    docs = docs.filter(F.col("doc_id").isNotNull())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, "doc_id long, fp binary")
     prints = cut(rows)
-    nodes = cut(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("id")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     step = band_bits // 8
     bands = F.array(*[F.substring("fp", 1 + k * step, step) for k in range(64 * words // band_bits)])
     cells = nodes.select("id", "fp", F.posexplode(bands).alias("grid", "band")).select("id", "fp", "grid", F.conv(F.hex("band"), 16, 10).cast("int").alias("cell"))
     ordered = cells.repartition("grid", "cell").sortWithinPartitions("grid", "cell", "id")
-    roots = components(ordered.mapInArrow(_wide_cells(int(64 * words * share)), "a long, b long").distinct())
+    candidates = cut(ordered.mapInArrow(_wide_cells(int(64 * words * TIGHT_SHARE), int(64 * words * LOOSE_SHARE)), "a long, b long").filter("a < b").distinct())
+    roots = components(verified(candidates, docs, shingle, similarity))
     label = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", F.when(F.col("component_id") != _NO_ID, F.col("component_id")).alias("component_id"))
+    return prints.join(label, "fp").select("doc_id", "component_id")

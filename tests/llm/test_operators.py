@@ -402,3 +402,36 @@ def test_classifier_on_odd_texts(spark, small):
         out = module.fit(docs, labels).scored(docs).collect()
         assert len(out) == len(TEXTS) and all(0 <= r[column] <= 1 for r in out)
         assert {r["doc_id"]: r["text"] for r in out} == TEXTS
+
+
+def test_picks_of_small_and_large_cells_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (4, 8), dtype=np.uint64)
+    prints = np.repeat(base, 12, axis=0)
+    for row in prints:
+        for bit in rng.integers(0, 512, 30):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    weight = np.bitwise_count(prints).astype(np.int16)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    for tight in (5, 50, 70):
+        small = simhash.small_cells(np.array([0]), np.array([len(prints)]), prints, weight, tight, 102)
+        large = simhash.large_cell(prints, weight, tight, 102)
+        assert set(small) == set(large)
+        assert all(apart[a, b] <= 102 for a, b in small)
+        alike = {frozenset(np.flatnonzero(row <= 102).tolist()) for row in apart}
+        parent = list(range(len(prints)))
+        for a, b in small:
+            x, y = (next(s for s in alike if a in s), next(s for s in alike if b in s))
+            assert x == y
+        linked = {x for pair in small for x in pair}
+        assert len(linked) == len(parent)
+
+
+def test_similar_documents_are_verified(spark):
+    words = [f"w{k}" for k in range(60)]
+    near, far = [*words[:57], "x", "y", "z"], [*words[:45], *(f"v{k}" for k in range(15))]
+    texts = {1: words, 2: near, 3: far, 4: words, 5: [], 6: [], 7: None}
+    rows = [(k, None if t is None else " ".join(t), 0) for k, t in texts.items()] + [(None, " ".join(words), 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    assert dict(simhash.similar_documents(docs).collect()) == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 5}
+    assert simhash.similar_documents(docs.filter("false")).count() == 0
