@@ -330,17 +330,24 @@ def small_cells(starts: np.ndarray, ends: np.ndarray, prints: np.ndarray, weight
 
 
 def large_cell(prints: np.ndarray, weight: np.ndarray, tight: int, loose: int) -> list[tuple[int, int]]:
-    """``_pick`` for one cell of any size, a member at a time, so that pairs are never kept."""
+    """``_pick`` for one cell of any size, a member at a time, so that pairs are never kept.
+
+    A tree grows from one member; each of its members is held against those that no tree has yet. A large group of near
+    copies is gathered in a few steps, so it costs in proportion to its size.
+    """
     n = len(prints)
-    root, out = np.arange(n), []
-    for i in range(n - 1):
-        at, _ = _close(prints, weight, i, np.arange(i + 1, n), tight)
-        for j in (at + i + 1).tolist():
-            a, b = _find(root, i), _find(root, j)
-            if a != b:
-                root[b] = a
-                out.append((i, j))
-    tree = np.array([_find(root, i) for i in range(n)])
+    tree, left, out = np.arange(n), np.arange(n), []
+    while len(left):
+        first, left = left[0], left[1:]
+        waiting = [int(first)]
+        while waiting and len(left):
+            i = waiting.pop()
+            at, _ = _close(prints, weight, i, left, tight)
+            found = left[at]
+            tree[found] = first
+            left = np.delete(left, at)
+            waiting += found.tolist()
+            out += [(min(i, j), max(i, j)) for j in found.tolist()]
     for i in range(n - 1):
         others = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
         if len(others):

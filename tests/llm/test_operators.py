@@ -416,15 +416,15 @@ def test_picks_of_small_and_large_cells_agree(monkeypatch):
     for tight in (5, 50, 70):
         small = simhash.small_cells(np.array([0]), np.array([len(prints)]), prints, weight, tight, 102)
         large = simhash.large_cell(prints, weight, tight, 102)
-        assert set(small) == set(large)
-        assert all(apart[a, b] <= 102 for a, b in small)
-        alike = {frozenset(np.flatnonzero(row <= 102).tolist()) for row in apart}
-        parent = list(range(len(prints)))
-        for a, b in small:
-            x, y = (next(s for s in alike if a in s), next(s for s in alike if b in s))
-            assert x == y
-        linked = {x for pair in small for x in pair}
-        assert len(linked) == len(parent)
+        loose = [{(a, b) for a, b in picks if apart[a, b] > tight} for picks in (small, large)]
+        assert loose[0] == loose[1]
+        assert len(small) == len(large)
+        assert all(apart[a, b] <= 102 for a, b in small + large)
+        for picks in (small, large):
+            root = list(range(len(prints)))
+            for a, b in picks:
+                root = [root[a] if x == root[b] else x for x in root]
+            assert all((root[a] == root[b]) == (a // 12 == b // 12) for a in range(48) for b in range(48))
 
 
 def test_similar_documents_are_verified(spark):
