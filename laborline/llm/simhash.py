@@ -236,11 +236,12 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: The wide fingerprint: words of 64 bits, bits of a band, and shares of differing bits. Sets of shingles with a Jaccard
-#: similarity of .8 have a cosine of .889, so a share of acos(.889) / pi = .152 differs; pairs up to LOOSE_SHARE, three
-#: standard deviations of the estimate above that, are candidates. Up to TIGHT_SHARE texts stand for one another.
-WIDE_WORDS, BAND_BITS, TIGHT_SHARE, LOOSE_SHARE = 8, 16, 0.1, 0.2
+#: Near copies by sets of shingles. A cell is a band of five MinHash values: of pairs at a Jaccard similarity of .8 a share
+#: of 1 - (1 - .8 ** 5) ** 32, all but .000003, meet in one cell at least, whatever the length of the texts.
+BANDS, BAND_ROWS = 32, 5
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Shingles whose MinHash values are taken at a time.
+MIN_STEP = 1 << 10
 #: Cells up to so many members are compared together, by shifts of the sorted rows.
 SMALL_CELL = 64
 
@@ -260,24 +261,24 @@ def shingle_hashes(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64))
 
 
-def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
-    """``words`` independent 64-bit SimHashes of the set of shingles; zeros for a text without words."""
-    base, out = shingle_hashes(text, shingle), []
-    for k in range(words):
-        set_bits = np.zeros(64, np.int64)
-        for lo in range(0, len(base), STEP):
-            h = _mixed(base[lo : lo + STEP], k)
-            set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(set_bits * 2 > len(base)).tobytes())
-    return b"".join(out)
+def set_fingerprint(base: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> bytes:
+    """Of a set of shingle hashes: 16 bytes that equal sets share, then eight bytes a band."""
+    from xxhash import xxh64_digest, xxh128_digest
 
+    salts = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(base), MIN_STEP):
+        np.minimum(least, _mixed(base[lo : lo + MIN_STEP] + salts).min(axis=1), out=least)
+    return xxh128_digest(base.tobytes()) + b"".join(xxh64_digest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows)))
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th hash of each value, by a 64-bit finalizer."""
-    x = h + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer of each value, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _close(prints: np.ndarray, weight: np.ndarray, i, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,94 +359,81 @@ def large_cell(prints: np.ndarray, weight: np.ndarray, tight: int, loose: int) -
     return out
 
 
-def _wide_cells(tight: int, loose: int):
-    """A mapInArrow function: rows (grid, cell, id, fp) sorted by grid and cell, to candidate pairs of each cell."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """id and shingles of the documents whose ids are in the column id of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def close() -> list[tuple[int, int]]:
-            if not held or sum(len(x[0]) for x in held) < 2:
-                return []
-            ids, prints = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            pairs = large_cell(prints, np.bitwise_count(prints).astype(np.int16), tight, loose)
-            return [(int(ids[i]), int(ids[j])) for i, j in pairs]
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            grid, cell, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grid", "cell", "id"))
-            prints = np.frombuffer(b"".join(views(batch.column("fp"))), dtype=">u8").reshape(batch.num_rows, -1).astype(np.uint64)
-            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(grid) != 0)) + 1
-            starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [batch.num_rows]))
-            # The first cell may go on from the batch before, the last one in the next.
-            found = []
-            for k in sorted({0, len(starts) - 1}):
-                if (name := (int(grid[starts[k]]), int(cell[starts[k]]))) != at:
-                    found += close()
-                    at, held = name, []
-                held.append((ids[starts[k] : ends[k]], prints[starts[k] : ends[k]]))
-            inner, size = slice(1, len(starts) - 1), (ends - starts)[1:-1]
-            starts, ends = starts[inner], ends[inner]
-            weight = np.bitwise_count(prints).astype(np.int16)  # of each 64-bit segment
-            small = (size > 1) & (size <= SMALL_CELL)
-            found += [(int(ids[i]), int(ids[j])) for i, j in small_cells(starts[small], ends[small], prints, weight, tight, loose)]
-            for lo, hi in zip(starts[size > SMALL_CELL].tolist(), ends[size > SMALL_CELL].tolist(), strict=True):
-                found += [(int(ids[lo + i]), int(ids[lo + j])) for i, j in large_cell(prints[lo:hi], weight[lo:hi], tight, loose)]
-            if found:
-                yield _signed(found)
-        if found := close():
-            yield _signed(found)
-
-    return run
-
-
-def _signed(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(links, dtype=np.int64)
-    return pa.RecordBatch.from_pydict({"a": both.min(axis=1), "b": both.max(axis=1)})
+            sets = [shingle_hashes(bytes(v), shingle).view(np.int64) for v in views(batch.column("body"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("body")).join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.mapInArrow(run, "id long, shingles array<long>")
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets of shingles have at least that Jaccard similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(bytes(v), shingle).view(np.int64) for v in views(batch.column("body"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).join(ids, "doc_id", "left_semi")
-    sets = cut(rows.mapInArrow(run, "id long, shingles array<long>"))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose texts' sets of shingles have at least that Jaccard similarity."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select(pairs.columns).distinct()
 
 
-def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, band_bits: int = BAND_BITS, similarity: float = SIMILARITY) -> DataFrame:
+def linked(cells: DataFrame, docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root): the components by all pairs that meet in a cell (cell, id) and hold the similarity, for ids that meet others.
+
+    In each turn some members of each cell are centres: their pairs with the members of other components so far are held
+    against the sets of shingles, the links are contracted, and the centres leave the cell. A cell ends when one component
+    is left in it. So no pair is passed over but for those that are already connected, and a group around one member costs
+    its size. The first centre is the member of the smallest component, then the one that meets most others; the turns after
+    it have 2, 4, 8 ... centres, so a cell without links ends after a logarithm of turns.
+    """
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(cells.join(sizes, "cell"))
+    left = cut(shared.join(shared.groupBy("id").agg(F.sum("n").alias("met")), "id").select("cell", "id", "met"))
+    roots = cut(left.select("id", F.col("id").alias("root")).distinct())
+    sets = cut(shingle_sets(docs, roots, shingle))
+    tested = None
+    for turn in range(64):
+        now = cut(left.join(roots, "id"))
+        parts = now.groupBy("cell", "root").agg(F.count("*").alias("k"), F.min(F.struct(-F.col("met"), "id")).alias("m"))
+        mixed = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.min(F.struct("k", "m")).alias("first")).filter("parts > 1")
+        chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < (1 << turn) - 1
+        members = cut(now.join(mixed, "cell").select("cell", "id", "met", "root", ((F.col("id") == F.col("first.m.id")) | chance).alias("centre")))
+        if members.isEmpty():
+            return roots
+        centres, others = members.filter("centre").select("cell", F.col("id").alias("c"), F.col("root").alias("rc")), members.select("cell", "id", "root")
+        ends = [f(F.struct(F.col("c").alias("i"), F.col("rc").alias("r")), F.struct(F.col("id").alias("i"), F.col("root").alias("r"))) for f in (F.least, F.greatest)]
+        met = centres.join(others, "cell").filter("rc != root").select(ends[0].alias("x"), ends[1].alias("y"))
+        pairs = met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), F.col("x.r").alias("ra"), F.col("y.r").alias("rb")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        links = verified(pairs, sets.join(asked, "id", "left_semi"), similarity)
+        merged = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        roots = cut(roots.join(merged, F.col("root") == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root")))
+        left = members.filter("not centre").select("cell", "id", "met")
+    raise RuntimeError("cells did not settle")
+
+
+def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of documents that share at least ``similarity`` of their shingles, or are linked by others that do.
 
-    ``links`` holds for four bits of 64; here a fifth of the bits may differ, which no grid over whole fingerprints can
-    find without near all pairs. So a cell is a band of ``band_bits`` bits: of pairs at .8 nine in ten share one of 32 bands,
-    of pairs at .9 nearly all. Pairs in a cell are held against the Manhattan bound of the segments' bit counts, then against
-    all bits, and candidates against the sets of shingles themselves. Texts that are nearly equal make one tree of a cell,
-    and only the nearest pairs between trees are candidates, so a large group of near copies gives links in proportion to it.
+    ``links`` holds for four bits of 64; sets at .8 differ in more bits than any grid over fingerprints can find without
+    near all pairs. So a cell is a band of ``rows`` MinHash values, and every pair in a cell that isn't connected by others
+    is held against the sets of shingles themselves.
 
-    Equal fingerprints are one node. Rows without an id get no row; rows that share an id are one document.
+    Equal sets are one node. Rows without an id get no row; rows that share an id are one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([wide_fingerprint(bytes(v), shingle, words) for v in views(batch.column("body"))], pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_fingerprint(shingle_hashes(bytes(v), shingle), bands, rows) for v in views(batch.column("body"))], pa.binary())], names=["doc_id", "fp"])
 
     docs = docs.filter(F.col("doc_id").isNotNull())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, "doc_id long, fp binary")
-    prints = cut(rows)
+    prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, "doc_id long, fp binary"))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    step = band_bits // 8
-    bands = F.array(*[F.substring("fp", 1 + k * step, step) for k in range(64 * words // band_bits)])
-    cells = nodes.select("id", "fp", F.posexplode(bands).alias("grid", "band")).select("id", "fp", "grid", F.conv(F.hex("band"), 16, 10).cast("int").alias("cell"))
-    ordered = cells.repartition("grid", "cell").sortWithinPartitions("grid", "cell", "id")
-    candidates = cut(ordered.mapInArrow(_wide_cells(int(64 * words * TIGHT_SHARE), int(64 * words * LOOSE_SHARE)), "a long, b long").filter("a < b").distinct())
-    roots = components(verified(candidates, docs, shingle, similarity))
-    label = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", "component_id")
+    cells = nodes.select("id", F.explode(F.array(*[F.substring("fp", 17 + 8 * k, 8) for k in range(bands)])).alias("cell")).distinct()
+    roots = linked(cells, docs, shingle, similarity)
+    same = F.substring("fp", 1, 16).alias("same")
+    label = nodes.select("id", same).join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component_id"))
+    return prints.select("doc_id", same).join(label, "same").select("doc_id", "component_id")

@@ -435,3 +435,15 @@ def test_similar_documents_are_verified(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     assert dict(simhash.similar_documents(docs).collect()) == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 5}
     assert simhash.similar_documents(docs.filter("false")).count() == 0
+
+
+def test_pairs_at_the_bound_are_found(spark):
+    """Exactly .8 of the shingles: 80 of 100, and four of five."""
+    texts = {}
+    for k in range(200):
+        common = [f"c{k}x{j}" for j in range(84)]
+        texts[4 * k], texts[4 * k + 1] = [*common, *(f"a{k}x{j}" for j in range(10))], [*common, *(f"b{k}x{j}" for j in range(10))]
+        short = [f"s{k}x{j}" for j in range(9)]
+        texts[4 * k + 2], texts[4 * k + 3] = short[:8], short
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    assert dict(simhash.similar_documents(docs).collect()) == {i: i - i % 2 for i in texts}
