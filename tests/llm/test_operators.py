@@ -447,3 +447,15 @@ def test_pairs_at_the_bound_are_found(spark):
         texts[4 * k + 2], texts[4 * k + 3] = short[:8], short
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
     assert dict(simhash.similar_documents(docs).collect()) == {i: i - i % 2 for i in texts}
+
+
+def test_a_group_is_tried_until_one_holds(spark):
+    """The first document of each group holds .8 with one member (.807), the others are at .768 of it and .889 of one another."""
+    texts = {}
+    for k in range(20):
+        base = [f"c{k}x{j}" for j in range(100)]
+        texts[100 * k] = [*base, *(f"t{k}x{j}" for j in range(23))]
+        for m in range(20):
+            texts[100 * k + 1 + m] = base if m == 13 else [*(f"h{k}x{m}x{j}" for j in range(6)), *base]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    assert dict(simhash.similar_documents(docs).collect()) == {i: i - i % 100 for i in texts}
