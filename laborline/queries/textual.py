@@ -155,8 +155,8 @@ p AS (SELECT DISTINCT x.id AS id_1, y.id AS id_2 FROM b x JOIN b y ON x.kind = y
 """
 
 
-def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    names = load(spark, d, "part").filter("p_size <= 2").select(F.col("p_name").alias("id")).distinct()
+def _names(spark: SparkSession, d: str, only: str = "p_size <= 2") -> tuple[DataFrame, DataFrame]:
+    names = load(spark, d, "part").filter(only).select(F.col("p_name").alias("id")).distinct()
     pair = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("key"))
     keys = F.concat(F.transform(F.array_distinct(F.split("id", " ")), lambda t: pair("token", t)), F.array(pair("prefix3", F.left("id", F.lit(3)))))
     return names, titles.blocked_pairs(names, "id", keys)
@@ -180,8 +180,8 @@ def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """difflib's ratio has no SQL form."""
-    return _names(spark, d)[1].select("id_1", "id_2", F.round(similarity.sequence_ratio(F.col("id_1"), F.col("id_2")), 4).alias("ratio"))
+    """difflib's ratio has no SQL form. All names, not only those in the SQL of ``pair_blocking``."""
+    return _names(spark, d, "true")[1].select("id_1", "id_2", F.round(similarity.sequence_ratio(F.col("id_1"), F.col("id_2")), 4).alias("ratio"))
 
 
 @query("""

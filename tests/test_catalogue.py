@@ -50,3 +50,10 @@ def test_sequence_ratio_is_difflibs(spark):
     assert rows
     for r in rows:
         assert r["ratio"] == round(SequenceMatcher(None, r["id_1"].lower(), r["id_2"].lower()).ratio(), 4)
+
+
+def test_sequence_ratio_has_all_names(spark):
+    names = {r["p_name"] for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_name").collect()}
+    keys = {n: {*n.split(" "), f"prefix3 {n[:3]}"} for n in names if n is not None}
+    want = {(a, b) for a in keys for b in keys if a < b and keys[a] & keys[b]}
+    assert {(r["id_1"], r["id_2"]) for r in QUERIES["sequence_ratio"](spark, DATA).collect()} == want
