@@ -31,18 +31,14 @@ def top_k(docs: DataFrame, query: list[float], k: int, id_col: str, vector: str
     return best if least is None else best.filter(F.col("score") >= least)
 
 
-def top_k_many(docs: DataFrame, queries: list[tuple[str, list[float]]], k: int, id_col: str, vector: str = "embedding", block: int = 64) -> DataFrame:
-    """query, id, score, rank: a stated set of queries against all rows, a block of queries in each pass.
+def top_k_many(docs: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "embedding") -> DataFrame:
+    """query, id, score, rank: the queries (query, q) against all rows, ties by id.
 
-    Every task keeps its best ``k`` of a query before anything is shuffled (a window group limit).
+    Both sides stay on the executors, blocks of one against blocks of the other. Every task keeps its best ``k`` of a query
+    before they are shuffled (a window group limit).
     """
-    out = None
-    for lo in range(0, len(queries), block):
-        part = F.array(*[F.struct(F.lit(n).alias("query"), F.array(*[F.lit(float(x)) for x in v]).alias("q")) for n, v in queries[lo : lo + block]])
-        rows = docs.select(id_col, vector, F.explode(part).alias("_q")).select(F.col("_q.query").alias("query"), id_col, cosine(F.col(vector), F.col("_q.q")).alias("score"))
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc(id_col)))).filter(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    rows = docs.select(id_col, vector).crossJoin(queries.select("query", "q")).select("query", id_col, cosine(F.col(vector), F.col("q")).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc(id_col)))).filter(F.col("rank") <= k)
 
 
 def question_keywords(question: Column, most: int = 20) -> Column:

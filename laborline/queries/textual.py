@@ -136,6 +136,18 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return vector.top_k(vectors, wanted["embedding"], 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query, v.vec_id, list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))) AS score FROM v, v q WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20
+""")
+def cosine_topk_many(spark: SparkSession, d: str) -> DataFrame:
+    vectors = load(spark, d, "embeddings")
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return vector.top_k_many(vectors, asked, 20, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""
 WITH t AS (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '([A-Za-z0-9_]{2,})', 1), lambda x: lower(x))) AS tok FROM benchmark),
 s AS (SELECT item_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 384 AS slot, CASE WHEN CAST(('0x' || substr(md5(tok), 9, 2)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS sgn FROM t),

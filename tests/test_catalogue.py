@@ -57,3 +57,8 @@ def test_sequence_ratio_has_all_names(spark):
     keys = {n: {*n.split(" "), f"prefix3 {n[:3]}"} for n in names if n is not None}
     want = {(a, b) for a in keys for b in keys if a < b and keys[a] & keys[b]}
     assert {(r["id_1"], r["id_2"]) for r in QUERIES["sequence_ratio"](spark, DATA).collect()} == want
+
+
+def test_every_fiftieth_vector_is_asked(spark):
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect() if r["vec_id"] % 50 == 0}
+    assert {r["query"] for r in QUERIES["cosine_topk_many"](spark, DATA).collect()} == asked
