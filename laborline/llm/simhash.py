@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes, views
+from .common import cut, join_hot, text_bytes, views
 
 SHINGLE = 4
 SEED = 42
@@ -35,7 +35,7 @@ STEP = 1 << 16
 _PAIRS = np.uint64(0x5555555555555555)
 _FOURS = np.uint64(0x3333333333333333)
 _BYTES = np.uint64(0x0F0F0F0F0F0F0F0F)
-_NO_ID = (1 << 63) - 1
+NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -222,218 +222,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, groups: int = GROUPS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links lead to."""
     prints = cut(fingerprints(docs, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id")))
     roots = components(links(nodes.select("fp"), radius, groups)).withColumnRenamed("node", "fp")
     linked = roots.join(nodes, "fp")
     lowest = linked.groupBy("root").agg(F.min("least_id").alias("lowest"))
     label = nodes.join(linked.join(lowest, "root").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least_id").alias("component_id"))
-    # A fingerprint that a third of all rows share is one row of label: the adaptive join splits the other side.
-    out = prints.join(label, "fp")
-    return out.select("doc_id", "fp", F.when(F.col("component_id") != _NO_ID, F.col("component_id")).alias("component_id"))
+    out = join_hot(prints, label, "fp")
+    return out.select("doc_id", "fp", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-#: Near copies by sets of shingles. A cell is a band of five MinHash values: of pairs at a Jaccard similarity of .8 a share
-#: of 1 - (1 - .8 ** 5) ** 32, all but .000003, meet in one cell at least, whatever the length of the texts.
-BANDS, BAND_ROWS = 32, 5
-WIDE_SHINGLE, SIMILARITY = 5, 0.8
-#: Shingles whose MinHash values are taken at a time.
-MIN_STEP = 1 << 10
-#: Cells up to so many members are compared together, by shifts of the sorted rows.
-SMALL_CELL = 64
-
-
-def shingle_hashes(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """Ascending different XXH64 values of a text's shingles; none for a text without words."""
-    from xxhash import xxh64_intdigest
-
-    tokens = text.lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    joined = memoryview(b" ".join(tokens))
-    lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(lens + 1) - 1
-    n = max(1, len(tokens) - shingle + 1)
-    first, last = (ends - lens)[:n].tolist(), ends[min(shingle, len(tokens)) - 1 :].tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], dtype=np.uint64))
-
-
-def set_fingerprint(base: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> bytes:
-    """Of a set of shingle hashes: 16 bytes that equal sets share, then eight bytes a band."""
-    from xxhash import xxh64_digest, xxh128_digest
-
-    salts = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(base), MIN_STEP):
-        np.minimum(least, _mixed(base[lo : lo + MIN_STEP] + salts).min(axis=1), out=least)
-    return xxh128_digest(base.tobytes()) + b"".join(xxh64_digest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows)))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer of each value, in place."""
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x ^= x >> np.uint64(shift)
-        x *= np.uint64(factor)
-    x ^= x >> np.uint64(31)
-    return x
-
-
-def _close(prints: np.ndarray, weight: np.ndarray, i, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``j`` (and ``i``, if that is an array) of pairs at most ``radius`` bits apart, and their distances.
-
-    The Manhattan distance of the segments' bit counts is the lower bound that comes first.
-    """
-    at = np.flatnonzero(np.abs(weight[j] - weight[i]).sum(axis=1) <= radius)
-    left = i[at] if isinstance(i, np.ndarray) else i
-    apart = np.bitwise_count(prints[j[at]] ^ prints[left]).sum(axis=1, dtype=np.int64)
-    near = np.flatnonzero(apart <= radius)
-    return at[near], apart[near]
-
-
-def _pick(pairs: list[tuple[int, int, int]], tight: int) -> list[tuple[int, int]]:
-    """Of the pairs (i, j, distance) of one cell: a spanning forest of the tight ones, and each member's nearest in every other tree."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root.setdefault(root[x], root[x])
-        return x
-
-    out = []
-    for i, j, d in pairs:
-        if d <= tight and (a := find(i)) != (b := find(j)):
-            root[b] = a
-            out.append((i, j))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for i, j, d in pairs:
-        if find(i) != (r := find(j)):
-            best[i, r] = min(best.get((i, r), (d, j)), (d, j))
-    return out + [(i, j) for (i, _), (_, j) in best.items()]
-
-
-def small_cells(starts: np.ndarray, ends: np.ndarray, prints: np.ndarray, weight: np.ndarray, tight: int, loose: int) -> list[tuple[int, int]]:
-    """``_pick`` for many small cells, given as slices of the rows: all members are compared with the d-th after them, for each d."""
-    member = np.concatenate([np.arange(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]) if len(starts) else np.empty(0, np.int64)
-    until = np.repeat(ends, ends - starts)
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    for d in range(1, SMALL_CELL):
-        ok = member + d < until
-        member, until = member[ok], until[ok]
-        if not len(member):
-            break
-        at, apart = _close(prints, weight, member, member + d, loose)
-        for i, end, x in zip(member[at].tolist(), until[at].tolist(), apart.tolist(), strict=True):
-            found.setdefault(end, []).append((i, i + d, x))
-    return [pair for pairs in found.values() for pair in _pick(sorted(pairs), tight)]
-
-
-def large_cell(prints: np.ndarray, weight: np.ndarray, tight: int, loose: int) -> list[tuple[int, int]]:
-    """``_pick`` for one cell of any size, a member at a time, so that pairs are never kept.
-
-    A tree grows from one member; each of its members is held against those that no tree has yet. A large group of near
-    copies is gathered in a few steps, so it costs in proportion to its size.
-    """
-    n = len(prints)
-    tree, left, out = np.arange(n), np.arange(n), []
-    while len(left):
-        first, left = left[0], left[1:]
-        waiting = [int(first)]
-        while waiting and len(left):
-            i = waiting.pop()
-            at, _ = _close(prints, weight, i, left, tight)
-            found = left[at]
-            tree[found] = first
-            left = np.delete(left, at)
-            waiting += found.tolist()
-            out += [(min(i, j), max(i, j)) for j in found.tolist()]
-    for i in range(n - 1):
-        others = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
-        if len(others):
-            at, apart = _close(prints, weight, i, others, loose)
-            order = np.argsort(apart, kind="stable")
-            _, nearest = np.unique(tree[others[at[order]]], return_index=True)
-            out += [(i, int(j)) for j in others[at[order[nearest]]]]
-    return out
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """id and shingles of the documents whose ids are in the column id of ``ids``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(bytes(v), shingle).view(np.int64) for v in views(batch.column("body"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("body")).join(ids.select("id").distinct(), "id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles array<long>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) whose texts' sets of shingles have at least that Jaccard similarity."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select(pairs.columns).distinct()
-
-
-def linked(cells: DataFrame, docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root): the components by all pairs that meet in a cell (cell, id) and hold the similarity, for ids that meet others.
-
-    In each turn some members of each cell are centres: their pairs with the members of other components so far are held
-    against the sets of shingles, the links are contracted, and the centres leave the cell. A cell ends when one component
-    is left in it. So no pair is passed over but for those that are already connected, and a group around one member costs
-    its size. The first centre is the member of the smallest component, then the one that meets most others; the turns after
-    it have 2, 4, 8 ... centres, so a cell without links ends after a logarithm of turns.
-    """
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(cells.join(sizes, "cell"))
-    left = cut(shared.join(shared.groupBy("id").agg(F.sum("n").alias("met")), "id").select("cell", "id", "met"))
-    roots = cut(left.select("id", F.col("id").alias("root")).distinct())
-    sets = cut(shingle_sets(docs, roots, shingle))
-    tested = None
-    for turn in range(64):
-        now = cut(left.join(roots, "id"))
-        parts = now.groupBy("cell", "root").agg(F.count("*").alias("k"), F.min(F.struct(-F.col("met"), "id")).alias("m"))
-        mixed = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.min(F.struct("k", "m")).alias("first")).filter("parts > 1")
-        chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < (1 << turn) - 1
-        members = cut(now.join(mixed, "cell").select("cell", "id", "met", "root", ((F.col("id") == F.col("first.m.id")) | chance).alias("centre")))
-        if members.isEmpty():
-            return roots
-        centres, others = members.filter("centre").select("cell", F.col("id").alias("c"), F.col("root").alias("rc")), members.select("cell", "id", "root")
-        ends = [f(F.struct(F.col("c").alias("i"), F.col("rc").alias("r")), F.struct(F.col("id").alias("i"), F.col("root").alias("r"))) for f in (F.least, F.greatest)]
-        met = centres.join(others, "cell").filter("rc != root").select(ends[0].alias("x"), ends[1].alias("y"))
-        pairs = met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), F.col("x.r").alias("ra"), F.col("y.r").alias("rb")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        links = verified(pairs, sets.join(asked, "id", "left_semi"), similarity)
-        merged = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
-        roots = cut(roots.join(merged, F.col("root") == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root")))
-        left = members.filter("not centre").select("cell", "id", "met")
-    raise RuntimeError("cells did not settle")
-
-
-def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id of documents that share at least ``similarity`` of their shingles, or are linked by others that do.
-
-    ``links`` holds for four bits of 64; sets at .8 differ in more bits than any grid over fingerprints can find without
-    near all pairs. So a cell is a band of ``rows`` MinHash values, and every pair in a cell that isn't connected by others
-    is held against the sets of shingles themselves.
-
-    Equal sets are one node. Rows without an id get no row; rows that share an id are one document.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_fingerprint(shingle_hashes(bytes(v), shingle), bands, rows) for v in views(batch.column("body"))], pa.binary())], names=["doc_id", "fp"])
-
-    docs = docs.filter(F.col("doc_id").isNotNull())
-    prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, "doc_id long, fp binary"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    cells = nodes.select("id", F.explode(F.array(*[F.substring("fp", 17 + 8 * k, 8) for k in range(bands)])).alias("cell")).distinct()
-    roots = linked(cells, docs, shingle, similarity)
-    same = F.substring("fp", 1, 16).alias("same")
-    label = nodes.select("id", same).join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component_id"))
-    return prints.select("doc_id", same).join(label, "same").select("doc_id", "component_id")

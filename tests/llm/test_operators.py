@@ -402,60 +402,3 @@ def test_classifier_on_odd_texts(spark, small):
         out = module.fit(docs, labels).scored(docs).collect()
         assert len(out) == len(TEXTS) and all(0 <= r[column] <= 1 for r in out)
         assert {r["doc_id"]: r["text"] for r in out} == TEXTS
-
-
-def test_picks_of_small_and_large_cells_agree(monkeypatch):
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, (4, 8), dtype=np.uint64)
-    prints = np.repeat(base, 12, axis=0)
-    for row in prints:
-        for bit in rng.integers(0, 512, 30):
-            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
-    weight = np.bitwise_count(prints).astype(np.int16)
-    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
-    for tight in (5, 50, 70):
-        small = simhash.small_cells(np.array([0]), np.array([len(prints)]), prints, weight, tight, 102)
-        large = simhash.large_cell(prints, weight, tight, 102)
-        loose = [{(a, b) for a, b in picks if apart[a, b] > tight} for picks in (small, large)]
-        assert loose[0] == loose[1]
-        assert len(small) == len(large)
-        assert all(apart[a, b] <= 102 for a, b in small + large)
-        for picks in (small, large):
-            root = list(range(len(prints)))
-            for a, b in picks:
-                root = [root[a] if x == root[b] else x for x in root]
-            assert all((root[a] == root[b]) == (a // 12 == b // 12) for a in range(48) for b in range(48))
-
-
-def test_similar_documents_are_verified(spark):
-    words = [f"w{k}" for k in range(60)]
-    near, far = [*words[:57], "x", "y", "z"], [*words[:45], *(f"v{k}" for k in range(15))]
-    texts = {1: words, 2: near, 3: far, 4: words, 5: [], 6: [], 7: None}
-    rows = [(k, None if t is None else " ".join(t), 0) for k, t in texts.items()] + [(None, " ".join(words), 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
-    assert dict(simhash.similar_documents(docs).collect()) == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 5}
-    assert simhash.similar_documents(docs.filter("false")).count() == 0
-
-
-def test_pairs_at_the_bound_are_found(spark):
-    """Exactly .8 of the shingles: 80 of 100, and four of five."""
-    texts = {}
-    for k in range(200):
-        common = [f"c{k}x{j}" for j in range(84)]
-        texts[4 * k], texts[4 * k + 1] = [*common, *(f"a{k}x{j}" for j in range(10))], [*common, *(f"b{k}x{j}" for j in range(10))]
-        short = [f"s{k}x{j}" for j in range(9)]
-        texts[4 * k + 2], texts[4 * k + 3] = short[:8], short
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
-    assert dict(simhash.similar_documents(docs).collect()) == {i: i - i % 2 for i in texts}
-
-
-def test_a_group_is_tried_until_one_holds(spark):
-    """The first document of each group holds .8 with one member (.807), the others are at .768 of it and .889 of one another."""
-    texts = {}
-    for k in range(20):
-        base = [f"c{k}x{j}" for j in range(100)]
-        texts[100 * k] = [*base, *(f"t{k}x{j}" for j in range(23))]
-        for m in range(20):
-            texts[100 * k + 1 + m] = base if m == 13 else [*(f"h{k}x{m}x{j}" for j in range(6)), *base]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
-    assert dict(simhash.similar_documents(docs).collect()) == {i: i - i % 100 for i in texts}
