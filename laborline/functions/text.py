@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -28,7 +29,8 @@ def unescape(c: Column) -> Column:
 
 
 def fold_null(c: Column, words: tuple[str, ...] = vocab.NULL_WORDS) -> Column:
-    return F.when(~F.lower(c).isin(*words), c)
+    """NULL for the words, whatever their case. The text is named once, so that what it is made of is computed once."""
+    return F.regexp_substr(c, F.lit(rf"(?is)^(?!(?:{'|'.join(re.escape(w) for w in words)})\z).*"))
 
 
 def clean_text(c: Column, null_words: tuple[str, ...] = vocab.NULL_WORDS, keep_lines: bool = False, entities: bool = True) -> Column:
@@ -114,6 +116,16 @@ def any_of(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+def weighted_hits(text: Column, weights: dict[str, float]) -> Column:
+    """array<struct(word, weight)> of the keywords that the text contains, over one literal: the text is named once."""
+    known = F.array(*[F.struct(F.lit(k).alias("word"), F.lit(float(w)).alias("weight")) for k, w in weights.items()])
+    return F.filter(known, lambda k: F.contains(text, k["word"]))
+
+
+def total_weight(hits: Column) -> Column:
+    return F.round(F.aggregate(hits, F.lit(0.0), lambda total, k: total + k["weight"]), 4)
+
+
 def keyword_score(text: Column, weights: dict[str, float]) -> Column:
     return F.round(reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(k)), F.lit(w)).otherwise(F.lit(0.0)) for k, w in weights.items()]), 4)
 
@@ -137,8 +149,6 @@ def alias_normalized(c: Column, aliases: dict[str, list[str]]) -> Column:
 
 
 def _plain(text: str) -> str:
-    import re
-
     return re.sub(r"[()（）\[\]【】<>《》\-_/\\|·,，;；:：+.#\s]", "", text.lower())
 
 
@@ -158,11 +168,11 @@ def tolerant_json(c: Column, schema: str) -> Column:
     return F.coalesce(*[F.from_json(x, schema) for x in (c, F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")))])
 
 
-def aliased_columns(df: DataFrame, aliases: dict[str, list[str]] = vocab.COLUMN_ALIASES) -> DataFrame:
-    """The canonical columns: of each, the first header that is there, else NULL."""
+def aliased_columns(df: DataFrame, more: dict[str, Column] | None = None, aliases: dict[str, list[str]] = vocab.COLUMN_ALIASES) -> DataFrame:
+    """The canonical columns: of each, the first header that is there, else NULL; with ``more`` columns of ``df`` beside them."""
     have = {c.strip().lstrip("﻿"): c for c in df.columns}
     first = {name: next((have[a] for a in names if a in have), None) for name, names in aliases.items()}
-    return df.select(*[(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(n) for n, c in first.items()])
+    return df.select(*[(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(n) for n, c in first.items()], *[c.alias(n) for n, c in (more or {}).items()])
 
 
 def with_raw(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, text, vocab
+from ..session import checkpointed
 
 COMPLETENESS_COLUMNS = ["job_title", "company_name", "job_address", "salary_range", "industry", "company_size", "company_type", "job_description", "company_description", "updated_at"]
 
@@ -31,6 +32,8 @@ def layered_dedup(df: DataFrame, keys: list[tuple[str, Column]], order: list[Col
     """
     kept, dropped = df, None
     for name, key in keys:
+        if audit:
+            kept = checkpointed(kept)  # read by two branches
         ranked = kept.withColumn("_key", F.nullif(key, F.lit("")))
         # Rows without a key get one of their own for the window, so that they don't meet in one task.
         alone = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
@@ -44,8 +47,12 @@ def layered_dedup(df: DataFrame, keys: list[tuple[str, Column]], order: list[Col
 
 
 def clean_postings(raw: DataFrame, today: str, ordinal: str | None = None) -> DataFrame:
-    """Wide clean table: raw shadows, normalized columns, parsed salary, size and date, ids, completeness, anomalies."""
-    df = text.aliased_columns(raw) if ordinal is None else text.aliased_columns(raw.drop(ordinal))
+    """Wide clean table: raw shadows, normalized columns, parsed salary, size and date, ids, completeness, anomalies.
+
+    source_row_no is the column ``ordinal`` of ``raw``, the place of a row in its source; NULL where there is none.
+    """
+    place = F.lit(None) if ordinal is None else F.col(f"`{ordinal}`")
+    df = text.aliased_columns(raw, {"source_row_no": place.cast("long")})
     names = list(vocab.COLUMN_ALIASES)
     df = text.with_raw(df, names)
     df = df.withColumns({c: text.clean_text(F.col(c)) for c in names if c not in ("job_description", "company_description")})
@@ -88,7 +95,11 @@ def posting_flags() -> list[tuple[str, Column]]:
 
 
 def drop_duplicates(clean: DataFrame, audit: bool = False) -> DataFrame:
-    """By code, then address of the posting, then company, title and place; fuller and later postings stay."""
-    order = [F.desc("completeness_score"), F.desc_nulls_last("updated_at_std"), F.asc("record_id")]
+    """By code, then address of the posting, then company, title and place; fuller and later postings stay.
+
+    Ties end with the place in the source and a hash of all raw columns, so the order is total but for equal rows.
+    """
+    whole = F.xxhash64(*[F.col(f"{c}_raw") for c in vocab.COLUMN_ALIASES])
+    order = [F.desc("completeness_score"), F.desc_nulls_last("updated_at_std"), F.asc_nulls_last("source_row_no"), F.asc("record_id"), whole]
     keys = [("job_code", F.col("job_code")), ("job_url", F.col("job_url")), ("core_key", F.col("duplicate_core_key"))]
     return layered_dedup(clean, keys, order, audit)

@@ -10,14 +10,37 @@ from ..functions import text, vocab
 DESCRIPTION_CHARS = 1400
 
 
-def scores(df: DataFrame, title: str = "job_title", description: str = "job_description", industry: str = "industry") -> DataFrame:
-    """cs_score and non_cs_score: 1.2 times the title's weight, plus description and industry; matched keywords; ambiguity."""
-    t, d, i = (F.coalesce(F.lower(F.col(c)), F.lit("")) for c in (title, description, industry))
-    d = F.left(d, F.lit(DESCRIPTION_CHARS))
-    side = lambda a, b, c: F.round(1.2 * text.keyword_score(t, a) + text.keyword_score(d, b) + text.keyword_score(i, c), 4)
-    found = lambda a, b, c: F.concat_ws(",", F.array_distinct(F.concat(text.keywords_found(t, list(a)), text.keywords_found(d, list(b)), text.keywords_found(i, list(c)))))
+def judgement(title: Column, description: Column, industry: Column) -> Column:
+    """struct(cs, non, cs_keywords, non_cs_keywords, ambiguous, decision, confidence, source).
+
+    1.2 times the title's weight, plus description and industry. One expression that names each text once and binds texts
+    and scores to variables, so that a filter on the decision copies it once, however the plan is optimized.
+    """
+    low = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    texts = F.struct(low(title).alias("t"), F.left(low(description), F.lit(DESCRIPTION_CHARS)).alias("d"), low(industry).alias("i"))
     yes, no = (vocab.CS_TITLE, vocab.CS_DESCRIPTION, vocab.CS_INDUSTRY), (vocab.NON_CS_TITLE, vocab.NON_CS_DESCRIPTION, vocab.NON_CS_INDUSTRY)
-    return df.withColumns({"cs_score": side(*yes), "non_cs_score": side(*no), "cs_keywords": found(*yes), "non_cs_keywords": found(*no), "is_ambiguous_title": text.any_of(t, vocab.AMBIGUOUS_TITLES)})
+
+    def hits(x: Column) -> Column:
+        sides = [text.weighted_hits(x[name], words).alias(f"{side}_{name}") for side, lists in (("yes", yes), ("no", no)) for name, words in zip("tdi", lists, strict=True)]
+        return F.struct(*sides, text.any_of(x["t"], vocab.AMBIGUOUS_TITLES).alias("ambiguous"))
+
+    def summed(h: Column) -> Column:
+        score = lambda side: F.round(1.2 * text.total_weight(h[f"{side}_t"]) + text.total_weight(h[f"{side}_d"]) + text.total_weight(h[f"{side}_i"]), 4)
+        words = lambda side: F.concat_ws(",", F.array_distinct(F.transform(F.concat(*[h[f"{side}_{n}"] for n in "tdi"]), lambda k: k["word"])))
+        return F.struct(score("yes").alias("cs"), score("no").alias("non"), words("yes").alias("cs_keywords"), words("no").alias("non_cs_keywords"), h["ambiguous"].alias("ambiguous"))
+
+    def judged(s: Column) -> Column:
+        d = lambda name: decision(s["cs"], s["non"], s["ambiguous"])[name].alias(name)
+        return F.struct(*[s[n].alias(n) for n in ("cs", "non", "cs_keywords", "non_cs_keywords", "ambiguous")], d("decision"), d("confidence"), d("source"))
+
+    return text.let(text.let(text.let(texts, hits), summed), judged)
+
+
+def scores(df: DataFrame, title: str = "job_title", description: str = "job_description", industry: str = "industry") -> DataFrame:
+    """cs_score and non_cs_score, matched keywords, ambiguity, and the struct _r that they come from."""
+    out = df.withColumn("_r", judgement(F.col(title), F.col(description), F.col(industry)))
+    names = {"cs_score": "cs", "non_cs_score": "non", "cs_keywords": "cs_keywords", "non_cs_keywords": "non_cs_keywords", "is_ambiguous_title": "ambiguous"}
+    return out.withColumns({k: F.col(f"_r.{v}") for k, v in names.items()})
 
 
 def decision(cs: Column, non: Column, ambiguous: Column) -> Column:
@@ -32,8 +55,7 @@ def decision(cs: Column, non: Column, ambiguous: Column) -> Column:
 
 def audited(df: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """All rows with is_cs_related, its source and confidence. ``judged`` (record_id, is_cs_related, confidence) settles undecided rows."""
-    out = scores(df).withColumn("_d", decision(F.col("cs_score"), F.col("non_cs_score"), F.col("is_ambiguous_title")))
-    out = out.withColumns({"is_cs_related": F.col("_d.decision") == "keep", "cs_filter_source": F.col("_d.source"), "cs_filter_confidence": F.col("_d.confidence")}).drop("_d")
+    out = scores(df).withColumns({"is_cs_related": F.col("_r.decision") == "keep", "cs_filter_source": F.col("_r.source"), "cs_filter_confidence": F.col("_r.confidence")}).drop("_r")
     if judged is None:
         return out
     j = judged.select("record_id", F.col("is_cs_related").alias("_is"), F.col("confidence").alias("_conf"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, text
 from ..functions.similarity import sequence_ratio
+from ..session import checkpointed
 from .stats import ordered_distinct
 
 MAX_BLOCK = 200
@@ -89,8 +90,6 @@ def decided(features: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, cluster): the smallest id reachable over undirected edges (a, b). Each round every node takes the least label
     of its neighbours and then of its label's own node; rounds end in a checkpoint."""
-    from ..session import checkpointed
-
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct())
     labels = checkpointed(nodes.select("id", F.col("id").alias("cluster")).distinct())
     for _ in range(max_rounds):
@@ -137,10 +136,10 @@ def title_mapping(profiles: DataFrame, pairs: DataFrame, least_confidence: float
 
 def standardize(df: DataFrame, title: str = "job_title", order: str = "record_id") -> tuple[DataFrame, DataFrame]:
     """(df with standard_job_name, mapping): the whole chain. The mapping joins on the raw title."""
-    profiles = title_profiles(df, title=title, order=order)
+    profiles = checkpointed(title_profiles(df, title=title, order=order))
     pairs = blocked_pairs(profiles, "title_id", block_keys(F.col("job_family"), F.col("normalized_job_name"), F.col("primary_tokens")))
-    judged = decided(pair_features(pairs, profiles).filter(is_recalled()))
-    mapping = title_mapping(profiles, judged)
+    judged = checkpointed(decided(pair_features(pairs, profiles).filter(is_recalled())))
+    mapping = checkpointed(title_mapping(profiles, judged))
     names = mapping.select(F.col("raw_job_name").alias(title), "standard_job_name")
     return df.join(names, title, "left"), mapping
 

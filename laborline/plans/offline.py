@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ability, clean, graph, relevance, stats, titles, vector
+from ..session import checkpointed
 
 
 @dataclass
@@ -26,16 +27,17 @@ class Outputs:
     edges: DataFrame
 
 
-def run(raw: DataFrame, today: str, relations: DataFrame | None = None, judged: DataFrame | None = None) -> Outputs:
-    """All stages as one plan; nothing runs before a result is asked for, but for the title components.
+def run(raw: DataFrame, today: str, relations: DataFrame | None = None, judged: DataFrame | None = None, ordinal: str | None = None) -> Outputs:
+    """The stages in turn: cleaned, audited, standardized postings and their requirements are checkpoints, as several results read each.
 
     relations: job, path and kind, written promotion and transfer paths; judged: decisions for undecided postings.
     """
-    postings = clean.drop_duplicates(clean.clean_postings(raw, today))
-    audit = relevance.audited(postings, judged)
+    postings = clean.drop_duplicates(checkpointed(clean.clean_postings(raw, today, ordinal)))
+    audit = checkpointed(relevance.audited(postings, judged))
     detail, mapping = titles.standardize(relevance.kept(audit))
+    detail = checkpointed(detail)
     job = "standard_job_name"
-    req = ability.sample_requirements(detail, job, "record_id", "job_description")
+    req = checkpointed(ability.sample_requirements(detail, job, "record_id", "job_description"))
     degrees = stats.distribution(req, [job], F.col("degree"), unknown="未明确")
     skills = stats.multi_distribution(req, [job], F.col("hard_skills"), unknown="未明确", top=100)
     salary = stats.salary_stats(detail, [job], F.col("salary_month_min"), F.col("salary_month_max"))
