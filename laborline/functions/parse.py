@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import clean_text, let, matches
+from .text import _plain, any_of, clean_text, compact, let, list_like, matches, sentences
 
 NUMBER = r"(\d+(?:\.\d+)?)"
 
@@ -127,17 +127,27 @@ def majors(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in words]), F.lit(name)) for name, words in vocab.MAJOR_ALIASES.items()]))
 
 
-def certificates(text: Column, window: int = 12) -> Column:
-    """array<struct(name, force)>: preferred beats must beats mentioned, by the words near the certificate."""
-    import re
+def certificates(text: Column) -> Column:
+    """array<struct(name, force)>: certificates that the text names by any alias; the force by the words of the first sentence
+    that names it: preferred before must before mentioned, unknown if no sentence does."""
+    low = F.lower(text)
+
+    def force(sentence: Column) -> Column:
+        return F.when(sentence.isNull(), "unknown").when(any_of(sentence, vocab.CERT_PREFERRED), "preferred").when(any_of(sentence, vocab.CERT_MUST), "must").otherwise("mentioned")
+
+    def names_any(keys: list[str]):
+        return lambda s: any_of(s["token"], keys)
 
-    near = lambda words, inner: rf"({'|'.join(words)}).{{0,{window}}}({inner})|({inner}).{{0,{window}}}({'|'.join(words)})"
-    found = []
-    for name, words in vocab.CERTIFICATE_ALIASES.items():
-        inner = "|".join(re.escape(w) for w in words)
-        force = F.when(F.rlike(text, F.lit(near(vocab.CERT_PREFERRED, inner))), "preferred").when(F.rlike(text, F.lit(near(vocab.CERT_MUST, inner))), "must").otherwise("mentioned")
-        found.append(F.when(F.rlike(text, F.lit(inner)), F.struct(F.lit(name).alias("name"), force.alias("force"))))
-    return F.array_compact(F.array(*found))
+    def found(said: Column) -> Column:
+        out = []
+        for name, words in vocab.CERTIFICATE_ALIASES.items():
+            forms = list(dict.fromkeys([name, *words]))
+            keys = list(dict.fromkeys(_plain(w) for w in forms if _plain(w)))
+            first = F.get(F.filter(said, names_any(keys)), F.lit(0))["sentence"]
+            out.append(F.when(any_of(low, [w.lower() for w in forms]), F.struct(F.lit(name).alias("name"), let(first, force).alias("force"))))
+        return F.array_compact(F.array(*out))
+
+    return let(F.transform(sentences(text), lambda s: F.struct(F.left(s, F.lit(220)).alias("sentence"), compact(s).alias("token"))), found)
 
 
 def extraction_confidence(degree: Column, major: Column, certificate: Column) -> Column:
@@ -201,3 +211,60 @@ def path_targets(source: Column, text: Column, chained: bool = True) -> Column:
     """Direct targets of ``source``: every later step, sorted; or only the last one."""
     nodes = F.filter(path_nodes(text), lambda x: x != source)
     return F.array_sort(F.array_distinct(nodes)) if chained else F.slice(nodes, -1, 1)
+
+
+def is_job_name(c: Column) -> Column:
+    """Whether a cleaned name is more than a key: not job_..., not twelve hexadecimal digits or more, and with a letter."""
+    t = F.coalesce(clean_text(c), F.lit(""))
+    return (t != "") & ~F.startswith(t, F.lit("job_")) & ~F.rlike(t, F.lit("^[0-9a-fA-F]{12,}$")) & F.rlike(t, F.lit(r"[\x{4e00}-\x{9fff}A-Za-z]"))
+
+
+def domain_tags(name: Column, *tags: Column) -> Column:
+    """Domains of which a word is in the name or one of the tag arrays, in the domains' order."""
+    merged = F.lower(F.concat_ws(" ", name, *[F.array_join(t, " ") for t in tags]))
+    return let(merged, lambda m: F.array_compact(F.array(*[F.when(any_of(m, [w.lower() for w in words]), F.lit(d)) for d, words in vocab.DOMAINS.items()])))
+
+
+def major_list(c: Column) -> Column:
+    """Majors out of free text, sorted: a JSON array, else parts between delimiters without the words of relation and preference."""
+    listed = list_like(c, ordered=False)
+    plain = c
+    for pattern, into in ((r"(等)?相关类专业", ""), (r"(等)?相关专业", ""), (r"(专业优先|优先考虑|优先)", ""), ("[与和]", "、")):
+        plain = F.regexp_replace(plain, pattern, into)
+    parts = F.transform(F.split(plain, r"[、,，;/；|]+"), lambda x: F.trim(x))
+    rest = F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+    empty = F.array().cast("array<string>")
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", empty).when(F.contains(c, F.lit("专业不限")), F.array(F.lit("专业不限"))).when(F.size(listed) > 1, listed).otherwise(rest)
+
+
+RELATIONS = "array<struct<source_job:string,target_job:string,to_job:string,relation_type:string,path_type:string,type:string,reason:string,confidence:string>>"
+
+
+def relation_details(c: Column, source: Column) -> Column:
+    """array<struct(source_job, target_job, relation_type, reason, confidence)> from a JSON array of relations under any of their
+    names: promotions and transfers between two different jobs, each once."""
+    clean = lambda *cs: F.coalesce(*[clean_text(x) for x in cs])
+    row = lambda r: F.struct(
+        clean(r["source_job"], source).alias("source_job"), clean(r["target_job"], r["to_job"]).alias("target_job"), F.upper(clean(r["relation_type"], r["path_type"], r["type"])).alias("relation_type"),
+        clean(r["reason"]).alias("reason"), clean(r["confidence"]).alias("confidence"),
+    )
+    good = lambda r: r["relation_type"].isin("PROMOTE_TO", "TRANSFER_TO") & (r["source_job"] != r["target_job"])
+    same = lambda a, b: (a["source_job"] == b["source_job"]) & (a["target_job"] == b["target_job"]) & (a["relation_type"] == b["relation_type"])
+    once = lambda rows: F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda b: same(r, b)))
+    return let(F.filter(F.transform(F.coalesce(F.from_json(c, RELATIONS), F.array().cast(RELATIONS)), row), good), once)
+
+
+def resume_skills(section: Column, whole: Column) -> Column:
+    """Skills that the section of skills names; if it names none, those of the whole text."""
+    found = lambda t: matches(F.lower(F.coalesce(t, F.lit(""))), vocab.RESUME_SKILLS_BY_PATTERN)
+    return let(found(section), lambda own: F.when(F.size(own) > 0, own).otherwise(found(whole)))
+
+
+def resume_certificates(text: Column) -> Column:
+    return matches(F.lower(text), vocab.RESUME_CERTIFICATES_BY_PATTERN)
+
+
+def resume_awards(text: Column) -> Column:
+    """The pieces between sentence ends that speak of an award, each once."""
+    parts = F.transform(F.split(text, r"[。；;\n]"), lambda x: F.regexp_replace(x, "^[ ，,]+|[ ，,]+$", ""))
+    return F.array_distinct(F.filter(parts, lambda x: any_of(x, vocab.RESUME_AWARDS)))

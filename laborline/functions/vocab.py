@@ -196,3 +196,42 @@ CURATED_EXCLUDE_EXACT = ["VP", "储备经理人"]
 DISPLAY_ALIASES = {"java": "Java开发工程师", "JAVA": "Java开发工程师", "Java": "Java开发工程师", "cc++": "C/C++嵌入式软件开发工程师", "c/c++": "C/C++嵌入式软件开发工程师", "C/C++": "C/C++嵌入式软件开发工程师"}
 
 REPORT_SECTIONS = ["student", "job", "match", "goal_and_path", "phase_plan", "risk", "summary"]
+
+#: Words and symbols that a lookup key of a job name leaves out, and role words that a name is searched by. Fixed values.
+WEAK_NAME_WORDS = "(岗位|职位|职务|方向|招聘|急聘|校招|社招|热招|岗位要求)"
+LEVEL_NAME_WORDS = "(初级|中级|高级|资深|专家级|实习生|实习)"
+NAME_SYMBOLS = r"[\s\-_/\\|｜,，;；:：()（）\[\]【】{}<>《》\"'“”‘’·]+"
+ROLE_WORDS = [
+    "c/c++", "c++", "c#", "java", "python", "android", "ios", "web", "app", "qa", "嵌入式软件", "嵌入式", "软件测试", "硬件测试", "质量管理", "技术支持", "项目经理", "项目招投标",
+    "知识产权", "专利代理", "前端开发", "前端", "测试开发", "测试", "开发", "实施", "运维", "数据", "算法", "产品", "运营", "销售", "客服", "商务", "培训", "咨询", "律师", "法务",
+    "翻译", "档案", "资料", "质检", "风电",
+]
+
+#: Words near a contact, and mail domains that are well known. Fixed values.
+EMAIL_CONTEXT = ["邮箱", "邮件", "Email", "E-mail", "email", "mail", "联系方式", "联系"]
+PHONE_CONTEXT = ["电话", "手机", "Tel", "TEL", "tel", "Phone", "phone", "联系方式", "联系"]
+EMAIL_DOMAINS = ["com.cn", "edu.cn", "net.cn", "org.cn", "gov.cn", "qq.com", "163.com", "126.com", "gmail.com", "outlook.com", "hotmail.com", "foxmail.com", "icloud.com"]
+NOT_A_PHONE = "(身份证|学号|编号|日期|生日|出生)"
+
+#: Points of a degree in a student's competitiveness, by the first one named. Fixed values.
+DEGREE_POINTS = [("博士", 18.0), ("硕士", 16.0), ("本科", 13.0), ("大专", 10.0), ("专科", 10.0), ("高中", 6.0)]
+
+#: Words that put a job into a domain. Fixed values.
+DOMAINS: dict[str, list[str]] = {
+    "数据分析": ["数据分析", "SQL", "Excel", "Tableau", "Power BI", "A/B测试"],
+    "人工智能": ["机器学习", "深度学习", "NLP", "推荐系统", "Python", "PyTorch", "TensorFlow"],
+    "大数据工程": ["Spark", "Hadoop", "Hive", "Flink", "Kafka", "SQL"],
+    "软件开发": ["Java", "Python", "C++", "Git", "Docker", "Kubernetes", "Redis"],
+    "商业分析": ["数据分析", "A/B测试", "Excel", "Power BI", "沟通协作"],
+}
+
+#: Patterns and words of resumes. Fixed values.
+RESUME_SKILLS = [
+    ("C++", r"c\+\+"), ("Java", "java"), ("JavaScript", r"javascript|\bjs\b"), ("Oracle", "oracle"), ("Mysql", "mysql"), ("SQL", r"(?:\bsql\b|sql语句|sql语言)"), ("eclipse", "eclipse"),
+    ("Linux", "linux"), ("Netty", "netty"), ("Dubbo", "dubbo"), ("Jquery", "jquery"), ("Bootstrap", "bootstrap"), ("SSH", "ssh"), ("C", r"(?:\bc\b|c语言)"),
+]
+RESUME_CERTIFICATES = [("大学英语六级", "(?:大学英语六级|英语六级|cet-?6)"), ("普通话二级甲等", "普通话二级甲等"), ("C1驾照", "(?:c1驾照|c1驾驶证)")]
+RESUME_AWARDS = ["奖学金", "励志奖", "优秀", "一等奖", "二等奖", "三等奖", "国家励志"]
+RESUME_DEGREES = ["博士研究生", "硕士研究生", "硕士", "本科", "大专", "专科", "中专"]
+RESUME_SKILLS_BY_PATTERN = [(p, name) for name, p in RESUME_SKILLS]
+RESUME_CERTIFICATES_BY_PATTERN = [(p, name) for name, p in RESUME_CERTIFICATES]

@@ -47,7 +47,7 @@ def source_quality(samples: Column, hard: Column, soft: Column, practice: Column
 
 
 def level(score: Column) -> Column:
-    return text.banded(score, [(85, "excellent"), (70, "strong"), (55, "basic")], "weak")
+    return text.banded(score, [(75, "high"), (55, "medium_high"), (35, "medium")], "low")
 
 
 def skill_knowledge(skills: DataFrame, knowledge: dict[str, tuple[list[str], list[str]]], skill: str = "skill") -> DataFrame:

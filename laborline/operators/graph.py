@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse, text, vocab
+from ..session import checkpointed
 
 
 def vertices(values: DataFrame, name: str, label: str, prefix: str) -> DataFrame:
@@ -16,7 +17,8 @@ def vertices(values: DataFrame, name: str, label: str, prefix: str) -> DataFrame
 def edges(df: DataFrame, source: Column, targets: Column, source_prefix: str, target_prefix: str, kind: str) -> DataFrame:
     """start, end, kind with the number of rows behind each, from a source and an array of targets in each row."""
     rows = df.select(source.alias("s"), F.explode(F.array_distinct(targets)).alias("t")).filter("s is not null and t is not null and t != ''")
-    return rows.groupBy(text.stable_id(F.col("s"), 16, source_prefix).alias("start"), text.stable_id(F.col("t"), 16, target_prefix).alias("end")).agg(F.count("*").alias("weight")).withColumn("kind", F.lit(kind))
+    counted = rows.groupBy("s", "t").agg(F.count("*").alias("weight"))  # ids are hashed once an edge, not once a row
+    return counted.select(text.stable_id(F.col("s"), 16, source_prefix).alias("start"), text.stable_id(F.col("t"), 16, target_prefix).alias("end"), "weight", F.lit(kind).alias("kind"))
 
 
 def path_edges(df: DataFrame, job: str, path_text: str, kind: str, chained: bool = True) -> DataFrame:
@@ -90,11 +92,16 @@ def statistics(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count("*").alias("n")).unionByName(vertices.groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n")))
 
 
+MOST_HOPS = 8
+
+
 def reachable(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
-    """(id, hops): the fewest steps from the start vertices, by repeated joins; ``hops`` is a small constant."""
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(s, 0) for s in start], "id string, hops int")
+    """(id, hops): the fewest steps from the start vertices, MOST_HOPS at most; each step is a join, and a checkpoint ends its plan."""
+    if not 0 <= hops <= MOST_HOPS:
+        raise ValueError(f"hops must be 0 to {MOST_HOPS}")
+    seen = edges.sparkSession.createDataFrame([(s, 0) for s in dict.fromkeys(start)], "id string, hops int")
+    edges = checkpointed(edges.select("start", "end").distinct())
     for h in range(1, hops + 1):
-        step = seen.filter(F.col("hops") == h - 1).join(edges, F.col("id") == F.col("start")).select(F.col("end").alias("id"), F.lit(h).alias("hops")).distinct()
-        seen = seen.unionByName(step).groupBy("id").agg(F.min("hops").alias("hops"))
+        step = seen.filter(F.col("hops") == h - 1).join(edges, F.col("id") == F.col("start")).select(F.col("end").alias("id")).distinct()
+        seen = checkpointed(seen.unionByName(step.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(h))))
     return seen

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import text, vocab
 from ..functions.similarity import tags_score, token_similarity
 
 WEIGHTS = {"basic": 0.30, "skill": 0.40, "quality": 0.20, "potential": 0.10}
@@ -35,10 +35,6 @@ def major_score(student: Column, wanted: Column) -> Column:
     return F.when(F.size(wanted) == 0, 100.0).when(F.coalesce(F.trim(student), F.lit("")) == "", 0.0).otherwise(ladder(best, [(0.75, 100.0), (0.5, 75.0), (0.3, 45.0)], 20.0))
 
 
-def major_score_of(best: Column) -> Column:
-    return ladder(best, [(0.75, 100.0), (0.5, 75.0), (0.3, 45.0)], 20.0)
-
-
 def basic_score(degree: Column, major: Column, certificate: Column) -> Column:
     return F.round(0.45 * degree + 0.35 * major + 0.20 * certificate, 2)
 
@@ -51,6 +47,29 @@ def quality_score(practice: Column, soft: Column) -> Column:
     return F.round(0.60 * practice + 0.40 * soft, 2)
 
 
+def practice_matched(wanted: Column, tags: Column, projects: Column, internships: Column, soft: Column) -> Column:
+    """Whether a practice requirement is met: open ones always; project, internship, travel and teamwork ones by counts, tags
+    and soft skills; others by an experience tag of similarity .65."""
+    tagged = lambda *w: F.exists(tags, lambda t: text.any_of(F.coalesce(text.tag_token(t), F.lit("")), list(w)))
+
+    def rules(token: Column) -> Column:
+        has = lambda *w: text.any_of(token, list(w))
+        return (
+            F.when(token == "", False).when(has("经验不限", "应届可投", "可实习"), True).when(has("项目"), (projects > 0) | tagged("项目"))
+            .when(has("实习", "实践"), (internships > 0) | tagged("实习")).when(has("出差", "驻场"), tagged("出差", "驻场"))
+            .when(has("跨部门", "协作", "沟通"), F.arrays_overlap(soft, F.array(F.lit("沟通协作"), F.lit("团队合作")))).otherwise(F.exists(tags, lambda t: token_similarity(wanted, t) >= 0.65))
+        )
+
+    return text.let(F.coalesce(text.tag_token(wanted), F.lit("")), rules)
+
+
+def practice_score(wanted: Column, tags: Column, projects: Column, internships: Column, soft: Column) -> Column:
+    """Share of the requirements that are met, in percent; 100 without any."""
+    once = F.filter(F.array_distinct(wanted), lambda w: F.trim(w) != "")
+    met = F.filter(once, lambda w: practice_matched(w, tags, projects, internships, soft))
+    return F.when(F.size(once) == 0, 100.0).otherwise(F.round(F.size(met) / F.size(once) * 100, 2))
+
+
 def level_score(student: Column, job: Column) -> Column:
     """At the job's level or above 100, one below 70, else 40."""
     return F.when(job <= 0, 100.0).when(student >= job, 100.0).when(student == job - 1, 70.0).otherwise(40.0)
@@ -67,23 +86,35 @@ def overall(parts: dict[str, Column], weights: dict[str, float] | None = None) -
     return F.round(reduce(lambda a, b: a + b, [c * (w[k] / total) for k, c in parts.items()]), 2)
 
 
+#: Jobs that are broadcast to all students; more of them are shuffled in blocks.
+MOST_JOBS = 5_000
+
+
+def with_jobs(students: DataFrame, jobs: DataFrame, blocks: int = 64) -> DataFrame:
+    """Every student with every job, as is asked for: each student is scored against all standard jobs.
+
+    Jobs are few (a few dozen) and broadcast after a count; beyond MOST_JOBS both sides are dealt to blocks, and each
+    student's row goes to all of them.
+    """
+    if jobs.count() <= MOST_JOBS:
+        return students.withColumn("_b", F.lit(0)).join(F.broadcast(jobs.withColumn("_b", F.lit(0))), "_b").drop("_b")
+    dealt = jobs.withColumn("_b", F.pmod(F.xxhash64(*jobs.columns), F.lit(blocks)).cast("int"))
+    return students.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_b").drop("_b")
+
+
 def scored(students: DataFrame, jobs: DataFrame, on: str | None = "target_job") -> DataFrame:
     """Pairs with four sub-scores and the overall score.
 
-    With ``on`` students meet the job they name; with None all jobs, which are a few dozen standard ones: the job side
-    is folded to one array first, so its size is that of one row.
+    With ``on`` students meet the job they name; with None all jobs, which are a few dozen standard ones.
     """
-    fields = [c for c in jobs.columns]
-    if on:
-        pairs = students.join(jobs, on)
-    else:
-        folded = jobs.agg(F.collect_list(F.struct(*fields)).alias("_jobs"))
-        pairs = students.join(F.broadcast(folded), F.lit(True)).withColumn("_job", F.explode("_jobs")).drop("_jobs").select("*", "_job.*").drop("_job")
+    pairs = students.join(jobs, on) if on else with_jobs(students, jobs)
     empty = F.array().cast("array<string>")
     tags = lambda c: F.coalesce(F.col(c), empty)
     basic = basic_score(degree_score(F.col("degree_rank"), F.col("required_degree_rank")), major_score(F.col("major"), tags("required_majors")), tags_score(tags("certificates"), tags("required_certificates"), 0.8))
     skill = skill_score(tags_score(tags("skills"), tags("required_skills"), 0.75), tags_score(tags("tools"), tags("required_tools"), 0.8))
-    quality = quality_score(tags_score(tags("practice"), tags("required_practice"), 0.7), tags_score(tags("soft_skills"), tags("required_soft_skills"), 0.7))
+    count = lambda word: F.size(F.filter(tags("practice"), lambda t: F.contains(t, F.lit(word))))
+    practice = practice_score(tags("required_practice"), tags("practice"), count("项目"), count("实习"), tags("soft_skills"))
+    quality = quality_score(practice, tags_score(tags("soft_skills"), tags("required_soft_skills"), 0.7))
     potential = potential_score(tags_score(tags("occupation_hints"), F.array(F.col("job_name")), 0.55), F.col("completeness"), F.col("competitiveness"), level_score(F.col("level_rank"), F.col("required_level_rank")))
     out = pairs.withColumns({"basic": basic, "skill": skill, "quality": quality, "potential": potential})
     return out.withColumn("overall", overall({k: F.col(k) for k in WEIGHTS}))

@@ -16,11 +16,14 @@ def goal_decision(target_score: Column, other_score: Column, target_accuracy: Co
     )
 
 
-def goal_score(match: Column, is_target: Column, promotions: Column, transfers: Column, hinted: Column, growing: Column) -> Column:
-    """50, and .45 of the match for the target (.20 for others), 14/10/4 for promotions, 10/7/2 for transfers, 10 for a hint, 5 for growth."""
-    step = lambda c, a, b, n: F.when(c >= 3, a).when(c >= 1, b).otherwise(n)
-    points = 50 + F.when(is_target, 0.45).otherwise(0.20) * match + step(promotions, 14, 10, 4) + step(transfers, 10, 7, 2) + F.when(hinted, 10).otherwise(0) + F.when(growing, 5).otherwise(0)
-    return F.round(F.least(F.lit(100.0), points), 2)
+def goal_score(match: Column, is_target: Column, direct: Column, transition: Column, hinted: Column, growing: Column) -> Column:
+    """50, and .45 of the match for the target (.20 for others); by the source of a direct path that names the job 14 (graph),
+    10 (offline) or 4 (fallback), of a transition path 10, 7 or 2, nothing without one (NULL); 10 for a hint, 5 for a target
+    of a student whose growth is above average."""
+    step = lambda c, a, b, n: F.when(c == "graph", a).when(c == "offline", b).when(c.isNotNull(), n).otherwise(0.0)
+    points = 50 + F.when(is_target, 0.45).otherwise(0.20) * match + step(direct, 14.0, 10.0, 4.0) + step(transition, 10.0, 7.0, 2.0)
+    points = points + F.when(hinted, 10.0).otherwise(0.0) + F.when(growing & is_target, 5.0).otherwise(0.0)
+    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), points)), 2)
 
 
 def option_score(base: Column, source: Column, confidence: Column, ends_at_goal: Column, kind: Column) -> Column:
@@ -51,3 +54,42 @@ def gaps(required: DataFrame, have: DataFrame, keys: list[str], item: str) -> Da
 
 def gap_priority(ratio: Column) -> Column:
     return F.when(ratio >= 0.5, "high").when(ratio >= 0.2, "medium").otherwise("low")
+
+
+#: Path type and source: points, the base under the match, its least value, and the match below which (or from which) it has priority.
+OPTION_RULES = [
+    ("direct_vertical", "graph", 8.0, 0.0, None), ("direct_vertical", "offline", 4.0, 0.0, ("from", 75.0)), ("transfer", "graph", 6.0, 2.0, ("below", 80.0)), ("transfer", "offline", 3.0, 5.0, ("below", 75.0)),
+]
+
+
+def candidate_options(options: DataFrame, kind: str = "path_type", source: str = "source", match: str = "match_score") -> DataFrame:
+    """path_score_hint and priority_hint of written paths: the match (of transfers a little less, 50 at least) and points by type and source."""
+    hint, priority = None, None
+    for name, tier, points, off, rule in OPTION_RULES:
+        mine = (F.col(kind) == name) & (F.col(source) == tier)
+        base = F.greatest(F.lit(50.0), F.col(match) - off) if name == "transfer" else F.col(match)
+        value = F.round(F.greatest(F.lit(0.0), base + points), 2)
+        high = F.lit(True) if rule is None else F.col(match) >= rule[1] if rule[0] == "from" else F.col(match) < rule[1]
+        word = F.when(high, "high").otherwise("medium")
+        hint, priority = (F.when(mine, value), F.when(mine, word)) if hint is None else (hint.when(mine, value), priority.when(mine, word))
+    return options.withColumns({"path_score_hint": hint, "priority_hint": priority}).filter("path_score_hint is not null")
+
+
+def goal_candidates(sources: list[tuple[DataFrame, str]], student: str, most: int | None = None) -> DataFrame:
+    """student, job, place: jobs from several tables (student, job, an order within), in the tables' order, each once."""
+    rows = None
+    for k, (table, order) in enumerate(sources):
+        part = table.select(student, "job", F.lit(k).alias("_k"), F.col(order).alias("_o")).filter(F.trim("job") != "")
+        rows = part if rows is None else rows.unionByName(part)
+    once = rows.groupBy(student, "job").agg(F.min(F.struct("_k", "_o")).alias("_at"))
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy(student).orderBy("_at", "job"))).drop("_at")
+    return placed if most is None else placed.filter(F.col("place") <= most)
+
+
+def with_offline_paths(graph: DataFrame, profiles: DataFrame, job: str = "job") -> DataFrame:
+    """(job, path, kind, source): paths of the graph, and those that job profiles list as JSON arrays (vertical_paths, transfer_paths)."""
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.from_json(c, "array<string>").alias("paths")) for k, c in (("PROMOTE_TO", "vertical_paths"), ("TRANSFER_TO", "transfer_paths"))])
+    offline = profiles.select(job, F.explode(listed).alias("l")).select(job, "l.kind", F.explode("l.paths").alias("path")).filter(F.trim("path") != "").distinct()
+    known = graph.select(job, "path", "kind").distinct()
+    rest = offline.join(known, [job, "path", "kind"], "left_anti")
+    return known.withColumn("source", F.lit("graph")).unionByName(rest.withColumn("source", F.lit("offline")))

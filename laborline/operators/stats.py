@@ -45,12 +45,65 @@ def nested(dist: DataFrame, groups: list[str], out: str) -> DataFrame:
 
 
 def salary_stats(df: DataFrame, groups: list[str], low: Column, high: Column, digits: int = 2) -> DataFrame:
-    """Means, medians and quartiles of the bounds and of their middle (or the one there is), and valid counts."""
-    mid = F.coalesce((low + high) / 2, low, high)
-    aggs = []
-    for name, c in (("min", low), ("max", high), ("mid", mid)):
-        aggs += [F.round(F.avg(c), digits).alias(f"{name}_mean"), F.round(F.percentile(c, F.lit(0.5)), digits).alias(f"{name}_median"), F.round(F.percentile(c, F.lit(0.25)), digits).alias(f"{name}_p25"), F.round(F.percentile(c, F.lit(0.75)), digits).alias(f"{name}_p75")]
-    return df.groupBy(*groups).agg(*aggs, F.greatest(F.count(low), F.count(high), F.count(mid)).alias("valid_count"))
+    """Means, medians and quartiles of the bounds and of their middle (or the one there is), and valid counts.
+
+    Equal values are counted first, with partial counts before the shuffle, and ranked by running counts within ranges of
+    values, so no task holds a group's values whatever its size.
+    """
+    bounds = df.select(*groups, low.cast("double").alias("min"), high.cast("double").alias("max"), F.coalesce((low + high) / 2, low, high).cast("double").alias("mid"))
+    names = ("min", "max", "mid")
+    long = bounds.select(*groups, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in names])).alias("x")).select(*groups, "x.k", "x.v")
+    counted = long.filter("v is not null").groupBy(*groups, "k", "v").agg(F.count("*").alias("c"))
+    placed = running_counts(counted, [*groups, "k"], "v", "c")
+    wide = []
+    for k in names:
+        mine = F.col("k") == k
+        wide.append(F.round(F.sum(F.when(mine, F.col("v") * F.col("c"))) / F.sum(F.when(mine, F.col("c"))), digits).alias(f"{k}_mean"))
+        for name, share in (("median", 0.5), ("p25", 0.25), ("p75", 0.75)):
+            at = share * (F.col("total") - 1)
+            held = lambda r: F.max(F.when(mine & (F.col("before") <= r) & (F.col("before") + F.col("c") > r), F.col("v")))  # noqa: B023, E731
+            lower, upper = held(F.floor(at)), held(F.ceil(at))
+            part = F.max(F.when(mine, at - F.floor(at)))
+            wide.append(F.round(lower + (upper - lower) * part, digits).alias(f"{k}_{name}"))
+    wide.append(F.coalesce(F.max("total"), F.lit(0)).alias("valid_count"))
+    found = placed.groupBy(*groups).agg(*wide)
+    return df.select(*groups).distinct().join(found, groups, "left").withColumn("valid_count", F.coalesce("valid_count", F.lit(0)))
+
+
+def running_counts(counted: DataFrame, groups: list[str], value: str, count: str, ranges: int = 64) -> DataFrame:
+    """``counted`` with before (the group's rows of smaller values) and total. Values are dealt to ranges of the group by
+    approximate quantiles; a range's rows are summed by a window, the ranges by a second one of ``ranges`` rows a group."""
+    cuts = counted.groupBy(*groups).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("_cuts"), F.sum(count).alias("total"))
+    dealt = counted.join(cuts, groups).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*groups, "_range").agg(F.sum(count).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
+    out = dealt.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(sums, [*groups, "_range"])
+    return out.withColumn("before", F.col("_base") + F.col("_in")).drop("_base", "_in", "_range")
+
+
+def compact_salary(df: DataFrame, groups: list[str], low: Column, high: Column, order: list[Column], k: int = 5, digits: int = 2) -> DataFrame:
+    """Mean bounds and middle of each group's first ``k`` rows; the middle of rows that have both bounds."""
+    rows = first_k(df.withColumns({"_low": low.cast("double"), "_high": high.cast("double")}), groups, order, k)
+    mid = (F.col("_low") + F.col("_high")) / 2
+    return rows.groupBy(*groups).agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), digits).alias(n) for n, c in (("min_avg", F.col("_low")), ("max_avg", F.col("_high")), ("mid_avg", mid))], F.count("*").alias("samples"))
+
+
+def top_names(df: DataFrame, column: str, n: int = 20) -> DataFrame:
+    """The commonest values that aren't blank, with their counts; ties by name."""
+    return df.filter(F.trim(column) != "").groupBy(column).agg(F.count("*").alias("count")).orderBy(F.desc("count"), column).limit(n)
+
+
+def group_rows(df: DataFrame, name: str, column: str, fallback: str) -> DataFrame:
+    """Rows whose cleaned ``column`` is ``name``; where there are none, those whose ``fallback`` is."""
+    marked = df.withColumn("_own", F.coalesce(F.trim(column) == name, F.lit(False))).filter(F.col("_own") | (F.trim(fallback) == name))
+    flag = marked.agg(F.coalesce(F.max("_own"), F.lit(False)).alias("_any"))  # one row
+    return marked.join(F.broadcast(flag), F.col("_own") == F.col("_any")).drop("_own", "_any")
+
+
+def longest(df: DataFrame, groups: list[str], body: str, order: list[Column], k: int = 5) -> DataFrame:
+    """The ``k`` rows of each group with the longest text."""
+    return first_k(df, groups, [F.desc(F.char_length(F.coalesce(body, F.lit("")))), *order], k)
 
 
 def modes(df: DataFrame, groups: list[str], value: str, k: int = 1) -> DataFrame:

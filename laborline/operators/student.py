@@ -1,46 +1,70 @@
-"""Student profiles: completeness, competitiveness, bands, missing dimensions."""
+"""Student profiles: completeness, competitiveness, bands, missing dimensions, abilities."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, vocab
 
-COMPLETENESS = {"basic": 20, "education": 15, "skills": 20, "practice": 15, "certificates": 15, "intention": 10, "evaluation": 5}
-CAPS = {"education": 20, "skills": 25, "certificates": 10, "internships": 15, "projects": 20, "awards": 10, "evaluation": 5, "intention": 10}
 
-
-def share(fields: list[Column]) -> Column:
-    """How many of the fields are filled, of one."""
+def filled(fields: list[Column]) -> Column:
+    """How many of the fields hold text."""
     total = F.lit(0)
     for f in fields:
         total = total + F.when(F.trim(f.cast("string")) != "", 1).otherwise(0)
-    return total / len(fields)
+    return total
+
+
+def share(fields: list[Column]) -> Column:
+    return filled(fields) / len(fields)
+
+
+def _steps(count: Column, steps: list[tuple[int, float]]) -> Column:
+    out = F.when(count >= steps[0][0], steps[0][1])
+    for least, points in steps[1:]:
+        out = out.when(count >= least, points)
+    return out.otherwise(0.0)
+
+
+def completeness(basic: Column, education: Column, skills: Column, projects: Column, internships: Column, awards: Column, target: Column, hints: Column) -> Column:
+    """Of 100: basic fields (a share of 20), education fields (of 15), different skills and tools (20), projects (15),
+    internships (15), awards (10), an intention (5). The counts are numbers, target and hints say whether there are any."""
+    parts = [
+        F.round(20.0 * basic, 2), F.round(15.0 * education, 2), _steps(skills, [(8, 20.0), (5, 16.0), (3, 12.0), (1, 8.0)]), _steps(projects, [(2, 15.0), (1, 12.0)]),
+        _steps(internships, [(2, 15.0), (1, 12.0)]), _steps(awards, [(1, 10.0)]), F.when(target & hints, 5.0).when(target | hints, 3.0).otherwise(0.0),
+    ]
+    return _clipped(parts)
 
 
-def completeness(parts: dict[str, Column]) -> Column:
-    """Weighted shares (0 to 1), in points of 100."""
-    total = F.lit(0.0)
-    for k, c in parts.items():
-        total = total + COMPLETENESS[k] * F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    return F.round(total, 2)
+def _clipped(parts: list[Column], most: float = 100.0) -> Column:
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(most), total)), 2)
 
 
-def competitiveness(points: dict[str, Column]) -> Column:
-    """Points, each part up to its cap."""
-    total = F.lit(0.0)
-    for k, c in points.items():
-        total = total + F.least(F.lit(float(CAPS[k])), c)
-    return F.round(F.least(F.lit(100.0), total), 2)
+def competitiveness(degree: Column, major: Column, skills: Column, tools: Column, projects: Column, internships: Column, certificates: Column, awards: Column, target: Column, hints: Column, domains: Column, tags: Column) -> Column:
+    """Of 100: degree and a standard major (20 at most), skills (4 each, 25), tools (2.5 each, 10), projects (8 each and 2
+    for each of two tags, 15), internships (10 each and 2 for a tag, 20), certificates and awards (4 and 3 each, 10), focus
+    (5), domains (2 each, 10)."""
+    named = F.coalesce(*[F.when(F.contains(degree, F.lit(k)), F.lit(v)) for k, v in vocab.DEGREE_POINTS], F.lit(0.0))
+    top = lambda most, points: F.least(F.lit(most), points)
+    tagged = lambda t: F.when(F.coalesce(F.array_contains(tags, t), F.lit(False)), 2.0).otherwise(0.0)
+    parts = [
+        top(20.0, named + F.when(F.trim(major) != "", 2.0).otherwise(0.0)), top(25.0, skills * 4.0), top(10.0, tools * 2.5),
+        top(15.0, top(15.0, projects * 8.0) + tagged("项目:建模算法") + tagged("项目:工程开发")), top(20.0, top(20.0, internships * 10.0) + tagged("实习:业务协作")),
+        top(10.0, certificates * 4.0 + awards * 3.0), F.when(target & hints, 5.0).when(hints, 3.0).otherwise(0.0), top(10.0, domains * 2.0),
+    ]
+    return _clipped(parts)
 
 
 def band(score: Column) -> Column:
-    return text.banded(score, [(90, "A"), (80, "B"), (70, "C"), (60, "D")], "E")
+    return text.banded(score, [(85, "A"), (70, "B"), (55, "C")], "D")
 
 
 def level(score: Column) -> Column:
-    return text.banded(score, [(75, "strong"), (55, "medium"), (35, "basic")], "weak")
+    return text.banded(score, [(75, "high"), (55, "medium_high"), (35, "medium")], "low")
 
 
 def missing_dimensions(weakness: Column, rules: list[tuple[str, list[str]]], have: dict[str, Column]) -> Column:
@@ -50,11 +74,13 @@ def missing_dimensions(weakness: Column, rules: list[tuple[str, list[str]]], hav
     return F.array_except(named, shown)
 
 
-def ability_fallback(skills: Column, certificates: Column, internships: Column, projects: Column, awards: Column) -> Column:
-    """map of dimension to score by linear formulas, 100 at most."""
-    top = lambda c: F.least(F.lit(100.0), c.cast("double"))
+def ability_fallback(skills: Column, tools: Column, certificates: Column, internships: Column, projects: Column, traits: Column) -> Column:
+    """map of dimension to score, 100 at most, for a student without a profile of abilities. traits: soft skills and experience tags in one text."""
+    top = lambda c: F.round(F.least(F.lit(100.0), c.cast("double")), 2)
+    said = lambda points, *words: F.when(text.any_of(F.lower(F.coalesce(traits, F.lit(""))), list(words)), points).otherwise(0.0)
     pairs = {
-        "professional_skill": 40 + 6 * skills, "certificate": 35 + 15 * certificates, "innovation": 40 + 8 * projects + 5 * awards, "learning": 45 + 4 * skills + 5 * awards,
-        "pressure_resistance": 45 + 10 * internships, "communication": 45 + 8 * internships + 4 * projects, "internship_practice": 35 + 15 * internships + 8 * projects,
+        "professional_skill": skills * 8.0 + tools * 6.0, "certificate": certificates * 30.0, "innovation": projects * 18.0 + said(18.0, "创新", "算法", "建模", "研发"),
+        "learning": 35.0 + skills * 4.0 + tools * 3.0 + said(12.0, "学习"), "pressure_resistance": internships * 22.0 + projects * 14.0 + said(16.0, "抗压", "压力", "责任心"),
+        "communication": internships * 24.0 + projects * 10.0 + said(18.0, "沟通", "协作", "表达"), "internship_practice": internships * 40.0 + projects * 10.0,
     }
     return F.create_map(*[x for k, c in pairs.items() for x in (F.lit(k), top(c))])

@@ -9,11 +9,16 @@ from ..operators import match, path, report, student
 
 
 def profiles(students: DataFrame) -> DataFrame:
-    """Adds completeness and competitiveness to students with array columns and text fields."""
-    n = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0))
-    has = lambda c: F.when(n(c) > 0, 1.0).otherwise(0.0)
-    full = student.completeness({"basic": student.share([F.col("name"), F.col("school")]), "education": student.share([F.col("major"), F.col("degree")]), "skills": F.least(F.lit(1.0), n("skills") / 5), "practice": F.least(F.lit(1.0), n("practice") / 3), "certificates": has("certificates"), "intention": has("occupation_hints"), "evaluation": has("soft_skills")})
-    strong = student.competitiveness({"education": 4.0 * F.col("degree_rank"), "skills": 3.0 * n("skills"), "certificates": 5.0 * n("certificates"), "internships": 5.0 * n("practice"), "projects": 4.0 * n("tools"), "intention": 10.0 * has("occupation_hints"), "evaluation": 5.0 * has("soft_skills")})
+    """Adds completeness, competitiveness and band to students with array columns and text fields."""
+    n = lambda c: F.coalesce(F.size(F.array_distinct(c)), F.lit(0)) if c in students.columns else F.lit(0)
+    col = lambda c: F.col(c) if c in students.columns else F.lit(None).cast("string")
+    target, hints = F.coalesce(F.trim(col("target_job")) != "", F.lit(False)), n("occupation_hints") > 0
+    about = lambda word: F.coalesce(F.size(F.filter("practice", lambda t: F.contains(t, F.lit(word)))), F.lit(0))
+    full = student.completeness(
+        student.share([col(c) for c in ("name", "phone", "email", "school", "major", "degree", "graduation_year")]), student.share([col(c) for c in ("degree", "school", "major", "graduation_year")]),
+        n("skills") + n("tools"), about("项目"), about("实习"), n("awards"), target, hints,
+    )
+    strong = student.competitiveness(col("degree"), col("major"), n("skills"), n("tools"), about("项目"), about("实习"), n("certificates"), n("awards"), target, hints, n("domain_tags"), F.col("practice"))
     return students.withColumns({"completeness": full, "competitiveness": strong}).withColumn("band", student.band(F.col("competitiveness")))
 
 

@@ -284,11 +284,11 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT 'S' || l_suppkey AS source_job, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS targets, count(DISTINCT p_type) AS edge_count
-FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount > 0.07 GROUP BY 1 ORDER BY edge_count DESC, source_job LIMIT 10
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 ORDER BY edge_count DESC, source_job LIMIT 10
 """)
 def representative_paths(spark: SparkSession, d: str) -> DataFrame:
     part = load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("target_job"))
-    named = load(spark, d, "lineitem").filter("l_discount > 0.07").join(part, "l_partkey").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source_job"), "target_job", F.lit("PROMOTE_TO").alias("kind"))
+    named = load(spark, d, "lineitem").join(part, "l_partkey").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source_job"), "target_job", F.lit("PROMOTE_TO").alias("kind"))
     return graph.representative_paths(named, n=10).withColumn("targets", F.array_join("targets", "|"))
 
 
@@ -303,12 +303,12 @@ def optional_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT 'S' || (l_suppkey % 40) AS s, 'S' || (l_partkey % 40) AS t FROM lineitem WHERE l_quantity = 50),
+WITH e AS (SELECT DISTINCT 'S' || (l_suppkey % 40) AS s, 'S' || (l_partkey % 40) AS t FROM lineitem),
 k AS (SELECT * FROM e WHERE s <> t)
 SELECT n AS name, count(*) AS degree FROM (SELECT s AS n FROM k UNION ALL SELECT t FROM k) GROUP BY n
 """)
 def connected_graph(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "lineitem").filter("l_quantity = 50").select(F.concat(F.lit("S"), (F.col("l_suppkey") % 40).cast("string")).alias("start"), F.concat(F.lit("S"), (F.col("l_partkey") % 40).cast("string")).alias("end"), F.lit("LINK").alias("kind"))
+    rows = load(spark, d, "lineitem").select(F.concat(F.lit("S"), (F.col("l_suppkey") % 40).cast("string")).alias("start"), F.concat(F.lit("S"), (F.col("l_partkey") % 40).cast("string")).alias("end"), F.lit("LINK").alias("kind"))
     names = rows.select(F.col("start").alias("id")).union(rows.select(F.col("end").alias("id"))).distinct()
     v, e = graph.normalized(names, rows)
     ends = e.select(F.explode(F.array("start", "end")).alias("id"))
@@ -316,12 +316,12 @@ def connected_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 100 + 1 AS VARCHAR) AS t FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 48),
+WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 100 + 1 AS VARCHAR) AS t FROM lineitem),
 r AS (SELECT '1' AS id, 0 AS hops UNION SELECT t, hops + 1 FROM r JOIN e ON e.s = r.id WHERE hops < 3)
 SELECT id, min(hops) AS hops FROM r GROUP BY id
 """)
 def reachable_hops(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "lineitem").filter("l_linenumber = 1 and l_quantity > 48").select(F.col("l_suppkey").cast("string").alias("start"), (F.col("l_partkey") % 100 + 1).cast("string").alias("end")).distinct()
+    e = load(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("start"), (F.col("l_partkey") % 100 + 1).cast("string").alias("end")).distinct()
     return graph.reachable(e, ["1"], 3)
 
 
@@ -338,8 +338,7 @@ def student_job_ranking(spark: SparkSession, d: str) -> DataFrame:
 
     students = load(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 6).alias("have"))
     jobs = load(spark, d, "part").groupBy(F.col("p_type").alias("job")).agg(F.count("*").alias("n"), (F.max("p_size") % 6).alias("need"))
-    folded = jobs.agg(F.collect_list(F.struct("job", "n", "need")).alias("jobs"))  # part types: a fixed, small set
-    pairs = students.join(F.broadcast(folded), F.lit(True)).select("c_custkey", "have", F.explode("jobs").alias("j")).select("c_custkey", "have", "j.*")
+    pairs = match.with_jobs(students, jobs)
     degree = match.degree_score(F.col("have"), F.col("need"))
     scored = pairs.withColumn("degree", degree).withColumn("score", match.asset_score(F.col("degree") / 100, F.lit(0.5), F.col("n"), F.lit(0)))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.desc("score"), "job"))).filter("rank <= 5").select("c_custkey", "job", "degree", "score", "rank")
@@ -347,7 +346,7 @@ def student_job_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH dims(dimension, w) AS (VALUES ('professional_skill', 0.25), ('certificate', 0.10), ('innovation', 0.10), ('learning', 0.15), ('pressure_resistance', 0.10), ('communication', 0.15), ('internship_practice', 0.15)),
-x AS (SELECT c_custkey, dimension, w, (c_custkey * 7 + length(dimension) * 13) % 100 - (c_nationkey * 3 + length(dimension)) % 100 AS gap FROM customer CROSS JOIN dims),
+x AS (SELECT c_custkey, dimension, w, (c_custkey * 7 + c_nationkey * 3 + length(dimension) * 13) % 100 - length(dimension) * 17 % 60 AS gap FROM customer CROSS JOIN dims),
 y AS (SELECT *, CASE WHEN gap >= -10 THEN 1.0 WHEN gap >= -25 THEN 0.5 ELSE 0.0 END AS p FROM x)
 SELECT c_custkey, round(sum(w * p) / sum(w) * 100, 2) AS ability_score, CASE WHEN min(p) = 0 THEN 'no_match' WHEN min(p) = 0.5 THEN 'risk' ELSE 'match' END AS ability_status, count(*) FILTER (WHERE p = 0) AS gaps FROM y GROUP BY c_custkey
 """)
@@ -356,26 +355,79 @@ def ability_gap(spark: SparkSession, d: str) -> DataFrame:
 
     dims = F.explode(F.array(*[F.lit(k) for k, _, _ in vocab.ABILITY_DIMENSIONS])).alias("dimension")
     base = load(spark, d, "customer").select("c_custkey", "c_nationkey", dims)
-    gap = (F.col("c_custkey") * 7 + F.length("dimension") * 13) % 100 - (F.col("c_nationkey") * 3 + F.length("dimension")) % 100
-    level = base.select("c_custkey", "dimension", gap.alias("score"))
-    zero = level.select("dimension").distinct().withColumn("score", F.lit(0))
-    return match.ability_gaps(level, zero, ["c_custkey"])
+    have = (F.col("c_custkey") * 7 + F.col("c_nationkey") * 3 + F.length("dimension") * 13) % 100
+    need = spark.createDataFrame([(k, len(k) * 17 % 60) for k, _, _ in vocab.ABILITY_DIMENSIONS], "dimension string, score int")
+    return match.ability_gaps(base.select("c_custkey", "dimension", have.alias("score")), need, ["c_custkey"])
 
 
-@query("""
-WITH o AS (SELECT o_custkey, count(*) AS orders, count(DISTINCT o_orderpriority) AS kinds, sum(o_totalprice) AS total FROM orders GROUP BY 1),
-x AS (SELECT c_custkey, c_acctbal, coalesce(orders, 0) AS orders, coalesce(kinds, 0) AS kinds FROM customer LEFT JOIN o ON o_custkey = c_custkey),
-y AS (SELECT c_custkey, round(20 * 1.0 + 15 * CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.5 END + 20 * least(1.0, orders / 5) + 15 * least(1.0, kinds / 3), 2) AS completeness,
- round(least(100.0, least(20.0, orders * 1.5) + least(25.0, kinds * 6.0) + least(10.0, greatest(0.0, c_acctbal / 1000))), 2) AS competitiveness FROM x)
-SELECT *, CASE WHEN completeness >= 90 THEN 'A' WHEN completeness >= 80 THEN 'B' WHEN completeness >= 70 THEN 'C' WHEN completeness >= 60 THEN 'D' ELSE 'E' END AS band,
- CASE WHEN competitiveness >= 75 THEN 'strong' WHEN competitiveness >= 55 THEN 'medium' WHEN competitiveness >= 35 THEN 'basic' ELSE 'weak' END AS level FROM y
+_STUDENT = """
+SELECT c_custkey, c_custkey % 8 AS basic, c_custkey % 5 AS edu, c_custkey % 11 AS hard, c_custkey % 6 AS tools, c_custkey % 3 AS projects, c_nationkey % 3 AS internships, c_nationkey % 5 AS certs, c_custkey % 4 AS awards,
+ c_nationkey % 2 = 0 AS target, c_custkey % 3 = 0 AS hints, c_nationkey % 7 AS domains, ['博士', '硕士研究生', '本科', '大专', '专科', '高中', ''][c_nationkey % 7 + 1] AS degree, c_custkey % 9 <> 0 AS major,
+ c_custkey % 13 = 0 AS modelling, c_custkey % 17 = 0 AS engineering, c_custkey % 19 = 0 AS business FROM customer
+"""
+
+
+@query(f"""
+WITH x AS ({_STUDENT}),
+y AS (SELECT c_custkey, round(least(100, greatest(0, round(20.0 * least(basic, 7) / 7, 2) + round(15.0 * least(edu, 4) / 4, 2) + CASE WHEN hard + tools >= 8 THEN 20 WHEN hard + tools >= 5 THEN 16 WHEN hard + tools >= 3 THEN 12 WHEN hard + tools >= 1 THEN 8 ELSE 0 END
+  + CASE WHEN projects >= 2 THEN 15 WHEN projects = 1 THEN 12 ELSE 0 END + CASE WHEN internships >= 2 THEN 15 WHEN internships = 1 THEN 12 ELSE 0 END + CASE WHEN awards >= 1 THEN 10 ELSE 0 END + CASE WHEN target AND hints THEN 5 WHEN target OR hints THEN 3 ELSE 0 END))::DOUBLE, 2) AS completeness,
+ round(least(100, least(20.0, CASE degree WHEN '博士' THEN 18 WHEN '硕士研究生' THEN 16 WHEN '本科' THEN 13 WHEN '大专' THEN 10 WHEN '专科' THEN 10 WHEN '高中' THEN 6 ELSE 0 END + CASE WHEN major THEN 2 ELSE 0 END)
+  + least(25.0, hard * 4.0) + least(10.0, tools * 2.5) + least(15.0, least(15.0, projects * 8.0) + CASE WHEN modelling THEN 2 ELSE 0 END + CASE WHEN engineering THEN 2 ELSE 0 END)
+  + least(20.0, least(20.0, internships * 10.0) + CASE WHEN business THEN 2 ELSE 0 END) + least(10.0, certs * 4.0 + awards * 3.0) + CASE WHEN target AND hints THEN 5 WHEN hints THEN 3 ELSE 0 END + least(10.0, domains * 2.0))::DOUBLE, 2) AS competitiveness FROM x)
+SELECT *, CASE WHEN competitiveness >= 85 THEN 'A' WHEN competitiveness >= 70 THEN 'B' WHEN competitiveness >= 55 THEN 'C' ELSE 'D' END AS band,
+ CASE WHEN competitiveness >= 75 THEN 'high' WHEN competitiveness >= 55 THEN 'medium_high' WHEN competitiveness >= 35 THEN 'medium' ELSE 'low' END AS level FROM y
 """)
 def profile_scores(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.count_distinct("o_orderpriority").alias("kinds"))
-    x = load(spark, d, "customer").join(o, "c_custkey", "left").na.fill(0, ["orders", "kinds"])
-    full = student.completeness({"basic": F.lit(1.0), "education": F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.5), "skills": F.col("orders") / 5, "practice": F.col("kinds") / 3})
-    strong = student.competitiveness({"education": F.col("orders") * 1.5, "skills": F.col("kinds") * 6.0, "certificates": F.greatest(F.lit(0.0), F.col("c_acctbal") / 1000)})
-    return x.select("c_custkey", full.alias("completeness"), strong.alias("competitiveness")).withColumns({"band": student.band(F.col("completeness")), "level": student.level(F.col("competitiveness"))})
+    x = _students(load(spark, d, "customer"))
+    c = F.col
+    full = student.completeness(F.least(c("basic"), F.lit(7)) / 7, F.least(c("edu"), F.lit(4)) / 4, c("hard") + c("tools"), c("projects"), c("internships"), c("awards"), c("target"), c("hints"))
+    strong = student.competitiveness(c("degree"), c("major"), *[c(n) for n in ("hard", "tools", "projects", "internships", "certs", "awards", "target", "hints", "domains", "tags")])
+    return x.select("c_custkey", full.alias("completeness"), strong.alias("competitiveness")).withColumns({"band": student.band(F.col("competitiveness")), "level": student.level(F.col("competitiveness"))})
+
+
+def _students(customer: DataFrame) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    degrees = F.array(*[F.lit(x) for x in ("博士", "硕士研究生", "本科", "大专", "专科", "高中", "")])
+    tags = F.array_compact(F.array(F.when(k % 13 == 0, "项目:建模算法"), F.when(k % 17 == 0, "项目:工程开发"), F.when(k % 19 == 0, "实习:业务协作")))
+    return customer.select(
+        "c_custkey", (k % 8).alias("basic"), (k % 5).alias("edu"), (k % 11).alias("hard"), (k % 6).alias("tools"), (k % 3).alias("projects"), (n % 3).alias("internships"), (n % 5).alias("certs"), (k % 4).alias("awards"),
+        (n % 2 == 0).alias("target"), (k % 3 == 0).alias("hints"), (n % 7).alias("domains"), F.get(degrees, n % 7).alias("degree"), F.when(k % 9 != 0, "x").otherwise("").alias("major"), tags.alias("tags"),
+    )
+
+
+@query(f"""
+WITH x AS (SELECT *, CASE c_custkey % 4 WHEN 0 THEN '学习与创新' WHEN 1 THEN '抗压 沟通' WHEN 2 THEN '表达' ELSE '' END AS t FROM ({_STUDENT})),
+s AS (SELECT c_custkey, hard * 8.0 + tools * 6.0 AS professional_skill, certs * 30.0 AS certificate, projects * 18.0 + CASE WHEN contains(t, '创新') THEN 18 ELSE 0 END AS innovation, 35.0 + hard * 4.0 + tools * 3.0 + CASE WHEN contains(t, '学习') THEN 12 ELSE 0 END AS learning,
+ internships * 22.0 + projects * 14.0 + CASE WHEN contains(t, '抗压') THEN 16 ELSE 0 END AS pressure_resistance, internships * 24.0 + projects * 10.0 + CASE WHEN contains(t, '沟通') OR contains(t, '表达') THEN 18 ELSE 0 END AS communication, internships * 40.0 + projects * 10.0 AS internship_practice FROM x),
+l AS (UNPIVOT s ON COLUMNS(* EXCLUDE c_custkey) INTO NAME dimension VALUE score)
+SELECT c_custkey, dimension, least(100.0, score)::DOUBLE AS score FROM l
+""")
+def ability_without_profile(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    traits = F.when(k == 0, "学习与创新").when(k == 1, "抗压 沟通").when(k == 2, "表达").otherwise("")
+    scores = student.ability_fallback(*[F.col(c) for c in ("hard", "tools", "certs", "internships", "projects")], traits)
+    return _students(load(spark, d, "customer")).select("c_custkey", F.explode(scores).alias("dimension", "score"))
+
+
+@query("""
+WITH x AS (SELECT c_custkey, ['项目经验', '可实习', '能出差', '沟通能力强', '客户拜访', '实习3个月以上', '客户接待'][c_custkey % 7 + 1] AS a, ['跨部门协作', '', '驻场', '项目经验'][c_custkey % 4 + 1] AS b, c_custkey % 3 AS projects, c_custkey % 2 AS internships, c_nationkey % 2 = 0 AS travels, c_nationkey % 3 = 0 AS talks FROM customer),
+y AS (SELECT *, list_filter(list_distinct([a, b]), lambda v: v <> '') AS w FROM x),
+z AS (SELECT *, list_filter(w, lambda r: CASE WHEN contains(r, '可实习') THEN true WHEN contains(r, '项目') THEN projects > 0 WHEN contains(r, '实习') THEN internships > 0 WHEN contains(r, '出差') OR contains(r, '驻场') THEN travels WHEN contains(r, '协作') OR contains(r, '沟通') THEN talks ELSE r = '客户拜访' END) AS met FROM y)
+SELECT c_custkey, len(w) AS wanted, CASE WHEN len(w) = 0 THEN 100.0 ELSE round(len(met) / len(w) * 100, 2) END::DOUBLE AS score FROM z
+""")
+def practice_score(spark: SparkSession, d: str) -> DataFrame:
+    """Of the two requirements without a rule one equals an experience tag; the other shares half of its letters: .5 of the .65 asked for."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    a = F.get(words("项目经验", "可实习", "能出差", "沟通能力强", "客户拜访", "实习3个月以上", "客户接待"), (k % 7).cast("int"))
+    b = F.get(words("跨部门协作", "", "驻场", "项目经验"), (k % 4).cast("int"))
+    tags = F.array_compact(F.array(F.lit("客户拜访"), F.when(n % 2 == 0, "愿意出差")))
+    tags = F.when(n % 2 == 0, F.array_union(tags, words("驻场半年"))).otherwise(tags)
+    soft = F.when(n % 3 == 0, words("团队合作")).otherwise(words("学习能力"))
+    wanted = F.array(a, b)
+    score = match.practice_score(wanted, tags, k % 3, k % 2, soft)
+    size = F.size(F.filter(F.array_distinct(wanted), lambda w: w != "")).cast("long")
+    return load(spark, d, "customer").select("c_custkey", size.alias("wanted"), score.alias("score"))
 
 
 @query("""
@@ -406,12 +458,14 @@ def path_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT p_partkey, p_size, p_partkey % 5 AS pro, p_partkey % 4 AS tra, p_partkey % 2 = 0 AS tgt, p_partkey % 9 = 0 AS hint FROM part)
-SELECT p_partkey, round(least(100.0, 50 + CASE WHEN tgt THEN 0.45 ELSE 0.20 END * p_size + CASE WHEN pro >= 3 THEN 14 WHEN pro >= 1 THEN 10 ELSE 4 END + CASE WHEN tra >= 3 THEN 10 WHEN tra >= 1 THEN 7 ELSE 2 END + CASE WHEN hint THEN 10 ELSE 0 END + 5)::DOUBLE, 2) AS goal_score FROM x
+WITH x AS (SELECT p_partkey, p_size, ['graph', 'offline', 'fallback', NULL][p_partkey % 4 + 1] AS direct, ['graph', 'offline', 'fallback', NULL][p_partkey % 5 + 1] AS transition, p_partkey % 2 = 0 AS tgt, p_partkey % 9 = 0 AS hint, p_partkey % 3 = 0 AS growing FROM part)
+SELECT p_partkey, round(least(100.0, 50 + CASE WHEN tgt THEN 0.45 ELSE 0.20 END * p_size + CASE direct WHEN 'graph' THEN 14 WHEN 'offline' THEN 10 WHEN 'fallback' THEN 4 ELSE 0 END + CASE transition WHEN 'graph' THEN 10 WHEN 'offline' THEN 7 WHEN 'fallback' THEN 2 ELSE 0 END
+ + CASE WHEN hint THEN 10 ELSE 0 END + CASE WHEN growing AND tgt THEN 5 ELSE 0 END)::DOUBLE, 2) AS goal_score FROM x
 """)
 def candidate_goal_score(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    return load(spark, d, "part").select("p_partkey", path.goal_score(F.col("p_size"), k % 2 == 0, k % 5, k % 4, k % 9 == 0, F.lit(True)).alias("goal_score"))
+    tier = lambda n: F.get(F.array(F.lit("graph"), F.lit("offline"), F.lit("fallback"), F.lit(None)), (k % n).cast("int"))
+    return load(spark, d, "part").select("p_partkey", path.goal_score(F.col("p_size"), k % 2 == 0, tier(4), tier(5), k % 9 == 0, k % 3 == 0).alias("goal_score"))
 
 
 @query("""
@@ -466,3 +520,119 @@ SELECT doc_id, source, quality IS NOT NULL AS labelled FROM documents LEFT JOIN
 def asset_left_join(spark: SparkSession, d: str) -> DataFrame:
     labels = load(spark, d, "labels")
     return load(spark, d, "documents").select("doc_id", "source").join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "source", F.col("quality").isNotNull().alias("labelled"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS lo, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice + 100 END AS hi FROM orders)
+SELECT o_custkey, round(coalesce(avg(lo), 0), 4) AS min_avg, round(coalesce(avg(hi), 0), 4) AS max_avg, round(coalesce(avg((lo + hi) / 2), 0), 4) AS mid_avg, count(*) AS samples FROM r WHERE n <= 5 GROUP BY o_custkey
+""")
+def compact_salary(spark: SparkSession, d: str) -> DataFrame:
+    low, high = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") + 100)
+    return stats.compact_salary(load(spark, d, "orders"), ["o_custkey"], low, high, [F.desc("o_orderdate"), F.asc("o_orderkey")], digits=4)
+
+
+@query("SELECT p_name, count(*) AS count FROM part WHERE trim(p_name) <> '' GROUP BY p_name ORDER BY count DESC, p_name LIMIT 20")
+def top_names(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top_names(load(spark, d, "part"), "p_name")
+
+
+@query("SELECT p_partkey, p_brand, p_type FROM part WHERE CASE WHEN EXISTS (SELECT 1 FROM part WHERE trim(p_brand) = 'ECONOMY') THEN trim(p_brand) = 'ECONOMY' ELSE trim(split_part(p_type, ' ', 1)) = 'ECONOMY' END")
+def group_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    part = load(spark, d, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return stats.group_rows(part, "ECONOMY", "p_brand", "kind").select("p_partkey", "p_brand", "p_type")
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, length(coalesce(text, '')) AS chars, CAST(row_number() OVER (PARTITION BY source ORDER BY length(coalesce(text, '')) DESC, doc_id) AS INTEGER) AS position FROM documents)
+SELECT source, doc_id, chars, position FROM r WHERE position <= 5
+""")
+def longest_samples(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.longest(load(spark, d, "documents"), ["source"], "text", [F.asc("doc_id")])
+    return found.select("source", "doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "position")
+
+
+@query("""
+WITH x AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'job_' || c_custkey WHEN 1 THEN substr(md5(c_name), 1, 12) WHEN 2 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN c_name ELSE ' n/a ' END AS name FROM customer)
+SELECT c_custkey, c_custkey % 5 = 3 AS valid FROM x
+""")
+def valid_job_name(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("job_"), k.cast("string"))).when(k % 5 == 1, F.substring(F.md5("c_name"), 1, 12)).when(k % 5 == 2, k.cast("string")).when(k % 5 == 3, F.col("c_name")).otherwise(" n/a ")
+    return load(spark, d, "customer").select("c_custkey", parse.is_job_name(name).alias("valid"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey, lower(p_name || ' ' || array_to_string(list_filter([CASE WHEN p_size % 3 = 0 THEN 'Spark' END, CASE WHEN p_size % 5 = 0 THEN 'Excel' END, CASE WHEN p_size % 7 = 0 THEN 'Python' END], lambda v: v IS NOT NULL), ' ') || ' ' || CASE WHEN p_size % 4 = 0 THEN '沟通协作' ELSE '' END) AS t FROM part)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN t SIMILAR TO '(?s).*(数据分析|sql|excel|tableau|power bi|a/b测试).*' THEN '数据分析' END, CASE WHEN t SIMILAR TO '(?s).*(机器学习|深度学习|nlp|推荐系统|python|pytorch|tensorflow).*' THEN '人工智能' END,
+ CASE WHEN t SIMILAR TO '(?s).*(spark|hadoop|hive|flink|kafka|sql).*' THEN '大数据工程' END, CASE WHEN t SIMILAR TO '(?s).*(java|python|c[+][+]|git|docker|kubernetes|redis).*' THEN '软件开发' END, CASE WHEN t SIMILAR TO '(?s).*(数据分析|a/b测试|excel|power bi|沟通协作).*' THEN '商业分析' END], lambda v: v IS NOT NULL), '|') AS domains FROM x
+""")
+def domain_tags(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size")
+    skills = F.array_compact(F.array(F.when(n % 3 == 0, "Spark"), F.when(n % 5 == 0, "Excel"), F.when(n % 7 == 0, "Python")))
+    soft = F.when(n % 4 == 0, F.array(F.lit("沟通协作"))).otherwise(F.array().cast("array<string>"))
+    return load(spark, d, "part").select("p_partkey", F.array_join(parse.domain_tags(F.col("p_name"), skills, soft), "|").alias("domains"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN array_to_string(list_sort([p_brand, '软件工程']), '|') WHEN 1 THEN '专业不限' WHEN 2 THEN array_to_string(list_sort([p_type, p_brand]), '|') WHEN 3 THEN '' ELSE array_to_string(list_sort([p_brand, p_type]), '|') END AS majors FROM part
+""")
+def major_list(spark: SparkSession, d: str) -> DataFrame:
+    k, brand, kind = F.col("p_partkey") % 5, F.col("p_brand"), F.col("p_type")
+    t = (
+        F.when(k == 0, F.concat(brand, F.lit("、软件工程，"), brand)).when(k == 1, F.concat(F.lit("专业不限，"), brand)).when(k == 2, F.concat(F.lit('["'), kind, F.lit('", "'), brand, F.lit('"]')))
+        .when(k == 3, "").otherwise(F.concat(brand, F.lit("与"), kind, F.lit("等相关专业优先")))
+    )
+    return load(spark, d, "part").select("p_partkey", F.array_join(parse.major_list(t), "|").alias("majors"))
+
+
+@query("""
+WITH x AS (SELECT s_suppkey, s_name, 'J' || s_nationkey AS a, 'J' || (s_suppkey % 7) AS b FROM supplier),
+r AS (SELECT s_suppkey, s_name AS source_job, a AS target_job, 'PROMOTE_TO' AS relation_type FROM x UNION ALL SELECT s_suppkey, b, a, 'TRANSFER_TO' FROM x WHERE a <> b)
+SELECT s_suppkey, source_job, target_job, relation_type FROM r
+""")
+def relation_details(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats, loops, unlike names of the same field and unknown relations in one JSON text."""
+    a, b = F.concat(F.lit("J"), F.col("s_nationkey").cast("string")), F.concat(F.lit("J"), (F.col("s_suppkey") % 7).cast("string"))
+    one = F.concat(F.lit('{"target_job": "'), a, F.lit('", "relation_type": "promote_to"}'))
+    other = F.concat(F.lit('{"source_job": "'), b, F.lit('", "to_job": "'), a, F.lit('", "type": "TRANSFER_TO", "reason": "x"}'))
+    rows = F.concat(F.lit("["), F.concat_ws(", ", one, one, other, F.lit('{"target_job": "z", "type": "KNOWS"}'), F.lit("null"), F.lit('{"type": "PROMOTE_TO"}')), F.lit("]"))
+    got = load(spark, d, "supplier").select("s_suppkey", F.explode(parse.relation_details(rows, F.col("s_name"))).alias("r"))
+    return got.select("s_suppkey", "r.source_job", "r.target_job", "r.relation_type")
+
+
+@query("""
+WITH x AS (SELECT o_orderkey, o_custkey, (o_orderkey % 101)::DOUBLE AS m, CASE WHEN o_orderkey % 2 = 0 THEN 'direct_vertical' ELSE 'transfer' END AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'graph' ELSE 'offline' END AS s FROM orders)
+SELECT o_orderkey, CASE WHEN k = 'direct_vertical' THEN m + CASE WHEN s = 'graph' THEN 8 ELSE 4 END WHEN s = 'graph' THEN greatest(50, m - 2) + 6 ELSE greatest(50, m - 5) + 3 END::DOUBLE AS path_score_hint,
+ CASE WHEN k = 'direct_vertical' AND s = 'graph' THEN 'high' WHEN k = 'direct_vertical' THEN CASE WHEN m >= 75 THEN 'high' ELSE 'medium' END WHEN s = 'graph' THEN CASE WHEN m < 80 THEN 'high' ELSE 'medium' END WHEN m < 75 THEN 'high' ELSE 'medium' END AS priority_hint FROM x
+""")
+def path_candidates(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = load(spark, d, "orders").select("o_orderkey", (k % 101).cast("double").alias("match_score"), F.when(k % 2 == 0, "direct_vertical").otherwise("transfer").alias("path_type"), F.when(k % 3 == 0, "graph").otherwise("offline").alias("source"))
+    return path.candidate_options(rows).select("o_orderkey", "path_score_hint", "priority_hint")
+
+
+@query("""
+WITH a AS (SELECT c_custkey AS student, c_mktsegment AS job, 0 AS k, 0 AS o FROM customer UNION ALL SELECT o_custkey, o_orderpriority, 1, o_orderkey FROM orders UNION ALL SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'J' || c_nationkey END, 2, 0 FROM customer),
+m AS (SELECT student, job, min((k, o)) AS place_of FROM a GROUP BY ALL)
+SELECT student, job, CAST(row_number() OVER (PARTITION BY student ORDER BY place_of, job) AS INTEGER) AS place FROM m
+""")
+def goal_candidates(spark: SparkSession, d: str) -> DataFrame:
+    c, o = load(spark, d, "customer"), load(spark, d, "orders")
+    own = c.select(F.col("c_custkey").alias("student"), F.col("c_mktsegment").alias("job"), F.lit(0).cast("long").alias("o"))
+    ranked = o.select(F.col("o_custkey").alias("student"), F.col("o_orderpriority").alias("job"), F.col("o_orderkey").alias("o"))
+    hints = c.select(F.col("c_custkey").alias("student"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.concat(F.lit("J"), F.col("c_nationkey").cast("string"))).alias("job"), F.lit(0).cast("long").alias("o"))
+    return path.goal_candidates([(own, "o"), (ranked, "o"), (hints, "o")], "student")
+
+
+@query("""
+WITH g AS (SELECT DISTINCT 'J' || n_regionkey AS job, n_name AS path, 'PROMOTE_TO' AS kind FROM nation),
+f AS (SELECT DISTINCT 'J' || (s_suppkey % 5) AS job, n_name AS path, 'PROMOTE_TO' AS kind FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT 'J' || (s_suppkey % 5), 'S' || s_nationkey, 'TRANSFER_TO' FROM supplier)
+SELECT job, path, kind, 'graph' AS source FROM g UNION ALL (SELECT job, path, kind, 'offline' FROM f EXCEPT SELECT job, path, kind, 'offline' FROM g)
+""")
+def offline_paths(spark: SparkSession, d: str) -> DataFrame:
+    nation, supplier = load(spark, d, "nation"), load(spark, d, "supplier")
+    known = nation.select(F.concat(F.lit("J"), F.col("n_regionkey").cast("string")).alias("job"), F.col("n_name").alias("path"), F.lit("PROMOTE_TO").alias("kind"))
+    rows = supplier.join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    as_json = lambda c: F.to_json(F.array(c))
+    profiles = rows.select(F.concat(F.lit("J"), (F.col("s_suppkey") % 5).cast("string")).alias("job"), as_json(F.col("n_name")).alias("vertical_paths"), as_json(F.concat(F.lit("S"), F.col("s_nationkey").cast("string"))).alias("transfer_paths"))
+    return path.with_offline_paths(known, profiles)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse, similarity, text
+from ..functions import parse, similarity, text, vocab
 from ..operators import clean, relevance, resolve, resume, titles, vector
 from .tables import load
 
@@ -37,21 +37,34 @@ def clean_html(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", t.alias("t")).select("page_id", F.md5("t").alias("text_md5"), F.char_length("t").cast("long").alias("chars"))
 
 
-_TITLE = {"the ": 3.0, "ing": 2.0, "ation": 1.5}
-_OTHER = {"und": 3.0, "que ": 2.5, "les ": 2.0}
+#: Job titles that documents are given by their id, so that all branches of the decision occur.
+_JOB_TITLES = ["Java开发工程师", "会计", "技术支持", "销售经理", "产品经理", "实施工程师", "运营专员", "测试", "项目经理", "x"]
 
 
-def _sum_sql(weights: dict[str, float], column: str = "t") -> str:
-    return " + ".join(f"CASE WHEN contains({column}, '{k}') THEN {w} ELSE 0.0 END" for k, w in weights.items())
+def _weights_sql(column: str, weights: dict[str, float]) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({column}, '{k}') THEN {float(w)} ELSE 0.0 END" for k, w in weights.items()) + ")::DOUBLE"
 
 
+def _side_sql(lists: tuple) -> str:
+    return "round(1.2 * round({}, 4) + round({}, 4) + round({}, 4), 4)".format(*[_weights_sql(c, w) for c, w in zip("tdi", lists, strict=True)])
+
+
+_AMBIGUOUS_SQL = " OR ".join(f"contains(t, '{w}')" for w in vocab.AMBIGUOUS_TITLES)
 _SCORES = f"""
-WITH x AS (SELECT doc_id, lower(substr(text, 1, 400)) AS t, lang FROM documents),
-s AS (SELECT doc_id, lang, round(round(({_sum_sql(_TITLE)})::DOUBLE, 4) * 1.2, 4) AS cs, round(({_sum_sql(_OTHER)})::DOUBLE, 4) AS non FROM x),
-d AS (SELECT *, non >= 3 AND non - cs >= 1.5 AS dr, cs >= 3 AND cs - non >= 1 AND NOT (lang = 'en' AND non > 0) AS kp, lang = 'en' AND cs >= 2.4 AND non <= 1.2 AS sf FROM s)
+WITH x AS (SELECT doc_id, lower({_JOB_TITLES!r}[doc_id % 10 + 1]) AS t, left(lower(CASE WHEN doc_id % 4 = 0 THEN '负责软件开发 java ' WHEN doc_id % 4 = 1 THEN '会计核算 ' ELSE '' END || coalesce(text, '')), {relevance.DESCRIPTION_CHARS}) AS d, CASE WHEN doc_id % 3 = 0 THEN '互联网' WHEN doc_id % 3 = 1 THEN '制造' ELSE '' END AS i FROM documents),
+s AS (SELECT doc_id, {_side_sql((vocab.CS_TITLE, vocab.CS_DESCRIPTION, vocab.CS_INDUSTRY))} AS cs, {_side_sql((vocab.NON_CS_TITLE, vocab.NON_CS_DESCRIPTION, vocab.NON_CS_INDUSTRY))} AS non, {_AMBIGUOUS_SQL} AS amb FROM x),
+d AS (SELECT *, non >= 3 AND non - cs >= 1.5 AS dr, cs >= 3 AND cs - non >= 1 AND NOT (amb AND non > 0) AS kp, amb AND cs >= 2.4 AND non <= 1.2 AS sf FROM s)
 """
 
 
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    title = F.get(F.array(*[F.lit(t) for t in _JOB_TITLES]), (k % 10).cast("int"))
+    description = F.concat(F.when(k % 4 == 0, "负责软件开发 java ").when(k % 4 == 1, "会计核算 ").otherwise(""), F.coalesce("text", F.lit("")))
+    industry = F.when(k % 3 == 0, "互联网").when(k % 3 == 1, "制造").otherwise("")
+    return relevance.audited(load(spark, d, "documents").select("doc_id", title.alias("job_title"), description.alias("job_description"), industry.alias("industry")))
+
+
 @query(
     _SCORES
     + """SELECT doc_id, cs, non, CASE WHEN dr THEN 'drop' WHEN kp OR sf THEN 'keep' WHEN cs >= non THEN 'keep' ELSE 'drop' END AS decision,
@@ -59,9 +72,9 @@ d AS (SELECT *, non >= 3 AND non - cs >= 1.5 AS dr, cs >= 3 AND cs - non >= 1 AN
  CASE WHEN dr OR kp OR sf THEN 'rule' ELSE 'fallback' END AS source FROM d"""
 )
 def three_way_decision(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower(F.substring("text", 1, 400))
-    scored = load(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("amb"), F.round(text.keyword_score(t, _TITLE) * 1.2, 4).alias("cs"), text.keyword_score(t, _OTHER).alias("non"))
-    return scored.withColumn("d", relevance.decision(F.col("cs"), F.col("non"), F.col("amb"))).select("doc_id", "cs", "non", "d.*")
+    """The real dictionaries, over whole documents as descriptions (the rule reads 1,400 characters of one)."""
+    a = _audited(spark, d)
+    return a.select("doc_id", F.col("cs_score").alias("cs"), F.col("non_cs_score").alias("non"), F.when(F.col("is_cs_related"), "keep").otherwise("drop").alias("decision"), F.col("cs_filter_confidence").alias("confidence"), F.col("cs_filter_source").alias("source"))
 
 
 @query(
@@ -69,20 +82,19 @@ def three_way_decision(spark: SparkSession, d: str) -> DataFrame:
     + """SELECT CASE WHEN dr OR kp OR sf THEN 'rule' ELSE 'fallback' END AS cs_filter_source, CASE WHEN dr THEN false WHEN kp OR sf THEN true ELSE cs >= non END AS is_cs_related, count(*) AS n FROM d GROUP BY 1, 2"""
 )
 def source_audit(spark: SparkSession, d: str) -> DataFrame:
-    judged = three_way_decision(spark, d).select(F.col("source").alias("cs_filter_source"), (F.col("decision") == "keep").alias("is_cs_related"))
-    return relevance.source_counts(judged)
+    return relevance.source_counts(_audited(spark, d))
 
 
 @query("""
-WITH b AS (SELECT doc_id, n_chars, source, md5(text) AS k1, CASE WHEN doc_id % 3 <> 0 THEN md5(lower(substr(text, 1, 200))) END AS k2, lang || source || CAST(n_chars AS VARCHAR) AS k3 FROM documents),
+WITH b AS (SELECT doc_id, n_chars, source, md5(text) AS k1, CASE WHEN doc_id % 3 <> 0 THEN md5(lower(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))) END AS k2, lang || source || CAST(n_chars AS VARCHAR) AS k3 FROM documents),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY k1 ORDER BY n_chars DESC, doc_id) AS n1 FROM b),
 r2 AS (SELECT *, CASE WHEN k2 IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY k2 ORDER BY n_chars DESC, doc_id) END AS n2 FROM r1 WHERE n1 = 1),
 r3 AS (SELECT *, row_number() OVER (PARTITION BY k3 ORDER BY n_chars DESC, doc_id) AS n3 FROM r2 WHERE n2 = 1)
-SELECT doc_id, CAST(NULL AS VARCHAR) AS duplicate_rule FROM r3 WHERE n3 = 1 UNION ALL SELECT doc_id, 'text' FROM r1 WHERE n1 > 1 UNION ALL SELECT doc_id, 'beginning' FROM r2 WHERE n2 > 1 UNION ALL SELECT doc_id, 'shape' FROM r3 WHERE n3 > 1
+SELECT doc_id, CAST(NULL AS VARCHAR) AS duplicate_rule FROM r3 WHERE n3 = 1 UNION ALL SELECT doc_id, 'text' FROM r1 WHERE n1 > 1 UNION ALL SELECT doc_id, 'normal_text' FROM r2 WHERE n2 > 1 UNION ALL SELECT doc_id, 'shape' FROM r3 WHERE n3 > 1
 """)
 def layered_dedup(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", "n_chars", F.md5("text").alias("k1"), F.when(F.col("doc_id") % 3 != 0, F.md5(F.lower(F.substring("text", 1, 200)))).alias("k2"), F.concat("lang", "source", F.col("n_chars").cast("string")).alias("k3"))
-    keys = [("text", F.col("k1")), ("beginning", F.col("k2")), ("shape", F.col("k3"))]
+    docs = load(spark, d, "documents").select("doc_id", "n_chars", F.md5("text").alias("k1"), F.when(F.col("doc_id") % 3 != 0, F.md5(F.lower(F.regexp_replace("text", "[ \\t\\r\\n]+", " ")))).alias("k2"), F.concat("lang", "source", F.col("n_chars").cast("string")).alias("k3"))
+    keys = [("text", F.col("k1")), ("normal_text", F.col("k2")), ("shape", F.col("k3"))]
     return clean.layered_dedup(docs, keys, [F.desc("n_chars"), F.asc("doc_id")], audit=True).select("doc_id", "duplicate_rule")
 
 
@@ -94,18 +106,22 @@ def evidence_sentence(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", text.evidence(F.col("text"), ["the", "der"]).alias("sentence"))
 
 
-@query(r"""
+_DOMAINS_SQL = " OR ".join(f"domain = '{x}' OR domain LIKE '%.{x}'" for x in vocab.EMAIL_DOMAINS)
+_NEAR_SQL = " OR ".join(f"contains(line, '{w}')" for w in vocab.EMAIL_CONTEXT)
+
+
+@query(rf"""
 WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1)) AS v, text FROM documents),
 e AS (SELECT doc_id, text, unnest(v) AS value FROM m),
-p AS (SELECT *, strpos(text, value) AS pos FROM e),
-q AS (SELECT *, lower(substr(text, greatest(1, pos - 12), least(12, pos - 1))) AS before FROM p),
-s AS (SELECT *, 100 + CASE WHEN contains(before, 'mail') OR contains(before, '邮箱') THEN 30 ELSE 0 END + CASE WHEN pos <= 400 THEN 18 ELSE 0 END AS score FROM q),
+p AS (SELECT *, strpos(text, value) AS pos, lower(split_part(value, '@', 2)) AS domain FROM e),
+q AS (SELECT *, trim(string_split(substr(text, 1, pos - 1), chr(10))[-1] || CASE WHEN contains(substr(text, pos), chr(10)) THEN split_part(substr(text, pos), chr(10), 1) ELSE substr(text, pos, 160) END) AS line FROM p),
+s AS (SELECT *, 100 + CASE WHEN {_NEAR_SQL} THEN 30 ELSE 0 END + CASE WHEN pos <= 800 THEN 18 WHEN pos <= 2000 THEN 8 ELSE 0 END + CASE WHEN {_DOMAINS_SQL} THEN 8 ELSE 0 END + CASE WHEN length(value) <= 40 THEN 5 ELSE 0 END - CASE WHEN regexp_matches(value, '[-+%]{{2,}}') THEN 12 ELSE 0 END AS score FROM q),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, value DESC) AS n, count(*) OVER (PARTITION BY doc_id) AS emails FROM s)
-SELECT doc_id, emails, value AS best_email FROM r WHERE n = 1
+SELECT doc_id, emails, score, value AS best_email FROM r WHERE n = 1
 """)
 def contact_candidates(spark: SparkSession, d: str) -> DataFrame:
-    got = load(spark, d, "documents").select("doc_id", resume.candidates(F.col("text"), resume.EMAIL, ["mail", "邮箱"]).alias("c"))
-    return got.filter(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("emails"), F.col("c")[0]["value"].alias("best_email"))
+    got = load(spark, d, "documents").select("doc_id", resume.emails(F.col("text")).alias("c"))
+    return got.filter(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("emails"), F.col("c")[0]["score"].alias("score"), F.col("c")[0]["value"].alias("best_email"))
 
 
 @query("""
@@ -159,7 +175,7 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PROFILE = """
-WITH d AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 2),
+WITH d AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL),
 w AS (SELECT p_name AS id, unnest(list_distinct(string_split(p_name, ' '))) AS tok FROM d),
 b AS (SELECT id, 'token' AS kind, tok AS key FROM w UNION SELECT p_name, 'prefix3', substr(p_name, 1, 3) FROM d),
 u AS (SELECT kind, key FROM b GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200),
@@ -167,8 +183,8 @@ p AS (SELECT DISTINCT x.id AS id_1, y.id AS id_2 FROM b x JOIN b y ON x.kind = y
 """
 
 
-def _names(spark: SparkSession, d: str, only: str = "p_size <= 2") -> tuple[DataFrame, DataFrame]:
-    names = load(spark, d, "part").filter(only).select(F.col("p_name").alias("id")).distinct()
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    names = load(spark, d, "part").filter("p_name is not null").select(F.col("p_name").alias("id")).distinct()
     pair = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("key"))
     keys = F.concat(F.transform(F.array_distinct(F.split("id", " ")), lambda t: pair("token", t)), F.array(pair("prefix3", F.left("id", F.lit(3)))))
     return names, titles.blocked_pairs(names, "id", keys)
@@ -192,18 +208,23 @@ def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """difflib's ratio has no SQL form. All names, not only those in the SQL of ``pair_blocking``."""
-    return _names(spark, d, "true")[1].select("id_1", "id_2", F.round(similarity.sequence_ratio(F.col("id_1"), F.col("id_2")), 4).alias("ratio"))
+    """difflib's ratio has no SQL form."""
+    return _names(spark, d)[1].select("id_1", "id_2", F.round(similarity.sequence_ratio(F.col("id_1"), F.col("id_2")), 4).alias("ratio"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09),
-n AS (SELECT a AS id FROM e UNION SELECT b FROM e), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT id, id AS seen FROM n UNION SELECT r.id, x.b FROM r JOIN both_ways x ON x.a = r.seen)
-SELECT id, min(seen) AS cluster FROM r GROUP BY id
+def _least_neighbours(rounds: int) -> str:
+    """Labels that take the least one of their neighbours, again and again: exact if the last round changes nothing."""
+    step = "l{b} AS (SELECT l.id, least(l.c, min(n.c)) AS c FROM l{a} l JOIN e ON e.a = l.id JOIN l{a} n ON n.id = e.b GROUP BY l.id, l.c)"
+    return ", ".join(step.format(a=k, b=k + 1) for k in range(rounds))
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT l_suppkey AS a, 100000000 + l_partkey AS b FROM lineitem), e AS (SELECT a, b FROM d UNION ALL SELECT b, a FROM d), l0 AS (SELECT DISTINCT a AS id, a AS c FROM e), {_least_neighbours(12)}
+SELECT id, c AS cluster FROM l12
 """)
 def components(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "lineitem").filter("l_quantity = 50 and l_discount >= 0.09").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b")).distinct()
+    """Suppliers and parts by all lines. Two of them are few steps apart, so twelve rounds settle the labels of the SQL."""
+    e = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b")).distinct()
     nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return titles.components(nodes, e)
 
@@ -222,33 +243,42 @@ def greedy_tag_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, array_to_string(list_distinct(regexp_extract_all(lower(text), '([a-z0-9+#.]{2,}|[\\x{4e00}-\\x{9fff}]{2,})', 1))[1:0], ',') AS none, len(list_distinct(regexp_extract_all(lower(text), '([a-z0-9+#.]{2,}|[\\x{4e00}-\\x{9fff}]{2,})', 1))) AS keywords FROM conversations
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z0-9+#.]{2,}|[\\x{4e00}-\\x{9fff}]{2,})', 1))), ',') AS keywords FROM conversations
 """)
 def question_keywords(spark: SparkSession, d: str) -> DataFrame:
     words = vector.question_keywords(F.col("text"), most=1_000_000)
-    return load(spark, d, "conversations").select("conv_id", "turn", F.lit("").alias("none"), F.size(words).cast("long").alias("keywords"))
+    return load(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(words), ",").alias("keywords"))
 
 
 @query("""
-WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '本科及以上学历,必须持有PMP' WHEN 1 THEN '学历不限' WHEN 2 THEN '硕士或博士,CET-6优先' WHEN 3 THEN '大专 3年以上' ELSE '无' END AS k FROM documents)
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '本科' WHEN 1 THEN '学历不限' WHEN 2 THEN '硕士' WHEN 3 THEN '大专' ELSE '未明确' END AS degree,
- CASE doc_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE -1 END AS rank, CASE doc_id % 5 WHEN 0 THEN 'PMP:must' WHEN 2 THEN 'CET-6:preferred' ELSE '' END AS certificates,
- CASE WHEN doc_id % 5 = 3 THEN '3-5年经验' ELSE '' END AS experience FROM x
+WITH x AS (SELECT doc_id, doc_id % 5 AS g, doc_id % 7 AS c, doc_id % 3 AS e FROM documents)
+SELECT doc_id, ['本科', '学历不限', '硕士', '大专', '未明确'][g + 1] AS degree, [3, 0, 4, 2, -1][g + 1] AS rank,
+ CASE c WHEN 0 THEN 'PMP:must' WHEN 1 THEN 'PMP:preferred' WHEN 2 THEN 'CET-6:mentioned' WHEN 3 THEN 'CET-6:preferred' WHEN 4 THEN 'PMP:mentioned' ELSE '' END AS certificates, CASE e WHEN 0 THEN '3-5年经验' ELSE '' END AS experience FROM x
 """)
 def requirement_extraction(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 5
-    t = F.when(k == 0, "本科及以上学历,必须持有PMP").when(k == 1, "学历不限").when(k == 2, "硕士或博士,CET-6优先").when(k == 3, "大专 3年以上").otherwise("无")
-    got = load(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", parse.degree_requirement(F.col("t")).alias("g"), parse.certificates(F.col("t")).alias("c"), parse.experience(F.col("t")).alias("e"))
+    """Degree, certificate and experience sentences in every combination. Words of force count in the certificate's own
+    sentence, however far apart, and not in another one."""
+    pick = lambda n, *words: F.get(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % n).cast("int"))
+    degree = pick(5, "本科及以上学历", "学历不限", "硕士或博士", "大专学历", "无")
+    certificate = pick(7, "候选人入职之前必须已经拿到并且能够出示有效的PMP", "有PMP者在同等条件之下将会被我们优先考虑", "CET-6", "英语CET-6加分", "PMP。其他优先", "无", "擅长写作")
+    years = pick(3, "3年以上", "无", "态度好")
+    rows = load(spark, d, "documents").select("doc_id", F.concat_ws("。", degree, certificate, years).alias("t"))
+    got = rows.select("doc_id", parse.degree_requirement(F.col("t")).alias("g"), parse.certificates(F.col("t")).alias("c"), parse.experience(F.col("t")).alias("e"))
     named = F.array_join(F.transform("c", lambda x: F.concat(x["name"], F.lit(":"), x["force"])), ",")
     return got.select("doc_id", F.col("g.degree").alias("degree"), F.col("g.rank").alias("rank"), named.alias("certificates"), F.array_join("e", ",").alias("experience"))
 
 
 @query("""
-WITH n AS (SELECT DISTINCT p_brand AS name, lower(replace(p_brand, '#', '')) AS tok FROM part), r AS (SELECT DISTINCT p_brand AS request FROM part UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT 'nothing like it')
-SELECT request, CASE WHEN e.name IS NOT NULL OR l.name IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN e.name IS NOT NULL THEN 'exact' WHEN l.name IS NOT NULL THEN 'normalized' END AS stage, coalesce(e.name, l.name) AS name
-FROM r LEFT JOIN n e ON e.name = request LEFT JOIN n l ON lower(l.name) = lower(request)
+WITH n AS (SELECT DISTINCT 'Brand' || lpad(split_part(p_brand, '#', 2), 3, '0') AS name, 8 AS l FROM part), k AS (SELECT unnest(range(6)) AS stage_no)
+SELECT CASE stage_no WHEN 0 THEN name WHEN 1 THEN lower(name) || ' (岗位)' WHEN 2 THEN '俗称' || name WHEN 3 THEN '招 ' || name || ' 人' WHEN 4 THEN 'x' || name ELSE '无此名' || substr(name, 7) END AS request,
+ CASE WHEN stage_no < 5 THEN 'resolved' ELSE 'unresolved' END AS status, ['exact', 'normalized', 'alias', 'tokens', 'similarity', NULL][stage_no + 1] AS stage, CASE WHEN stage_no < 5 THEN name END AS name,
+ CASE stage_no WHEN 0 THEN 1.0 WHEN 1 THEN 0.96 WHEN 2 THEN 0.98 WHEN 3 THEN 0.9 WHEN 4 THEN round(2.0 * l / (2 * l + 1), 4) END::DOUBLE AS confidence FROM n, k
 """)
 def name_resolution(spark: SparkSession, d: str) -> DataFrame:
-    names = load(spark, d, "part").select(F.col("p_brand").alias("name")).distinct()
-    asked = names.select(F.col("name").alias("request")).union(names.select(F.lower("name"))).union(spark.createDataFrame([("nothing like it",)], "request string"))
-    return resolve.resolve(asked, names).select("request", "status", "stage", "name")
+    """All five stages and a miss for every brand. A letter before a name leaves no other within .08 of its similarity."""
+    number = F.lpad(F.split_part("p_brand", F.lit("#"), F.lit(2)), 3, "0")
+    names = load(spark, d, "part").select(F.concat(F.lit("Brand"), number).alias("name")).distinct()
+    name = F.col("name")
+    forms = F.array(name, F.concat(F.lower(name), F.lit(" (岗位)")), F.concat(F.lit("俗称"), name), F.concat(F.lit("招 "), name, F.lit(" 人")), F.concat(F.lit("x"), name), F.concat(F.lit("无此名"), F.substring(name, F.lit(7), F.char_length(name))))
+    aliases = names.select(F.concat(F.lit("俗称"), name).alias("alias"), "name")
+    return resolve.resolve(names.select(F.explode(forms).alias("request")), names, aliases).select("request", "status", "stage", "name", "confidence")

@@ -107,7 +107,20 @@ def test_guard(spark):
     spark.range(30).createOrReplaceTempView("jobs")
     spark.range(3).createOrReplaceTempView("secrets")
     assert sqlapi.guarded(spark, "select id from jobs limit 500").count() == 15
-    for bad in ("drop table jobs", "select 1; select 2", "select * from jobs, secrets", "select * from jobs where id in (select id from secrets)", "select 1 -- x"):
+    for good in (
+        "with a as (select id from jobs), b (x) as (select id from a) select count(*) from b", "select case when (id > 3) then upper('drop (x)') else 'secrets' end from jobs where id in (select max(id) from jobs)",
+        "select * from (with a as (select id from jobs) select * from a) x", "select count(*) from jobs where id >= 0 and (id < 9 or id = 12)",
+    ):
+        assert sqlapi.guarded(spark, good).count() > 0
+    wide = ", ".join(f"id as c{k}" for k in range(60))
+    for bad in (
+        "drop table jobs", "select 1; select 2", "select * from jobs, secrets", "select * from jobs where id in (select id from secrets)", "select 1 -- x",
+        "with secrets as (select * from secrets) select * from secrets", "select * from (with secrets as (select * from secrets) select * from secrets) x",
+        "with a as (with secrets as (select * from secrets) select * from secrets) select * from a", "with jobs as (select * from secrets) select * from jobs", "with `secrets` as (select * from secrets) select * from `secrets`",
+        "select reflect('java.lang.System', 'getProperty', 'user.home') from jobs", "select `reflect` ('java.lang.System', 'getProperty', 'user.home') from jobs", "select java_method('java.lang.System', 'gc') from jobs",
+        "select try_reflect('a', 'b') from jobs", "select '\\'', reflect('java.lang.System', 'gc'), '' from jobs", "select * from identifier('secrets')", "select * from parquet.`/etc`", "select * from range(10)",
+        f"select {wide}, (select max(id) from secrets) as s from jobs", "select * from jobs where exists (table secrets)", "with a as (select 1) insert into jobs select * from a", "select secrets.id from jobs join secrets using (id)",
+    ):
         with pytest.raises(sqlapi.UnsafeQuery):
             sqlapi.guarded(spark, bad)
 
