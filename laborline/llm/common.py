@@ -11,20 +11,23 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "file:///tmp/checkpoints"
+#: Only for a master that is one machine.
+LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, else the one set by setCheckpointDir.
 
-    Where the setting is absent (tests, a laptop) a folder of our own is set.
+    Without either a local master gets a folder of its own; on a cluster that would be each executor's own disk, so it is
+    an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = DEFAULT_SHARED
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    context = spark.sparkContext
+    if base := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return base.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(LOCAL_SHARED)
+    return LOCAL_SHARED
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,9 +38,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    fs, plain = file_system(path)
+    fs.delete_dir(plain)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint in the shared folder, so that its lineage ends there."""
-    shared_dir(df.sparkSession)
+    """Materialise ``df`` with a reliable checkpoint in the shared folder, so that its lineage ends there.
+
+    Spark deletes it with the DataFrame if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    spark = df.sparkSession
+    base = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
 
@@ -80,6 +95,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Text of a range bucket, on average.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Range buckets for the texts of ``docs``: the shuffle partitions, or as many more as keep a bucket at BUCKET_BYTES on average."""
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def with_buckets(df: DataFrame, key: str, n: int, out: str = "bucket_no") -> DataFrame:
     """``df`` with an ascending range bucket of the integer ``key`` (nulls: -1), by approximate quantiles.
 

@@ -4,7 +4,9 @@ Every window of four bytes gives three triplets (1st, 2nd and 3rd; 1st, 2nd and
 to one of 128 buckets and counted. A digest holds two bits per bucket (which quartile its count lies in), the
 logarithmic length and the ratios of the quartiles. Two digests are compared by a difference score with an upper bound.
 
-Defined results: a null text counts as empty; texts under four bytes have empty buckets, and differ by length only.
+Defined results: a null text counts as empty; texts under four bytes have empty buckets, and differ by length only;
+quartiles of tied counts are equal; rows that repeat an id are documents of their own, next to one another in the order of
+a hash of their texts; null ids come last; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes, views, with_buckets
+from .common import buckets_for, text_bytes, views, with_buckets
 
 BUCKETS = 128
 #: Difference at and beyond which two digests count as unlike.
@@ -144,7 +146,7 @@ def with_next(docs: DataFrame, n: int | None = None) -> DataFrame:
     goes to the bucket before it. Rows of one id are ordered by a hash of the text.
     """
     spark = docs.sparkSession
-    n = n or partitions(spark)
+    n = n or buckets_for(docs)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     rows = with_buckets(base, "doc_id", n)
     heads = rows.groupBy("bucket_no").agg(F.max("doc_id").alias("doc_id")).orderBy(F.desc("bucket_no")).collect()
@@ -157,5 +159,5 @@ def with_next(docs: DataFrame, n: int | None = None) -> DataFrame:
     own = F.struct(F.col("bucket_no"), F.lit(0).alias("copy"))
     both = F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to_bucket").alias("bucket_no"), F.lit(1).alias("copy"))))
     dealt = tagged.select("doc_id", "body", F.explode(both).alias("at")).select("at.bucket_no", "at.copy", "doc_id", "body")
-    ordered = dealt.repartition(n, "bucket_no").sortWithinPartitions("bucket_no", "copy", F.desc_nulls_last("doc_id"), F.xxhash64("body"))
+    ordered = dealt.repartitionById(n + 1, F.col("bucket_no") + 1).sortWithinPartitions("bucket_no", "copy", F.desc_nulls_last("doc_id"), F.xxhash64("body"))
     return ordered.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

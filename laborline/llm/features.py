@@ -68,7 +68,7 @@ def toxic_features(text: bytes, lexicon: frozenset[str], memo: dict[str, bool])
         hit = memo.get(w)
         if hit is None:
             hit = w in lexicon or any(w[:i] + "*" in lexicon for i in PREFIXES)
-            if len(memo) < 500_000:
+            if len(memo) < 200_000:
                 memo[w] = hit
         if hit:
             hits.append(k)

@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP images to and from numpy arrays, area resizing by integral images, NPY tiles, difference hashes.
 
-Defined results: a null text counts as empty, and makes one row of zero bytes; bytes that are no image of a known kind
-raise ValueError in the decoders.
+Defined results: a null text counts as empty, and makes one row of zero bytes; rows that repeat an id are images of their
+own; equal neighbours count as not darker in the hash; an empty table gives no rows; extra columns are ignored; bytes that
+are no image of a known kind raise ValueError in the decoders.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_bytes, views
+from .common import discard, scratch, text_bytes, views
 
 WIDTH = 64
 TILE = 16
@@ -181,7 +182,10 @@ def read_media(table: DataFrame) -> DataFrame:
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
+    """``read_media`` of the texts written as images, its tiles written as NPY bytes and read back: tile_sha256 is of those."""
     spark = docs.sparkSession
-    path = scratch(spark, "media")
+    path, tiles = scratch(spark, "media"), scratch(spark, "tiles")
     write_media(docs, path)
-    return read_media(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
+    read_media(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)).write.option("compression", "zstd").parquet(tiles)
+    discard(path)
+    return spark.read.schema(FEATURES).parquet(tiles).withColumn("tile_sha256", F.sha2("tile", 256))

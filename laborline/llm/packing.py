@@ -1,10 +1,17 @@
 """Hierarchical residual packing of token sequences.
 
 Every partition packs its pieces best-fit (longest first), keeps the nearly full bins, and hands the others on as single
-items. Rounds merge the items of several partitions into one until one partition is left.
+items. Rounds merge the items of several partitions into one until one partition is left. A bin is also done if the
+emptiest bin of the round doesn't fit into it: no round can add to it. A partition hands on its emptiest bins, as many as
+make PER_TASK items where partitions meet; after best-fit at most one of its bins is half empty or more, so the others
+could only take such ones.
+
+The partitions follow the number of pieces, so the sequences depend on it a little: each partition leaves at most a few
+bins that are not full.
 
 Defined results: a null text counts as empty, and is a document of the end id alone; repeated rows are packed each for
-itself; an empty table gives no rows. Pieces need not be unique by id.
+itself; ties of length and of room go by the order of the pieces; an empty table gives no rows; extra columns of the pieces
+stay. Pieces need not be unique by id.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_bytes, views
+from .common import cut, text_bytes, views
 from .tokens import END_ID, word_encoder
 
 CAPACITY = 4096
@@ -97,8 +104,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bin_of, offset, fills
 
 
-def _pack(level: int, capacity: int):
-    """A mapInArrow function: items (item, length) of the partition to (item, bin, offset, fill)."""
+def _pack(level: int, capacity: int, most_open: int):
+    """A mapInArrow function: items (item, length) of the partition to (item, bin, offset, fill, is_open). The ``most_open`` emptiest bins are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, lengths = [], []
@@ -110,10 +117,13 @@ def _pack(level: int, capacity: int):
         item, length = np.concatenate(items), np.concatenate(lengths)
         bin_of, offset, fills = best_fit(length, capacity)
         base = (level << 58) | (TaskContext.get().partitionId() << 34)
-        fill = np.array(fills, np.int64)[bin_of]
+        fills = np.array(fills, np.int64)
+        is_open = np.ones(len(fills), bool)
+        is_open[np.argsort(fills, kind="stable")[most_open:]] = False
+        fill, is_open = fills[bin_of], is_open[bin_of]
         for lo in range(0, len(item), 100_000):
             s = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_pydict({"item": item[s], "bin": base + bin_of[s], "place": offset[s], "fill": fill[s]})
+            yield pa.RecordBatch.from_pydict({"item": item[s], "bin": base + bin_of[s], "place": offset[s], "fill": fill[s], "is_open": is_open[s]})
 
     return run
 
@@ -123,18 +133,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan_in
     numbered = cut(pieces.withColumn("_item", F.monotonically_increasing_id()))
     whole = numbered.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("_item")).withColumn("offset", F.lit(0).cast("long"))
     items = numbered.filter(F.col("length") < capacity).select(F.col("_item").alias("item"), "length")
-    n = max(1, min(partitions(pieces.sparkSession), -(-items.count() // per_task)))
-    kind = "item long, bin long, place long, fill long"
+    n = max(1, -(-items.count() // per_task))
+    kind = "item long, bin long, place long, fill long, is_open boolean"
 
     def round_of(items: DataFrame, n: int, level: int) -> DataFrame:
         dealt = items.repartition(n, "item").sortWithinPartitions("item")
-        return cut(dealt.mapInArrow(_pack(level, capacity), kind))
+        return cut(dealt.mapInArrow(_pack(level, capacity, max(1, per_task // fan_in)), kind))
 
     first = round_of(items, n, 0)
     packed, moves, level = first, None, 0
     while n > 1:
         n, level = -(-n // fan_in), level + 1
-        open_bins = packed.filter(F.col("fill") < int(full * capacity)).groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("length"))
+        left = packed.filter((F.col("fill") < int(full * capacity)) & F.col("is_open"))
+        least = left.agg(F.min("fill")).first()[0]
+        if least is None:
+            break
+        open_bins = left.filter(F.col("fill") <= capacity - least).groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("length"))
         packed = round_of(open_bins, n, level)
         step = packed.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("place").alias("by"))
         if moves is None:

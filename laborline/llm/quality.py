@@ -5,7 +5,9 @@ rules keeps few of them, and these are compiled into one Spark column expression
 which is a parameter.
 
 Defined results: null and empty texts have the statistics of an empty text; labels of null value are left out, of several
-labels of an id the largest holds; without labels of both kinds every score is the share of ones (1 without labels).
+labels of an id the largest holds; rows that repeat an id are scored each for itself, and are samples each; equal texts have
+equal scores; without labels of both kinds every score is the share of ones (1 without labels); an empty table gives no rows;
+extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from .toxicity import SAMPLE, assembled, labelled_sample
 THRESHOLD = 0.3
 TREES, DEPTH, SEED = 16, 3, 11
 LASSO = 0.002
-MAX_RULES = 200
 
 #: feature number, True for "at most", bound
 Condition = tuple[int, bool, float]
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> QualityModel
     if not ones or ones == n:
         return QualityModel([], 0.0, ones / n if n else 1.0)
     forest = RandomForestClassifier(featuresCol="_vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64, featureSubsetStrategy="onethird").fit(assembled(rows, QUALITY_FEATURES).select("label", "_vector").coalesce(4))
-    rules = sorted({simplified(p) for t in forest.trees for p in paths(t._call_java("rootNode"))}, key=lambda r: (len(r), r))[:MAX_RULES]
+    rules = sorted({simplified(p) for t in forest.trees for p in paths(t._call_java("rootNode"))}, key=lambda r: (len(r), r))
     marks = rows.select("label", *[rule_column(r, F.col("_features")).cast("double").alias(f"r{k}") for k, r in enumerate(rules)])
     data = cut(VectorAssembler(inputCols=[f"r{k}" for k in range(len(rules))], outputCol="_vector").transform(marks).select("label", "_vector").coalesce(4))
     lasso = LogisticRegression(featuresCol="_vector", labelCol="label", elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(data)

@@ -19,18 +19,23 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law ``bytes``: the map from virtual slots to shards levels the shards' bytes."""
+    """Law ``bytes``: the map from virtual slots to shards levels the shards' bytes.
+
+    Version 1 of the map deals the slots out in turn; version 2 is its edit by the slots' bytes, which moves only what the
+    level needs. The rows go by version 2.
+    """
     body = text_bytes()
     rows = _documents(spark, sf_dir).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(body) + sharding.ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        sharding.virtual_slot(F.col("doc_id").cast("long")).alias("virtual_slot"),
     )
-    rows = cut(rows)
+    rows = cut(rows.withColumn("virtual_slot", sharding.virtual_slot(F.col("doc_id"), F.col("text_crc32"))))
     sums = sharding.slot_sums(rows)
     path = scratch(spark, "shard-map")
-    sharding.write_map(spark, path, sharding.map_rows(sharding.build_map(sums, N_SHARDS), sums, version=1))
+    first = [s % N_SHARDS for s in range(sharding.N_SLOTS)]
+    for version, shards in ((1, first), (2, sharding.rebalance(first, sums, N_SHARDS, slack=0.0))):
+        sharding.write_map(spark, path, sharding.map_rows(shards, sums, version))
     placed = sharding.assign(rows, sharding.read_map(spark, path), ["doc_id", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
@@ -66,7 +71,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = media.media_round_trip(_documents(spark, sf_dir))
-    return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256")
 
 
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

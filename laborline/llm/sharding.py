@@ -3,8 +3,9 @@
 Only per-slot sums (a fixed number of rows, whatever the input) reach the driver. Rebalancing edits the map: it adds a
 version in which as few slots as possible have moved.
 
-Defined results: a null text has no bytes; a null id hashes like any other value; repeated rows share a slot; an empty
-table has a map with empty slots. Extra columns are ignored.
+Defined results: a null text has no bytes; a null id hashes like any other value, so the texts of rows without ids spread
+them over the slots; rows of one id and one text share a slot, in any order; slots of equal weight go by number; an empty
+table has a map with empty slots; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +64,24 @@ def rebalance(old: list[int], sums: dict[int, tuple[int, int]], n_shards: int, s
         load, shard = heapq.heappop(heap)
         out[s] = shard
         heapq.heappush(heap, (load + weight[s], shard))
+    return levelled(out, weight, n_shards)
+
+
+def levelled(shards: list[int], weight: list[int], n_shards: int) -> list[int]:
+    """``shards`` after moves of a slot from the fullest to the emptiest shard, each the one that levels the two most, as long as one does."""
+    out, loads, held = list(shards), [0] * n_shards, [[] for _ in range(n_shards)]
+    for s, shard in enumerate(out):
+        loads[shard] += weight[s]
+        held[shard].append(s)
+    for _ in range(len(out)):
+        high, low = max(range(n_shards), key=loads.__getitem__), min(range(n_shards), key=loads.__getitem__)
+        gap = loads[high] - loads[low]
+        slot = min((s for s in held[high] if 0 < weight[s] < gap), key=lambda s: (abs(2 * weight[s] - gap), s), default=None)
+        if slot is None:
+            break
+        held[high].remove(slot)
+        held[low].append(slot)
+        loads[high], loads[low], out[slot] = loads[high] - weight[slot], loads[low] + weight[slot], low
     return out
 
 

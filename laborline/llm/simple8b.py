@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import encode_chunks
-from .common import file_system, partitions, text_bytes, with_buckets
+from .common import buckets_for, file_system, text_bytes, with_buckets
 from .tokens import END_ID
 
 MAGIC = b"S8BIDS01"
@@ -164,43 +164,101 @@ class IdFileWriter:
         return self.path, len(self.docs), sum(self.counts), self.at
 
 
+class IdFile:
+    """An id file's footer, and its blocks by their offsets."""
+
+    def __init__(self, path: str):
+        fs, plain = file_system(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        size = fs.get_file_info(plain).size
+        self.source = fs.open_input_file(plain)
+        tail = self.source.read_at(32, size - 32)
+        foot_at, n_docs, n_groups = struct.unpack("<QQQ", tail[:24])
+        if tail[24:] != MAGIC:
+            raise ValueError(f"{path}: not an id file")
+        foot = self.source.read_at(size - 32 - foot_at, foot_at)
+        self.names, self.known = np.frombuffer(foot, "<i8", n_docs), np.frombuffer(foot, np.uint8, n_docs, 8 * n_docs)
+        self.counts = np.frombuffer(foot, "<u8", n_docs, 9 * n_docs).astype(np.int64)
+        self.groups = np.frombuffer(foot, "<u8", 5 * n_groups, 17 * n_docs).reshape(-1, 5).astype(np.int64)
+        self.block_words = np.frombuffer(foot, "<u4", offset=17 * n_docs + 40 * n_groups).astype(np.int64)
+
+    def __enter__(self) -> IdFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.source.close()
+
+    def group(self, k: int) -> np.ndarray:
+        """All ids of a group, read at once."""
+        at, n_words, n_escapes, n_ids, _ = self.groups[k].tolist()
+        data = np.frombuffer(self.source.read_at(8 * (n_words + n_escapes), at - 8 * n_escapes), "<u8")
+        return decode(data[n_escapes:], data[:n_escapes], n_ids)
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of one block: only its words are read, and its group's escapes if it has any."""
+        first = np.concatenate(([0], np.cumsum(self.groups[:, 4])))
+        g = int(np.searchsorted(first, k, side="right")) - 1
+        at, _, n_escapes, n_ids, n_blocks = self.groups[g].tolist()
+        inside = k - int(first[g])
+        before = int(self.block_words[first[g] : k].sum())
+        words = np.frombuffer(self.source.read_at(8 * int(self.block_words[k]), at + 8 * before), "<u8")
+        n = n_ids - BLOCK * (n_blocks - 1) if inside == n_blocks - 1 else BLOCK
+        escapes = np.empty(0, np.uint64)
+        if (words >> _U(60) == 0).any():
+            escapes = np.frombuffer(self.source.read_at(8 * n_escapes, at - 8 * n_escapes), "<u8")
+        return decode(words, escapes, n)
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the i-th document, by the blocks that hold them."""
+        start = int(self.counts[:i].sum())
+        end = start + int(self.counts[i])
+        starts = np.concatenate(([0], np.cumsum(self.groups[:, 3])))
+        first = np.concatenate(([0], np.cumsum(self.groups[:, 4])))
+        out = []
+        while start < end:
+            g = int(np.searchsorted(starts, start, side="right")) - 1
+            k = (start - int(starts[g])) // BLOCK
+            ids = self.block(int(first[g]) + k)
+            lo = start - int(starts[g]) - k * BLOCK
+            out.append(ids[lo : lo + end - start])
+            start += len(out[-1])
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def read_id_file(path: str) -> Iterator[tuple[int | None, int, int]]:
-    """(doc_id, number of ids, crc32 of its ids as little-endian 32-bit integers) in the file's order, a group at a time."""
+    """(doc_id, number of ids, crc32 of its ids as little-endian 32-bit integers) in the file's order, a group at a time.
+
+    The last document is also found by its blocks' offsets, which must give the same ids.
+    """
+    last = None
     for doc, parts in read_documents(path):
         n, crc = 0, 0
         for ids in parts:
             n, crc = n + len(ids), zlib.crc32(ids.astype("<u4").tobytes(), crc)
+        last = n, crc
         yield doc, n, crc
+    if last:
+        with IdFile(path) as f:
+            ids = f.document(len(f.counts) - 1)
+        if (len(ids), zlib.crc32(ids.astype("<u4").tobytes())) != last:
+            raise ValueError(f"{path}: the offsets of its blocks are wrong")
 
 
 def read_documents(path: str) -> Iterator[tuple[int | None, Iterator[np.ndarray]]]:
     """Each document's id with the parts of its ids; the parts must be used before the next document is asked for."""
-    fs, plain = file_system(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    size = fs.get_file_info(plain).size
-    with fs.open_input_file(plain) as source:
-        tail = source.read_at(32, size - 32)
-        foot_at, n_docs, n_groups = struct.unpack("<QQQ", tail[:24])
-        if tail[24:] != MAGIC:
-            raise ValueError(f"{path}: not an id file")
-        foot = source.read_at(size - 32 - foot_at, foot_at)
-        names, known = np.frombuffer(foot, "<i8", n_docs), np.frombuffer(foot, np.uint8, n_docs, 8 * n_docs)
-        counts = np.frombuffer(foot, "<u8", n_docs, 9 * n_docs).tolist()
-        groups = np.frombuffer(foot, "<u8", 5 * n_groups, 17 * n_docs).reshape(-1, 5).tolist()
-        group = iter(groups)
+    with IdFile(path) as f:
+        group = iter(range(len(f.groups)))
         have, used = np.empty(0, np.uint64), 0
 
         def parts(n: int) -> Iterator[np.ndarray]:
             nonlocal have, used
             while n:
                 if used == len(have):
-                    at, n_words, n_escapes, n_ids, _ = next(group)
-                    data = np.frombuffer(source.read_at(8 * (n_words + n_escapes), at - 8 * n_escapes), "<u8")
-                    have, used = decode(data[n_escapes:], data[:n_escapes], n_ids), 0
+                    have, used = f.group(next(group)), 0
                 piece = have[used : used + n]
                 used, n = used + len(piece), n - len(piece)
                 yield piece
 
-        for name, there, n in zip(names.tolist(), known.tolist(), counts, strict=True):
+        for name, there, n in zip(f.names.tolist(), f.known.tolist(), f.counts.tolist(), strict=True):
             yield (name if there else None), parts(n)
 
 
@@ -232,11 +290,11 @@ def _write(folder: str, path: str, pattern: str, end_id: int):
 
 def write_ids(docs: DataFrame, folder: str, path: str, pattern: str, n: int | None = None, end_id: int = END_ID["byte"]) -> list[tuple]:
     """Files of ascending doc_id ranges; the manifest (a row per file, in that order) comes back to the driver."""
-    n = n or partitions(docs.sparkSession)
+    n = n or buckets_for(docs)
     fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)
     rows = with_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")), "doc_id", n)
-    dealt = rows.repartition(n, "bucket_no").sortWithinPartitions("bucket_no", "doc_id", F.xxhash64("body"))
+    dealt = rows.repartitionById(n + 1, F.col("bucket_no") + 1).sortWithinPartitions("bucket_no", "doc_id", F.xxhash64("body"))
     return sorted(tuple(r) for r in dealt.mapInArrow(_write(folder, path, pattern, end_id), MANIFEST).collect())
 
 

@@ -19,7 +19,7 @@ from itertools import filterfalse
 import numpy as np
 
 #: Chunks that a worker remembers.
-MEMO = 1_300_000
+MEMO = 500_000
 END_ID = {"word": 1, "byte": 0}
 
 

@@ -6,7 +6,9 @@ features by lexicons that were learned without the text; the rest calibrates the
 bounds (SAMPLE, LEXICON), which are parameters.
 
 Defined results: null and empty texts have the features of an empty text; labels of null value are left out, of several
-labels of an id the largest holds; without labels of both kinds every score is the share of ones (0 without labels).
+labels of an id the largest holds; rows that repeat an id are scored each for itself, and are samples each; terms of equal
+support go by name; without labels of both kinds every score is the share of ones (0 without labels); an empty table gives
+no rows; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations

@@ -121,9 +121,10 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            plain = [batch.column(n).to_pylist() for n in ("page_id", "url", "payload_digest", "refers_to")]
+            for page, url, digest, refers, payload in zip(*plain, views(batch.column("payload")), strict=True):  # a page's bytes at a time
                 writer = writer or ArchiveWriter(folder)
-                writer.add(row["page_id"], warc_record(row["page_id"], row["url"], row["payload"], row["payload_digest"], row["refers_to"]))
+                writer.add(page, warc_record(page, url, bytes(payload), digest, refers))
                 if writer.at > ROLL_OVER:
                     done.append(writer.close())
                     writer = None

@@ -89,6 +89,37 @@ def test_digests(spark, small):
     assert np.mean([r["near_edited"] > r["near_next"] for r in rows if r["n_chars"] > 200]) > 0.95
 
 
+def plain_digest(raw: bytes) -> str:
+    """The digest by a loop over byte windows."""
+    counts = [0] * 128
+    for w in zip(raw, raw[1:], raw[2:], raw[3:]):
+        for k, picks in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3))):
+            h = 0x27D4EB2F * (k + 1)
+            for factor, j in zip((0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), picks):
+                h += w[j] * factor
+            h &= 0xFFFFFFFF
+            h ^= h >> 15
+            counts[(h * 0x2C1B3C6D & 0xFFFFFFFF) >> 25] += 1
+    low, mid, high = (sorted(counts)[k] for k in (31, 63, 95))
+    bits = "".join(f"{(c > low) + (c > mid) + (c > high):02b}" for c in counts)
+    top = max(high, 1)
+    return f"{min(255, int(12 * np.log2(1 + len(raw)))):02x}{low * 15 // top:x}{mid * 15 // top:x}" + f"{int(bits, 2):064x}"
+
+
+def plain_likeness(a: str, b: str) -> float:
+    quartiles = lambda x: [int(x[4:], 16) >> 2 * k & 3 for k in range(128)]
+    total = sum((0, 1, 2, 6)[abs(p - q)] for p, q in zip(quartiles(a), quartiles(b)))
+    total += min(24, abs(int(a[:2], 16) - int(b[:2], 16))) + min(12, abs(int(a[2], 16) - int(b[2], 16)) + abs(int(a[3], 16) - int(b[3], 16)))
+    return 1 - min(256, total) / 256
+
+
+def test_digests_by_a_plain_loop():
+    texts = [(TEXTS[k] or "").encode() for k in TEXTS] + [text(k, 90).encode() for k in range(30)]
+    prints = digest.digests(texts)
+    assert prints == [plain_digest(t) for t in texts]
+    assert all(digest.likeness(a, b) == plain_likeness(a, b) for a in prints for b in prints)
+
+
 def test_digest_of_one_document(spark, tmp_path):
     docs = spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")
     r = queries.op2_digests(spark, write(spark, tmp_path, docs)).collect()
@@ -128,12 +159,26 @@ def test_packing(spark, small):
         assert len(bins) <= -(-total // 4096) * 1.02 + 1
 
 
+def test_packing_without_partners(spark):
+    """Where every document is over half the capacity no bin takes two: all are done in the first round, and none is lost."""
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(2000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(400)) + 501).alias("length"))
+    rows = packing.pack(pieces, capacity=1000, per_task=100, fan_in=4).collect()
+    assert len(rows) == len({r["sequence_id"] for r in rows}) == 2000 and all(r["offset"] == 0 for r in rows)
+    mixed = pieces.unionByName(spark.range(2000, 2100).select(F.col("id").alias("doc_id"), F.lit(90).cast("long").alias("length")))
+    bins = Counter()
+    for r in packing.pack(mixed, capacity=1000, per_task=100, fan_in=4).collect():
+        bins[r["sequence_id"]] += r["length"]
+    assert sum(bins.values()) == sum(r["length"] for r in mixed.collect()) and max(bins.values()) <= 1000 and len(bins) <= 2015
+
+
 def test_packing_rounds(spark):
-    """Several partitions and rounds give as few bins as one."""
+    """Several partitions and rounds give as few bins as one; partitions of a hundred pieces, which fill some forty bins each, nearly so."""
     from pyspark.sql import functions as F
 
     pieces = spark.range(3000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("length"))
-    for n in (100, 700, 10_000):
+    for n, most in ((100, 1.05), (700, 1.02), (10_000, 1.02)):
         rows = packing.pack(pieces, capacity=1000, per_task=n, fan_in=2).collect()
         bins = defaultdict(list)
         for r in rows:
@@ -142,7 +187,7 @@ def test_packing_rounds(spark):
         for b in bins.values():
             b.sort()
             assert b[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and sum(b[-1]) <= 1000
-        assert len(bins) <= 1.02 * sum(r["length"] for r in rows) / 1000 + 2
+        assert len(bins) <= most * sum(r["length"] for r in rows) / 1000 + 2
 
 
 def test_archives(spark, tmp_path):
@@ -239,6 +284,29 @@ def test_encoders_match_the_library_on_odd_texts():
     assert tokens.word_encoder(WORD).encode([t.encode() for t in odd]) == words
 
 
+def plain_resize(image, h, w):
+    """Means over areas by weights of whole and part pixels."""
+
+    def weights(n, k):
+        at = np.arange(k + 1) * (n / k)
+        return np.clip(np.minimum(at[1:, None], np.arange(1, n + 1)) - np.maximum(at[:-1, None], np.arange(n)), 0, None)
+
+    return weights(image.shape[0], h) @ image.astype(float) @ weights(image.shape[1], w).T / (image.shape[0] / h * image.shape[1] / w)
+
+
+def plain_hash(image) -> str:
+    small = np.round(plain_resize(image, 8, 9), 6)
+    return f"{int(''.join(str(int(a < b)) for row in small for a, b in zip(row, row[1:])), 2):016x}"
+
+
+def plain_tile(image) -> bytes:
+    import io
+
+    out = io.BytesIO()
+    np.save(out, np.clip(np.rint(np.round(plain_resize(image, 16, 16), 6)), 0, 255).astype(np.uint8))
+    return out.getvalue()
+
+
 def test_media(spark, small):
     for where, texts in ((small, TEXTS), (DATA, all_texts(spark))):
         rows = queries.op6_media(spark, where).collect()
@@ -249,6 +317,10 @@ def test_media(spark, small):
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
             stored = b"P5\n64 %d\n255\n" % (len(data) // 64) + data
             assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+            image = np.frombuffer(data, np.uint8).reshape(-1, 64)
+            assert r["feature"] == plain_hash(image)
+            tile = plain_tile(image)
+            assert r["tile_sha256"] == hashlib.sha256(tile).hexdigest()
 
 
 def test_images():
@@ -293,12 +365,21 @@ def test_simple8b():
 
 
 def test_id_file_of_many_groups(tmp_path, monkeypatch):
+    """Documents in order, and each document and block by the stored offsets."""
     monkeypatch.setattr(simple8b, "GROUP", 2)
     w, docs = simple8b.IdFileWriter(f"file://{tmp_path}", "x"), [np.arange(n, dtype=np.uint32) % 50_000 for n in (0, 1, 5000, 1024, 30_000, 7)]
     for k, ids in enumerate(docs):
         w.add(k or None, ids)
     path = w.close()[0]
     assert list(simple8b.read_id_file(path)) == [(k or None, len(d), zlib.crc32(d.astype("<u4").tobytes())) for k, d in enumerate(docs)]
+    w = simple8b.IdFileWriter(f"file://{tmp_path}", "wide")
+    wide = [*docs, np.array([5, 1 << 62, 7, (1 << 63) + 1], np.uint64), np.arange(3000, dtype=np.uint64) << np.uint64(51)]
+    for k, ids in enumerate(wide):
+        w.add(k, ids.astype(np.uint64))
+    with simple8b.IdFile(w.close()[0]) as f:
+        whole = np.concatenate([d.astype(np.uint64) for d in wide])
+        assert all((f.document(k) == d).all() and len(f.document(k)) == len(d) for k, d in enumerate(wide))
+        assert all((f.block(k) == whole[k * simple8b.BLOCK : (k + 1) * simple8b.BLOCK]).all() for k in range(len(f.block_words)))
 
 
 def brute_fingerprint(raw: bytes) -> int:
