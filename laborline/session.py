@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Only for a master that is one machine.
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def session(name: str = "laborline", **conf: str) -> SparkSession:
@@ -16,8 +17,13 @@ def session(name: str = "laborline", **conf: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; a folder of our own where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(DEFAULT_CHECKPOINTS)
+    """A checkpoint in the folder that spark.checkpoint.dir names, or that was set; in a folder of our own only on a local master."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = LOCAL_CHECKPOINTS
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
