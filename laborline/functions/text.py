@@ -165,7 +165,8 @@ def tolerant_json(c: Column, schema: str) -> Column:
     """Plain JSON, else the contents of a code fence, else the outermost braces."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    return F.coalesce(*[F.from_json(x, schema) for x in (c, F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")))])
+    # Text that is no JSON would give a struct of NULLs, which coalesce keeps.
+    return F.coalesce(*[F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema)) for x in (c, fenced, braces)])
 
 
 def aliased_columns(df: DataFrame, more: dict[str, Column] | None = None, aliases: dict[str, list[str]] = vocab.COLUMN_ALIASES) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +75,3 @@ def sample_requirements(df: DataFrame, job: str, row_id: str, body: str, profile
         parse.extraction_confidence(F.col("_degree.method"), by(F.col("majors")), by(F.col("certificates"))).alias("extraction_confidence"),
     )
 
-
-def any_present(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.size(F.col(c)) > 0 for c in columns])

@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import relational, textual
+from . import careers, relational, textual
 
-QUERIES = relational.QUERIES | textual.QUERIES
-SQL = relational.SQL | textual.SQL
+QUERIES = relational.QUERIES | textual.QUERIES | careers.QUERIES
+SQL = relational.SQL | textual.SQL | careers.SQL

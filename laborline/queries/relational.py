@@ -112,11 +112,11 @@ def must_preferred_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_brand, count(*) AS rows, round(avg(CASE WHEN p_size > 10 THEN 0.5 ELSE 0 END) + avg(CASE WHEN p_type LIKE '%STEEL%' THEN 0.3 ELSE 0 END) + avg(CASE WHEN p_retailprice > 1000 THEN 0.2 ELSE 0 END), 4) AS completeness
+SELECT p_brand, count(*) AS rows, round(avg(CASE WHEN p_size > 10 THEN 0.5 ELSE 0 END) + avg(CASE WHEN p_type LIKE '%STANDARD%' THEN 0.3 ELSE 0 END) + avg(CASE WHEN p_retailprice > 1000 THEN 0.2 ELSE 0 END), 4) AS completeness
 FROM part GROUP BY p_brand
 """)
 def weighted_completeness(spark: SparkSession, d: str) -> DataFrame:
-    parts = [(F.col("p_size") > 10, 0.5), (F.col("p_type").contains("STEEL"), 0.3), (F.col("p_retailprice") > 1000, 0.2)]
+    parts = [(F.col("p_size") > 10, 0.5), (F.col("p_type").contains("STANDARD"), 0.3), (F.col("p_retailprice") > 1000, 0.2)]
     return stats.weighted_presence(load(spark, d, "part"), ["p_brand"], parts)
 
 
@@ -228,21 +228,21 @@ def semi_anti_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT o.o_orderkey, c.c_name, n.n_name AS city, o.o_totalprice AS salary_max FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
-WHERE n.n_name ILIKE '%an%' AND o.o_totalprice >= 200000 ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 15
+WHERE n.n_name ILIKE '%nation_1%' AND o.o_totalprice >= 200000 ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 15
 """)
 def market_view_filter(spark: SparkSession, d: str) -> DataFrame:
     orders, customer, nation = (load(spark, d, t) for t in ("orders", "customer", "nation"))
     people = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("n_name").alias("city"))
     detail = orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("string").alias("salary_max"), F.lit(None).cast("string").alias("salary_month_max"))
     view = sqlapi.market_view(detail, people, key="o_custkey").filter("c_name is not null")
-    found = view.filter(sqlapi.rule_filter(city="AN", salary_floor=200000))
+    found = view.filter(sqlapi.rule_filter(city="nation_1", salary_floor=200000))
     return found.orderBy(F.desc("salary_max"), "o_orderkey").limit(sqlapi.MAX_ROWS).select("o_orderkey", "c_name", "city", "salary_max")
 
 
-@query("SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 2) AS mean_price FROM part WHERE p_type ILIKE '%steel%' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 15")
+@query("SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 2) AS mean_price FROM part WHERE p_type ILIKE '%standard%' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 15")
 def guarded_sql(spark: SparkSession, d: str) -> DataFrame:
     load(spark, d, "part").createOrReplaceTempView("jobs")
-    return sqlapi.guarded(spark, "SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 2) AS mean_price FROM jobs WHERE p_type ILIKE '%steel%' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 50")
+    return sqlapi.guarded(spark, "SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 2) AS mean_price FROM jobs WHERE p_type ILIKE '%standard%' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 50")
 
 
 @query("""
