@@ -1,7 +1,7 @@
 """Chunk-wise token ids by the tokenizers library.
 
 A text is cut at places where the vocabulary's own splitting always cuts, each different chunk is encoded once per
-Python worker, and the ids of a text are the joined ids of its chunks. The memo is bounded by ``MEMO`` chunks and is
+Python worker, and the ids of a text are the joined ids of its chunks. The memo is bounded by ``WORD_MEMO`` or ``BYTE_MEMO`` chunks and is
 emptied when full, so memory does not follow the input.
 """
 
@@ -19,7 +19,7 @@ from itertools import filterfalse
 import numpy as np
 
 #: Chunks that a worker remembers.
-MEMO = 500_000
+WORD_MEMO, BYTE_MEMO = 500_000, 1_300_000
 END_ID = {"word": 1, "byte": 0}
 
 
@@ -93,8 +93,9 @@ def _pack(ids: list[int]) -> bytes:
 class _Memo:
     """Chunk -> little-endian 32-bit ids, and piece -> the same, filled in batches."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, most: int):
         self.tokenizer = tokenizer
+        self.most = most
         self.model = tokenizer.model
         self.chunks: dict = {}
         self.pieces: dict[str, bytes] = {}
@@ -113,9 +114,9 @@ class _Memo:
         return [_pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def room(self) -> None:
-        if len(self.chunks) > MEMO:
+        if len(self.chunks) > self.most:
             self.chunks.clear()
-        if len(self.pieces) > MEMO // 4:
+        if len(self.pieces) > self.most // 4:
             self.pieces.clear()
 
 
@@ -128,7 +129,7 @@ class WordEncoder:
     def __init__(self, path: str):
         import regex
 
-        self.memo = _Memo(tokenizer_from_json(path))
+        self.memo = _Memo(tokenizer_from_json(path), WORD_MEMO)
         self.pattern = regex.compile(self.PATTERN)
         self.alphabet = "".join(byte_chars()[b] for b in range(256))
 
@@ -178,7 +179,7 @@ class ByteEncoder:
     def __init__(self, tokenizer, pattern: str):
         import regex
 
-        self.memo = _Memo(tokenizer)
+        self.memo = _Memo(tokenizer, BYTE_MEMO)
         self.pattern = regex.compile(pattern)
         self.safe = re.compile(r"(?<=\S)(?=[ \n]\S)")
         self.alphabet = "".join(byte_chars()[b] for b in range(256))
