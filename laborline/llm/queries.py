@@ -96,6 +96,43 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def digest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_digests: lengths and hashes of the edited texts."""
+    return op2_digests(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+DIGEST_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT doc_id, t, n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after FROM d)
+SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 2) || left(after, n // 2)) AS edited_sha256 FROM x
+"""
+
+
+def shard_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1_slots: sizes, and that the law of bytes and the gapless places hold."""
+    placed = cut(op1_slots(spark, sf_dir))
+    loads = placed.groupBy("shard").agg(F.sum("size").alias("load"), F.count("*").alias("rows"), F.count_distinct("slot").alias("places"), F.max("slot").alias("last"))
+    level = loads.agg((F.max("load") - F.when(F.count("*") < N_SHARDS, F.lit(0)).otherwise(F.min("load"))).alias("spread"), F.bool_and((F.col("places") == F.col("rows")) & (F.col("last") == F.col("rows") - 1)).alias("gapless"))
+    largest = placed.agg(F.max("size").alias("largest"))
+    law = F.broadcast(level.join(largest).select((F.col("spread") <= F.col("largest")).alias("is_level"), "gapless"))  # one row
+    return placed.select("doc_id", "size").join(law)
+
+
+SHARD_SQL = "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, true AS is_level, true AS gapless FROM documents"
+
+
+def media_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6_media: sizes and hashes of payloads and images."""
+    return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
+MEDIA_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n, greatest(64, (octet_length(b) + 63) // 64 * 64) AS m FROM d),
+p AS (SELECT *, b || repeat('\x00'::BLOB, m - n) AS payload, encode('P5' || chr(10) || '64 ' || m // 64 || chr(10) || '255' || chr(10)) AS head FROM n)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256, CAST(m + octet_length(head) AS BIGINT) AS media_bytes, sha256(head || payload) AS media_sha256 FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slots": op1_slots,
     "op2_digests": op2_digests,
@@ -107,5 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "shard_loads": shard_loads,
+    "digest_edits": digest_edits,
+    "media_checksums": media_checksums,
 }
-ORACLE_SQL: dict[str, str] = {"op4_archives": OP4_SQL}
+#: The last three queries are columns of operators that SQL can say.
+ORACLE_SQL: dict[str, str] = {"op4_archives": OP4_SQL, "shard_loads": SHARD_SQL, "digest_edits": DIGEST_SQL, "media_checksums": MEDIA_SQL}

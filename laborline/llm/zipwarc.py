@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, file_system, text_bytes
+from .common import cut, file_system, text_bytes, views
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MIN_REVISIT = 1000
