@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -28,21 +29,69 @@ def json_table(spark: SparkSession, path: str, lines: bool = True, schema: str |
 
 
 def table(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
-    """By suffix or by name: parquet, orc, csv, json lines or text."""
-    form = form or next((f for f, s in (("csv", (".csv", ".csv.gz")), ("json", (".json", ".jsonl")), ("orc", (".orc",)), ("text", (".txt",))) if path.endswith(s)), "parquet")
+    """By suffix or by name: parquet, orc, csv, json lines, workbooks or text."""
+    suffixes = (("csv", (".csv", ".csv.gz")), ("json", (".json", ".jsonl")), ("orc", (".orc",)), ("text", (".txt",)), ("excel", (".xlsx",)))
+    form = form or next((f for f, s in suffixes if path.lower().endswith(s)), "parquet")
     if form == "csv":
         return csv_table(spark, path)
     if form == "json":
         return json_table(spark, path)
-    return spark.read.format(form).load(path)
-
-
-def excel_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A workbook's sheet as strings. A workbook holds at most 2**20 rows, which bounds what passes the driver."""
-    import pandas as pd
-
-    sheet_rows = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    return spark.createDataFrame(sheet_rows.where(sheet_rows.notna(), None).astype(object), StructType([StructField(str(c), StringType()) for c in sheet_rows.columns]))
+    return excel_table(spark, path) if form == "excel" else spark.read.format(form).load(path)
+
+
+def sheet_rows(data: bytes, sheet: int = 1) -> list[dict[int, str]]:
+    """Cells of a workbook's sheet by column number, as text. A workbook is a ZIP of XML parts."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    tag = lambda e: e.tag.rsplit("}", 1)[-1]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if tag(e) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
+        rows = []
+        for row in (e for e in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter() if tag(e) == "row"):
+            cells: dict[int, str] = {}
+            for c in row:
+                letters = re.match("[A-Z]*", c.get("r", "")).group()
+                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+                value = next((e.text or "" for e in c if tag(e) == "v"), "")
+                value = text(c) if c.get("t") == "inlineStr" else shared[int(value)] if c.get("t") == "s" else value
+                if value:
+                    cells[at] = value
+            rows.append(cells)
+    return rows
+
+
+def excel_table(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """Workbooks of one layout as strings, blank cells NULL: a file to a task, never through the driver. The headers of all
+    files are gathered first; a column of any of them is one of the result."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def rows(frames):
+        for frame in frames:
+            for data in frame["content"]:
+                head, *body = sheet_rows(bytes(data), sheet) or [{}]
+                yield pd.DataFrame({"cells": [{head[k]: v for k, v in r.items() if k in head} for r in body]})
+
+    def headers(frames):
+        for frame in frames:
+            yield pd.DataFrame([(name, k) for data in frame["content"] for k, name in (sheet_rows(bytes(data), sheet) or [{}])[0].items()], columns=["name", "place"])
+
+    found = files.mapInPandas(headers, "name string, place int").groupBy("name").agg(F.min("place").alias("p")).orderBy("p", "name").limit(16_384).collect()  # a sheet's columns
+    cells = files.mapInPandas(rows, "cells map<string,string>")
+    return cells.select(*[F.try_element_at("cells", F.lit(r["name"])).alias(r["name"].strip()) for r in found])
+
+
+def vector_store(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors that ``writers.vectors`` wrote, held against their manifest."""
+    rows, noted = spark.read.parquet(path), spark.read.json(f"{path}.manifest").first()
+    column = next(c for c, kind in rows.dtypes if kind.startswith("array"))
+    have = rows.agg(F.count("*").alias("documents"), F.max(F.size(column)).alias("dimension")).first()
+    if (have["documents"], have["dimension"]) != (noted["documents"], noted["dimension"]):
+        raise ValueError(f"{path}: {have} where its manifest has {noted}")
+    return rows
 
 
 def sql_rows(spark: SparkSession, statement: str, **values) -> DataFrame:
@@ -83,8 +132,6 @@ def asset_lookup(requests: DataFrame, asset: DataFrame, name: str, request: str
 
 def resumes(spark: SparkSession, path: str) -> DataFrame:
     """path and text of plain text and docx files; other kinds have NULL text. A docx is a ZIP whose document part is XML."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def docx_text(content: pd.Series) -> pd.Series:
         import io

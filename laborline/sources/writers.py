@@ -40,10 +40,12 @@ def documents(df: DataFrame, path: str) -> None:
 
 
 def vectors(df: DataFrame, path: str, id_col: str, vector: str = "embedding") -> DataFrame:
-    """Parquet of ids and vectors; returns a manifest row with count and dimension."""
+    """Parquet of ids and vectors, and beside it a manifest with count and dimension, which comes back."""
     df.select(id_col, vector).write.mode("overwrite").parquet(path)
     back = df.sparkSession.read.parquet(path)
-    return back.agg(F.count("*").alias("documents"), F.max(F.size(vector)).alias("dimension")).withColumn("path", F.lit(path))
+    noted = back.agg(F.count("*").alias("documents"), F.max(F.size(vector)).alias("dimension")).withColumn("path", F.lit(path))
+    noted.coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
+    return df.sparkSession.read.json(f"{path}.manifest")
 
 
 def manifest(tables: dict[str, DataFrame], version: str) -> DataFrame:
