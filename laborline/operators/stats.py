@@ -70,10 +70,10 @@ def salary_stats(df: DataFrame, groups: list[str], low: Column, high: Column, di
     return df.select(*groups).distinct().join(found, groups, "left").withColumn("valid_count", F.coalesce("valid_count", F.lit(0)))
 
 
-def running_counts(counted: DataFrame, groups: list[str], value: str, count: str, ranges: int = 64) -> DataFrame:
+def running_counts(counted: DataFrame, groups: list[str], value: str, count: str, ranges: int = 16) -> DataFrame:
     """``counted`` with before (the group's rows of smaller values) and total. Values are dealt to ranges of the group by
     approximate quantiles; a range's rows are summed by a window, the ranges by a second one of ``ranges`` rows a group."""
-    cuts = counted.groupBy(*groups).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("_cuts"), F.sum(count).alias("total"))
+    cuts = counted.groupBy(*groups).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1_000)).alias("_cuts"), F.sum(count).alias("total"))
     dealt = counted.join(cuts, groups).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
