@@ -136,16 +136,18 @@ def keywords_found(text: Column, words: list[str]) -> Column:
 
 def alias_normalized(c: Column, aliases: dict[str, list[str]]) -> Column:
     """The first entry that equals, contains or is contained in the token (two letters at least); else the text itself."""
-    token = compact(clean_text(c))
-    tests = []
-    for name, words in aliases.items():
-        forms = list(dict.fromkeys(w for w in (_plain(x) for x in (name, *words)) if w))
-        test = token.isin(*forms)
-        long = [w for w in forms if len(w) >= 2]
-        for w in long:
-            test = test | F.contains(token, F.lit(w)) | ((F.char_length(token) >= 2) & F.contains(F.lit(w), token))
-        tests.append(F.when(test, F.lit(name)))
-    return F.when(token != "", F.coalesce(*tests, clean_text(c)))
+
+    def named(x: Column) -> Column:
+        token, tests = x["token"], []
+        for name, words in aliases.items():
+            forms = list(dict.fromkeys(w for w in (_plain(y) for y in (name, *words)) if w))
+            test = token.isin(*forms)
+            for w in (w for w in forms if len(w) >= 2):
+                test = test | F.contains(token, F.lit(w)) | ((F.char_length(token) >= 2) & F.contains(F.lit(w), token))
+            tests.append(F.when(test, F.lit(name)))
+        return F.when(token != "", F.coalesce(*tests, x["plain"]))
+
+    return let(let(clean_text(c), lambda t: F.struct(compact(t).alias("token"), t.alias("plain"))), named)
 
 
 def _plain(text: str) -> str:

@@ -235,3 +235,38 @@ RESUME_AWARDS = ["奖学金", "励志奖", "优秀", "一等奖", "二等奖", "
 RESUME_DEGREES = ["博士研究生", "硕士研究生", "硕士", "本科", "大专", "专科", "中专"]
 RESUME_SKILLS_BY_PATTERN = [(p, name) for name, p in RESUME_SKILLS]
 RESUME_CERTIFICATES_BY_PATTERN = [(p, name) for name, p in RESUME_CERTIFICATES]
+
+#: Standard names of students' majors, skills, certificates and directions with their aliases, and rules of tags. Fixed values.
+STUDENT_MAJORS: dict[str, list[str]] = {
+    "计算机科学与技术": ["计算机科学与技术", "计算机科学", "计算机技术", "计算机", "软件工程", "网络工程"],
+    "数据科学与大数据技术": ["数据科学与大数据技术", "数据科学", "大数据", "数据技术", "人工智能与大数据"],
+    "人工智能": ["人工智能", "智能科学与技术", "机器学习"],
+    "统计学": ["统计学", "应用统计", "数理统计", "经济统计"],
+    "信息管理与信息系统": ["信息管理与信息系统", "信管", "信息管理", "信息系统"],
+    "电子信息工程": ["电子信息工程", "电子信息", "通信工程", "自动化"],
+    "数学": ["数学与应用数学", "应用数学", "数学"],
+    "金融学": ["金融学", "金融工程", "金融科技", "投资学"],
+    "市场营销": ["市场营销", "营销管理", "电子商务", "工商管理"],
+}
+STUDENT_SKILLS: dict[str, list[str]] = {
+    "Python": ["python", "py", "python3"], "Java": ["java", "java8", "java11", "jdk"], "C++": ["c++", "cpp"], "SQL": ["sql", "mysql", "postgresql", "oracle sql", "hive sql"],
+    "机器学习": ["机器学习", "machine learning", "ml", "sklearn", "scikit-learn"], "深度学习": ["深度学习", "deep learning", "dl", "pytorch", "tensorflow"],
+    "数据分析": ["数据分析", "数据处理", "数据清洗", "分析建模", "业务分析"], "数据可视化": ["可视化", "数据可视化", "图表分析", "dashboard"], "NLP": ["nlp", "自然语言处理", "文本挖掘"],
+    "爬虫": ["爬虫", "web scraping", "scrapy", "requests", "beautifulsoup"], "Linux": ["linux", "shell", "bash"], "Git": ["git", "github", "gitlab"], "Excel": ["excel", "vlookup", "pivot", "数据透视表"],
+    "Power BI": ["powerbi", "power bi", "bi 工具", "bi报表"], "Tableau": ["tableau"], "Spark": ["spark", "pyspark"], "Hadoop": ["hadoop", "hdfs", "mapreduce"], "Docker": ["docker", "容器化"],
+    "Kubernetes": ["kubernetes", "k8s"], "HTML/CSS": ["html", "css", "html5", "css3"], "JavaScript": ["javascript", "js", "typescript", "ts"],
+}
+STUDENT_TOOLS = ["Excel", "Power BI", "Tableau", "Git", "Docker", "Kubernetes", "Linux", "Spark", "Hadoop"]
+STUDENT_CERTIFICATES: dict[str, list[str]] = {
+    "CET-4": ["cet-4", "cet4", "英语四级", "大学英语四级", "四级"], "CET-6": ["cet-6", "cet6", "英语六级", "大学英语六级", "六级"], "计算机二级": ["计算机二级", "全国计算机等级考试二级", "ncre二级"],
+    "软考": ["软考", "软件设计师", "系统架构设计师", "信息系统项目管理师"], "教师资格证": ["教师资格证", "教资"], "CPA": ["cpa", "注册会计师"], "PMP": ["pmp", "项目管理专业人士"],
+}
+STUDENT_DIRECTIONS: dict[str, list[str]] = {
+    "数据分析": ["数据分析", "数据分析师", "bi分析", "商业分析", "数据运营"], "算法工程": ["算法工程师", "机器学习工程师", "nlp算法", "推荐算法", "算法"],
+    "后端开发": ["后端开发", "java开发", "python后端", "go后端", "服务端开发"], "前端开发": ["前端开发", "web前端", "前端工程师", "vue", "react"], "测试开发": ["测试开发", "软件测试", "自动化测试", "测试工程师"],
+    "产品经理": ["产品经理", "数据产品", "ai产品", "产品助理"], "运维/DevOps": ["运维", "devops", "sre", "云平台运维"], "网络安全": ["网络安全", "安全工程师", "渗透测试", "安全运营"],
+}
+EXPERIENCE_WORDS: dict[str, list[str]] = {
+    "数据处理": ["数据清洗", "数据处理", "etl", "报表", "sql", "分析"], "建模算法": ["模型", "机器学习", "深度学习", "预测", "分类", "推荐"], "工程开发": ["开发", "接口", "系统", "平台", "后端", "前端", "工程"],
+    "科研实践": ["科研", "论文", "实验", "竞赛", "专利"], "业务协作": ["业务", "沟通", "需求", "协作", "运营"],
+}

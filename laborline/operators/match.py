@@ -174,3 +174,25 @@ def merged(rules: DataFrame, judged: DataFrame, key: str, columns: list[str]) ->
     """A judged text where there is one, else the rule's."""
     j = judged.select(key, *[F.col(c).alias(f"_j_{c}") for c in columns])
     return rules.join(j, key, "left").withColumns({c: F.coalesce(F.nullif(F.trim(f"_j_{c}"), F.lit("")), F.col(c)) for c in columns}).drop(*[f"_j_{c}" for c in columns])
+
+
+def first_known(distribution: Column, unknown: str = vocab.UNKNOWN) -> Column:
+    """The first name of a ranked distribution (array of structs with name) that isn't the unknown one."""
+    return F.get(F.filter(distribution, lambda x: (F.trim(x["name"]) != "") & (x["name"] != unknown)), F.lit(0))["name"]
+
+
+def comparable(pairs: DataFrame) -> DataFrame:
+    """Pairs of a student and a job with one struct for each dimension that is compared. A job's missing degree comes from its
+    distribution of degrees, missing skills are the first 15 of its skill frequencies."""
+    empty = F.array().cast("array<string>")
+    tags = lambda c: F.array_distinct(F.filter(F.coalesce(c, empty), lambda x: F.trim(x) != ""))
+    own = tags(F.col("required_skills"))
+    frequent = F.array_distinct(F.filter(F.transform(F.slice(F.coalesce("skill_frequency", F.array().cast("array<struct<name:string>>")), 1, 15), lambda x: F.trim(x["name"])), lambda x: x != ""))
+    degree = F.coalesce(F.nullif(F.trim("required_degree"), F.lit("")), first_known(F.col("degree_distribution")), F.lit(""))
+    both = lambda s, j: F.struct(s.alias("student"), j.alias("job"))
+    return pairs.withColumns(
+        {
+            "education": both(F.coalesce("degree", F.lit("")), degree), "hard_skills": both(tags(F.col("skills")), F.when(F.size(own) > 0, own).otherwise(frequent)),
+            "tool_skills": both(tags(F.col("tools")), tags(F.col("required_tools"))), "soft": both(tags(F.col("soft_skills")), tags(F.col("required_soft_skills"))),
+        }
+    )

@@ -152,3 +152,8 @@ def best_table(spark: SparkSession, preferred: list[str], fields: set[str], leas
         if score >= best[0]:
             best = (score, t.name)
     return best[1]
+
+
+def profile_rows(detail: DataFrame, name: str, columns: dict[str, str], order: list[Column], most: int = 80) -> DataFrame:
+    """The fields that a job's profile needs, under the names that it uses, of at most ``most`` postings of a standard job."""
+    return detail.filter(F.col("standard_job_name") == name).orderBy(*order).limit(most).select(*[F.col(c).alias(a) for a, c in columns.items()])

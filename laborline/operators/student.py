@@ -84,3 +84,44 @@ def ability_fallback(skills: Column, tools: Column, certificates: Column, intern
         "communication": internships * 24.0 + projects * 10.0 + said(18.0, "沟通", "协作", "表达"), "internship_practice": internships * 40.0 + projects * 10.0,
     }
     return F.create_map(*[x for k, c in pairs.items() for x in (F.lit(k), top(c))])
+
+
+def _clean_list(values: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+    """Cleaned values, by their standard names if there are aliases, each once in order."""
+    one = (lambda x: text.alias_normalized(x, aliases)) if aliases else text.clean_text
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: one(x)), lambda x: x.isNotNull()))
+
+
+def skill_lists(skills: Column, tools: Column) -> Column:
+    """struct(hard_skills, tool_skills): standard names; skills that are tools go to the tools, before those that are given."""
+    known = F.array(*[F.lit(t) for t in vocab.STUDENT_TOOLS])
+
+    def split(x: Column) -> Column:
+        all_tools = F.array_distinct(F.concat(F.filter(x["s"], lambda v: F.array_contains(known, v)), x["t"]))
+        return F.struct(F.array_except(x["s"], all_tools).alias("hard_skills"), all_tools.alias("tool_skills"))
+
+    return text.let(F.struct(_clean_list(skills, vocab.STUDENT_SKILLS).alias("s"), _clean_list(tools, vocab.STUDENT_SKILLS).alias("t")), split)
+
+
+def qualification_tags(degree: Column, school: Column, major: Column, certificates: Column, school_level: Column) -> Column:
+    """Degree, school, its level, standard major and standard certificates as tags, each once; blank ones are left out."""
+    named = [("学历", text.clean_text(degree)), ("学校", text.clean_text(school)), ("学校层次", text.clean_text(school_level)), ("专业", text.alias_normalized(major, vocab.STUDENT_MAJORS))]
+    single = F.array_compact(F.array(*[F.concat(F.lit(f"{n}:"), c) for n, c in named]))
+    return F.array_distinct(F.concat(single, F.transform(_clean_list(certificates, vocab.STUDENT_CERTIFICATES), lambda c: F.concat(F.lit("证书:"), c))))
+
+
+def experience_tags(projects: Column, internships: Column, awards: Column, counts: list[Column]) -> Column:
+    """Tags of what the texts of projects, internships and awards speak of, then which of them there are (counts in that order)."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    said = [F.when(text.any_of(low(c), words), F.lit(f"{kind}:{tag}")) for tag, words in vocab.EXPERIENCE_WORDS.items() for kind, c in (("项目", projects), ("实习", internships), ("奖项", awards))]
+    there = [F.when(n > 0, F.lit(name)) for name, n in zip(("有项目经历", "有实习经历", "有竞赛/获奖经历"), counts, strict=True)]
+    return F.array_compact(F.array(*said, *there))
+
+
+def occupation_hints(target: Column, skills: Column, experience: Column, evaluation: Column) -> Column:
+    """The standard direction of the intention (or its own words), then every direction that intention, skills, experience or evaluation name."""
+    blank = lambda c: F.coalesce(text.clean_text(c), F.lit(""))
+    merged = F.lower(F.concat_ws(" ", blank(target), F.array_join(F.coalesce(skills, F.array().cast("array<string>")), " "), blank(experience), blank(evaluation)))
+    named = lambda m: F.array_compact(F.array(*[F.when(text.any_of(m, [w.lower() for w in words]), F.lit(d)) for d, words in vocab.STUDENT_DIRECTIONS.items()]))
+    own = F.array_compact(F.array(text.alias_normalized(target, vocab.STUDENT_DIRECTIONS)))
+    return F.array_distinct(F.concat(own, text.let(merged, named)))

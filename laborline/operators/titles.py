@@ -155,3 +155,8 @@ def backfilled(df: DataFrame, column: str, lookups: list[tuple[DataFrame, str]])
 
 def with_group_size(df: DataFrame, group: str, out: str = "cluster_size") -> DataFrame:
     return df.withColumn(out, F.count("*").over(Window.partitionBy(group)))
+
+
+def with_extractions(df: DataFrame, extracted: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of an extraction a row (by ``key``); rows without one keep NULLs, columns of both keep ``df``'s."""
+    return df.join(extracted.drop(*[c for c in extracted.columns if c in df.columns and c != key]), key, "left")

@@ -178,3 +178,66 @@ def resume_education(spark: SparkSession, d: str) -> DataFrame:
     lines = resume.sections(load(spark, d, "customer").select("c_custkey", body.alias("body")), "c_custkey", "body")
     got = resume.education(resume.dated_entries(lines, "c_custkey", "education"))
     return got.select("c_custkey", "entry", "start_date", "end_date", "school", "degree", "major", "description")
+
+
+_FIELDS = """
+SELECT c_custkey, c_custkey % 6 AS k, c_nationkey % 5 AS n FROM customer
+"""
+
+
+@query(f"""
+WITH x AS ({_FIELDS})
+SELECT c_custkey, ['Python|SQL', '机器学习', 'Java|C++', '围棋', 'SQL', ''][k + 1] AS hard, ['Git', 'Docker|Excel', 'Linux', 'Excel', 'Kubernetes|Git', ''][k + 1] AS tools,
+ concat_ws('|', '学历:本科', '学校:X大学', CASE WHEN n = 0 THEN '学校层次:211' END, CASE k WHEN 0 THEN '专业:计算机科学与技术' WHEN 1 THEN '专业:统计学' WHEN 2 THEN '专业:哲学' END, CASE WHEN n = 1 THEN '证书:CET-6' WHEN n = 2 THEN '证书:CPA|证书:驾照' END) AS tags,
+ concat_ws('|', CASE WHEN k = 0 THEN '项目:数据处理' END, CASE WHEN n = 1 THEN '奖项:建模算法' END, CASE WHEN k = 1 THEN '项目:工程开发' END, CASE WHEN n = 2 THEN '实习:业务协作' END, CASE WHEN k < 2 THEN '有项目经历' END, CASE WHEN n = 2 THEN '有实习经历' END, CASE WHEN n = 1 THEN '有竞赛/获奖经历' END) AS experience,
+ ['前端开发|后端开发', '会计|数据分析', '', '测试开发', '后端开发', '数据分析'][k + 1] AS hints FROM x
+""")
+def student_normalization(spark: SparkSession, d: str) -> DataFrame:
+    """Skills and tools, qualifications, experience and directions of students, by their aliases."""
+    k, n = (F.col("c_custkey") % 6).cast("int"), F.col("c_nationkey") % 5
+    pick = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), k)
+    listed = lambda *values: F.split(pick(*values), ",")
+    skills, tools = listed("python3,mysql,github", "sklearn,容器化", "jdk,cpp,shell", "围棋", "sql,k8s", ""), listed("gitlab", "vlookup", "bash", "数据透视表", "git", "")
+    certificates = F.when(n == 1, F.array(F.lit("英语六级"), F.lit("cet6"))).when(n == 2, F.array(F.lit("注册会计师"), F.lit("驾照")))
+    projects, internships, awards = F.when(k == 0, "用SQL做报表").when(k == 1, "写接口"), F.when(n == 2, "负责需求"), F.when(n == 1, "销量预测奖")
+    got = student.skill_lists(skills, tools)
+    tags = student.qualification_tags(F.lit("本科"), F.lit(" X大学 "), pick("软件工程", "应用统计", "哲学", "", "n/a", ""), certificates, F.when(n == 0, "211"))
+    experience = student.experience_tags(projects, internships, awards, [F.when(k < 2, 1).otherwise(0), F.when(n == 2, 1).otherwise(0), F.when(n == 1, 1).otherwise(0)])
+    hints = student.occupation_hints(pick("web前端", "会计", "", "", "", ""), F.when(k == 4, F.array(F.lit("Java开发"))), F.when(k == 0, "Go后端").when(k == 3, "软件测试"), F.when(k.isin(1, 5), "喜欢商业分析"))
+    rows = load(spark, d, "customer").select("c_custkey", got.alias("s"), tags.alias("tags"), experience.alias("experience"), hints.alias("hints"))
+    return rows.select("c_custkey", F.array_join("s.hard_skills", "|").alias("hard"), F.array_join("s.tool_skills", "|").alias("tools"), *[F.array_join(c, "|").alias(c) for c in ("tags", "experience", "hints")])
+
+
+@query("""
+WITH t AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rank FROM t)
+SELECT p_brand, CASE WHEN length(p_brand) % 2 = 0 THEN 'given' ELSE (SELECT p_type FROM r WHERE r.p_brand = b.p_brand AND p_type <> 'ECONOMY' ORDER BY rank LIMIT 1) END AS degree,
+ CASE WHEN length(p_brand) % 2 = 0 THEN 'a|b' ELSE (SELECT string_agg(p_type, '|' ORDER BY rank) FROM r WHERE r.p_brand = b.p_brand AND rank <= 15) END AS skills FROM (SELECT DISTINCT p_brand FROM part) b
+""")
+def comparable_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import stats
+
+    dist = stats.nested(stats.distribution(load(spark, d, "part"), ["p_brand"], F.col("p_type")), ["p_brand"], "skill_frequency")
+    shown = F.transform("skill_frequency", lambda x: F.struct(F.when(x["name"] == "ECONOMY", "未明确").otherwise(x["name"]).alias("name")))
+    given, empty = F.length("p_brand") % 2 == 0, F.array().cast("array<string>")
+    pairs = dist.withColumns(
+        {
+            "degree_distribution": shown, "required_degree": F.when(given, "given").otherwise(" "), "required_skills": F.when(given, F.array(F.lit("a"), F.lit(""), F.lit("b"), F.lit("a"))), "degree": F.lit("本科"),
+            **{c: empty for c in ("skills", "tools", "required_tools", "soft_skills", "required_soft_skills")},
+        }
+    ).withColumn("skill_frequency", F.transform("skill_frequency", lambda x: F.struct(x["name"].alias("name"))))
+    return match.comparable(pairs).select("p_brand", F.col("education.job").alias("degree"), F.array_join("hard_skills.job", "|").alias("skills"))
+
+
+@query("SELECT o_orderkey AS record, o_totalprice AS salary_max_month FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) ORDER BY o_totalprice DESC, o_orderkey LIMIT 80")
+def profile_rows(spark: SparkSession, d: str) -> DataFrame:
+    orders = load(spark, d, "orders").withColumnRenamed("o_orderpriority", "standard_job_name")
+    first = orders.agg(F.min("standard_job_name")).first()[0]
+    return sqlapi.profile_rows(orders, first, {"record": "o_orderkey", "salary_max_month": "o_totalprice"}, [F.desc("o_totalprice"), F.asc("o_orderkey")])
+
+
+@query("SELECT c_custkey, c_name, s_name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def extraction_merge(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import titles
+
+    found = load(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name", F.lit("other").alias("c_name"))
+    return titles.with_extractions(load(spark, d, "customer").select("c_custkey", "c_name"), found, "c_custkey")
