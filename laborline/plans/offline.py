@@ -50,9 +50,9 @@ def run(raw: DataFrame, today: str, relations: DataFrame | None = None, judged:
 
 
 def knowledge_documents(detail: DataFrame, degrees: DataFrame, skills: DataFrame, salary: DataFrame) -> DataFrame:
-    """One document per standard job with its statistics and a text, and the text's vector."""
+    """One document per standard job with its statistics and a text, and the text's vector; postings without a title have none."""
     job = "standard_job_name"
-    base = detail.groupBy(job).agg(F.count("*").alias("sample_count"), F.min_by("job_description", "record_id").alias("summary"), F.array_sort(F.collect_set("job_title")).alias("titles"))
+    base = detail.filter(F.col(job).isNotNull()).groupBy(job).agg(F.count("*").alias("sample_count"), F.min_by("job_description", "record_id").alias("summary"), F.array_sort(F.collect_set("job_title")).alias("titles"))
     rich = base.join(stats.nested(degrees, [job], "degrees"), job, "left").join(stats.nested(skills, [job], "skills"), job, "left").join(salary.select(job, "mid_mean", "valid_count"), job, "left")
     names = lambda c: F.array_join(F.transform(F.col(c), lambda x: x["name"]), ", ")
     body = F.concat_ws("\n", F.col(job), F.concat(F.lit("degrees: "), names("degrees")), F.concat(F.lit("skills: "), names("skills")), F.left("summary", F.lit(800)))
