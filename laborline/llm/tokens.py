@@ -19,7 +19,7 @@ from itertools import filterfalse
 import numpy as np
 
 #: Chunks that a worker remembers.
-WORD_MEMO, BYTE_MEMO = 500_000, 1_300_000
+WORD_MEMO, BYTE_MEMO = 300_000, 1_300_000
 END_ID = {"word": 1, "byte": 0}
 
 
