@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, digest, media, packing, quality, sharding, simhash, simple8b, toxicity, zipwarc
+from . import bytebpe, collocations, digest, media, packing, periodic, quality, sharding, simhash, simple8b, toxicity, zipwarc
 from .common import cut, held_out, scratch, text_bytes
 
 N_SHARDS = 24
@@ -96,6 +96,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM pieces),
+ones AS (SELECT lang, id, unnest(w) AS phrase, generate_subscripts(w, 1) AS i FROM split),
+after AS (SELECT lang, phrase AS x, lead(phrase) OVER s AS y, lead(phrase, 2) OVER s AS z FROM ones WINDOW s AS (PARTITION BY id ORDER BY i)),
+pairs AS (SELECT lang, x || ' ' || y AS phrase FROM after WHERE y IS NOT NULL),
+threes AS (SELECT lang, x || ' ' || y || ' ' || z AS phrase FROM after WHERE z IS NOT NULL),
+totals AS (SELECT lang, count(*) AS n FROM ones GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, phrase, 1 AS words, count(*) AS c FROM ones GROUP BY lang, phrase HAVING count(*) >= 10 UNION ALL SELECT lang, phrase, 2, count(*) FROM pairs GROUP BY lang, phrase HAVING count(*) >= 10 UNION ALL SELECT lang, phrase, 3, count(*) FROM threes GROUP BY lang, phrase HAVING count(*) >= 10),
+candidates AS (SELECT lang, phrase, words, c AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+cuts AS MATERIALIZED (SELECT lang, phrase, words, a, w, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates)),
+scored AS (
+  SELECT x.lang, x.phrase, x.words, x.a, x.k, x.w, g.c AS l, h.c AS r, CAST(1000000 * CAST(x.a AS HUGEINT) * x.a // (CAST(g.c AS HUGEINT) * h.c) AS BIGINT) AS score
+  FROM cuts x JOIN f g ON g.lang = x.lang AND g.phrase = x.head JOIN f h ON h.lang = x.lang AND h.phrase = x.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM candidates WHERE words = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_parts i ON i.lang = b.lang AND i.part = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score FROM ranked k JOIN totals t ON t.lang = k.lang WHERE k.rank <= 2000
+"""
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, a tenth of which repeat words by the rule of ``periodic.repeat_from``."""
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), periodic.repeat_from().alias("text"))
+    found = periodic.with_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = found.withColumn("_longest", periodic.longest())
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_longest.start", "_longest.length", "_longest.period",
+        F.floor(F.lit(1000) * F.col("_longest.length") / F.col("_longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def digest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op2_digests: lengths and hashes of the edited texts."""
     return op2_digests(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -144,9 +185,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op12_collocations": op12_collocations,
+    "op13_runs": op13_runs,
     "shard_loads": shard_loads,
     "digest_edits": digest_edits,
     "media_checksums": media_checksums,
 }
 #: The last three queries are columns of operators that SQL can say.
-ORACLE_SQL: dict[str, str] = {"op4_archives": OP4_SQL, "shard_loads": SHARD_SQL, "digest_edits": DIGEST_SQL, "media_checksums": MEDIA_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_archives": OP4_SQL, "op12_collocations": OP12_SQL, "shard_loads": SHARD_SQL, "digest_edits": DIGEST_SQL, "media_checksums": MEDIA_SQL}

@@ -22,7 +22,7 @@ def odd(spark, tmp_path_factory):
     return write(spark, tmp_path_factory.mktemp("odd"), docs, labels=labels), rows
 
 
-TWELVE = [n for n in sorted(queries.QUERIES) if n not in ("op4_archives", "op3_packing", "op1_slots", "shard_loads")]
+TWELVE = [n for n in sorted(queries.QUERIES) if n not in ("op4_archives", "op3_packing", "op1_slots", "shard_loads", "op12_collocations")]
 
 
 @pytest.mark.parametrize("name", TWELVE)
