@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, collocations, digest, media, packing, periodic, quality, sharding, simhash, simple8b, toxicity, zipwarc
+from . import bytebpe, collocations, digest, lm, media, packing, periodic, quality, sharding, simhash, simple8b, toxicity, zipwarc
 from .common import cut, held_out, scratch, text_bytes
 
 N_SHARDS = 24
@@ -96,6 +96,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_documents(spark, sf_dir))
 
@@ -185,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_gru": op11_gru,
     "op12_collocations": op12_collocations,
     "op13_runs": op13_runs,
     "shard_loads": shard_loads,
