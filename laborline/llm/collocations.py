@@ -1,11 +1,13 @@
 """Collocations by hashed n-gram counting: bucket counts a length ahead, Apriori pruning, then exact counts.
 
 Pass m over the texts counts the phrases of m words exactly, and in the same pass hashes all phrases of m + 1 words into
-BUCKETS counters (PCY for pairs, direct hashing and pruning beyond them). A phrase of m words is counted only if its bucket
+bucket counters (PCY for pairs, direct hashing and pruning beyond them). A phrase of m words is counted only if its bucket
 reached the least count in the pass before, and if both its parts of m - 1 words are among the frequent ones. What a pass
-needs from the one before are two bitmaps of BUCKETS bits, of buckets and of frequent phrases: 512 KB each whatever the
-corpus, so they are broadcast. Both only prune: a frequent phrase is always in them, and what passes by chance is counted
-exactly and then falls under the least count. Counters stop at the least count, which decides no bit differently.
+needs from the one before are two bitmaps, of buckets and of frequent phrases. They have a bit for each BYTES_A_BUCKET bytes
+of text, and 2 ** MOST_BITS bits or 8 MB at most whatever the corpus, so they are broadcast. Both only prune: a frequent
+phrase is always in them, and what passes by chance is counted exactly and then falls under the least count. In texts far
+above a gigabyte buckets fill up and prune less, at the same memory. Counters stop at the least count, which decides no bit
+differently.
 
 Counts leave a task summed by block; bucket counters leave it as SLICES slices of bytes, which are added in two steps, first
 by slice and salt, so that no task adds up a slice for all tasks of a large input. Joins of a phrase's parts with their
@@ -34,9 +36,8 @@ from .common import cut, discard, join_hot, partitions, scratch, text_bytes, vie
 LEAST, MOST_WORDS, LIMIT = 10, 3, 2000
 #: A longer candidate with this share of the shorter one's occurrences, in hundredths, takes its place.
 ABSORB = 50
-BITS, SLICES, SALTS = 22, 256, 16
-#: Buckets of a bitmap.
-BUCKETS = 1 << BITS
+LEAST_BITS, MOST_BITS, BYTES_A_BUCKET = 20, 26, 16
+SLICES, SALTS = 256, 16
 BLOCK_BYTES = 4 << 20
 #: Scores are in millionths.
 SCALE = 1_000_000
@@ -74,18 +75,39 @@ def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _phrase_buckets(hashes: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+def _phrase_buckets(hashes: np.ndarray, ids: np.ndarray, m: int, bits: int) -> np.ndarray:
     """The bucket of each ``m`` ids in a row: of ids[0:m], ids[1:m+1], ..."""
     n = len(ids) - m + 1
     total = np.zeros(n, np.uint64)
     for k in range(m):
         total = (total ^ hashes[ids[k : n + k]]) * _ODD[k % 4]
         total ^= total >> np.uint64(29)
-    return (total >> np.uint64(64 - BITS)).astype(np.int64)
+    return (total >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bits(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+def _has(packed: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Whether the bits of the buckets are set."""
+    return ((packed[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8)) & 1).view(bool)
+
+
+def _pack(counters: np.ndarray) -> bytes:
+    """A slice of counters: as it is, or where most are zero the others as place << 8 | counter in four bytes."""
+    if counters.dtype == np.uint8:
+        some = np.flatnonzero(counters)
+        if 4 * len(some) < len(counters):
+            return (some.astype(np.uint32) << np.uint32(8) | counters[some]).tobytes()
+    return counters.tobytes()
+
+
+def _add(sums: np.ndarray, packed: bytes, most: int) -> None:
+    """Add a packed slice to ``sums``, to ``most`` at most."""
+    if len(packed) == sums.nbytes:
+        own = np.frombuffer(packed, sums.dtype)
+        np.copyto(sums, np.minimum(sums.astype(np.int64) + own, most).astype(sums.dtype))
+    else:
+        own = np.frombuffer(packed, np.uint32)
+        at = own >> np.uint32(8)
+        sums[at] = np.minimum(sums[at].astype(np.int64) + (own & np.uint32(255)), most)
 
 
 _COUNTED = "lang string, phrase string, n long, slice int, salt int, counters binary"
@@ -97,37 +119,42 @@ def _counts_batch(lang: str, phrases: list[str], counts: list[int]) -> pa.Record
     return pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))], names=["lang", "phrase", "n", "slice", "salt", "counters"])
 
 
-def _slices_batch(counters: np.ndarray) -> pa.RecordBatch:
+def _slices_batches(counters: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The slices of a task's counters that aren't empty."""
     parts = counters.reshape(SLICES, -1)
     some = np.flatnonzero(parts.any(axis=1)).tolist()
-    salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % SALTS
+    salt = TaskContext.get().partitionId() % SALTS
+    for lo in range(0, len(some), 16):
+        yield _slices_batch(some[lo : lo + 16], salt, [_pack(parts[k]) for k in some[lo : lo + 16]])
+
+
+def _slices_batch(some: list[int], salt: int, packed: list[bytes]) -> pa.RecordBatch:
     n = len(some)
-    arrays = [pa.array(some, pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())]
+    arrays = [pa.array(some, pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary())]
     return pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.string(), pa.string(), pa.int64())), *arrays], names=["lang", "phrase", "n", "slice", "salt", "counters"])
 
 
 class _Counter:
     """Counts of a task: exact ones of phrases of ``m`` words a block, bucket counters of the next length for the whole task."""
 
-    def __init__(self, m: int, ahead: bool, least: int, frequent: bytes | None, buckets: bytes | None) -> None:
-        self.m, self.ahead, self.least = m, ahead, least
-        self.frequent, self.buckets = frequent and _bits(frequent), buckets and _bits(buckets)
-        self.counters = np.zeros(BUCKETS, np.uint8 if least < 256 else np.int64)
+    def __init__(self, m: int, ahead: bool, least: int, bits: int, frequent: bytes | None, buckets: bytes | None) -> None:
+        self.m, self.least, self.bits = m, least, bits
+        self.frequent, self.buckets = (x if x is None else np.frombuffer(x, np.uint8) for x in (frequent, buckets))
+        self.counters = np.zeros(1 << bits, _kind(least)) if ahead else None
 
     def block(self, lang: str, words: _Words, ids: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Count the phrases that end with a fresh word and span no break."""
         m, names = self.m, list(words)
         hashes = _word_hashes(names, lang)
         inside = ids != 0
-        if self.ahead and (at := self._places(inside, fresh, m + 1)).size:
-            hit = np.bincount(_phrase_buckets(hashes, ids, m + 1)[at], minlength=BUCKETS)
-            self.counters = np.minimum(hit + self.counters, self.least).astype(self.counters.dtype)
+        if self.counters is not None and (at := self._places(inside, fresh, m + 1)).size:
+            hit, times = np.unique(_phrase_buckets(hashes, ids, m + 1, self.bits)[at], return_counts=True)
+            self.counters[hit] = np.minimum(self.counters[hit] + times, self.least)
         at = self._places(inside, fresh, m)
         if self.buckets is not None and at.size:
-            at = at[self.buckets[_phrase_buckets(hashes, ids, m)[at]]]
+            at = at[_has(self.buckets, _phrase_buckets(hashes, ids, m, self.bits)[at])]
         if self.frequent is not None and at.size:
-            part = self.frequent[_phrase_buckets(hashes, ids, m - 1)]
+            part = _has(self.frequent, _phrase_buckets(hashes, ids, m - 1, self.bits))
             at = at[part[at] & part[at + 1]]
         if not at.size:
             return
@@ -153,11 +180,15 @@ class _Counter:
         return np.flatnonzero(whole)
 
 
-def _count_pass(texts: DataFrame, m: int, ahead: bool, least: int, frequent: bytes | None = None, buckets: bytes | None = None) -> DataFrame:
+def _kind(least: int) -> type:
+    return np.uint8 if least < 256 else np.int64
+
+
+def _count_pass(texts: DataFrame, m: int, ahead: bool, least: int, bits: int, frequent: bytes | None = None, buckets: bytes | None = None) -> DataFrame:
     """Pass ``m`` over (lang, body): counts of phrases a block, and slices of bucket counters if there is a pass after it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, carry = _Counter(m, ahead, least, frequent, buckets), m if ahead else m - 1
+        counter, carry = _Counter(m, ahead, least, bits, frequent, buckets), m if ahead else m - 1
         held: dict[str, tuple[_Words, list[np.ndarray], list[np.ndarray], int]] = {}
         for batch in batches:
             for v, lang in zip(views(batch.column("body")), batch.column("lang").to_pylist(), strict=True):
@@ -179,75 +210,75 @@ def _count_pass(texts: DataFrame, m: int, ahead: bool, least: int, frequent: byt
         for lang, (words, ids, fresh, _) in held.items():
             yield from counter.block(lang, words, np.concatenate(ids), np.concatenate(fresh))
         if ahead:
-            yield _slices_batch(counter.counters)
+            yield from _slices_batches(counter.counters)
 
     return texts.mapInArrow(work, _COUNTED)
 
 
-def _bitmap(slices: DataFrame, least: int) -> bytes:
-    """One bit a bucket: whether its counters add up to ``least``. The driver gets the bits, 512 KB."""
-    kind = np.uint8 if least < 256 else np.int64
+def _bitmap(slices: DataFrame, least: int, bits: int) -> bytes:
+    """One bit a bucket: whether its counters add up to ``least``. The driver gets the bits."""
+    kind, size = _kind(least), (1 << bits) // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        salts: dict[int, int] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for k, salt, c in zip(*(batch.column(x).to_pylist() for x in ("slice", "salt", "counters")), strict=True):
-                own = np.frombuffer(c, kind).astype(np.int64)
-                sums[k] = np.minimum(sums[k] + own, least) if k in sums else own
-                salts[k] = salt
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "salt": pa.array([salts[k] for k in sums], pa.int32()), "counters": pa.array([x.astype(kind).tobytes() for x in sums.values()], pa.binary())})
-
-    n, schema = partitions(slices.sparkSession), "slice int, salt int, counters binary"
-    once = slices.select("slice", "salt", "counters").repartition(n, "slice", "salt").mapInArrow(add, schema)
-    whole = once.repartition(min(n, SLICES), "slice").mapInArrow(add, schema)
+                _add(sums.setdefault((k, salt), np.zeros(size, kind)), c, least)
+        for (k, salt), own in sums.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "salt": pa.array([salt], pa.int32()), "counters": pa.array([_pack(own)], pa.binary())})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(c, kind) >= least).tobytes() for c in batch.column("counters").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(bits, pa.binary())], names=["slice", "bits"])
-
-    size = BUCKETS // SLICES // 8
-    out = bytearray(BUCKETS // 8)
-    for r in whole.mapInArrow(pack, "slice int, bits binary").collect():
-        out[r["slice"] * size : (r["slice"] + 1) * size] = r["bits"]
+            for k, c in zip(*(batch.column(x).to_pylist() for x in ("slice", "counters")), strict=True):
+                _add(sums.setdefault(k, np.zeros(size, kind)), c, least)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "bits": pa.array([np.packbits(x >= least).tobytes() for x in sums.values()], pa.binary())})
+
+    n = partitions(slices.sparkSession)
+    once = slices.select("slice", "salt", "counters").repartition(n, "slice", "salt").mapInArrow(add, "slice int, salt int, counters binary")
+    whole = once.repartition(min(n, SLICES), "slice").mapInArrow(pack, "slice int, bits binary")
+    out, width = bytearray((1 << bits) // 8), size // 8
+    for r in whole.collect():
+        out[r["slice"] * width : (r["slice"] + 1) * width] = r["bits"]
     return bytes(out)
 
 
-def _frequent_bitmap(found: DataFrame, m: int) -> bytes:
+def _frequent_bitmap(found: DataFrame, m: int, bits: int) -> bytes:
     """The bits of the buckets of (lang, phrase), phrases of ``m`` words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(BUCKETS, np.uint8)
+        counters = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).extend(phrase.encode().split(b" "))
             for lang, words in by_lang.items():
                 ids = np.arange(len(words), dtype=np.int32)
-                counters[_phrase_buckets(_word_hashes(words, lang), ids, m)[::m]] = 1
-        yield _slices_batch(counters)
+                counters[_phrase_buckets(_word_hashes(words, lang), ids, m, bits)[::m]] = 1
+        yield from _slices_batches(counters)
 
-    return _bitmap(found.select("lang", "phrase").mapInArrow(work, _COUNTED), 1)
+    return _bitmap(found.select("lang", "phrase").mapInArrow(work, _COUNTED), 1, bits)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """The phrases of 1 to ``most_words`` words with ``least`` or more occurrences: lang, phrase, words, n; and the words of each lang: lang, total."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_bytes(text).alias("body"))
+    size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bits = max(LEAST_BITS, min(MOST_BITS, (size // BYTES_A_BUCKET).bit_length()))
     frequent = buckets = None
     found, totals = [], None
     for m in range(1, most_words + 1):
         path = scratch(spark, f"phrases-{m}")
-        _count_pass(texts, m, m < most_words, least, frequent, buckets).write.parquet(path)
+        _count_pass(texts, m, m < most_words, least, bits, frequent, buckets).write.parquet(path)
         rows = spark.read.schema(_COUNTED).parquet(path)
         counted = rows.filter(F.col("slice").isNull()).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         if m == 1:
             totals = cut(rows.filter(F.col("slice").isNull()).groupBy("lang").agg(F.sum("n").alias("total")))
         found.append(cut(counted.filter(F.col("n") >= least).withColumn("words", F.lit(m))))
         if m < most_words:
-            buckets = _bitmap(rows.filter(F.col("slice").isNotNull()), least)
-            frequent = _frequent_bitmap(found[-1], m)
+            buckets = _bitmap(rows.filter(F.col("slice").isNotNull()), least, bits)
+            frequent = _frequent_bitmap(found[-1], m, bits)
         discard(path)
     together = found[0]
     for more in found[1:]:

@@ -171,7 +171,7 @@ def test_collocations_in_small_blocks(spark, prose, monkeypatch):
         monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
         counter = Counter()
         for m in (1, 2, 3):
-            rows = collocations._count_pass(prose.selectExpr("coalesce(lang, 'und') as lang", "cast(coalesce(text, '') as binary) as body"), m, m < 3, 10).collect()
+            rows = collocations._count_pass(prose.selectExpr("coalesce(lang, 'und') as lang", "cast(coalesce(text, '') as binary) as body"), m, m < 3, 10, 20).collect()
             for r in rows:
                 if r["slice"] is None:
                     counter[r["lang"], r["phrase"]] += r["n"]
@@ -179,6 +179,16 @@ def test_collocations_in_small_blocks(spark, prose, monkeypatch):
             assert counter[lang, phrase] == a, (size, phrase)
 
 
+def test_slices_add_up():
+    chance = np.random.default_rng(2)
+    for kind, most in ((np.uint8, 10), (np.int64, 300)):
+        rows = [np.minimum(chance.integers(0, 400, 1024) * (chance.random(1024) < share), most).astype(kind) for share in (0.01, 0.2, 1, 0)]
+        sums = np.zeros(1024, kind)
+        for r in rows:
+            collocations._add(sums, collocations._pack(r), most)
+        assert (sums == np.minimum(np.sum([r.astype(int) for r in rows], axis=0), most)).all()
+
+
 def test_scores_past_64_bits(spark):
     big = 3_000_000_000_000
     counts = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big + 7), ("en", "a b", 2, big - 5)], "lang string, phrase string, words int, n long")
