@@ -1,6 +1,6 @@
 """A small gated recurrent network with a class-factored softmax, in numpy: forward, truncated backpropagation, Adam.
 
-Symbols are numbered by class: symbols firsts[c] up to firsts[c + 1] are the members of class c. The probability of a symbol is
+There are fewer than 2 ** 16 symbols, numbered by class: symbols firsts[c] up to firsts[c + 1] are the members of class c. The probability of a symbol is
 that of its class times, in classes of more than one, a softmax over the members. The network reads the symbol before.
 """
 
@@ -54,10 +54,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) of each row, in place, and the rows' sums; rows are shifted to a largest value of 0 if any value is far off."""
+    if np.abs(x.max()) > 30:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x, sums = _exponentials(x)
+    x *= (1 / sums)[:, None]
     return x
 
 
@@ -93,7 +100,7 @@ class Network:
 
     def _by_class(self, own: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """The places of symbols in each class of more than one member."""
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.uint16), kind="stable")
         bounds = np.searchsorted(own[order], np.arange(len(self.firsts)))
         for c in self.wide.tolist():
             if bounds[c] < bounds[c + 1]:
@@ -131,11 +138,8 @@ class Network:
     @staticmethod
     def _chosen(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log softmax of one column of each row."""
-        top = logits.max(axis=1)
-        picked = logits[np.arange(len(at)), at] - top
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return (picked - np.log(logits.sum(axis=1))).astype(np.float64)
+        e, sums = _exponentials(logits)
+        return np.log(e[np.arange(len(at)), at].astype(np.float64) + 1e-300) - np.log(sums)
 
     def gradients(self, before: np.ndarray, target: np.ndarray, keep: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
         """Gradients of the mean negative log-likelihood over a window, the state at its end, and the summed loss."""
@@ -177,7 +181,7 @@ class Network:
         dx = dx.reshape(-1, 3 * H)
         read = before.ravel()
         g["w_in"], g["b_in"] = p["embedding"][read].T @ dx, dx.sum(axis=0)
-        de, order = dx @ p["w_in"].T, np.argsort(read, kind="stable")
+        de, order = dx @ p["w_in"].T, np.argsort(read.astype(np.uint16), kind="stable")
         firsts = np.flatnonzero(np.diff(read[order], prepend=-1))
         g["embedding"] = np.zeros_like(p["embedding"])
         g["embedding"][read[order][firsts]] = np.add.reduceat(de[order], firsts, axis=0)

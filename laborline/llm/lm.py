@@ -38,8 +38,8 @@ HEAD, CLASS_WORDS, GROUPS, ROUNDS = 1024, 64, 6, 2
 #: Texts of the first round, which one task trains on, so that the copies of the later rounds start from the same features.
 WARM_TEXTS, WARM_RATE, RATE = 512, 0.01, 0.003
 #: The first count of each bin.
-BINS = (1, 2, 3, 4, 8, 16, 64)
-CHUNK_TOKENS = 500_000
+BINS = (1, 2, 4, 16, 64)
+CHUNK_TOKENS = 2_000_000
 #: The commonest words are looked up by a broadcast: they are in nearly every chunk.
 MOST_COMMON = 10_000
 
@@ -94,7 +94,7 @@ def _encode(docs: DataFrame) -> DataFrame:
                 sizes[lang] = sizes.get(lang, 0) + len(words) + 1
                 if sizes[lang] >= CHUNK_TOKENS:
                     yield flush(lang)
-                elif sum(sizes.values()) >= 4 * CHUNK_TOKENS:
+                elif sum(sizes.values()) >= 2 * CHUNK_TOKENS:
                     for name in list(held):
                         yield flush(name)
         for name in list(held):
@@ -240,7 +240,7 @@ def _train(texts: DataFrame, start: np.ndarray, layout: Layout, rate: float) ->
             for v in batch.column("reads").to_pylist():
                 held.append(np.frombuffer(v, np.uint16))
                 size += len(held[-1])
-                if size >= 8 * CHUNK_TOKENS:
+                if size >= 2 * CHUNK_TOKENS:
                     learn()
                     size = 0
         if held:
