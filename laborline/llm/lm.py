@@ -35,13 +35,14 @@ from .common import cut, discard, partitions, scratch, text_bytes, views
 from .gru import Network, flat, initial, unflat
 
 HEAD, CLASS_WORDS, GROUPS, ROUNDS = 1024, 64, 6, 2
-#: Texts of the first round, which one task trains on, so that the copies of the later rounds start from the same features.
+#: About as many texts, by chance, are those of the first round, which one task trains on, so that the copies of the later rounds start from the same features.
 WARM_TEXTS, WARM_RATE, RATE = 512, 0.01, 0.003
 #: The first count of each bin.
 BINS = (1, 2, 4, 16, 64)
 CHUNK_TOKENS = 2_000_000
-#: The commonest words are looked up by a broadcast: they are in nearly every chunk.
-MOST_COMMON = 10_000
+#: Words with at least this share of all tokens are looked up by a broadcast, as they are in nearly every chunk: there are
+#: MOST_COMMON of them at most. The HEAD words are the commonest of those with a HEAD_SHARE-th of the tokens.
+MOST_COMMON, HEAD_SHARE = 10_000, 100_000
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -124,8 +125,9 @@ class Layout:
 def _layout(counts: DataFrame, ends: int) -> Layout:
     by_lang = counts.groupBy("lang").agg(F.sum("c").alias("n"))
     groups = [r["lang"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(GROUPS).collect()]
-    head = [tuple(r) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "lang", "c").collect() if r["c"] >= BINS[-1]]
     sums = counts.agg(F.sum("c"), F.count("*")).first()
+    often = counts.filter(F.col("c") >= max(BINS[-1], (sums[0] or 0) / HEAD_SHARE))
+    head = [tuple(r) for r in often.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "lang", "c").collect()]
     index = {g: k for k, g in enumerate(groups)}
     n_groups = len(groups) + 1
     head.sort(key=lambda r: (index.get(r[1], len(groups)), -r[2], r[0]))
@@ -185,7 +187,7 @@ def _looked_up(encoded: DataFrame, counts: DataFrame, layout: Layout) -> DataFra
     filled = F.array(*[F.lit(bool(n)) for n in layout.bin_totals.ravel()])
     less = F.when(F.col("less") < 0, F.lit(layout.unknown)).when(filled[F.greatest(F.col("g") + F.col("less"), F.lit(0))], layout.bin_firsts + F.col("g") + F.col("less")).otherwise(layout.bin_firsts + F.col("g") + F.col("b"))
     known = cut(known.select("word", "c", F.coalesce("head", layout.bin_firsts + F.col("g") + F.col("b")).alias("symbol"), F.coalesce("head", less).alias("read")))
-    common = F.broadcast(cut(known.orderBy(F.desc("c"), "word").limit(MOST_COMMON)))
+    common = F.broadcast(known.filter(F.col("c") >= layout.tokens / MOST_COMMON))
     first = entries.join(common, "word", "left")
     easy = first.filter(F.col("c").isNotNull()).select("chunk", "pos", "c", "symbol", "read")
     hard = first.filter(F.col("c").isNull()).select("word", "chunk", "pos").join(known, "word", "left").select("chunk", "pos", "c", "symbol", "read")
@@ -284,9 +286,9 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str |
     texts = spark.read.schema(_READ).parquet(read_path)
     like = initial(layout.class_counts, layout.symbol_counts, layout.firsts)
     weights = flat(like)
-    learned = texts.filter(F.col("reads").isNotNull())
-    chance = F.xxhash64("reads")
-    rounds = [(learned.orderBy(chance, "doc_id").limit(WARM_TEXTS), WARM_RATE), *((learned.filter(F.pmod(chance, F.lit(ROUNDS)) == k), RATE) for k in range(ROUNDS))]
+    learned = texts.filter(F.col("reads").isNotNull()).select("reads", F.xxhash64(F.monotonically_increasing_id()).alias("chance"))
+    warm = learned.filter(F.pmod("chance", F.lit(max(1, ends))) < WARM_TEXTS).repartition(1).sortWithinPartitions("chance")
+    rounds = [(warm, WARM_RATE), *((learned.filter(F.pmod("chance", F.lit(ROUNDS)) == k), RATE) for k in range(ROUNDS))]
     for share, rate in rounds:
         found = _train(share, weights, layout, rate)
         weights = weights if found is None else found
