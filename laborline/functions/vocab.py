@@ -270,3 +270,19 @@ EXPERIENCE_WORDS: dict[str, list[str]] = {
     "数据处理": ["数据清洗", "数据处理", "etl", "报表", "sql", "分析"], "建模算法": ["模型", "机器学习", "深度学习", "预测", "分类", "推荐"], "工程开发": ["开发", "接口", "系统", "平台", "后端", "前端", "工程"],
     "科研实践": ["科研", "论文", "实验", "竞赛", "专利"], "业务协作": ["业务", "沟通", "需求", "协作", "运营"],
 }
+
+#: Resumes: headings of sections, words that end a company's name, words that name a position, labels inside descriptions,
+#: levels of schools. Fixed values, in the order in which they are tried.
+RESUME_HEADINGS: dict[str, list[str]] = {
+    "education": ["教育经历", "教育背景", "学历背景", "学习经历"], "internship": ["实习经历", "工作经历", "实践经历", "校园经历"], "project": ["项目经历", "项目经验", "科研项目", "课程项目"],
+    "skills": ["专业技能", "技能特长", "技能证书", "掌握技能", "语言能力", "计算机能力"], "awards": ["获奖情况", "荣誉奖项", "奖励荣誉"], "self_evaluation": ["自我评价", "个人总结", "个人优势"],
+    "target_job": ["求职意向", "目标岗位", "应聘岗位", "目标职位", "意向岗位"],
+}
+RESUME_COMPANY_ENDS = ["有限责任公司", "股份有限公司", "有限公司", "集团", "科技", "网络", "软件", "信息技术", "研究院", "工作室", "银行", "中心"]
+RESUME_POSITIONS = [
+    "高级软件工程师", "软件研发工程师", "后端开发工程师", "前端开发工程师", "Java工程师", "Java开发工程师", "Python工程师", "数据分析师", "产品经理", "测试工程师", "开发工程师", "软件工程师", "前端工程师", "后端工程师",
+    "算法工程师", "运维工程师", "实施工程师", "销售工程师", "运营专员", "运营助理", "产品助理", "技术助理", "研究助理", "工程师", "实习生", "助理", "专员",
+]
+RESUME_LABELS = ["开发环境：", "项目描述：", "项目介绍：", "责任描述：", "职责描述：", "语言能力：", "计算机能力：", "其他能力：", "毕业设计"]
+RESUME_SCHOOL_LEVELS = [("985", r"(?<!\d)985(?!\d)|九八五"), ("211", r"(?<!\d)211(?!\d)|二一一"), ("双一流", "双一流|一流大学|一流学科"), ("一本", "一本|本科一批"), ("二本", "二本|本科二批")]
+RESUME_PROJECT_HEADINGS = ["项目经历", "项目经验", "科研项目", "课程项目"]

@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import careers, relational, textual
+from . import careers, relational, resumes, textual
 
-QUERIES = relational.QUERIES | textual.QUERIES | careers.QUERIES
-SQL = relational.SQL | textual.SQL | careers.SQL
+QUERIES = relational.QUERIES | textual.QUERIES | careers.QUERIES | resumes.QUERIES
+SQL = relational.SQL | textual.SQL | careers.SQL | resumes.SQL
