@@ -286,3 +286,27 @@ RESUME_POSITIONS = [
 RESUME_LABELS = ["开发环境：", "项目描述：", "项目介绍：", "责任描述：", "职责描述：", "语言能力：", "计算机能力：", "其他能力：", "毕业设计"]
 RESUME_SCHOOL_LEVELS = [("985", r"(?<!\d)985(?!\d)|九八五"), ("211", r"(?<!\d)211(?!\d)|二一一"), ("双一流", "双一流|一流大学|一流学科"), ("一本", "一本|本科一批"), ("二本", "二本|本科二批")]
 RESUME_PROJECT_HEADINGS = ["项目经历", "项目经验", "科研项目", "课程项目"]
+
+#: Gaps between a student and a job: what to do about each type, with the words for an unnamed item. Fixed values.
+GAP_HINTS = {
+    "hard_skills": ("围绕 {} 补充系统学习和项目实践，并在简历中补充应用场景与成果。", "岗位核心硬技能"),
+    "tool_skills": ("补充 {} 的实操案例，例如分析看板、数据处理脚本或作品集。", "岗位工具栈"),
+    "practice_experience": ("围绕“{}”补充课程项目、实习任务或业务场景复盘。", "岗位实践要求"),
+    "soft_skills": ("在项目和实习经历中补充 {} 的行为证据与协作成果。", "关键软技能"),
+    "certificates": ("如岗位确实重视 {}，可规划短期备考或补充替代性证明材料。", "相关证书"),
+    "education": ("若学历/专业背景不完全匹配，建议通过相关课程、项目、证书或竞赛提升岗位方向背书。", ""),
+    "major": ("若学历/专业背景不完全匹配，建议通过相关课程、项目、证书或竞赛提升岗位方向背书。", ""),
+}
+GAP_HINT_OTHER = "结合岗位要求补充可量化的学习成果、项目经验和简历表达证据。"
+GAP_STATUS = {"hard_skills": "学生侧尚未形成稳定技能证据", "tool_skills": "学生侧尚未形成稳定工具使用证据"}
+GAP_WEAKNESS_HINT = "将该短板拆成可执行训练任务，并补充可量化成果或项目证明。"
+GAP_DIMENSION_STATUS, GAP_DIMENSION_HINT = "学生画像仍缺少{}相关证据", "优先补充该维度的信息、经历或作品材料，以便提升后续匹配和报告质量。"
+
+#: What is said of a degree, a major and certificates at each level of risk. Fixed values.
+HARD_INFO_MESSAGES = {
+    "degree": {"high_match": "学历达到岗位主流要求，学历风险较低。", "risk": "学历可满足部分企业要求，但仍存在更高学历样本，建议用项目和技能增强竞争力。", "no_match": "学历暂未覆盖岗位样本中的主流要求，存在明显风险。"},
+    "major": {"high_match": "专业属于岗位主流相关方向，专业匹配风险较低。", "risk": "专业与岗位存在一定相关性，但不是最主流要求，建议用项目经历强化方向证明。", "no_match": "专业与岗位主流要求重合较弱，存在明显专业匹配风险。"},
+    "certificate": {"high_match": "证书项满足岗位要求或岗位证书硬性要求较弱。", "risk": "没有触发强制证书风险，但建议补充岗位高频偏好证书提升竞争力。", "no_match": "缺少岗位高频强制证书，证书项存在明显风险。"},
+}
+#: Ranks of degrees where a student is compared with a job; other labels have none.
+COMPARED_DEGREE_RANK = {"学历不限": 0, "高中/中专": 1, "高中": 1, "中专": 1, "大专": 2, "专科": 2, "本科": 3, "硕士": 4, "研究生": 4, "博士": 5}

@@ -120,14 +120,68 @@ def scored(students: DataFrame, jobs: DataFrame, on: str | None = "target_job")
     return out.withColumn("overall", overall({k: F.col(k) for k in WEIGHTS}))
 
 
-def hard_pass(student_rank: Column, gate_rank: Column, higher_share: Column, major_share: Column, certificate_share: Column, no_certificate_share: Column) -> Column:
-    """struct(degree_pass, degree_risk, major_pass, certificate_pass) from requirement distributions."""
-    return F.struct(
-        (student_rank >= gate_rank).alias("degree_pass"),
-        F.when(student_rank < gate_rank, "no_match").when(higher_share <= 0.2, "match").otherwise("risk").alias("degree_risk"),
-        (major_share >= 0.3).alias("major_pass"),
-        ((certificate_share >= 0.6) | (no_certificate_share >= 0.5)).alias("certificate_pass"),
-    )
+def compared_degree_rank(label: Column) -> Column:
+    """The rank of a degree's standard label; 0 for others and none."""
+    return F.coalesce(*[F.when(label == k, v) for k, v in vocab.COMPARED_DEGREE_RANK.items()], F.lit(0))
+
+
+def _messaged(kind: str, level: Column) -> Column:
+    return F.coalesce(*[F.when(level == k, v) for k, v in vocab.HARD_INFO_MESSAGES[kind].items()])
+
+
+def _share(distribution: Column, of) -> Column:
+    """The sum of ratios of the entries for which ``of`` holds."""
+    return F.aggregate(F.filter(distribution, of), F.lit(0.0), lambda s, x: s + F.coalesce(x["ratio"], F.lit(0.0)))
+
+
+def degree_info(degree: Column, distribution: Column, gate: Column) -> Column:
+    """struct(pass, risk_level, qualified_ratio, higher_requirement_ratio, message) of a degree under a ranked distribution.
+
+    The gate decides whether it passes, the shares of jobs that ask for no more, and for more, decide the risk.
+    """
+    rank, gate_rank = compared_degree_rank(degree), compared_degree_rank(gate)
+    enough = lambda x: (compared_degree_rank(x["name"]) <= 0) | (compared_degree_rank(x["name"]) <= rank)
+
+    def judged(s: Column) -> Column:
+        passed = (gate_rank <= 0) | ((rank > 0) & (rank >= gate_rank))
+        level = F.when(passed & (s["more"] <= 0.2), "high_match").when(s["enough"] > 0, "risk").otherwise("no_match")
+        return F.struct(passed.alias("pass"), level.alias("risk_level"), F.round(F.least(s["enough"], F.lit(1.0)), 4).alias("qualified_ratio"), F.round(F.least(s["more"], F.lit(1.0)), 4).alias("higher_requirement_ratio"), _messaged("degree", level).alias("message"))
+
+    return text.let(F.struct(_share(distribution, enough).alias("enough"), _share(distribution, lambda x: ~enough(x)).alias("more")), judged)
+
+
+def best_similarity(value: Column, items: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(items, lambda x: token_similarity(value, x))), F.lit(0.0))
+
+
+def major_info(major: Column, distribution: Column, gate_set: Column, mainstream: Column | None = None) -> Column:
+    """struct(pass, risk_level, matched_ratio, message): a major passes if it resembles one of the gate set (similarity .75); the
+    share of jobs whose major it resembles decides the risk."""
+    majors = gate_set if mainstream is None else F.when(F.size(gate_set) > 0, gate_set).otherwise(mainstream)
+    like = lambda x: (F.trim(x["name"]) != "") & (x["name"] != vocab.UNKNOWN) & (token_similarity(major, x["name"]) >= 0.75)
+
+    def judged(s: Column) -> Column:
+        free = F.size(gate_set) == 0
+        passed = free | ((F.coalesce(F.trim(major), F.lit("")) != "") & (s["best"] >= 0.75))
+        level = F.when(passed & ((s["share"] >= 0.3) | free), "high_match").when((s["share"] > 0) | (s["best"] >= 0.5), "risk").otherwise("no_match")
+        return F.struct(passed.alias("pass"), level.alias("risk_level"), F.round(F.least(s["share"], F.lit(1.0)), 4).alias("matched_ratio"), _messaged("major", level).alias("message"))
+
+    return text.let(F.struct(_share(distribution, like).alias("share"), best_similarity(major, majors).alias("best")), judged)
+
+
+def certificate_info(have: Column, must: Column, preferred: Column, none_ratio: Column) -> Column:
+    """struct(pass, risk_level, matched_ratio, message): all must-have certificates pass; the share of all that are asked for, or
+    of jobs that ask for none, decides the risk."""
+    met = lambda wanted: F.size(F.filter(wanted, lambda w: F.exists(have, lambda h: token_similarity(h, w) >= 0.75)))
+
+    def judged(s: Column) -> Column:
+        total = F.size(must) + F.size(preferred)
+        ratio = F.when(total <= 0, 1.0).otherwise(F.try_divide(s["must"] + s["preferred"], total))
+        passed = s["must"] == F.size(must)
+        level = F.when(passed & ((ratio >= 0.6) | (none_ratio >= 0.5)), "high_match").when(passed, "risk").otherwise("no_match")
+        return F.struct(passed.alias("pass"), level.alias("risk_level"), F.round(ratio, 4).alias("matched_ratio"), _messaged("certificate", level).alias("message"))
+
+    return text.let(F.struct(met(must).alias("must"), met(preferred).alias("preferred")), judged)
 
 
 def knowledge_coverage(known: Column, required: Column, least: float = 0.72) -> Column:
@@ -163,11 +217,29 @@ def risk_level(statuses: Column) -> Column:
     return F.when(has("unknown"), "unknown").when(has("no_match"), "no_match").when(has("risk"), "risk").otherwise("match")
 
 
-def explanations(basic: Column, skill: Column, quality: Column, potential: Column, most: int = 6) -> Column:
-    """struct(risks, strengths): sub-scores under 60, and from 80."""
-    named = [("basic", basic), ("skill", skill), ("quality", quality), ("potential", potential)]
-    pick = lambda cond, word: F.slice(F.array_compact(F.array(*[F.when(cond(c), F.concat(F.lit(f"{n} {word} "), F.format_number(c, 0))) for n, c in named])), 1, most)
-    return F.struct(pick(lambda c: c < 60, "only").alias("risks"), pick(lambda c: c >= 80, "at").alias("strengths"))
+def explanations(risk_level: Column, missing: Column, matched: Column, knowledge_pass: Column, accuracy: Column, hard_info: list[Column], all_pass: Column, reason: Column, score: Column, most: int = 6) -> Column:
+    """struct(risks, advantages) of a match, ``most`` texts of each, each once.
+
+    Risks: the level unless it is a match, missing points, coverage under the bound, what is said of degree, major and
+    certificates at risk, and that not all is passed if nothing else is said. Advantages: the gates, points that are there, the
+    reason given, the score. ``hard_info`` holds the structs of degree, major and certificate; null knowledge_pass means no
+    comparison of knowledge.
+    """
+    first = lambda c: F.array_join(F.slice(F.array_distinct(F.filter(c, lambda x: F.trim(x) != "")), 1, 6), "、")
+    said = lambda prefix, body: F.when(body != "", F.concat(F.lit(prefix), body))
+    level = F.coalesce(F.trim(risk_level), F.lit(""))
+    risks = [
+        F.when(~level.isin("", "high_match", "match"), F.concat(F.lit("风险等级为"), level)), said("缺失知识点：", first(missing)),
+        F.when(~knowledge_pass, F.concat(F.lit("知识点覆盖率为"), F.bround(accuracy * 100, 0).cast("int").cast("string"), F.lit("%，尚未达到80%"))),
+        *[F.when(h["risk_level"].isin("risk", "no_match"), h["message"]) for h in hard_info],
+    ]
+    listed = F.array_distinct(F.array_compact(F.array(*risks)))
+    risks_or = F.when((F.size(listed) == 0) & ~all_pass, F.array(F.lit("赛题综合评测尚未完全通过"))).otherwise(listed)
+    gates = hard_info[0]["pass"]
+    for h in hard_info[1:]:
+        gates = gates & h["pass"]
+    advantages = F.array_compact(F.array(F.when(gates, "学历、专业、证书硬门槛通过"), said("已命中知识点：", first(matched)), F.nullif(F.trim(reason), F.lit("")), F.when(score > 0, F.concat(F.lit("主展示分为"), F.format_string("%.2f", score)))))
+    return F.struct(F.slice(risks_or, 1, most).alias("risks"), F.slice(F.array_distinct(advantages), 1, most).alias("advantages"))
 
 
 def merged(rules: DataFrame, judged: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text, vocab
+
 
 def goal_decision(target_score: Column, other_score: Column, target_accuracy: Column, other_accuracy: Column, target_pass: Column, other_pass: Column) -> Column:
     """keep_target, switch or keep_both: a job that passes replaces one that doesn't by 10 points and better accuracy,
@@ -52,8 +54,58 @@ def gaps(required: DataFrame, have: DataFrame, keys: list[str], item: str) -> Da
     return required.select(*keys, item).distinct().join(have.select(*keys, item), [*keys, item], "left_anti")
 
 
-def gap_priority(ratio: Column) -> Column:
-    return F.when(ratio >= 0.5, "high").when(ratio >= 0.2, "medium").otherwise("low")
+def gap_priority(kind: Column, overall_score: Column) -> Column:
+    """Skills, tools and practice are urgent; degree, major and certificates under a score of 75; the rest by its type."""
+    urgent, formal = kind.isin("hard_skills", "tool_skills", "practice_experience"), kind.isin("education", "major", "certificates")
+    return F.when(urgent | (formal & (overall_score < 75)), "high").when(formal | kind.isin("soft_skills", "career_direction"), "medium").otherwise("low")
+
+
+def gap_hint(kind: Column, item: Column, suggestions: Column) -> Column:
+    """The first suggestion that names the item, else the text for the type of gap."""
+    said = F.when(item != "", F.get(F.filter(suggestions, lambda x: F.contains(x, item)), F.lit(0)))
+
+    def filled(template: str, unnamed: str) -> Column:
+        left, _, right = template.partition("{}")
+        return F.concat(F.lit(left), F.when(item == "", unnamed).otherwise(item), F.lit(right)) if unnamed else F.lit(template)
+
+    return F.coalesce(said, *[F.when(kind == k, filled(*v)) for k, v in vocab.GAP_HINTS.items()], F.lit(vocab.GAP_HINT_OTHER))
+
+
+def gap_analysis(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, place, gap_type, gap_item, current_status, action_hint, priority, source: a row for each gap of a student and a job.
+
+    Five sources in turn: what the match found missing, the job's skills, its tools, the student's weaknesses, dimensions
+    without evidence. Skills and tools that the student has, that the match found or that an earlier source names are left out;
+    equal gaps count once. ``pairs`` has a row for each pair, with the arrays missing_items (dimension, required_item,
+    student_item, reason), matched_items (dimension, required_item), hard_skills, tool_skills, required_skills,
+    required_tools, weaknesses, missing_dimensions, improvement_suggestions, and overall_match_score. Everything is an
+    expression over a pair's own arrays, so nothing is shuffled. Null arrays count as empty, blank texts are left out.
+    """
+    some = F.col("_a")
+    clean = lambda x: F.coalesce(text.clean_text(x), F.lit(""))
+    listed = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), clean), lambda x: x != ""))
+    named = lambda c: F.coalesce(F.col(c), F.array())
+    missing = F.transform(
+        F.filter(named("missing_items"), lambda x: x.isNotNull()),
+        lambda x: F.struct(F.coalesce(F.nullif(clean(x["dimension"]), F.lit("")), F.lit("general")).alias("type"), clean(x["required_item"]).alias("item"), F.coalesce(F.nullif(clean(x["student_item"]), F.lit("")), clean(x["reason"])).alias("status")),
+    )
+    found = F.transform(F.filter(named("matched_items"), lambda x: x.isNotNull()), lambda x: F.struct(clean(x["dimension"]).alias("type"), clean(x["required_item"]).alias("item")))
+    parts = [missing.alias("missing"), found.alias("found"), *[listed(c).alias(c) for c in ("hard_skills", "tool_skills", "required_skills", "required_tools", "weaknesses", "missing_dimensions", "improvement_suggestions")]]
+    bound = pairs.select(*keys, F.coalesce(F.col("overall_match_score").cast("double"), F.lit(0.0)).alias("_score"), F.struct(*parts).alias("_a"))
+    gap = lambda kind, item, status, hint, priority, source: F.struct(kind.alias("gap_type"), item.alias("gap_item"), status.alias("current_status"), hint.alias("action_hint"), priority.alias("priority"), F.lit(source).alias("source"))
+    hint = lambda kind, item: gap_hint(kind, item, some["improvement_suggestions"])
+    first = F.transform(some["missing"], lambda x: gap(x["type"], x["item"], x["status"], hint(x["type"], x["item"]), gap_priority(x["type"], F.col("_score")), "job_match.missing_items"))
+
+    def open_items(kind: str, required: str, source: str) -> Column:
+        of_kind = lambda c: F.transform(F.filter(some[c], lambda x: x["type"] == kind), lambda x: x["item"])
+        left = F.array_except(some[required], F.concat(of_kind("missing"), of_kind("found"), some[kind]))
+        return F.transform(left, lambda x: gap(F.lit(kind), x, F.lit(vocab.GAP_STATUS[kind]), hint(F.lit(kind), x), F.lit("high"), source))
+
+    missing_status = vocab.GAP_DIMENSION_STATUS.split("{}")
+    weak = F.transform(some["weaknesses"], lambda x: gap(F.lit("student_weakness"), x, x, F.lit(vocab.GAP_WEAKNESS_HINT), F.lit("medium"), "student_profile.weaknesses"))
+    absent = F.transform(some["missing_dimensions"], lambda x: gap(F.lit("missing_dimension"), x, F.concat(F.lit(missing_status[0]), x, F.lit(missing_status[1])), F.lit(vocab.GAP_DIMENSION_HINT), F.lit("medium"), "student_profile.missing_dimensions"))
+    gaps = F.concat(first, open_items("hard_skills", "required_skills", "job_profile.hard_skills"), open_items("tool_skills", "required_tools", "job_profile.tools_or_tech_stack"), weak, absent)
+    return bound.select(*keys, F.posexplode(F.array_distinct(gaps)).alias("place", "_g")).select(*keys, (F.col("place") + 1).alias("place"), "_g.*")
 
 
 #: Path type and source: points, the base under the match, its least value, and the match below which (or from which) it has priority.

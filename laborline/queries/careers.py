@@ -23,26 +23,130 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""
-WITH x AS (SELECT c_custkey, c_custkey % 6 AS have, c_nationkey % 6 AS gate, (c_custkey % 10) / 10.0 AS higher, (c_custkey % 7) / 10.0 AS major, (c_custkey % 11) / 10.0 AS cert, (c_custkey % 13) / 10.0 AS none FROM customer)
-SELECT c_custkey, have >= gate AS degree_pass, CASE WHEN have < gate THEN 'no_match' WHEN higher <= 0.2 THEN 'match' ELSE 'risk' END AS degree_risk, major >= 0.3 AS major_pass, cert >= 0.6 OR none >= 0.5 AS certificate_pass FROM x
+_HARD = """
+lab AS (SELECT p_brand, ['学历不限', '大专', '本科', '硕士', '博士'][p_size % 5 + 1] AS degree, CASE WHEN p_size % 11 = 0 THEN '未明确' ELSE p_type END AS major FROM part),
+d AS (SELECT p_brand, degree, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY p_brand) AS ratio FROM lab GROUP BY p_brand, degree),
+m AS (SELECT p_brand, major, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY p_brand) AS ratio, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, major) AS rank FROM lab GROUP BY p_brand, major),
+dr AS (SELECT *, round(ratio, 4) AS r, CASE degree WHEN '学历不限' THEN 0 WHEN '大专' THEN 2 WHEN '本科' THEN 3 WHEN '硕士' THEN 4 ELSE 5 END AS level FROM d),
+g AS (SELECT p_brand, max_by(degree, n * 10 + level) AS gate, max_by(level, n * 10 + level) AS gate_level FROM dr GROUP BY 1),
+mg AS (SELECT p_brand, major, round(ratio, 4) AS r, rank, p_brand NOT IN ('Brand#3', 'Brand#7') AND rank <= 2 AND major <> '未明确' AS in_gate FROM m),
+s AS (
+  SELECT c_custkey, 'Brand#' || c_custkey % 25 + 1 AS p_brand, ['', '大专', '本科', '硕士', '博士', '其他'][c_custkey % 6 + 1] AS degree, [0, 2, 3, 4, 5, 0][c_custkey % 6 + 1] AS level,
+    ['ECONOMY', 'PROMO', '专业：large', '', '哲学', 'SMALL.', 'MED'][c_custkey % 7 + 1] AS major, ['economy', 'promo', 'large', '', '哲学', 'small', 'med'][c_custkey % 7 + 1] AS token FROM customer),
+deg AS (
+  SELECT s.c_custkey, any_value(gate_level) <= 0 OR (s.level > 0 AND s.level >= any_value(gate_level)) AS pass, sum(CASE WHEN dr.level <= 0 OR s.level >= dr.level THEN r ELSE 0 END) AS enough, sum(CASE WHEN dr.level > 0 AND s.level < dr.level THEN r ELSE 0 END) AS more
+  FROM s JOIN dr USING (p_brand) JOIN g USING (p_brand) GROUP BY s.c_custkey, s.level),
+sim AS (
+  SELECT s.c_custkey, s.major AS own, mg.major, r, in_gate, CASE WHEN token = '' THEN 0.0 WHEN token = lower(mg.major) THEN 1.0 WHEN contains(token, lower(mg.major)) OR contains(lower(mg.major), token) THEN 0.9
+    ELSE round(2.0 * len(list_intersect(string_split(token, ''), string_split(lower(mg.major), ''))) / (len(list_distinct(string_split(token, ''))) + len(list_distinct(string_split(lower(mg.major), '')))), 4) END AS like_it
+  FROM s JOIN mg USING (p_brand)),
+maj AS (
+  SELECT c_custkey, own, bool_or(in_gate) AS gated, coalesce(max(like_it) FILTER (in_gate), 0.0) AS best, coalesce(sum(r) FILTER (major <> '未明确' AND like_it >= 0.75), 0.0) AS share FROM sim GROUP BY c_custkey, own),
+cert AS (SELECT c_custkey, c_custkey % 3 AS musts, c_custkey % 2 AS options, least(c_custkey % 3, c_custkey % 4) AS met, CASE WHEN c_custkey % 4 = 3 THEN c_custkey % 2 ELSE 0 END AS liked, c_custkey % 10 / 10.0 AS none FROM customer),
+hard AS (
+  SELECT c_custkey, deg.pass AS degree_pass, CASE WHEN deg.pass AND more <= 0.2 THEN 'high_match' WHEN enough > 0 THEN 'risk' ELSE 'no_match' END AS degree_risk, round(least(enough, 1), 4) AS qualified, round(least(more, 1), 4) AS higher,
+    NOT gated OR (own <> '' AND best >= 0.75) AS major_pass, CASE WHEN (NOT gated OR (own <> '' AND best >= 0.75)) AND (share >= 0.3 OR NOT gated) THEN 'high_match' WHEN share > 0 OR best >= 0.5 THEN 'risk' ELSE 'no_match' END AS major_risk, round(share, 4) AS matched,
+    met = musts AS certificate_pass, CASE WHEN met <> musts THEN 'no_match' WHEN musts + options = 0 OR (met + liked) / (musts + options) >= 0.6 OR none >= 0.5 THEN 'high_match' ELSE 'risk' END AS certificate_risk,
+    round(CASE WHEN musts + options = 0 THEN 1 ELSE (met + liked) / (musts + options) END, 4) AS certificates
+  FROM deg JOIN maj USING (c_custkey) JOIN cert USING (c_custkey))
+"""
+
+
+def _hard_info(spark: SparkSession, d: str) -> DataFrame:
+    """c_custkey, degree, major, certificate: each customer against the distributions of the parts of one brand."""
+    from ..operators import stats
+
+    part, k = load(spark, d, "part"), F.col("c_custkey")
+    level = F.get(F.array(*[F.lit(x) for x in ("学历不限", "大专", "本科", "硕士", "博士")]), (F.col("p_size") % 5).cast("int"))
+    degrees = stats.distribution(part, ["p_brand"], level)
+    majors = stats.distribution(part, ["p_brand"], F.when(F.col("p_size") % 11 == 0, "未明确").otherwise(F.col("p_type")))
+    gate = stats.ordered_gate(degrees, ["p_brand"], match.compared_degree_rank(F.col("name"))).select("p_brand", "gate")
+    jobs = stats.nested(degrees, ["p_brand"], "degrees").join(stats.nested(majors, ["p_brand"], "majors"), "p_brand").join(gate, "p_brand")
+    gated = F.when(F.col("p_brand").isin("Brand#3", "Brand#7"), F.array().cast("array<string>")).otherwise(F.transform(F.filter("majors", lambda x: (x["rank"] <= 2) & (x["name"] != "未明确")), lambda x: x["name"]))
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (k % len(v)).cast("int"))
+    students = load(spark, d, "customer").select("c_custkey", F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string")).alias("p_brand"), pick("", "大专", "本科", "硕士", "博士", "其他").alias("own_degree"), pick("ECONOMY", "PROMO", "专业：large", "", "哲学", "SMALL.", "MED").alias("own_major"))
+    names = lambda n, word: F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < n), lambda i: F.concat(F.lit(word), F.element_at(F.array(F.lit("甲"), F.lit("乙"), F.lit("丙")), i + 1)))
+    certificate = match.certificate_info(F.concat(names(k % 4, "证书："), F.when(k % 4 == 3, F.array(F.lit("Optional"))).otherwise(F.array().cast("array<string>"))), names(k % 3, ""), F.when(k % 2 == 1, F.array(F.lit("optional"))).otherwise(F.array().cast("array<string>")), k % 10 / 10)
+    return students.join(jobs, "p_brand").select("c_custkey", match.degree_info(F.col("own_degree"), F.col("degrees"), F.col("gate")).alias("degree"), match.major_info(F.col("own_major"), F.col("majors"), gated).alias("major"), certificate.alias("certificate"))
+
+
+@query(f"""
+WITH {_HARD}
+SELECT * FROM hard
 """)
 def hard_gates(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("c_custkey"), F.col("c_nationkey")
-    got = match.hard_pass(k % 6, n % 6, (k % 10) / 10, (k % 7) / 10, (k % 11) / 10, (k % 13) / 10)
-    return load(spark, d, "customer").select("c_custkey", got.alias("p")).select("c_custkey", "p.*")
+    got = _hard_info(spark, d)
+    return got.select(
+        "c_custkey", F.col("degree.pass").alias("degree_pass"), F.col("degree.risk_level").alias("degree_risk"), F.col("degree.qualified_ratio").alias("qualified"), F.col("degree.higher_requirement_ratio").alias("higher"),
+        F.col("major.pass").alias("major_pass"), F.col("major.risk_level").alias("major_risk"), F.col("major.matched_ratio").alias("matched"), F.col("certificate.pass").alias("certificate_pass"), F.col("certificate.risk_level").alias("certificate_risk"), F.col("certificate.matched_ratio").alias("certificates"),
+    )
+
+
+@query(f"""
+WITH {_HARD},
+x AS (
+  SELECT *, ['high_match', 'match', 'risk', 'no_match', ''][c_custkey % 5 + 1] AS level, c_custkey % 4 AS miss, c_custkey % 9 AS hit, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 2 = 0 END AS known, (c_custkey % 100) / 100.0 AS acc, degree_pass AND major_pass AND certificate_pass AS gates FROM hard),
+r AS (
+  SELECT c_custkey, gates, hit, list_filter(list_distinct_ordered, lambda v: v IS NOT NULL) AS risks FROM (
+    SELECT *, [CASE WHEN level NOT IN ('', 'high_match', 'match') THEN '风险等级为' || level END, CASE WHEN miss > 0 THEN '缺失知识点：' || array_to_string(list_transform(range(miss), lambda i: 'p' || i), '、') END,
+      CASE WHEN known = false THEN '知识点覆盖率为' || c_custkey % 100 || '%，尚未达到80%' END,
+      CASE degree_risk WHEN 'risk' THEN '学历可满足部分企业要求，但仍存在更高学历样本，建议用项目和技能增强竞争力。' WHEN 'no_match' THEN '学历暂未覆盖岗位样本中的主流要求，存在明显风险。' END,
+      CASE major_risk WHEN 'risk' THEN '专业与岗位存在一定相关性，但不是最主流要求，建议用项目经历强化方向证明。' WHEN 'no_match' THEN '专业与岗位主流要求重合较弱，存在明显专业匹配风险。' END,
+      CASE certificate_risk WHEN 'risk' THEN '没有触发强制证书风险，但建议补充岗位高频偏好证书提升竞争力。' WHEN 'no_match' THEN '缺少岗位高频强制证书，证书项存在明显风险。' END] AS list_distinct_ordered FROM x))
+SELECT c_custkey, CASE WHEN len(risks) = 0 AND c_custkey % 3 <> 0 THEN '赛题综合评测尚未完全通过' ELSE array_to_string(risks[1:6], '|') END AS risks,
+  concat_ws('|', CASE WHEN gates THEN '学历、专业、证书硬门槛通过' END, CASE WHEN hit > 0 THEN '已命中知识点：' || array_to_string(list_transform(range(least(hit, 6)), lambda i: 'q' || i), '、') END, CASE WHEN c_custkey % 2 = 0 THEN '推荐' || c_custkey END, CASE WHEN c_custkey % 50 > 0 THEN '主展示分为' || printf('%.2f', c_custkey % 50 * 1.5) END) AS strengths
+FROM r
+""")
+def score_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """Risks and advantages from levels, knowledge points and what is said of degree, major and certificates."""
+    k = F.col("c_custkey")
+    level = F.get(F.array(*[F.lit(x) for x in ("high_match", "match", "risk", "no_match", "")]), (k % 5).cast("int"))
+    points = lambda n, letter: F.transform(F.filter(F.sequence(F.lit(0), F.lit(8)), lambda i: i < n), lambda i: F.concat(F.lit(letter), i.cast("string")))
+    got = match.explanations(
+        level, points(k % 4, "p"), points(k % 9, "q"), F.when(k % 7 != 0, k % 2 == 0), (k % 100) / 100, [F.col(c) for c in ("degree", "major", "certificate")], k % 3 == 0,
+        F.when(k % 2 == 0, F.concat(F.lit("推荐"), k.cast("string"))).otherwise(" "), k % 50 * 1.5,
+    )
+    rows = _hard_info(spark, d).withColumn("e", got)
+    return rows.select("c_custkey", F.array_join("e.risks", "|").alias("risks"), F.array_join("e.advantages", "|").alias("strengths"))
 
 
 @query("""
-WITH t AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), c AS (SELECT p_brand, p_type, count(*) / max(t.n) AS ratio FROM part JOIN t USING (p_brand) GROUP BY 1, 2),
-h AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 40)
-SELECT p_brand, p_type, CASE WHEN ratio >= 0.5 THEN 'high' WHEN ratio >= 0.2 THEN 'medium' ELSE 'low' END AS priority FROM c WHERE (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM h)
+WITH o AS (SELECT o_custkey AS c_custkey, o_orderkey AS k, o_orderkey % 7 AS f, o_orderpriority || '-' || o_orderkey % 2 AS it FROM orders),
+score AS (SELECT c_custkey, c_custkey % 50 + 50 AS score FROM customer),
+missing AS (
+  SELECT c_custkey, min(k) AS pl, type, item, status FROM (
+    SELECT c_custkey, k, CASE k % 5 WHEN 0 THEN 'hard_skills' WHEN 1 THEN 'tool_skills' WHEN 2 THEN 'education' WHEN 3 THEN 'soft_skills' ELSE 'general' END AS type, CASE WHEN k % 6 = 5 THEN '' ELSE it END AS item, CASE WHEN k % 2 = 0 THEN 'r' || k % 4 ELSE 'x' || k % 3 END AS status FROM o WHERE f = 0) GROUP BY ALL),
+had AS (SELECT c_custkey, it, CASE WHEN k % 2 = 0 THEN 'hard_skills' ELSE 'tool_skills' END AS type FROM o WHERE f = 1 UNION ALL SELECT c_custkey, it, 'hard_skills' FROM o WHERE f = 2 UNION ALL SELECT c_custkey, it, 'tool_skills' FROM o WHERE f = 3
+  UNION ALL SELECT c_custkey, item, type FROM missing),
+wanted AS (SELECT c_custkey, 'hard_skills' AS type, it, min(k) AS pl FROM o WHERE f IN (4, 5) GROUP BY ALL UNION ALL SELECT c_custkey, 'tool_skills', it, min(k) FROM o WHERE f IN (5, 6) GROUP BY ALL),
+g AS (
+  SELECT c_custkey, 1 AS src, pl, type, item, status, 'job_match.missing_items' AS source FROM missing
+  UNION ALL SELECT c_custkey, CASE type WHEN 'hard_skills' THEN 2 ELSE 3 END, pl, type, it, CASE type WHEN 'hard_skills' THEN '学生侧尚未形成稳定技能证据' ELSE '学生侧尚未形成稳定工具使用证据' END, CASE type WHEN 'hard_skills' THEN 'job_profile.hard_skills' ELSE 'job_profile.tools_or_tech_stack' END
+    FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM had h WHERE h.c_custkey = w.c_custkey AND h.type = w.type AND h.it = w.it)
+  UNION ALL SELECT c_custkey, 4, min(k), 'student_weakness', 'w' || k % 4, 'w' || k % 4, 'student_profile.weaknesses' FROM o WHERE f = 3 GROUP BY c_custkey, k % 4
+  UNION ALL SELECT c_custkey, 5, min(k), 'missing_dimension', 'd' || k % 3, '学生画像仍缺少d' || k % 3 || '相关证据', 'student_profile.missing_dimensions' FROM o WHERE f = 4 GROUP BY c_custkey, k % 3),
+said AS (SELECT DISTINCT c_custkey, it FROM o WHERE f = 6)
+SELECT g.c_custkey, row_number() OVER (PARTITION BY g.c_custkey ORDER BY src, pl) AS place, type AS gap_type, item AS gap_item, status AS current_status,
+  CASE WHEN src = 4 THEN '将该短板拆成可执行训练任务，并补充可量化成果或项目证明。' WHEN src = 5 THEN '优先补充该维度的信息、经历或作品材料，以便提升后续匹配和报告质量。' WHEN said.it IS NOT NULL THEN '补' || item
+    WHEN type = 'hard_skills' THEN '围绕 ' || coalesce(nullif(item, ''), '岗位核心硬技能') || ' 补充系统学习和项目实践，并在简历中补充应用场景与成果。' WHEN type = 'tool_skills' THEN '补充 ' || coalesce(nullif(item, ''), '岗位工具栈') || ' 的实操案例，例如分析看板、数据处理脚本或作品集。'
+    WHEN type = 'soft_skills' THEN '在项目和实习经历中补充 ' || coalesce(nullif(item, ''), '关键软技能') || ' 的行为证据与协作成果。' WHEN type = 'education' THEN '若学历/专业背景不完全匹配，建议通过相关课程、项目、证书或竞赛提升岗位方向背书。' ELSE '结合岗位要求补充可量化的学习成果、项目经验和简历表达证据。' END AS action_hint,
+  CASE WHEN src > 3 THEN 'medium' WHEN type IN ('hard_skills', 'tool_skills') THEN 'high' WHEN type = 'education' THEN CASE WHEN score < 75 THEN 'high' ELSE 'medium' END WHEN type = 'soft_skills' THEN 'medium' ELSE 'low' END AS priority, source
+FROM g JOIN score ON score.c_custkey = g.c_custkey LEFT JOIN said ON said.c_custkey = g.c_custkey AND said.it = g.item
 """)
 def gap_priorities(spark: SparkSession, d: str) -> DataFrame:
-    part = load(spark, d, "part")
-    rows = part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).join(part.groupBy("p_brand").agg(F.count("*").alias("t")), "p_brand").select("p_brand", "p_type", (F.col("n") / F.col("t")).alias("ratio"))
-    missing = path.gaps(rows, part.filter("p_size > 40"), ["p_brand"], "p_type")
-    return rows.join(missing, ["p_brand", "p_type"]).select("p_brand", "p_type", path.gap_priority(F.col("ratio")).alias("priority"))
+    """Gaps of all customers that have orders, from five sources that their orders are dealt to."""
+    k, f = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    it = F.concat("o_orderpriority", F.lit("-"), (k % 2).cast("string"))
+    kinds = F.get(F.array(*[F.lit(x) for x in ("hard_skills", " tool_skills", "education", "soft_skills", " NaN ")]), (k % 5).cast("int"))
+    item = F.struct(kinds.alias("dimension"), F.when(k % 6 == 5, "none").otherwise(it).alias("required_item"), F.when(k % 2 == 1, F.concat(F.lit("x"), (k % 3).cast("string"))).otherwise("").alias("student_item"), F.concat(F.lit("r"), (k % 4).cast("string")).alias("reason"))
+    found = F.struct(F.when(k % 2 == 0, "hard_skills").otherwise("tool_skills").alias("dimension"), it.alias("required_item"))
+    listed = lambda cond, value: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(k.alias("k"), value.alias("v"))))), lambda x: x["v"])
+    word = lambda letter, n: F.concat(F.lit(letter), (k % n).cast("string"))
+    pairs = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        listed(f == 0, item).alias("missing_items"), listed(f == 1, found).alias("matched_items"), listed(f == 2, it).alias("hard_skills"), listed(f == 3, it).alias("tool_skills"), listed(f.isin(4, 5), it).alias("required_skills"), listed(f.isin(5, 6), it).alias("required_tools"),
+        listed(f == 3, word("w", 4)).alias("weaknesses"), listed(f == 4, word("d", 3)).alias("missing_dimensions"), listed(f == 6, F.concat(F.lit("补"), it)).alias("improvement_suggestions"),
+    )
+    return path.gap_analysis(pairs.withColumn("overall_match_score", F.col("c_custkey") % 50 + 50), ["c_custkey"])
 
 
 @query("""
@@ -91,17 +195,6 @@ def candidate_confirmation(spark: SparkSession, d: str) -> DataFrame:
     return resolve.confirmed(rows, saved, ["broad"]).select("s_suppkey", "score", "name", "needs_confirmation")
 
 
-@query("""
-WITH x AS (SELECT c_custkey, c_custkey % 101 AS basic, c_custkey * 3 % 101 AS skill, c_custkey * 7 % 101 AS quality, c_custkey * 11 % 101 AS potential FROM customer)
-SELECT c_custkey, concat_ws('|', CASE WHEN basic < 60 THEN 'basic only ' || basic END, CASE WHEN skill < 60 THEN 'skill only ' || skill END, CASE WHEN quality < 60 THEN 'quality only ' || quality END, CASE WHEN potential < 60 THEN 'potential only ' || potential END) AS risks,
- concat_ws('|', CASE WHEN basic >= 80 THEN 'basic at ' || basic END, CASE WHEN skill >= 80 THEN 'skill at ' || skill END, CASE WHEN quality >= 80 THEN 'quality at ' || quality END, CASE WHEN potential >= 80 THEN 'potential at ' || potential END) AS strengths FROM x
-""")
-def score_explanations(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    got = match.explanations(*[(k * f % 101).cast("double") for f in (1, 3, 7, 11)])
-    return load(spark, d, "customer").select("c_custkey", got.alias("e")).select("c_custkey", F.array_join("e.risks", "|").alias("risks"), F.array_join("e.strengths", "|").alias("strengths"))
-
-
 @query("""
 WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS job FROM customer),
 j AS (SELECT c_custkey, 'J' || c_custkey AS name, CASE WHEN c_custkey % 8 <> 0 THEN c_mktsegment || '!' END AS job FROM customer WHERE c_custkey % 5 <> 0),
