@@ -242,12 +242,6 @@ def explanations(risk_level: Column, missing: Column, matched: Column, knowledge
     return F.struct(F.slice(risks_or, 1, most).alias("risks"), F.slice(F.array_distinct(advantages), 1, most).alias("advantages"))
 
 
-def merged(rules: DataFrame, judged: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """A judged text where there is one, else the rule's."""
-    j = judged.select(key, *[F.col(c).alias(f"_j_{c}") for c in columns])
-    return rules.join(j, key, "left").withColumns({c: F.coalesce(F.nullif(F.trim(f"_j_{c}"), F.lit("")), F.col(c)) for c in columns}).drop(*[f"_j_{c}" for c in columns])
-
-
 def first_known(distribution: Column, unknown: str = vocab.UNKNOWN) -> Column:
     """The first name of a ranked distribution (array of structs with name) that isn't the unknown one."""
     return F.get(F.filter(distribution, lambda x: (F.trim(x["name"]) != "") & (x["name"] != unknown)), F.lit(0))["name"]

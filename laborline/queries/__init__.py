@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import careers, relational, resumes, textual
+from . import careers, relational, results, resumes, textual
 
-QUERIES = relational.QUERIES | textual.QUERIES | careers.QUERIES | resumes.QUERIES
-SQL = relational.SQL | textual.SQL | careers.SQL | resumes.SQL
+QUERIES = relational.QUERIES | textual.QUERIES | careers.QUERIES | resumes.QUERIES | results.QUERIES
+SQL = relational.SQL | textual.SQL | careers.SQL | resumes.SQL | results.SQL
