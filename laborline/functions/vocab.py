@@ -310,3 +310,23 @@ HARD_INFO_MESSAGES = {
 }
 #: Ranks of degrees where a student is compared with a job; other labels have none.
 COMPARED_DEGREE_RANK = {"学历不限": 0, "高中/中专": 1, "高中": 1, "中专": 1, "大专": 2, "专科": 2, "本科": 3, "硕士": 4, "研究生": 4, "博士": 5}
+
+#: What a question is about: class, confidence, domain of data, whether SQL, the graph of paths or documents are asked, and its
+#: words; the first class with a word in the question holds. Words with capitals stand as they are. Fixed values.
+INTENTS = [
+    ("career_path_question", 0.92, "path_graph", "path", ["路径图谱", "岗位路径", "职业路径", "晋升", "转岗", "promote_to", "transfer_to", "图谱关系"]),
+    ("report_question", 0.86, "report_state", "", ["报告", "总结", "行动计划", "职业建议", "结论", "规划建议"]),
+    ("match_explanation", 0.88, "job_match_state", "", ["为什么推荐", "为什么不匹配", "匹配", "风险", "覆盖率", "赛题评测", "硬门槛", "最推荐"]),
+    ("student_profile_question", 0.86, "student_profile_state", "", ["我的学历", "我的专业", "我的技能", "我的证书", "我的项目", "我的实习", "学生画像", "个人画像", "我会什么"]),
+    ("job_requirement_question", 0.84, "semantic_job_knowledge", "semantic", ["岗位要求", "学历要求", "专业要求", "证书要求", "技能要求", "学历", "专业", "证书", "知识点", "需要什么", "要求是什么"]),
+    ("company_search", 0.9, "sql_market", "sql", ["公司", "企业", "厂", "投递清单", "投递公司"]),
+    ("salary_search", 0.88, "sql_market", "sql", ["薪资", "工资", "收入", "月薪", "待遇", "k", "K", "万", "高薪"]),
+    ("industry_search", 0.82, "sql_market", "sql", ["行业", "领域", "产业"]),
+]
+CITY_QUESTION = ["城市", "地区", "地点", "北京", "上海", "广州", "深圳", "杭州", "成都", "南京", "苏州", "武汉"]
+MARKET_WORDS = ["有哪些", "哪些", "查询", "筛选", "多少", "分布", "样本", "机会", "岗位"]
+CITIES = ["北京", "上海", "广州", "深圳", "杭州", "苏州", "南京", "成都", "武汉", "西安", "重庆", "天津", "长沙", "郑州", "青岛", "厦门", "宁波", "福州", "东莞", "佛山", "珠海", "哈尔滨"]
+CITY_NAME = r"([\x{4e00}-\x{9fff}]{2,12}(?:市|省|自治区|特别行政区|自治州|地区|盟|县|区))"
+SALARY_WORDS = ["薪资", "工资", "收入", "月薪", "k", "K", "w", "W", "万"]
+JOB_WORDS = ["java", "python", "golang", "c++", "前端", "后端", "测试", "运维", "算法", "数据", "产品", "安卓", "android", "ios"]
+JOB_NAME = r"([\x{4e00}-\x{9fff}A-Za-z0-9+#/]{2,20}(?:开发|测试|工程师|运维|算法|产品))"

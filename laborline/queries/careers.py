@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -157,16 +157,64 @@ def best_without_fallback(spark: SparkSession, d: str) -> DataFrame:
     return path.best_options(path.without_fallback(options), "o_custkey", "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-_QUESTIONS = ["北京的Java薪资是多少", "产品经理怎么晋升", "这个岗位有什么要求", "你好", "月薪15-25k的公司", "工资2万以上", "How many companies pay 8千"]
+#: Parts of questions; a row's keys choose one of each.
+_QUESTIONS = [
+    ["", "我想问", "上海", "南山区", "在北京市", "Suzhou "], ["Java", "前端", "数据挖掘工程师", "会计", "大模型算法", "PYTHON ", "护理"], ["薪资15-25k", "月薪不低于2万", "工资8000以上", "高薪", "20 w", "", "10~15", "期望 9.5K"],
+    ["有哪些岗位", "的公司", "的晋升路径", "需要什么证书", "写一份总结报告", "为什么推荐", "的行业分布", "我的技能如何", "", "你好", "Promote_To", "筛选成都"],
+]
+_PARTS = " || ".join(f"{words!r}[{at} % {len(words)} + 1]" for words, at in zip(_QUESTIONS, ("c_custkey", "c_nationkey", "c_custkey // 5", "c_custkey // 11"), strict=True))
+_HAN = "[\\x{4e00}-\\x{9fff}"
+
+
+def _question() -> Column:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    places = (k, n, F.floor(k / 5), F.floor(k / 11))
+    return F.concat(*[F.get(F.array(*[F.lit(w) for w in words]), (at % len(words)).cast("int")) for words, at in zip(_QUESTIONS, places, strict=True)])
+
+
+_SLOTS = f"""
+q AS (SELECT c_custkey, trim({_PARTS}) AS t FROM customer),
+s AS (
+  SELECT c_custkey, t, coalesce(nullif(regexp_extract(t, '({_HAN}]{{2,12}}(?:市|省|自治区|特别行政区|自治州|地区|盟|县|区))', 1), ''), CASE WHEN contains(t, '上海') THEN '上海' WHEN contains(t, '成都') THEN '成都' END) AS city,
+    CASE WHEN contains(lower(t), 'java') THEN 'java' WHEN contains(lower(t), 'python') THEN 'python' WHEN contains(t, '前端') THEN '前端' WHEN contains(t, '算法') THEN '算法' WHEN contains(t, '数据') THEN '数据' ELSE nullif(regexp_extract(t, '({_HAN}A-Za-z0-9+#/]{{2,20}}(?:开发|测试|工程师|运维|算法|产品))', 1), '') END AS job,
+    CASE WHEN regexp_matches(t, '薪资|工资|收入|月薪|k|K|w|W|万') THEN CASE WHEN contains(t, '15-25k') THEN 15000.0 WHEN contains(t, '10~15') THEN 10.0 WHEN contains(t, '低于2万') THEN 20000.0 WHEN contains(t, '工资8000') THEN 8000.0 WHEN contains(t, '20 w') THEN 200000.0 WHEN contains(t, '9.5K') THEN 9500.0 END END::DOUBLE AS salary FROM q)
+"""
 
 
 @query(f"""
-WITH q AS (SELECT c_custkey, {_QUESTIONS!r}[c_custkey % 7 + 1] AS t FROM customer)
-SELECT c_custkey, ['sql', 'path', 'semantic', 'general', 'sql', 'sql', 'sql'][c_custkey % 7 + 1] AS intent, [NULL, NULL, NULL, NULL, 15000.0, 20000.0, 8000.0][c_custkey % 7 + 1]::DOUBLE AS salary FROM q
+WITH {_SLOTS},
+i AS (
+  SELECT *, CASE WHEN regexp_matches(lower(t), '路径图谱|岗位路径|职业路径|晋升|转岗|promote_to|transfer_to|图谱关系') THEN 'career_path_question' WHEN regexp_matches(t, '报告|总结|行动计划|职业建议|结论|规划建议') THEN 'report_question'
+    WHEN regexp_matches(t, '为什么推荐|为什么不匹配|匹配|风险|覆盖率|赛题评测|硬门槛|最推荐') THEN 'match_explanation' WHEN regexp_matches(t, '我的学历|我的专业|我的技能|我的证书|我的项目|我的实习|学生画像|个人画像|我会什么') THEN 'student_profile_question'
+    WHEN regexp_matches(t, '岗位要求|学历|专业|证书|技能要求|知识点|需要什么|要求是什么') THEN 'job_requirement_question' WHEN regexp_matches(t, '公司|企业|厂|投递清单') THEN 'company_search' WHEN regexp_matches(t, '薪资|工资|收入|月薪|待遇|k|K|万|高薪') THEN 'salary_search'
+    WHEN regexp_matches(t, '行业|领域|产业') THEN 'industry_search' WHEN regexp_matches(t, '城市|地区|地点|北京|上海|广州|深圳|杭州|成都|南京|苏州|武汉') AND regexp_matches(t, '有哪些|哪些|查询|筛选|多少|分布|样本|机会|岗位') THEN 'city_market_search' ELSE 'general_advice' END AS intent FROM s)
+SELECT c_custkey, intent, CASE intent WHEN 'career_path_question' THEN 0.92 WHEN 'report_question' THEN 0.86 WHEN 'match_explanation' THEN 0.88 WHEN 'student_profile_question' THEN 0.86 WHEN 'job_requirement_question' THEN 0.84 WHEN 'company_search' THEN 0.9 WHEN 'salary_search' THEN 0.88 WHEN 'industry_search' THEN 0.82 WHEN 'city_market_search' THEN 0.84 ELSE 0.55 END::DOUBLE AS confidence,
+  contains(intent, '_search') AS should_use_sql, city, job, salary FROM i
 """)
 def question_routing(spark: SparkSession, d: str) -> DataFrame:
-    t = F.get(F.array(*[F.lit(q) for q in _QUESTIONS]), (F.col("c_custkey") % 7).cast("int"))
-    return load(spark, d, "customer").select("c_custkey", t.alias("t")).select("c_custkey", sqlapi.intent(F.col("t")).alias("intent"), sqlapi.salary_in_question(F.col("t")).alias("salary"))
+    """The class and the slots of a question a customer, from all combinations of parts that their keys give."""
+    rows = load(spark, d, "customer").select("c_custkey", sqlapi.intent(_question()).alias("i"), sqlapi.slots(_question()).alias("s"))
+    return rows.select("c_custkey", "i.intent", "i.confidence", "i.should_use_sql", "s.city", "s.job", F.col("s.salary_floor").alias("salary"))
+
+
+@query("""
+WITH a AS (SELECT unnest(['上海Java月薪不低于12万', '前端有哪些', '薪资15-25w 数据', '成都的公司', '你好']) AS question, unnest(range(5)) AS q, unnest(['上海', NULL, NULL, '成都', NULL]) AS city, unnest(['java', '前端', '数据', NULL, NULL]) AS job, unnest([120000.0, NULL, 150000.0, NULL, NULL]) AS floor),
+j AS (
+  SELECT o_orderkey AS record_id, CASE WHEN o_custkey % 7 = 0 THEN ' ' ELSE 'C' || o_custkey END AS company_name, ['上海市', '成都', '北京'][o_custkey % 3 + 1] AS city, ['JAVA开发', 'Web前端', '数据分析师', '会计'][o_orderkey % 4 + 1] AS job_title, o_orderstatus AS standard_job_name,
+    CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS high, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 2 END AS low, o_totalprice / 3 AS other FROM orders),
+m AS (SELECT q, j.*, coalesce(high, other, 0) AS best, coalesce(low, 0) AS least FROM a JOIN j ON (a.city IS NULL OR contains(j.city, a.city)) AND (a.job IS NULL OR contains(lower(job_title), a.job)) AND (floor IS NULL OR coalesce(high, other, 0) >= floor) WHERE company_name <> ' ')
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY best DESC, least DESC, record_id) AS place, company_name, city, job_title, standard_job_name FROM m QUALIFY place <= 15
+""")
+def questions_answered(spark: SparkSession, d: str) -> DataFrame:
+    """Five questions against all orders as postings: filters by city, job and floor, the 15 best paid of each."""
+    k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    pick = lambda at, *words: F.get(F.array(*[F.lit(w) for w in words]), (at % len(words)).cast("int"))
+    jobs = load(spark, d, "orders").select(
+        k.alias("record_id"), F.when(c % 7 == 0, " ").otherwise(F.concat(F.lit("C"), c.cast("string"))).alias("company_name"), pick(c, "上海市", "成都", "北京").alias("city"), pick(k, "JAVA开发", "Web前端", "数据分析师", "会计").alias("job_title"), F.lit(None).cast("string").alias("job_title_norm"),
+        F.col("o_orderstatus").alias("standard_job_name"), F.when(k % 5 > 0, price).alias("salary_month_max"), (price / 3).alias("salary_max"), F.when(k % 2 == 0, price / 2).alias("salary_month_min"), F.lit(None).cast("double").alias("salary_min"), *[F.lit("").alias(x) for x in ("industry", "company_size", "company_type")],
+    )
+    asked = spark.createDataFrame(list(enumerate(["上海Java月薪不低于12万", "前端有哪些", "薪资15-25w 数据", "成都的公司", "你好"])), "q int, question string")
+    return sqlapi.for_questions(asked, jobs, "q").select("q", "place", "company_name", "city", "job_title", "standard_job_name")
 
 
 @query("""

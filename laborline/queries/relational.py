@@ -253,11 +253,23 @@ def exact_then_like(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS rows, count(DISTINCT c_name) AS companies, min(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS salary_min, max(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS salary_max,
- (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, c_mktsegment DESC LIMIT 1) AS top_city FROM customer
+WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 5 = 0 THEN ' ' ELSE 'C' || o_custkey END AS company, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS city, CASE o_orderkey % 4 WHEN 0 THEN o_orderstatus || '、' || o_orderpriority WHEN 1 THEN '["' || o_orderstatus || '"]' WHEN 2 THEN o_orderstatus || '/' || o_orderstatus ELSE '' END AS industry,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 END AS b, CASE WHEN o_orderkey % 5 = 0 THEN -o_totalprice END AS c, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice / 2 END AS d FROM orders),
+p AS (SELECT unnest([a, b, c, d]) AS v FROM x), l AS (SELECT k, unnest(CASE k % 4 WHEN 0 THEN [s, y] WHEN 1 THEN ['["' || s || '"]'] WHEN 3 THEN [] ELSE [s] END) AS name, generate_subscripts(CASE k % 4 WHEN 0 THEN [s, y] WHEN 3 THEN [] ELSE [s] END, 1) AS i FROM (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS y FROM orders)),
+t AS (SELECT name, count(*) AS n, min(k * 2 + i) AS at_ FROM l GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 5)
+SELECT (SELECT count(DISTINCT company) FROM x WHERE company <> ' ') AS company_count, (SELECT count(*) FROM x) AS job_count, (SELECT city FROM x WHERE city IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, min(k) LIMIT 1) AS top_city,
+  (SELECT min(v) FROM p WHERE v > 0) AS salary_min, (SELECT max(v) FROM p WHERE v > 0) AS salary_max, (SELECT string_agg(name || '=' || n, '|' ORDER BY n DESC, at_) FROM t) AS industries
 """)
 def result_summary(spark: SparkSession, d: str) -> DataFrame:
-    return sqlapi.summary(load(spark, d, "customer"), company="c_name", city="c_mktsegment", low="c_acctbal", high="c_acctbal")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    form = k % 4
+    industry = F.when(form == 0, F.concat_ws("、", "o_orderstatus", "o_orderpriority")).when(form == 1, F.concat(F.lit('["'), "o_orderstatus", F.lit('"]'))).when(form == 2, F.concat_ws("/", "o_orderstatus", "o_orderstatus")).otherwise("")
+    rows = load(spark, d, "orders").select(
+        k.alias("k"), F.when(F.col("o_custkey") % 5 == 0, " ").otherwise(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("company_name"), F.when(k % 9 != 0, F.col("o_orderpriority")).alias("city"), industry.alias("industry"),
+        F.when(k % 2 == 0, price).alias("salary_month_min"), F.when(k % 3 == 0, price + 1).alias("salary_month_max"), F.when(k % 5 == 0, -price).alias("salary_min"), F.when(k % 7 == 0, price / 2).cast("string").alias("salary_max"),
+    )
+    listed = F.array_join(F.transform("top_industries", lambda x: F.concat_ws("=", x["name"], x["count"].cast("string"))), "|")
+    return sqlapi.summary(rows, "k").withColumn("industries", listed).drop("top_industries")
 
 
 @query("""

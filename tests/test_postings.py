@@ -118,6 +118,10 @@ def test_guard(spark):
         "with a as (with secrets as (select * from secrets) select * from secrets) select * from a", "with jobs as (select * from secrets) select * from jobs", "with `secrets` as (select * from secrets) select * from `secrets`",
         "select reflect('java.lang.System', 'getProperty', 'user.home') from jobs", "select `reflect` ('java.lang.System', 'getProperty', 'user.home') from jobs", "select java_method('java.lang.System', 'gc') from jobs",
         "select try_reflect('a', 'b') from jobs", "select '\\'', reflect('java.lang.System', 'gc'), '' from jobs", "select * from identifier('secrets')", "select * from parquet.`/etc`", "select * from range(10)",
+        "with reflect (a) as (select id from jobs) select reflect('java.lang.System','getProperty','user.home') from jobs limit 1", "with java_method (a) as (select id from jobs) select java_method('java.lang.System','getProperty','java.io.tmpdir') from jobs",
+        "with range (a) as (select id from jobs) select * from range(3)", "with `reflect` (`a`) as (select id from jobs) select `reflect`('java.lang.System','getProperty','user.home') from jobs",
+        "select * from (with reflect (a) as (select id from jobs) select reflect('java.lang.System','getProperty','user.home') as b from jobs) x", "with a as (with range (b) as (select 1) select * from range(3)) select * from a",
+        "select id, reflect(id, id) as (x) from jobs", "with a (b) as (select id from jobs) select a(b) from a", "select * from jobs, lateral explode(array(1))",
         f"select {wide}, (select max(id) from secrets) as s from jobs", "select * from jobs where exists (table secrets)", "with a as (select 1) insert into jobs select * from a", "select secrets.id from jobs join secrets using (id)",
     ):
         with pytest.raises(sqlapi.UnsafeQuery):
