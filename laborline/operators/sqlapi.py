@@ -138,7 +138,7 @@ def job_in_question(question: Column) -> Column:
 
 def slots(question: Column) -> Column:
     """struct(city, job, salary_floor) of a question."""
-    t = F.coalesce(text.clean_text(question), F.lit(""))
+    t = F.coalesce(F.trim(question), F.lit(""))
     return text.let(t, lambda q: F.struct(city_in_question(q).alias("city"), job_in_question(q).alias("job"), salary_in_question(q).alias("salary_floor")))
 
 
@@ -154,7 +154,7 @@ def intent(question: Column) -> Column:
         city = F.when(text.any_of(q, vocab.CITY_QUESTION) & text.any_of(q, vocab.MARKET_WORDS), row("city_market_search", 0.84, "sql_market", "sql"))
         return F.coalesce(*rules, city, row("general_advice", 0.55, "local_context", ""))
 
-    return text.let(F.coalesce(text.clean_text(question), F.lit("")), judged)
+    return text.let(F.coalesce(F.trim(question), F.lit("")), judged)
 
 
 #: The columns that an answer from the market shows, and those that a job's word is looked for in.

@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import careers, relational, reports, results, resumes, textual
+from . import careers, relational, reports, results, resumes, rollups, textual
 
-QUERIES = relational.QUERIES | textual.QUERIES | careers.QUERIES | resumes.QUERIES | results.QUERIES | reports.QUERIES
-SQL = relational.SQL | textual.SQL | careers.SQL | resumes.SQL | results.SQL | reports.SQL
+QUERIES = relational.QUERIES | textual.QUERIES | careers.QUERIES | resumes.QUERIES | results.QUERIES | reports.QUERIES | rollups.QUERIES
+SQL = relational.SQL | textual.SQL | careers.SQL | resumes.SQL | results.SQL | reports.SQL | rollups.SQL
