@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import registry
+from ..operators import candidates
 from .tables import load
 
 QUERIES = {}
@@ -76,3 +77,44 @@ def list_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["list_items"] = list_items
+
+
+#: Role words that share no letter with one another, by type of part.
+_ROLES = {"ECONOMY": "运维", "LARGE": "测试", "STANDARD": "算法", "SMALL": "产品", "PROMO": "数据", "MEDIUM": "销售"}
+_ROLE_LIST = list(_ROLES.values())
+
+SQL["candidate_jobs"] = f"""
+WITH p AS (SELECT p_type, CAST(regexp_extract(p_brand, '\\d+') AS BIGINT) AS b, count(*) AS n FROM part GROUP BY ALL),
+a AS (SELECT map_extract({{{", ".join(f"'{k}': '{v}'" for k, v in _ROLES.items())}}}::MAP(VARCHAR, VARCHAR), p_type)[1] AS word, CAST(b AS VARCHAR) AS d, lower(p_type) AS term, b, n, round(b % 4 / 4.0 * 0.8, 4) AS quality FROM p),
+names AS (SELECT *, word || 'b' || d AS name, row_number() OVER (ORDER BY b, term) AS at_ FROM a),
+r AS (
+  SELECT c_custkey AS id, c_custkey % 5 AS form, {_ROLE_LIST!r}[c_custkey % 6 + 1] AS w, {_ROLE_LIST!r}[c_custkey // 6 % 6 + 1] AS w2, CAST(c_custkey % 25 + 1 AS VARCHAR) AS d, CASE c_custkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['economy'] ELSE ['promo', '没有'] END AS own FROM customer),
+m AS (
+  SELECT r.*, names.*, CASE WHEN form IN (0, 1) THEN CASE WHEN w = word THEN 1.0 ELSE 0.0 END WHEN form = 2 THEN greatest(CASE WHEN w = word OR w2 = word THEN 2.0 * 2 / ((CASE WHEN w = w2 THEN 2 ELSE 4 END) + 3 + length(names.d)) ELSE 0.0 END, CASE WHEN w = w2 THEN CASE WHEN w = word THEN 1.0 ELSE 0.0 END ELSE CASE WHEN word IN (w, w2) THEN 0.5 ELSE 0.0 END END)
+    WHEN form = 3 THEN greatest(CASE WHEN starts_with(names.d, r.d) THEN 1.0 ELSE 0.0 END, 2.0 * (CASE WHEN w = word THEN 2 ELSE 0 END + 1 + CASE WHEN r.d = names.d THEN length(r.d) WHEN len(list_intersect(string_split(r.d, ''), string_split(names.d, ''))) > 0 THEN 1 ELSE 0 END) / (3 + length(r.d) + 3 + length(names.d))) ELSE 0.0 END AS s FROM r, names),
+k AS (SELECT *, round(s, 4) AS sim FROM m WHERE round(s, 4) >= 0.45 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 4) DESC, at_) <= 12),
+c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, at_) AS nth, round(CASE WHEN len(own) = 0 THEN 0 ELSE len(list_filter(own, lambda t: t = term)) / len(own) END, 4) AS skill FROM k),
+z AS (SELECT *, round(0.35 * sim + 0.35 * skill + 0.20 * quality + 0.10 * (0.7 * least(n / 300.0, 1.0) + 0.3 * CASE WHEN b % 5 = 0 THEN 1 ELSE 0 END), 4) AS score FROM c),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, nth) AS place FROM z WHERE score >= 0.16)
+SELECT id AS request_id, place, name, score AS candidate_score, sim AS name_score, skill AS skill_score FROM best WHERE place <= 5
+"""
+
+
+def candidate_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of all customers, by a word, a word with blanks, two words, a whole name or nothing, with and without terms."""
+    k = F.col("c_custkey")
+    number = F.regexp_extract("p_brand", r"\d+", 0).cast("long")
+    word_of = F.coalesce(*[F.when(F.col("p_type") == t, F.lit(w)) for t, w in _ROLES.items()])
+    grouped = load(spark, d, "part").groupBy("p_type", number.alias("b")).agg(F.count("*").alias("sample_count"))
+    assets = grouped.select(
+        F.concat(word_of, F.lit("b"), F.col("b").cast("string")).alias("name"), F.struct("b", F.lower("p_type").alias("t")).alias("place"), F.array("p_type").alias("terms"), F.round(F.col("b") % 4 / 4.0 * 0.8, 4).alias("quality"), "sample_count", (F.col("b") % 5 == 0).alias("is_core"), (F.col("b") % 3).alias("required_points"),
+    )
+    role = lambda at: F.get(F.array(*[F.lit(w) for w in _ROLE_LIST]), (at % 6).cast("int"))
+    w, w2, form = role(k), role(F.floor(k / 6)), k % 5
+    request = F.when(form == 0, w).when(form == 1, F.concat(F.lit(" "), w, F.lit("岗位 "))).when(form == 2, F.when(w == w2, w).otherwise(F.concat_ws("/", w, w2))).when(form == 3, F.concat(w, F.lit("B"), (k % 25 + 1).cast("string"))).otherwise(" ")
+    own = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("Economy"), F.lit("岗位"))).otherwise(F.array(F.lit("promo"), F.lit("没有")))
+    requests = load(spark, d, "customer").select(k.alias("request_id"), request.alias("request"), own.alias("terms"))
+    return candidates.candidate_jobs(requests, assets).drop("reason")
+
+
+QUERIES["candidate_jobs"] = candidate_jobs
