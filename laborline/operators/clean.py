@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import parse, text, vocab
 from ..session import checkpointed
 
+#: Parts in which an audit ranks the rows of a key.
+SALTS = 64
 COMPLETENESS_COLUMNS = ["job_title", "company_name", "job_address", "salary_range", "industry", "company_size", "company_type", "job_description", "company_description", "updated_at"]
 
 
@@ -28,7 +30,8 @@ def anomalies(flags: list[tuple[str, Column]]) -> Column:
 def layered_dedup(df: DataFrame, keys: list[tuple[str, Column]], order: list[Column], audit: bool = False) -> DataFrame:
     """Of rows with the same key the best by ``order`` stays; each rule sees what the ones before kept. Rows without a key stay.
 
-    ``order`` must be total. With ``audit`` all rows come back, with duplicate_rule: the rule that dropped a row, or NULL.
+    ``order`` must be total. With ``audit`` all rows come back, with duplicate_rule: the rule that dropped a row, or NULL; the
+    rows of a key are then ranked in SALTS parts first, so that a key with a third of all rows is no task's own.
     """
     kept, dropped = df, None
     for name, key in keys:
@@ -37,10 +40,17 @@ def layered_dedup(df: DataFrame, keys: list[tuple[str, Column]], order: list[Col
         ranked = kept.withColumn("_key", F.nullif(key, F.lit("")))
         # Rows without a key get one of their own for the window, so that they don't meet in one task.
         alone = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
-        ranked = ranked.withColumn("_alone", alone).withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_alone").orderBy(*order)))
-        lost = ranked.filter("_n > 1").drop("_key", "_n", "_alone").withColumn("duplicate_rule", F.lit(name))
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-        kept = ranked.filter("_n = 1").drop("_key", "_n", "_alone")
+        ranked = ranked.withColumn("_alone", alone)
+        steps = [["_key", "_alone", "_salt"], ["_key", "_alone"]] if audit else [["_key", "_alone"]]
+        if audit:
+            ranked = ranked.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        for parts in steps:
+            ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
+            if audit:
+                lost = ranked.filter("_n > 1").drop("_key", "_n", "_alone", "_salt").withColumn("duplicate_rule", F.lit(name))
+                dropped = lost if dropped is None else dropped.unionByName(lost)
+            ranked = ranked.filter("_n = 1").drop("_n")
+        kept = ranked.drop("_key", "_alone", "_salt")
     if not audit:
         return kept
     return kept.withColumn("duplicate_rule", F.lit(None).cast("string")).unionByName(dropped)

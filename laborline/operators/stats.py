@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
+#: Different values that one task ranks.
+RANGE_ROWS = 100_000
+
 
 def _ranked(counts: DataFrame, groups: list[str], top: int | None) -> DataFrame:
     w = Window.partitionBy(*groups).orderBy(F.desc("count"), F.asc("name"))
@@ -47,14 +52,14 @@ def nested(dist: DataFrame, groups: list[str], out: str) -> DataFrame:
 def salary_stats(df: DataFrame, groups: list[str], low: Column, high: Column, digits: int = 2) -> DataFrame:
     """Means, medians and quartiles of the bounds and of their middle (or the one there is), and valid counts.
 
-    Equal values are counted first, with partial counts before the shuffle, and ranked by running counts within ranges of
-    values, so no task holds a group's values whatever its size.
+    Equal values are counted first, with partial counts before the shuffle, in a checkpoint that all else reads. They are ranked
+    by running counts within as many ranges of values as keep a range at RANGE_ROWS different values.
     """
     bounds = df.select(*groups, low.cast("double").alias("min"), high.cast("double").alias("max"), F.coalesce((low + high) / 2, low, high).cast("double").alias("mid"))
     names = ("min", "max", "mid")
     long = bounds.select(*groups, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in names])).alias("x")).select(*groups, "x.k", "x.v")
-    counted = long.filter("v is not null").groupBy(*groups, "k", "v").agg(F.count("*").alias("c"))
-    placed = running_counts(counted, [*groups, "k"], "v", "c")
+    counted = checkpointed(long.filter("v is not null").groupBy(*groups, "k", "v").agg(F.count("*").alias("c")))
+    placed = running_counts(counted, [*groups, "k"], "v", "c", -(-counted.count() // RANGE_ROWS))
     wide = []
     for k in names:
         mine = F.col("k") == k
@@ -70,9 +75,16 @@ def salary_stats(df: DataFrame, groups: list[str], low: Column, high: Column, di
     return df.select(*groups).distinct().join(found, groups, "left").withColumn("valid_count", F.coalesce("valid_count", F.lit(0)))
 
 
-def running_counts(counted: DataFrame, groups: list[str], value: str, count: str, ranges: int = 16) -> DataFrame:
-    """``counted`` with before (the group's rows of smaller values) and total. Values are dealt to ranges of the group by
-    approximate quantiles; a range's rows are summed by a window, the ranges by a second one of ``ranges`` rows a group."""
+def running_counts(counted: DataFrame, groups: list[str], value: str, count: str, ranges: int) -> DataFrame:
+    """``counted`` with before (the group's rows of smaller values) and total.
+
+    Values are dealt to ranges of the group by approximate quantiles; a range's rows are summed by a window, the ranges by a
+    second one of ``ranges`` rows a group. With one range the group's values are few, and one window does.
+    """
+    if ranges <= 1:
+        w = Window.partitionBy(*groups)
+        so_far = w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counted.withColumns({"before": F.coalesce(F.sum(count).over(so_far), F.lit(0)), "total": F.sum(count).over(w)})
     cuts = counted.groupBy(*groups).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1_000)).alias("_cuts"), F.sum(count).alias("total"))
     dealt = counted.join(cuts, groups).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

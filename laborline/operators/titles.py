@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
@@ -154,7 +154,9 @@ def backfilled(df: DataFrame, column: str, lookups: list[tuple[DataFrame, str]])
 
 
 def with_group_size(df: DataFrame, group: str, out: str = "cluster_size") -> DataFrame:
-    return df.withColumn(out, F.count("*").over(Window.partitionBy(group)))
+    """``df`` with the number of rows of each row's group; the null group counts as one. Groups are counted before the shuffle."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias(out))
+    return df.join(sizes, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def with_extractions(df: DataFrame, extracted: DataFrame, key: str) -> DataFrame:
