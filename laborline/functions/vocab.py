@@ -330,3 +330,16 @@ CITY_NAME = r"([\x{4e00}-\x{9fff}]{2,12}(?:市|省|自治区|特别行政区|自
 SALARY_WORDS = ["薪资", "工资", "收入", "月薪", "k", "K", "w", "W", "万"]
 JOB_WORDS = ["java", "python", "golang", "c++", "前端", "后端", "测试", "运维", "算法", "数据", "产品", "安卓", "android", "ios"]
 JOB_NAME = r"([\x{4e00}-\x{9fff}A-Za-z0-9+#/]{2,20}(?:开发|测试|工程师|运维|算法|产品))"
+
+#: Words that put a student into a domain, domains of majors, and dimensions that a profile's weaknesses speak of. Fixed values.
+STUDENT_DOMAINS: dict[str, list[str]] = {
+    "数据智能": ["数据分析", "机器学习", "深度学习", "NLP", "Power BI", "Tableau", "Spark", "Hadoop"],
+    "软件研发": ["Java", "Python", "C++", "HTML/CSS", "JavaScript", "Git", "Docker", "Kubernetes"],
+    "商业分析": ["数据分析", "Excel", "Power BI", "Tableau", "SQL"],
+    "人工智能": ["机器学习", "深度学习", "NLP", "Python"],
+    "云计算/大数据": ["Spark", "Hadoop", "Docker", "Kubernetes", "Linux", "SQL"],
+}
+MAJOR_DOMAINS = [("信息技术", ["计算机科学与技术", "软件工程", "人工智能", "数据科学与大数据技术"]), ("数理分析", ["统计学", "数学"]), ("商业管理", ["金融学", "市场营销"])]
+MISSING_DIMENSIONS = [
+    ("核心技能/工具栈", ["技能", "工具"]), ("项目经历", ["项目"]), ("实习经历", ["实习"]), ("证书/竞赛背书", ["证书", "获奖"]), ("求职方向明确度", ["求职意向", "职业方向"]), ("教育背景完整度", ["教育", "学历", "专业"]),
+]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
@@ -125,3 +125,53 @@ def occupation_hints(target: Column, skills: Column, experience: Column, evaluat
     named = lambda m: F.array_compact(F.array(*[F.when(text.any_of(m, [w.lower() for w in words]), F.lit(d)) for d, words in vocab.STUDENT_DIRECTIONS.items()]))
     own = F.array_compact(F.array(text.alias_normalized(target, vocab.STUDENT_DIRECTIONS)))
     return F.array_distinct(F.concat(own, text.let(merged, named)))
+
+
+def missing_in_reasons(weaknesses: Column, suggestions: Column) -> Column:
+    """Dimensions that the reasons of a score speak of, in a fixed order."""
+    said = F.array_join(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (weaknesses, suggestions)]), " ")
+    return text.let(said, lambda t: F.array_compact(F.array(*[F.when(text.any_of(t, words), F.lit(name)) for name, words in vocab.MISSING_DIMENSIONS])))
+
+
+_ENTRY = {"projects": ("project_name", "role", "description"), "internships": ("company_name", "position", "description")}
+
+
+def entry_text(entries: Column, kind: str) -> Column:
+    """The texts of entries (projects or internships) in one, blank fields left out."""
+    each = F.transform(entries, lambda x: F.concat_ws(" ", *[text.clean_text(x[f], entities=False) for f in _ENTRY[kind]]))
+    return F.coalesce(F.array_join(F.filter(each, lambda t: t != ""), " "), F.lit(""))
+
+
+def domain_tags(major: Column, hard_skills: Column, tools: Column, hints: Column, experience: Column) -> Column:
+    """Domains whose words skills, tools, directions, major or experience hold, then the domain of the standard major."""
+    signals = F.lower(F.concat_ws(" ", F.array_join(F.array_union(F.array_union(hard_skills, tools), hints), " "), major, experience))
+    named = lambda t: [F.when(text.any_of(t, [w.lower() for w in words]), F.lit(name)) for name, words in vocab.STUDENT_DOMAINS.items()]
+    of_major = [F.when(major.isin(*majors), F.lit(name)) for name, majors in vocab.MAJOR_DOMAINS]
+    return text.let(signals, lambda t: F.array_distinct(F.array_compact(F.array(*named(t), *of_major))))
+
+
+def profile(df: DataFrame, key: str) -> DataFrame:
+    """key, major_std, hard_skills, tool_skills, qualification_tags, experience_tags, occupation_hints, domain_tags and the practice
+    profile (counts, flags and tags): one row a student, an expression over its own columns.
+
+    Columns: major, degree, school, school_level, target_job_intention, self_evaluation; the arrays skills, tools, certificates,
+    awards; the arrays of structs projects and internships (as the resume's entries have them).
+    """
+    empty = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.col(c), empty)
+    there = df.withColumns({"_p": entry_text(F.col("projects"), "projects"), "_i": entry_text(F.col("internships"), "internships"), "_a": _clean_list(F.col("awards")), "_m": text.alias_normalized(F.col("major"), vocab.STUDENT_MAJORS)})
+    counts = [F.coalesce(F.size("projects"), F.lit(0)), F.coalesce(F.size("internships"), F.lit(0)), F.size("_a")]
+    counts = [F.greatest(c, F.lit(0)) for c in counts]
+    there = there.withColumn("_s", skill_lists(listed("skills"), listed("tools")))
+    there = there.withColumn("occupation_hints", occupation_hints(F.col("target_job_intention"), F.concat("_s.hard_skills", "_s.tool_skills"), F.concat_ws(" ", "_p", "_i"), F.col("self_evaluation")))
+    tags = experience_tags(F.col("_p"), F.col("_i"), F.array_join("_a", " "), counts)
+    target = F.coalesce(text.clean_text(F.col("target_job_intention"), entities=False).isNotNull(), F.lit(False))
+    there = there.withColumn("experience_tags", tags)
+    practice = F.struct(
+        *[c.alias(n) for n, c in zip(("project_count", "internship_count", "award_count"), counts, strict=True)], *[(c > 0).alias(n) for n, c in zip(("has_project_experience", "has_internship_experience", "has_competition_or_award"), counts, strict=True)],
+        target.alias("has_target_job_intention"), (counts[0] + counts[1] + counts[2]).alias("total_practice_items"), F.col("experience_tags").alias("practice_tags"),
+    )
+    return there.select(
+        key, F.coalesce("_m", F.lit("")).alias("major_std"), "_s.hard_skills", "_s.tool_skills", qualification_tags(F.col("degree"), F.col("school"), F.col("major"), F.col("certificates"), F.col("school_level")).alias("qualification_tags"),
+        "experience_tags", "occupation_hints", domain_tags(F.col("_m"), F.col("_s.hard_skills"), F.col("_s.tool_skills"), F.col("occupation_hints"), F.concat_ws(" ", "_p", "_i")).alias("domain_tags"), practice.alias("practice_profile"),
+    )

@@ -315,25 +315,64 @@ def optional_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT 'S' || (l_suppkey % 40) AS s, 'S' || (l_partkey % 40) AS t FROM lineitem),
-k AS (SELECT * FROM e WHERE s <> t)
-SELECT n AS name, count(*) AS degree FROM (SELECT s AS n FROM k UNION ALL SELECT t FROM k) GROUP BY n
+WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t FROM lineitem), k AS (SELECT * FROM e WHERE s <> t)
+SELECT CAST(n AS VARCHAR) AS name, count(*) AS degree FROM (SELECT s AS n FROM k UNION ALL SELECT t FROM k) GROUP BY n
 """)
 def connected_graph(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "lineitem").select(F.concat(F.lit("S"), (F.col("l_suppkey") % 40).cast("string")).alias("start"), F.concat(F.lit("S"), (F.col("l_partkey") % 40).cast("string")).alias("end"), F.lit("LINK").alias("kind"))
-    names = rows.select(F.col("start").alias("id")).union(rows.select(F.col("end").alias("id"))).distinct()
+    """Suppliers and parts under one set of ids, with loops, repeated edges and names without any edge; all lines."""
+    name = lambda c: F.col(c).cast("string")
+    rows = load(spark, d, "lineitem").select(name("l_suppkey").alias("start"), name("l_partkey").alias("end"), F.lit("LINK").alias("kind"))
+    names = load(spark, d, "part").select(name("p_partkey").alias("id")).union(load(spark, d, "customer").select(name("c_custkey"))).union(rows.select("start")).distinct()
     v, e = graph.normalized(names, rows)
     ends = e.select(F.explode(F.array("start", "end")).alias("id"))
     return v.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id").select(F.col("id").alias("name"), "degree")
 
 
+_NAMED = """
+e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 7 AS m, l_linenumber AS n FROM lineitem),
+j AS (SELECT DISTINCT ['Java开发', 'Web前端', '销售经理', 'java', '数据分析师', '测试工程师', '储备经理人'][s % 7 + 1] || CASE WHEN s % 3 = 0 THEN '' ELSE CAST(s % 3 AS VARCHAR) END AS source_job, ['产品经理', 'java', '算法工程师', '运维工程师', '客服', 'VP', 'Java开发'][m + 1] AS target_job, CASE WHEN n % 2 = 0 THEN 'PROMOTE_TO' ELSE 'TRANSFER_TO' END AS kind FROM e)
+"""
+
+
+def _named_edges(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda at, *words: F.get(F.array(*[F.lit(w) for w in words]), at.cast("int"))
+    s, n = F.col("l_suppkey"), F.col("l_linenumber")
+    source = F.concat(pick(s % 7, "Java开发", "Web前端", "销售经理", "java", "数据分析师", "测试工程师", "储备经理人"), F.when(s % 3 == 0, "").otherwise((s % 3).cast("string")))
+    target = pick(F.col("l_partkey") % 7, "产品经理", "java", "算法工程师", "运维工程师", "客服", "VP", "Java开发")
+    return load(spark, d, "lineitem").select(source.alias("source_job"), target.alias("target_job"), F.when(n % 2 == 0, "PROMOTE_TO").otherwise("TRANSFER_TO").alias("kind")).distinct()
+
+
+@query(f"""
+WITH {_NAMED},
+w AS (SELECT unnest(['JAVA', '经理', '工程']) AS k),
+h AS (SELECT k, j.*, row_number() OVER (PARTITION BY k ORDER BY source_job, target_job, kind) AS r FROM w, j WHERE contains(lower(source_job), lower(k)) OR contains(lower(target_job), lower(k)))
+SELECT source_job, target_job, kind, count(*) + CASE WHEN kind = 'PROMOTE_TO' THEN 2 ELSE 0 END AS score FROM h WHERE r <= 10 GROUP BY source_job, target_job, kind ORDER BY score DESC, source_job, target_job, kind LIMIT 8
+""")
+def edge_search(spark: SparkSession, d: str) -> DataFrame:
+    return graph.search(_named_edges(spark, d), ["JAVA", "经理", "工程"]).withColumn("score", F.col("score").cast("long"))
+
+
+@query(f"""
+WITH {_NAMED},
+v AS (SELECT source_job AS name FROM j UNION SELECT target_job FROM j), d AS (SELECT name, CASE name WHEN 'java' THEN 'Java开发工程师' WHEN 'JAVA' THEN 'Java开发工程师' WHEN 'Java' THEN 'Java开发工程师' ELSE name END AS shown FROM v)
+SELECT a.name AS source_name, b.name AS target_name, j.kind FROM j JOIN d a ON a.name = j.source_job JOIN d b ON b.name = j.target_job WHERE a.name <> '客服' AND b.name <> '客服'
+""")
+def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by ids joined with the names of both ends; those whose end has no vertex are left out."""
+    named = _named_edges(spark, d)
+    key = lambda c: F.md5(F.col(c))
+    names = named.select(F.col("source_job").alias("name")).union(named.select("target_job")).distinct().filter("name <> '客服'")
+    edges = named.select(key("source_job").alias("start"), key("target_job").alias("end"), "kind")
+    return graph.resolved(edges, names.select(key("name").alias("id"), "name")).select(F.col("source_job").alias("source_name"), F.col("target_job").alias("target_name"), "kind")
+
+
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 100 + 1 AS VARCHAR) AS t FROM lineitem),
+WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey AS VARCHAR) AS t FROM lineitem),
 r AS (SELECT '1' AS id, 0 AS hops UNION SELECT t, hops + 1 FROM r JOIN e ON e.s = r.id WHERE hops < 3)
 SELECT id, min(hops) AS hops FROM r GROUP BY id
 """)
 def reachable_hops(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("start"), (F.col("l_partkey") % 100 + 1).cast("string").alias("end")).distinct()
+    e = load(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("start"), F.col("l_partkey").cast("string").alias("end")).distinct()
     return graph.reachable(e, ["1"], 3)
 
 
