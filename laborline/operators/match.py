@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, vocab
+from ..functions import registry, text, vocab
 from ..functions.similarity import tags_score, token_similarity
 
 WEIGHTS = {"basic": 0.30, "skill": 0.40, "quality": 0.20, "potential": 0.10}
@@ -262,3 +262,38 @@ def comparable(pairs: DataFrame) -> DataFrame:
             "tool_skills": both(tags(F.col("tools")), tags(F.col("required_tools"))), "soft": both(tags(F.col("soft_skills")), tags(F.col("required_soft_skills"))),
         }
     )
+
+
+#: What is said of a pair that lacks what a match needs. Fixed values.
+MATCH_WARNINGS = [
+    ("student_profile_result 缺少学历字段", ("degree",)), ("student_profile_result 缺少专业字段", ("major",)), ("student_profile_result 缺少可用于匹配的技能/工具标签", ("hard_skills", "tool_skills")),
+    ("student_profile_result 缺少职业方向或领域标签", ("occupation_hints", "domain_tags")), ("job_profile_result 缺少 standard_job_name", ("standard_job_name",)), ("job_profile_result 缺少学历要求字段", ("degree_requirement",)),
+    ("job_profile_result 缺少岗位技能/工具要求", ("job_hard_skills", "job_tool_skills")), ("job_profile_result 缺少专业要求标签", ("major_requirement",)),
+]
+_STUDENT_LISTS = ("hard_skills", "tool_skills", "soft_skills", "certificates", "experience_tags", "occupation_hints", "domain_tags")
+_JOB_LISTS = ("major_requirement", "job_hard_skills", "job_tool_skills", "job_soft_skills", "certificate_requirement", "experience_requirement", "practice_requirement")
+
+
+def comparable_schema(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, the eight compared dimensions as structs (education with ranks, major, hard_skills, tool_skills, soft_skills,
+    certificates, practice_experience with counts, career_direction), and warnings: what either side lacks.
+
+    Lists may be arrays or texts with separators; each item counts once. Columns: degree, major, standard_job_name, job_category,
+    degree_requirement, project_count, internship_count, and the lists of both sides (a job's skills as job_hard_skills, …).
+    """
+    kinds = dict(pairs.dtypes)
+    said = lambda c: F.coalesce(text.clean_text(F.col(c), entities=False), F.lit(""))
+    listed = {c: registry.items(F.col(c), "match") if kinds[c] == "string" else registry.items(F.array_join(F.col(c), "\n"), "match") for c in (*_STUDENT_LISTS, *_JOB_LISTS)}
+    rows = pairs.select(*keys, *[said(c).alias(c) for c in ("degree", "major", "standard_job_name", "job_category", "degree_requirement")], *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in ("project_count", "internship_count")], *[v.alias(c) for c, v in listed.items()])
+    empty = lambda c: F.size(c) == 0 if c in listed else F.col(c) == ""
+    lacks = lambda names: reduce(lambda a, b: a & b, [empty(c) for c in names])
+    side = lambda **columns: F.struct(*[(c if isinstance(c, Column) else F.col(c)).alias(n) for n, c in columns.items()])
+    return rows.select(
+        *keys,
+        side(student="degree", student_rank=compared_degree_rank(F.col("degree")), job="degree_requirement", job_rank=compared_degree_rank(F.col("degree_requirement"))).alias("education"), side(student="major", job="major_requirement").alias("major"),
+        side(student="hard_skills", job="job_hard_skills").alias("hard_skills"), side(student="tool_skills", job="job_tool_skills").alias("tool_skills"), side(student="soft_skills", job="job_soft_skills").alias("soft_skills"),
+        side(student="certificates", job="certificate_requirement").alias("certificates"),
+        side(student="experience_tags", projects="project_count", internships="internship_count", job="experience_requirement", job_practice="practice_requirement").alias("practice_experience"),
+        side(student="occupation_hints", domains="domain_tags", job="standard_job_name", category="job_category").alias("career_direction"),
+        F.array_compact(F.array(*[F.when(lacks(names), F.lit(warning)) for warning, names in MATCH_WARNINGS])).alias("warnings"),
+    )

@@ -145,3 +145,50 @@ def with_offline_paths(graph: DataFrame, profiles: DataFrame, job: str = "job")
     known = graph.select(job, "path", "kind").distinct()
     rest = offline.join(known, [job, "path", "kind"], "left_anti")
     return known.withColumn("source", F.lit("graph")).unionByName(rest.withColumn("source", F.lit("offline")))
+
+
+def primary_goal(user_job: Column, target_job: Column, recommended_job: Column, target: dict[str, Column], recommended: dict[str, Column]) -> Column:
+    """struct(primary_plan_job, target_job_role, recommended_job_role, source, confidence, reasons): which job to plan for.
+
+    ``target`` and ``recommended`` hold score, accuracy (a share, or hundredths above 1), asset_found, hard_pass and success. The
+    target stays without a recommendation of its own assets; a recommendation takes its place where the target has none, or by
+    10 points and better accuracy if it passes the gates; a target that passed the whole evaluation yields only to 20 points and
+    .25 of accuracy.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    share = lambda c: F.when(c > 1, c / 100.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    sure = lambda d, k: F.coalesce(d[k], F.lit(False))
+    fields = {"user": blank(user_job), "target": blank(target_job), "other": blank(recommended_job), "ts": F.coalesce(target["score"], F.lit(0.0)), "os": F.coalesce(recommended["score"], F.lit(0.0)), "ta": share(target["accuracy"]), "oa": share(recommended["accuracy"])}
+    row = "struct<role:string,other_role:string,source:string,confidence:string,switch:boolean,reasons:array<string>>"
+
+    def decided(x: Column) -> Column:
+        ds, da = x["os"] - x["ts"], x["oa"] - x["ta"]
+        own = F.coalesce(F.nullif(x["user"], F.lit("")), x["target"])
+        strong = F.when(sure(recommended, "success"), "primary_goal").otherwise("primary_goal_candidate")
+        case = lambda role, other, source, confidence, switch, *reasons: F.struct(*[c if isinstance(c, Column) else F.lit(c) for c in (role, other, source, confidence, switch)], F.array(*[r if isinstance(r, Column) else F.lit(r) for r in reasons])).cast(row)
+        number = lambda c: F.format_string("%.2f", c)
+        percent = lambda c: F.concat(F.bround(c * 100, 0).cast("long").cast("string"), F.lit("%"))
+        known = sure(recommended, "asset_found")
+        none = case("original_goal", "reference_only", F.when(known, "respect_user_target").otherwise("fallback_user_target"), F.when(sure(target, "asset_found"), "medium").otherwise("low"), False, F.when(known, "系统推荐岗位与用户目标岗位一致或差异不足，主目标保留用户原始目标岗位。").otherwise("系统推荐岗位缺少有效后处理资产，主目标保留用户原始目标岗位。"))
+        ahead = [
+            F.concat(x["other"], F.lit("主展示分"), number(x["os"]), F.lit("，高于"), F.coalesce(F.nullif(x["target"], F.lit("")), x["user"]), number(x["ts"]), F.lit("，优势为"), number(ds), F.lit("分。")),
+            F.concat(x["other"], F.lit("知识点覆盖率"), percent(x["oa"]), F.lit("，高于目标岗位"), percent(x["ta"]), F.lit("。")),
+            F.concat(x["other"], F.when(sure(recommended, "success"), "已通过赛题综合评测，更适合作为当前主路径。").otherwise("虽未完全通过赛题综合评测，但更接近达标，适合作为短期主路径候选。")),
+        ]
+        passes = sure(recommended, "hard_pass")
+        chosen = (
+            F.when((x["other"] == "") | (x["other"] == x["target"]) | ~known, none)
+            .when(~sure(target, "asset_found"), case("stretch_goal", strong, "match_asset_score", "medium_high", True, "用户目标岗位未命中完整评测资产，系统优先采用资产完整的推荐岗位作为短期主路径。"))
+            .when(sure(target, "success") & ~(passes & (ds >= 20) & (da >= 0.25)), case("original_goal", "secondary_goal", "respect_user_target", "high", False, "用户目标岗位已通过赛题综合评测，除非推荐岗位优势特别明显，否则优先尊重用户原目标。"))
+            .when(passes & (ds >= 10) & (da > 0), case("stretch_goal", strong, "match_asset_score", F.when((ds >= 20) | sure(recommended, "success"), "medium_high").otherwise("medium"), True, *ahead))
+            .otherwise(case("original_goal", "secondary_goal", "respect_user_target", "medium", False, "系统推荐岗位优势未达到切换阈值，主目标继续保留用户原始目标岗位。"))
+        )
+
+        def told(c: Column) -> Column:
+            plan = F.when(c["switch"], x["other"]).otherwise(F.coalesce(F.nullif(own, F.lit("")), F.when((x["other"] == "") | (x["other"] == x["target"]) | ~known, x["other"]).otherwise("")))
+            kept = F.when((x["user"] != "") & (plan != "") & (x["user"] != plan), F.array(F.concat(F.lit("用户原始目标"), x["user"], F.lit("不被否定，建议作为中期补强后的冲刺目标或备选目标保留。")))).otherwise(F.array().cast("array<string>"))
+            return F.struct(plan.alias("primary_plan_job"), c["role"].alias("target_job_role"), c["other_role"].alias("recommended_job_role"), c["source"].alias("source"), c["confidence"].alias("confidence"), F.array_distinct(F.concat(c["reasons"], kept)).alias("reasons"))
+
+        return text.let(chosen, told)
+
+    return text.let(F.struct(*[c.alias(n) for n, c in fields.items()]), decided)
