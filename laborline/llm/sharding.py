@@ -11,6 +11,7 @@ table has a map with empty slots; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,20 +69,34 @@ def rebalance(old: list[int], sums: dict[int, tuple[int, int]], n_shards: int, s
 
 
 def levelled(shards: list[int], weight: list[int], n_shards: int) -> list[int]:
-    """``shards`` after moves of a slot from the fullest to the emptiest shard, each the one that levels the two most, as long as one does."""
+    """``shards`` after moves of a slot from the fullest to the emptiest shard, or exchanges of one for a lighter one, each the
+    one that levels the two most, as long as one does.
+
+    A slot holds more bytes the larger the input is, so moves alone leave shards a slot apart; exchanges go by the
+    differences of slots, of which two shards have thousands.
+    """
     out, loads, held = list(shards), [0] * n_shards, [[] for _ in range(n_shards)]
     for s, shard in enumerate(out):
         loads[shard] += weight[s]
-        held[shard].append(s)
+        insort(held[shard], (weight[s], s))
     for _ in range(len(out)):
         high, low = max(range(n_shards), key=loads.__getitem__), min(range(n_shards), key=loads.__getitem__)
         gap = loads[high] - loads[low]
-        slot = min((s for s in held[high] if 0 < weight[s] < gap), key=lambda s: (abs(2 * weight[s] - gap), s), default=None)
-        if slot is None:
+        there = [(0, -1), *held[low]]  # nothing comes back for a slot that only moves
+        best = None
+        for w, s in held[high]:
+            at = bisect_left(there, (w - gap // 2, -1))
+            for back, t in there[max(0, at - 1) : at + 1]:
+                if 0 < w - back < gap:
+                    found = (abs(2 * (w - back) - gap), t >= 0, s, t)
+                    best = found if best is None else min(best, found)
+        if best is None:
             break
-        held[high].remove(slot)
-        held[low].append(slot)
-        loads[high], loads[low], out[slot] = loads[high] - weight[slot], loads[low] + weight[slot], low
+        for s, source, target in ((best[2], high, low), (best[3], low, high)):
+            if s >= 0:
+                held[source].remove((weight[s], s))
+                insort(held[target], (weight[s], s))
+                loads[source], loads[target], out[s] = loads[source] - weight[s], loads[target] + weight[s], target
     return out
 
 

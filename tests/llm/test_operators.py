@@ -66,6 +66,16 @@ def test_map_edits_move_little(spark, tmp_path):
     assert set(sharding.rebalance(grown, sums, 20)) == set(range(20))
 
 
+def test_shards_of_heavy_slots_are_level():
+    chance = np.random.default_rng(3)
+    sums = {s: (int(n), 100) for s, n in enumerate(chance.integers(200_000, 300_000, sharding.N_SLOTS))}
+    shards = sharding.rebalance([s % 24 for s in range(sharding.N_SLOTS)], sums, 24, slack=0.0)
+    load = Counter()
+    for s, shard in enumerate(shards):
+        load[shard] += sums[s][0]
+    assert len(load) == 24 and max(load.values()) - min(load.values()) < 1000
+
+
 def check_digests(rows, texts):
     order = sorted(texts, reverse=True)
     got = {r["doc_id"]: r for r in rows}
