@@ -11,6 +11,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import join_hot  # noqa: F401  (the operators take it from here)
+
 #: Only for a master that is one machine.
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
@@ -65,25 +67,6 @@ def small_or_not(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-#: Keys with so many rows at least, and more than their share of MOST_HOT keys, are hot: there are MOST_HOT of them at most.
-HOT_ROWS, MOST_HOT = 200, 10_000
-
-
-def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` (materialised) joined with ``table``, of which each key is one row, without a task that gets a hot key's rows.
-
-    A key counts as hot from HOT_ROWS rows and a share of 1 / MOST_HOT of all rows on, so there are MOST_HOT hot keys at
-    most, whatever the input: their rows of the table are broadcast. The others are shuffled.
-    """
-    least = max(HOT_ROWS, rows.count() // MOST_HOT)
-    hot = cut(rows.groupBy(key).count().filter(F.col("count") >= least).select(key))
-    if hot.isEmpty():
-        return rows.join(table, key, how)
-    few = F.broadcast(hot)
-    some = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
-    return some.unionByName(rows.join(few, key, "left_anti").join(table.join(few, key, "left_anti"), key, how))
-
-
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """A pyarrow file system for a URI of any scheme that pyarrow knows, and the path in it."""
     if path.startswith("file:/"):

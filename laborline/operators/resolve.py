@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vocab
+from ..functions import registry, text, vocab
 from ..functions.similarity import sequence_ratio
-from ..session import checkpointed
+from ..session import checkpointed, join_hot
 
 #: Stage, its rank, its confidence; the last one's is the similarity itself.
 STAGES = [("exact", 1, 1.0), ("normalized", 2, 0.96), ("alias", 3, 0.98), ("tokens", 4, 0.9), ("similarity", 5, None)]
@@ -119,3 +119,23 @@ def quality_score(degree: Column, major: Column, skill: Column, path: Column, le
 def candidate_score(name: Column, skill: Column, quality: Column, samples: Column, is_core: Column) -> Column:
     """.35 name, .35 skill, .20 quality, .10 of sample size and core membership."""
     return F.round(0.35 * name + 0.35 * skill + 0.20 * quality + 0.10 * (0.7 * F.least(samples / 300.0, F.lit(1.0)) + 0.3 * is_core.cast("int")), 4)
+
+
+def with_standard_names(df: DataFrame, listed: str, sources: list[tuple[str, str]]) -> DataFrame:
+    """``df`` with named: array<struct(source, names)>, the standard names of a list in a text by each (domain, module), once each, in order.
+
+    The dictionaries are long, so they are asked once for each different item of a module, not for each row.
+    """
+    lists = checkpointed(df.select(F.col(listed).alias("_l")).filter("_l is not null").distinct())
+    modules = list(dict.fromkeys(m for _, m in sources))
+    cut = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), registry.items(F.col("_l"), m).alias("x")) for m in modules])).alias("e")
+    items = checkpointed(lists.select("_l", cut).select("_l", F.col("e.m").alias("m"), F.posexplode("e.x").alias("at", "x")).select("_l", "at", F.struct("m", "x").alias("k")))
+    different = checkpointed(items.select("k").distinct())
+    names = [(F.col("k.m") == m, F.struct(F.lit(f"{d} {m}").alias("source"), registry.standard_name(F.col("k.x"), d, m).alias("name"))) for d, m in sources]
+    known = checkpointed(different.select("k", F.array_compact(F.array(*[F.when(own, name) for own, name in names])).alias("n")))
+    said = join_hot(items, known, "k").groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_n"))
+    every = F.flatten(F.transform("_n", lambda x: x["n"]))
+    of = lambda source: F.array_distinct(F.transform(F.filter(every, lambda x: x["source"] == source), lambda x: x["name"]))
+    done = checkpointed(said.select(F.col("_l").alias(listed), F.array(*[F.struct(F.lit(f"{d} {m}").alias("source"), of(f"{d} {m}").alias("names")) for d, m in sources]).alias("named")))
+    none = F.array(*[F.struct(F.lit(f"{d} {m}").alias("source"), F.array().cast("array<string>").alias("names")) for d, m in sources])
+    return join_hot(df, done, listed, "left").withColumn("named", F.coalesce("named", none))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import candidates
+from ..operators import candidates, resolve
 from .tables import load
 
 QUERIES = {}
@@ -54,8 +54,8 @@ def standard_names(spark: SparkSession, d: str) -> DataFrame:
     word = lambda at: F.get(F.array(*[F.lit(w) for w in _WORDS]), (at % len(_WORDS)).cast("int"))
     listed = F.concat_ws("；", word(k), word(n), word(F.floor(k / len(_WORDS))))
     rows = load(spark, d, "customer").select("c_custkey", listed.alias("listed"))
-    each = F.array(*[F.struct(F.lit(f"{domain} {module}").alias("source"), F.array_join(registry.standard_names(F.col("listed"), domain, module), "|").alias("names")) for domain, module in _PAIRS])
-    return rows.select("c_custkey", F.explode(each).alias("e")).select("c_custkey", "e.*").filter("names <> ''")
+    named = resolve.with_standard_names(rows, "listed", _PAIRS)
+    return named.select("c_custkey", F.explode("named").alias("e")).select("c_custkey", "e.source", F.array_join("e.names", "|").alias("names")).filter("names <> ''")
 
 
 QUERIES["standard_names"] = standard_names

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from laborline.functions import registry
 from laborline.functions.coerce import coerced
-from laborline.operators import candidates, facts, merge, path, report, rollups, sqlapi
+from laborline.operators import candidates, facts, match, merge, path, report, resolve, rollups, sqlapi, titles
 
 SHAPE = {"s": "d", "n": 7, "f": 0.5, "ok": True, "tags": [], "in": {"a": "", "b": {"c": 1}}, "rows": [{"k": "", "v": 0}], "any": {}}
 NOTHING = ("d", 7, 0.5, True, [], ("", (1,)), [], "{}")
@@ -104,3 +104,10 @@ def test_modes_of_ties_and_blanks(spark):
     got = {r["name"]: (r["job_category"], r["occurrence_count"]) for r in rollups.job_nodes(df, "o").collect()}
     assert got == {"j": ("b", 3), "k": ("", 1)}
     assert rollups.job_nodes(df.limit(0), "o").count() == 0 and rollups.knowledge_records(df.withColumnRenamed("job_name", "standard_job_name"), "o").count() == 2
+
+
+def test_names_of_lists(spark):
+    df = spark.createDataFrame([(1, "xgboost、Tableau,xgboost"), (2, "xgboost、Tableau,xgboost"), (3, None), (4, "-"), (5, "Tableau")], "id int, t string")
+    got = {r["id"]: [list(x["names"]) for x in r["named"]] for r in resolve.with_standard_names(df, "t", [("skill", "aggregator"), ("skill", "job_profile")]).collect()}
+    both = [["xgboost", "数据可视化"], ["机器学习", "Tableau"]]
+    assert got == {1: both, 2: both, 3: [[], []], 4: [[], []], 5: [["数据可视化"], ["Tableau"]]}
