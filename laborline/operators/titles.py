@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, text
 from ..functions.similarity import sequence_ratio
-from ..session import checkpointed
+from ..session import checkpointed, join_hot
 from .stats import ordered_distinct
 
 MAX_BLOCK = 200
@@ -89,18 +89,23 @@ def decided(features: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, cluster): the smallest id reachable over undirected edges (a, b). Each round every node takes the least label
-    of its neighbours and then of its label's own node; rounds end in a checkpoint."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct())
-    labels = checkpointed(nodes.select("id", F.col("id").alias("cluster")).distinct())
+    of its neighbours and then of its label's own node, and the edges shrink to those between different labels; rounds end in
+    a checkpoint. Nodes with many edges and labels with many nodes are joined by ``join_hot``, so no task gets all of them."""
+    ids = checkpointed(nodes.select("id").distinct())
+    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    ends = now.select("a").union(now.select("b")).distinct()
+    roots = checkpointed(ends.select(F.col("a").alias("id"), F.col("a").alias("cluster")))
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("cluster").alias("near"))
-        stepped = labels.join(near, labels.id == near.a, "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("next"), "cluster")
-        jump = stepped.select(F.col("id").alias("j"), F.col("next").alias("jumped"))
-        moved = checkpointed(stepped.join(jump, stepped.next == jump.j, "left").select("id", F.least("next", F.coalesce("jumped", "next")).alias("next"), "cluster"))
-        changed = moved.filter("next != cluster").limit(1).count()
-        labels = moved.select("id", F.col("next").alias("cluster"))
-        if not changed:
-            return labels
+        if now.isEmpty():
+            return ids.join(roots, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+        both = now.union(now.select("b", "a"))
+        near = checkpointed(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("old"), F.least("a", "near").alias("next")))
+        jump = near.select(F.col("old").alias("next"), F.col("next").alias("jumped"))
+        step = checkpointed(join_hot(near, jump, "next", "left").select("old", F.coalesce("jumped", "next").alias("new")))
+        moved = lambda df, c: join_hot(df, step.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        roots = checkpointed(moved(roots, "cluster"))
+        first = checkpointed(moved(now, "a"))
+        now = checkpointed(moved(first, "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     raise RuntimeError("components did not settle")
 
 

@@ -111,3 +111,10 @@ def test_names_of_lists(spark):
     got = {r["id"]: [list(x["names"]) for x in r["named"]] for r in resolve.with_standard_names(df, "t", [("skill", "aggregator"), ("skill", "job_profile")]).collect()}
     both = [["xgboost", "数据可视化"], ["机器学习", "Tableau"]]
     assert got == {1: both, 2: both, 3: [[], []], 4: [[], []], 5: [["数据可视化"], ["Tableau"]]}
+
+
+def test_components_with_a_hub(spark):
+    """A hub of many nodes and a label that all of them get."""
+    edges = spark.range(1, 2000).selectExpr("id as a", "0L as b").union(spark.createDataFrame([(5000, 5001), (5001, 5002), (1999, 3000)], "a long, b long"))
+    got = dict(titles.components(spark.range(6000), edges).collect())
+    assert got == {i: 0 if i < 2000 or i == 3000 else 5000 if 5000 <= i <= 5002 else i for i in range(6000)}
