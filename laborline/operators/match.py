@@ -196,14 +196,19 @@ def gap_status(gap: Column) -> Column:
 
 
 def ability_gaps(students: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, weighted score, worst status: long tables (…, dimension, score) of students and jobs, joined by dimension."""
+    """keys, weighted score, worst status: long tables (…, dimension, score) of students and jobs, joined by dimension.
+
+    There are few dimensions, so the jobs' rows are broadcast: a shuffle by dimension would put all students in a few tasks.
+    """
     weight = F.coalesce(*[F.when(F.col("dimension") == k, w) for k, w in vocab.ABILITY_WEIGHTS.items()], F.lit(0.0))
-    joined = students.withColumnRenamed("score", "have").join(jobs.withColumnRenamed("score", "need"), "dimension")
+    joined = students.withColumnRenamed("score", "have").join(F.broadcast(jobs.withColumnRenamed("score", "need")), "dimension")
     gap = F.col("have") - F.col("need")
     part = ladder(gap, [(-10.0, 1.0), (-25.0, 0.5)], 0.0)
-    return joined.withColumns({"_w": weight, "_p": part, "_s": gap_status(gap)}).groupBy(*keys).agg(
-        F.round(F.try_divide(F.sum(F.col("_w") * F.col("_p")), F.sum("_w")) * 100, 2).alias("ability_score"), risk_level(F.collect_set("_s")).alias("ability_status"), F.count_if(F.col("_s") == "no_match").alias("gaps"),
+    summed = joined.withColumns({"_w": weight, "_p": part, "_s": gap_status(gap)}).groupBy(*keys).agg(
+        F.round(F.try_divide(F.sum(F.col("_w") * F.col("_p")), F.sum("_w")) * 100, 2).alias("ability_score"), F.count_if(F.col("_s") == "no_match").alias("gaps"), F.count_if(F.col("_s") == "risk").alias("_risks"),
     )
+    worst = F.when(F.col("gaps") > 0, "no_match").when(F.col("_risks") > 0, "risk").otherwise("match")
+    return summed.select(*keys, "ability_score", worst.alias("ability_status"), "gaps")
 
 
 def asset_score(passes: Column, accuracy: Column, samples: Column, fails: Column) -> Column:

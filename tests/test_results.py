@@ -118,3 +118,11 @@ def test_components_with_a_hub(spark):
     edges = spark.range(1, 2000).selectExpr("id as a", "0L as b").union(spark.createDataFrame([(5000, 5001), (5001, 5002), (1999, 3000)], "a long, b long"))
     got = dict(titles.components(spark.range(6000), edges).collect())
     assert got == {i: 0 if i < 2000 or i == 3000 else 5000 if 5000 <= i <= 5002 else i for i in range(6000)}
+
+
+def test_students_are_not_dealt_by_dimension(spark):
+    students = spark.range(1000).crossJoin(spark.createDataFrame([("learning",), ("innovation",)], "dimension string")).withColumn("score", F.lit(50))
+    needs = spark.createDataFrame([("learning", 70), ("innovation", 40)], "dimension string, score int")
+    got = match.ability_gaps(students, needs, ["id"])
+    assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r)[1:] for r in got.collect()} == {(70.0, "risk", 0)} and got.count() == 1000
