@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.similarity import sequence_ratio
-from ..session import checkpointed
+from ..session import checkpointed, join_hot
 from .resolve import candidate_score, name_key, name_tokens
 
 #: A name is a candidate from this similarity on; similarity of a name that holds the other, as a candidate and in the score.
@@ -66,14 +66,18 @@ def candidate_jobs(requests: DataFrame, assets: DataFrame, most: int = MOST) ->
 
     ``requests``: request_id, request, terms (the student's; an empty array gives no points for skills). ``assets``, a row for
     each known name: name, place (their order, which decides ties), terms, quality, sample_count, is_core, required_points.
-    Blank requests have no candidates. Of equal scores the name found first stands first.
+    Blank requests have no candidates. Of equal scores the name found first stands first. Candidates are chosen once for each
+    different request with its terms, and given to all rows that ask for the same.
     """
     found = similar_names(requests, assets)
     order = assets.select("name", F.col("place").alias("_at"))
     ranked = found.join(order, "name").withColumn("_n", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("found"), "_at"))).filter(F.col("_n") <= MOST_NAMES)
-    asked = requests.select("request_id", "request", terms(F.col("terms")).alias("_own"))
+    listed = checkpointed(ranked.groupBy("request").agg(F.collect_list(F.struct("name", "similarity", "_n")).alias("_names")))
+    rows = checkpointed(requests.select("request_id", F.struct("request", terms(F.col("terms")).alias("own")).alias("_k")))
+    asked = checkpointed(rows.select("_k").distinct().select("_k", "_k.request", F.col("_k.own").alias("_own")))
     have = assets.select("name", terms(F.concat(F.array("name"), F.coalesce("terms", F.array().cast("array<string>")))).alias("_terms"), "quality", "sample_count", "is_core", "required_points")
-    both = asked.join(ranked, "request").join(have, "name").withColumn("skill_score", term_overlap(F.col("_own"), F.col("_terms")))
+    met = checkpointed(join_hot(asked, listed, "request").select("_k", "request", "_own", F.inline("_names")))
+    both = join_hot(met, have, "name").withColumn("skill_score", term_overlap(F.col("_own"), F.col("_terms")))
     scored = both.withColumn("candidate_score", candidate_score(F.col("similarity"), F.col("skill_score"), F.col("quality"), F.col("sample_count"), F.col("is_core"))).filter(F.col("candidate_score") >= LEAST_SCORE)
     said = F.array_compact(
         F.array(
@@ -82,5 +86,7 @@ def candidate_jobs(requests: DataFrame, assets: DataFrame, most: int = MOST) ->
         )
     )
     reason = F.concat("name", F.lit("："), F.when(F.size(said) > 0, F.array_join(said, "，")).otherwise("该岗位是本地资产中的可能相关标准岗位"), F.lit("。"))
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("candidate_score"), "_n"))).filter(F.col("place") <= most)
-    return best.select("request_id", "place", "name", "candidate_score", F.col("similarity").alias("name_score"), "skill_score", reason.alias("reason"))
+    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("candidate_score"), "_n"))).filter(F.col("place") <= most)
+    kept = best.select("_k", F.struct("place", "name", "candidate_score", F.col("similarity").alias("name_score"), "skill_score", reason.alias("reason")).alias("_c"))
+    lists = checkpointed(kept.groupBy("_k").agg(F.array_sort(F.collect_list("_c")).alias("_c")))
+    return join_hot(rows, lists, "_k").select("request_id", F.inline("_c"))

@@ -126,3 +126,11 @@ def test_students_are_not_dealt_by_dimension(spark):
     got = match.ability_gaps(students, needs, ["id"])
     assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
     assert {tuple(r)[1:] for r in got.collect()} == {(70.0, "risk", 0)} and got.count() == 1000
+
+
+def test_equal_requests_are_matched_once(spark):
+    requests = spark.range(500).select(F.col("id").alias("request_id"), F.lit("数据").alias("request"), F.array(F.lit("a")).alias("terms"))
+    assets = spark.createDataFrame([("数据b1", 1, ["a"], 0.5, 10, True, 1), ("数据b2", 2, ["b"], 0.5, 10, False, 0)], "name string, place int, terms array<string>, quality double, sample_count long, is_core boolean, required_points int")
+    got = candidates.candidate_jobs(requests, assets)
+    assert "request_id" not in "".join(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line)
+    assert sorted({tuple(r)[1:3] for r in got.collect()}) == [(1, "数据b1"), (2, "数据b2")] and got.count() == 1000
