@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
+from ..functions.nearest import nearest
 from ..functions.parse import embedding_tokens
 from ..functions.similarity import DIMENSION, cosine, token_slot
 
+#: Rows and queries of a block, on average. A row goes to as many tasks as there are blocks of queries, a query to as many as there are of rows.
+BLOCK_ROWS, BLOCK_QUERIES = 32_768, 16_384
+
 
 def hashed(df: DataFrame, id_col: str, body: str, dimension: int = DIMENSION) -> DataFrame:
     """id, slot, x: the entries of each text's hashed vector, of unit length; no rows for texts without tokens."""
@@ -32,13 +39,28 @@ def top_k(docs: DataFrame, query: list[float], k: int, id_col: str, vector: str
 
 
 def top_k_many(docs: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "embedding") -> DataFrame:
-    """query, id, score, rank: the queries (query, q) against all rows, ties by id.
+    """query, id, score, rank: the queries (query, q) against all rows, exact, ties by id.
 
-    Both sides stay on the executors, blocks of one against blocks of the other. Every task keeps its best ``k`` of a query
-    before they are shuffled (a window group limit).
+    Rows and queries are dealt to blocks, and every pair of blocks is a group of its own, which a task multiplies as matrices;
+    of each query it hands on its ``k`` best, so work is that of all pairs, and memory that of a block.
     """
-    rows = docs.select(id_col, vector).crossJoin(queries.select("query", "q")).select("query", id_col, cosine(F.col(vector), F.col("q")).alias("score"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc(id_col)))).filter(F.col("rank") <= k)
+    plain = isinstance(docs.schema[vector].dataType.elementType, FloatType) and docs.schema[vector].dataType == queries.schema["q"].dataType
+    kind = "array<float>" if plain else "array<double>"
+    n_rows, n_queries = (max(1, -(-df.count() // size)) for df, size in ((docs, BLOCK_ROWS), (queries, BLOCK_QUERIES)))
+    own = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = docs.select(own(n_rows, id_col, vector).alias("_r"), every(n_queries).alias("_s"), F.col(id_col).alias("id"), F.col(vector).cast(kind).alias("v"))
+    asked = queries.select(own(n_queries, "query", "q").alias("_s"), every(n_rows).alias("_r"), "query", F.col("q").cast(kind).alias("v"))
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left.column("id"), null_placement="at_start"))
+        q, r, score = nearest(left.column("v"), right.column("v"), k)
+        return pa.table([right.column("query").take(q), left.column("id").take(r), pa.array(score)], names=["query", "id", "score"])
+
+    schema = StructType([StructField("query", queries.schema["query"].dataType), StructField("id", docs.schema[id_col].dataType), StructField("score", DoubleType())])
+    best = rows.groupBy("_r", "_s").cogroup(asked.groupBy("_r", "_s")).applyInArrow(work, schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id")))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
 def question_keywords(question: Column, most: int = 20) -> Column:
