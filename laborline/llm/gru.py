@@ -17,7 +17,8 @@ STEPS = 16
 #: Lanes are texts side by side. A task takes as many as leave each LANE_TOKENS tokens at least.
 MOST_LANES, LANE_TOKENS = 512, 4096
 RATE, DECAY, SEED = 0.01, 0.999, 7
-_BATCH, _SCORE_STEPS = 1024, 32
+#: Texts that are scored side by side, and tokens of a window of them.
+_BATCH, _SCORE_TOKENS = 1024, 8192
 
 Params = dict[str, np.ndarray]
 
@@ -39,14 +40,19 @@ def flat(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unflat(v: np.ndarray, like: Params) -> Params:
+def _parts(v: np.ndarray, like: Params) -> Params:
+    """``v`` as views of the shapes of ``like``."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = v[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def unflat(v: np.ndarray, like: Params) -> Params:
+    return {k: x.astype(np.float32) for k, x in _parts(v, like).items()}
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
@@ -54,6 +60,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _affine(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = x @ w
+    out += b
+    return out
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Of each column."""
+    return np.ones(len(x), x.dtype) @ x
+
+
 def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(x) of each row, in place, and the rows' sums; rows are shifted to a largest value of 0 if any value is far off."""
     if np.abs(x.max()) > 30:
@@ -62,12 +79,6 @@ def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x, sums = _exponentials(x)
-    x *= (1 / sums)[:, None]
-    return x
-
-
 @dataclass
 class Network:
     p: Params
@@ -78,33 +89,42 @@ class Network:
         self.classes = np.repeat(np.arange(len(self.firsts) - 1), np.diff(self.firsts))
         self.wide = np.flatnonzero(np.diff(self.firsts) > 1)
 
-    def _states(self, before: np.ndarray, keep: np.ndarray | None, h: np.ndarray, trace: list | None) -> np.ndarray:
-        """States after each step, (steps, lanes, HIDDEN); ``keep`` is 0 where a text begins."""
+    def _states(self, before: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None, trace: list | None = None) -> np.ndarray:
+        """States after each step, (steps, HIDDEN, lanes), from the states ``h``, (lanes, HIDDEN); ``keep``, which goes with a ``trace``, is 0 where a text begins.
+
+        Lanes come last, so that the parts of the gates are whole rows. ``trace`` gets the states before, the gates and
+        candidates, and what the state gives to them.
+        """
         p, H = self.p, HIDDEN
         steps, lanes = before.shape
-        x = (p["embedding"][before.ravel()] @ p["w_in"] + p["b_in"]).reshape(steps, lanes, 3 * H)
-        out = np.empty((steps, lanes, H), np.float32)
+        x = np.ascontiguousarray((p["embedding"] @ p["w_in"] + p["b_in"])[before].transpose(0, 2, 1))
+        out, w, h = np.empty((steps, H, lanes), x.dtype), np.ascontiguousarray(p["w_state"].T), np.ascontiguousarray(h.T)
+        if trace is not None:
+            trace += [np.empty((steps, H, lanes), x.dtype), x, np.empty_like(x)]
         for t in range(steps):
-            hp = h if keep is None else h * keep[t][:, None]
-            a = hp @ p["w_state"]
-            gates = _sigmoid(x[t, :, : 2 * H] + a[:, : 2 * H])
-            r, z = gates[:, :H], gates[:, H:]
-            n = np.tanh(x[t, :, 2 * H :] + r * a[:, 2 * H :])
-            h = out[t]
+            if trace is None:
+                hp, a = h, w @ h
+            else:
+                hp = np.multiply(h, keep[t], out=trace[0][t])
+                a = np.matmul(w, hp, out=trace[2][t])
+            gates, n, h = x[t, : 2 * H], x[t, 2 * H :], out[t]
+            gates += a[: 2 * H]
+            _sigmoid(gates)
+            n += np.multiply(gates[:H], a[2 * H :], out=h)
+            np.tanh(n, out=n)
             np.subtract(hp, n, out=h)
-            h *= z
+            h *= gates[H:]
             h += n
-            if trace is not None:
-                trace.append((hp, r, z, n, a[:, 2 * H :]))
         return out
 
-    def _by_class(self, own: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """The places of symbols in each class of more than one member."""
+    def _by_class(self, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """The places of symbols in classes of more than one member, by class; of each class its symbols and its share of the places."""
         order = np.argsort(own.astype(np.uint16), kind="stable")
         bounds = np.searchsorted(own[order], np.arange(len(self.firsts)))
-        for c in self.wide.tolist():
-            if bounds[c] < bounds[c + 1]:
-                yield int(self.firsts[c]), int(self.firsts[c + 1]), order[bounds[c] : bounds[c + 1]]
+        wide = [c for c in self.wide.tolist() if bounds[c] < bounds[c + 1]]
+        order = np.concatenate([order[:0], *(order[bounds[c] : bounds[c + 1]] for c in wide)])
+        at = np.cumsum([0, *(bounds[c + 1] - bounds[c] for c in wide)]).tolist()
+        return order, [(int(self.firsts[c]), int(self.firsts[c + 1]), at[k], at[k + 1]) for k, c in enumerate(wide)]
 
     def log_probabilities(self, texts: list[np.ndarray], start: int) -> np.ndarray:
         """The natural logarithm of each text's probability; every text is read whole, from an empty state."""
@@ -113,26 +133,28 @@ class Network:
         for lo in range(0, len(order), _BATCH):
             own = order[lo : lo + _BATCH]
             lengths = np.array([len(texts[k]) for k in own])
+            stream, firsts = np.concatenate([texts[k] for k in own]), np.cumsum(lengths) - lengths
             h, last = np.zeros((len(own), HIDDEN), np.float32), np.full(len(own), start, np.int64)
-            for t0 in range(0, int(lengths[0]), _SCORE_STEPS):
+            t0 = 0
+            while t0 < lengths[0]:
                 n = int((lengths > t0).sum())
-                steps = min(_SCORE_STEPS, int(lengths[0]) - t0)
-                target = np.full((steps, n), start, np.int64)
-                for j in range(n):
-                    part = texts[own[j]][t0 : t0 + steps]
-                    target[: len(part), j] = part
+                steps = min(max(1, _SCORE_TOKENS // n), int(lengths[0]) - t0)
+                at = t0 + np.arange(steps)[:, None]
+                live = at < lengths[None, :n]
+                target = np.where(live, stream[np.where(live, firsts[:n] + at, 0)], start)
                 before = np.vstack([last[:n][None], target[:-1]])
-                states = self._states(before, None, h[:n], None)
-                h, last = states[-1], target[-1]
-                live = (t0 + np.arange(steps)[:, None] < lengths[None, :n]).ravel()
-                flat_states, symbols = states.reshape(-1, HIDDEN)[live], target.ravel()[live]
-                lanes = np.tile(np.arange(n), steps)[live]
+                states = self._states(before, h[:n])
+                h, last = states[-1].T, target[-1]
+                flat_states, symbols = states.transpose(0, 2, 1)[live], target[live]
                 own_class = self.classes[symbols]
-                logits = flat_states @ p["w_class"] + p["b_class"]
-                found = self._chosen(logits, own_class)
-                for a, b, rows in self._by_class(own_class):
-                    found[rows] += self._chosen(flat_states[rows] @ p["w_out"][a:b].T + p["b_out"][a:b], symbols[rows] - a)
-                total[own[:n]] += np.bincount(lanes, weights=found, minlength=n)
+                found = self._chosen(_affine(flat_states, p["w_class"], p["b_class"]), own_class)
+                wide, parts = self._by_class(own_class)
+                s, chosen, more = flat_states[wide], symbols[wide], np.empty(len(wide))
+                for a, b, i, j in parts:
+                    more[i:j] = self._chosen(_affine(s[i:j], p["w_out"][a:b].T, p["b_out"][a:b]), chosen[i:j] - a)
+                found[wide] += more
+                total[own[:n]] += np.bincount(np.nonzero(live)[1], weights=found, minlength=n)
+                t0 += steps
         return total
 
     @staticmethod
@@ -145,47 +167,65 @@ class Network:
         """Gradients of the mean negative log-likelihood over a window, the state at its end, and the summed loss."""
         p, H = self.p, HIDDEN
         trace: list = []
-        states = self._states(before, keep, h, trace)
+        states = self._states(before, h, keep, trace)
         steps, lanes = before.shape
-        s, symbols, weight = states.reshape(-1, H), target.ravel(), live.ravel().astype(np.float32)
-        scale = 1 / max(1.0, float(weight.sum()))
-        own, all_rows = self.classes[symbols], np.arange(len(symbols))
-        q = _softmax(s @ p["w_class"] + p["b_class"])
-        loss = -float((np.log(q[all_rows, own] + 1e-30) * weight).sum())
-        q[all_rows, own] -= 1
-        q *= (weight * scale)[:, None]
-        g = {"w_class": s.T @ q, "b_class": q.sum(axis=0), "w_out": np.zeros_like(p["w_out"]), "b_out": np.zeros_like(p["b_out"])}
+        s, symbols, weight = states.transpose(0, 2, 1).reshape(-1, H), target.ravel(), live.ravel().astype(states.dtype)
+        weight *= 1 / max(1.0, float(weight.sum()))
+        own = self.classes[symbols]
+        q, chance = self._errors(_affine(s, p["w_class"], p["b_class"]), own, weight)
+        g = {"w_class": s.T @ q, "b_class": _sums(q), "w_out": np.zeros_like(p["w_out"]), "b_out": np.zeros_like(p["b_out"])}
         ds = q @ p["w_class"].T
-        for a, b, rows in self._by_class(own):
-            sr, wr = s[rows], weight[rows]
-            e = _softmax(sr @ p["w_out"][a:b].T + p["b_out"][a:b])
-            at = symbols[rows] - a
-            loss -= float((np.log(e[np.arange(len(rows)), at] + 1e-30) * wr).sum())
-            e[np.arange(len(rows)), at] -= 1
-            e *= (wr * scale)[:, None]
-            g["w_out"][a:b], g["b_out"][a:b] = e.T @ sr, e.sum(axis=0)
-            ds[rows] += e @ p["w_out"][a:b]
-        ds = ds.reshape(steps, lanes, H)
-        dx, da = np.empty((steps, lanes, 3 * H), np.float32), np.empty((lanes, 3 * H), np.float32)
-        g["w_state"], after = np.zeros_like(p["w_state"]), np.zeros((lanes, H), np.float32)
+        order, parts = self._by_class(own)
+        sr, chosen, wr, more, inner = s[order], symbols[order], weight[order], np.empty((len(order), H), s.dtype), np.empty(len(order), s.dtype)
+        for a, b, i, j in parts:
+            e, inner[i:j] = self._errors(_affine(sr[i:j], p["w_out"][a:b].T, p["b_out"][a:b]), chosen[i:j] - a, wr[i:j])
+            g["w_out"][a:b], g["b_out"][a:b] = e.T @ sr[i:j], _sums(e)
+            np.matmul(e, p["w_out"][a:b], out=more[i:j])
+        ds[order] += more
+        loss = -float((np.log(chance + 1e-30) * (weight > 0)).sum() + (np.log(inner + 1e-30) * (wr > 0)).sum())
+        ds = np.ascontiguousarray(ds.reshape(steps, lanes, H).transpose(0, 2, 1))
+        hp, x, a = trace
+        r, z, n = x[:, :H], x[:, H : 2 * H], x[:, 2 * H :]
+        # What the gradient of a state is multiplied by, for all steps at once.
+        by_n = 1 - n * n
+        by_n *= 1 - z
+        by_r = a[:, 2 * H :] * r
+        by_r *= 1 - r
+        by_z = hp - n
+        by_z *= z
+        by_z *= 1 - z
+        dx, da, after = np.empty_like(x), np.empty_like(x), np.zeros((H, lanes), s.dtype)
         for t in range(steps - 1, -1, -1):
-            hp, r, z, n, an = trace[t]
-            dh = ds[t] + after
-            dn = dh * (1 - z) * (1 - n * n)
-            da[:, :H] = dn * an * r * (1 - r)
-            da[:, H : 2 * H] = dh * (hp - n) * z * (1 - z)
-            da[:, 2 * H :] = dn * r
-            dx[t, :, : 2 * H], dx[t, :, 2 * H :] = da[:, : 2 * H], dn
-            g["w_state"] += hp.T @ da
-            after = (dh * z + da @ p["w_state"].T) * keep[t][:, None]
-        dx = dx.reshape(-1, 3 * H)
+            dh, d = ds[t], da[t]
+            dh += after
+            dn = np.multiply(dh, by_n[t], out=dx[t, 2 * H :])
+            np.multiply(dn, by_r[t], out=d[:H])
+            np.multiply(dh, by_z[t], out=d[H : 2 * H])
+            np.multiply(dn, r[t], out=d[2 * H :])
+            np.matmul(p["w_state"], d, out=after)
+            dh *= z[t]
+            after += dh
+            after *= keep[t]
+        dx[:, : 2 * H] = da[:, : 2 * H]
+        g["w_state"] = np.matmul(hp, da.transpose(0, 2, 1)).sum(axis=0)
+        dx = dx.transpose(0, 2, 1).reshape(-1, 3 * H)
         read = before.ravel()
-        g["w_in"], g["b_in"] = p["embedding"][read].T @ dx, dx.sum(axis=0)
+        g["w_in"], g["b_in"] = p["embedding"][read].T @ dx, _sums(dx)
         de, order = dx @ p["w_in"].T, np.argsort(read.astype(np.uint16), kind="stable")
         firsts = np.flatnonzero(np.diff(read[order], prepend=-1))
         g["embedding"] = np.zeros_like(p["embedding"])
         g["embedding"][read[order][firsts]] = np.add.reduceat(de[order], firsts, axis=0)
-        return g, states[-1], loss
+        return g, states[-1].T, loss
+
+    @staticmethod
+    def _errors(logits: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Softmax of each row less one in the column ``at``, by weight; and the softmax there."""
+        e, sums = _exponentials(logits)
+        rows = np.arange(len(at))
+        chance = e[rows, at] / sums
+        e *= (weight / sums)[:, None]
+        e[rows, at] -= weight
+        return e, chance
 
     def train(self, texts: list[np.ndarray], start: int, rate: float = RATE) -> tuple[int, float]:
         """One pass of truncated backpropagation over ``texts``; the tokens read and their summed loss.
@@ -206,18 +246,28 @@ class Network:
         pad = lanes * length - n
         shaped = [np.concatenate([x, np.full(pad, fill, x.dtype)]).reshape(lanes, length).T for x, fill in ((before, start), (stream, start), (~begins, True), (np.ones(n, bool), False))]
         h, loss = np.zeros((lanes, HIDDEN), np.float32), 0.0
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        weights = flat(self.p)
+        self.p = _parts(weights, self.p)
+        first, second, own = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights)
         updates = -(-length // STEPS)
         for u in range(updates):
             b, y, keep, live = (x[u * STEPS : (u + 1) * STEPS] for x in shaped)
-            g, h, own = self.gradients(b, y, keep.astype(np.float32), live, h)
-            loss += own
-            norm = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
-            clip = min(1.0, 1.0 / (norm + 1e-9))
+            g, h, more = self.gradients(b, y, keep.astype(np.float32), live, h)
+            loss += more
+            v = flat(g)
+            norm = float(np.sqrt(v @ v))
+            v *= min(1.0, 1.0 / (norm + 1e-9))
             step = rate * (1 - 0.9 * u / updates) * np.sqrt(1 - DECAY ** (u + 1)) / (1 - 0.9 ** (u + 1))
-            for k, v in g.items():
-                v *= clip
-                first[k] += 0.1 * (v - first[k])
-                second[k] += (1 - DECAY) * (v * v - second[k])
-                self.p[k] -= step * first[k] / (np.sqrt(second[k]) + 1e-8)
+            np.subtract(v, first, out=own)
+            own *= 0.1
+            first += own
+            v *= v
+            v -= second
+            v *= 1 - DECAY
+            second += v
+            np.sqrt(second, out=v)
+            v += 1e-8
+            np.divide(first, v, out=v)
+            v *= step
+            weights -= v
         return n, loss

@@ -27,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, partitions, scratch, text_bytes, views
+from .common import cut, discard, partitions, scratch, text_bytes
 from .gru import Network, flat, initial, unflat
 
 HEAD, CLASS_WORDS, GROUPS, ROUNDS = 1024, 64, 6, 2
@@ -40,25 +41,26 @@ WARM_TEXTS, WARM_RATE, RATE = 512, 0.01, 0.003
 #: The first count of each bin.
 BINS = (1, 2, 4, 16, 64)
 CHUNK_TOKENS = 2_000_000
+#: Of a batch about as many bytes of text are split at once.
+PIECE_BYTES = 4 << 20
 #: Words with at least this share of all tokens are looked up by a broadcast, as they are in nearly every chunk: there are
 #: MOST_COMMON of them at most. The HEAD words are the commonest of those with a HEAD_SHARE-th of the tokens.
 MOST_COMMON, HEAD_SHARE = 10_000, 100_000
 
-_UPPER = bytes(range(65, 91))
-_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 def held_out(key: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
     """True for the ids whose crc32 as text leaves the remainder ``part`` by ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+def _split(body: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, and how many each text has. The texts are taken as they are, valid UTF-8 or not."""
+    wide = pa.types.is_large_binary(body.type)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(body.view(pa.large_string() if wide else pa.string())))
+    words, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)  # what white space at either end leaves is none
+    return words.filter(some), np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(body))
+
+
 _ENCODED = "chunk long, doc_id long, held_out boolean, ids binary, lang string, words array<string>, counts array<int>"
 
 
@@ -67,35 +69,42 @@ def _encode(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, base = 0, TaskContext.get().partitionId() << 32
-        held: dict[str, tuple[_Numbers, list]] = {}
+        held: dict[str, list[tuple]] = {}
         sizes: dict[str, int] = {}
 
         def flush(lang: str) -> pa.RecordBatch:
             nonlocal seq
-            numbers, rows = held.pop(lang)
+            parts = held.pop(lang)
             sizes.pop(lang)
-            chunk, seq, n = base + seq, seq + 1, len(rows)
-            counts = np.zeros(len(numbers), np.int64)
-            for _, out, ids in rows:
-                if not out:
-                    counts += np.bincount(ids, minlength=len(numbers))
-            words = [w.decode("utf-8", "replace") for w in numbers]
+            chunk, seq = base + seq, seq + 1
+            ids, out, lengths = (pa.concat_arrays([x[0] for x in parts]), *(np.concatenate([x[k] for x in parts]) for k in (1, 2)))
+            coded, n = pa.concat_arrays([x[3] for x in parts]).dictionary_encode(), len(ids)
+            numbers, words = coded.indices.to_numpy(), [w.decode("utf-8", "replace") for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+            counts = np.bincount(numbers[np.repeat(~out, lengths)], minlength=len(words))
+            bounds = np.concatenate([[0], np.cumsum(lengths) * 4]).astype(np.int32)
+            own = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(numbers, np.int32))])
             arrays = [
-                pa.array([chunk] * (n + 1), pa.int64()), pa.array([*(r[0] for r in rows), None], pa.int64()), pa.array([*(r[1] for r in rows), None], pa.bool_()),
-                pa.array([*(r[2].tobytes() for r in rows), None], pa.binary()), pa.array([lang] * (n + 1), pa.string()),
+                pa.array([chunk] * (n + 1), pa.int64()), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), pa.array([*out.tolist(), None], pa.bool_()),
+                pa.concat_arrays([own, pa.nulls(1, pa.binary())]), pa.array([lang] * (n + 1), pa.string()),
                 pa.array([*[None] * n, words], pa.list_(pa.string())), pa.array([*[None] * n, counts.astype(np.int32)], pa.list_(pa.int32())),
             ]
             return pa.RecordBatch.from_arrays(arrays, names=["chunk", "doc_id", "held_out", "ids", "lang", "words", "counts"])
 
         for batch in batches:
-            for v, doc_id, out, lang in zip(views(batch.column("body")), *(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "lang")), strict=True):
-                words = bytes(v).translate(_LOWER).split()
-                numbers, rows = held.setdefault(lang, (_Numbers(), []))
-                rows.append((doc_id, out, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
-                sizes[lang] = sizes.get(lang, 0) + len(words) + 1
-                if sizes[lang] >= CHUNK_TOKENS:
-                    yield flush(lang)
-                elif sum(sizes.values()) >= 2 * CHUNK_TOKENS:
+            body = batch.column("body")
+            read = np.cumsum(pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            for rows in np.split(np.arange(len(body)), np.flatnonzero(np.diff(read // PIECE_BYTES)) + 1):
+                by_lang: dict[str, list[int]] = {}
+                for k, lang in zip(rows.tolist(), batch.column("lang").take(rows).to_pylist(), strict=True):
+                    by_lang.setdefault(lang, []).append(k)
+                for lang, places in by_lang.items():
+                    words, lengths = _split(body.take(places))
+                    out = batch.column("held_out").take(places).to_numpy(zero_copy_only=False).astype(bool)
+                    held.setdefault(lang, []).append((batch.column("doc_id").take(places), out, lengths, words))
+                    sizes[lang] = sizes.get(lang, 0) + len(words) + len(places) + words.nbytes // 64
+                    if sizes[lang] >= CHUNK_TOKENS:
+                        yield flush(lang)
+                if sum(sizes.values()) >= 2 * CHUNK_TOKENS:
                     for name in list(held):
                         yield flush(name)
         for name in list(held):
